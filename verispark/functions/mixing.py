@@ -9,23 +9,22 @@ one draw on a lattice and bias every interval.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
 
 
-def _fifth_power(x: Column) -> Column:
-    square = x * x % PRIME
-    return square * square % PRIME * x % PRIME
+def with_mix(df: DataFrame, draw: Column, item: Column, seed: int, name: str) -> DataFrame:
+    """Add a pseudo-random residue in [0, PRIME) for a pair of counters.
 
-
-def mix(draw: Column, item: Column, seed: int) -> Column:
-    """Pseudo-random residue in [0, PRIME) for a pair of counters."""
-    start = (draw.cast("bigint") * 7919 + item.cast("bigint") * 104729 + F.lit(int(seed)).cast("bigint")) % PRIME
-    return _fifth_power((_fifth_power(start) * 48271 + 11) % PRIME)
-
-
-def draw_index(draw: Column, item: Column, seed: int, size: Column) -> Column:
-    """Index in [0, size)."""
-    return mix(draw, item, seed) % size.cast("bigint")
+    The steps are separate columns: each is used several times by the next, and
+    one nested expression would repeat its parts exponentially.
+    """
+    steps = df.withColumn("_m", (draw.cast("bigint") * 7919 + item.cast("bigint") * 104729
+                                 + F.lit(int(seed)).cast("bigint")) % PRIME)
+    for last in (False, True):
+        steps = steps.withColumn("_sq", F.col("_m") * F.col("_m") % PRIME)
+        steps = steps.withColumn("_q", F.col("_sq") * F.col("_sq") % PRIME * F.col("_m") % PRIME)
+        steps = steps.withColumn("_m", F.col("_q") if last else (F.col("_q") * 48271 + 11) % PRIME)
+    return steps.withColumn(name, F.col("_m")).drop("_m", "_sq", "_q")

@@ -1,10 +1,12 @@
 """Exact ranks and quantiles that never gather a group into one task.
 
 Values are first counted per (group, value), which collapses ties on the map
-side.  The distinct values are then cut into buckets at approximate quantiles;
-bucket totals give each bucket's offset and a window inside one bucket gives the
-rest.  The split points only steer the balance, never the result, but both
-branches of the plan must see the same ones, so they are checkpointed.
+side.  When every group is small enough for a task (its row count is checked,
+not assumed) a plain window or percentile finishes the job.  Otherwise the
+distinct values are cut into buckets at approximate quantiles; bucket totals give
+each bucket's offset and a window inside one bucket gives the rest.  The split
+points only steer the balance, never the result, but both branches of the plan
+must see the same ones, so they are checkpointed.
 """
 
 from __future__ import annotations
@@ -18,12 +20,25 @@ from ..functions.strata import by_edges
 from ..session import cut_lineage
 
 
+TASK_ROWS = 1_000_000
+
+
+def fits_a_task(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
+    """Whether the largest group holds at most ``limit`` rows: one pre-aggregated count."""
+    limit = TASK_ROWS if limit is None else limit
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head().n
+    return (largest or 0) <= limit
+
+
 def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None,
-                      buckets: int = 64) -> DataFrame:
+                      buckets: int = 64, limit: int | None = None) -> DataFrame:
     """Per distinct value: its count, the count below it and the group total."""
     by = list(by)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(amount.alias("n_equal"))
+    if fits_a_task(df, by, limit):
+        return (counts.withColumn("n_below", F.sum("n_equal").over(Window.partitionBy(*by).orderBy(value)) - F.col("n_equal"))
+                .withColumn("n_total", F.sum("n_equal").over(Window.partitionBy(*by))))
     probes = [F.lit((i + 1) / buckets) for i in range(buckets - 1)]
     edges = counts.groupBy(*by).agg(F.array_distinct(
         F.percentile_approx(value, F.array(*probes), F.lit(1000))).alias("_edges"))
@@ -45,16 +60,21 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, weight: str
             .select(*by, value, "n_equal", "n_below", "n_total"))
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str, limit: int | None = None) -> DataFrame:
     """Every row with the mean rank of its tie group."""
-    ranks = (cumulative_counts(df, by, value)
+    ranks = (cumulative_counts(df, by, value, limit=limit)
              .select(*by, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(name)))
     return df.join(ranks, [*by, value])
 
 
-def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
+                      limit: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles of every group, one column per entry of ``probs``."""
-    table = cumulative_counts(df, by, value)
+    if fits_a_task(df, by, limit):
+        present = df.where(F.col(value).isNotNull())
+        return present.groupBy(*by).agg(F.count(F.lit(1)).alias("n_values"), *[
+            F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()])
+    table = cumulative_counts(df, by, value, limit=0)
     low_high = []
     for name, p in probs.items():
         position = (F.col("n_total") - 1) * F.lit(float(p))
@@ -70,10 +90,11 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
     return picked.select(*by, "n_values", *columns)
 
 
-def quantile_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, name: str) -> DataFrame:
+def quantile_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, name: str,
+                  limit: int | None = None) -> DataFrame:
     """Equal-count bins with interpolated edges, closed on the right, repeated edges dropped."""
     probs = {f"_e{i}": i / bins for i in range(bins + 1)}
-    edges = grouped_quantiles(df, by, value, probs)
+    edges = grouped_quantiles(df, by, value, probs, limit)
     all_edges = F.array_distinct(F.array(*[F.col(f"_e{i}") for i in range(bins + 1)]))
     inner = F.slice(all_edges, 2, F.greatest(F.size(all_edges) - 2, F.lit(0)))
     edges = edges.select(*by, inner.alias("_inner"))
@@ -84,13 +105,14 @@ def quantile_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, name:
     return joined.withColumn(name, by_edges(F.col(value), F.col("_inner"))).drop("_inner")
 
 
-def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, name: str = "spearman") -> DataFrame:
+def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, name: str = "spearman",
+             limit: int | None = None) -> DataFrame:
     """Rank correlation over rows where both values are present, average ranks for ties."""
     pairs = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
              .groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_k")))
-    rank_x = cumulative_counts(pairs, by, x, weight="_k").select(
+    rank_x = cumulative_counts(pairs, by, x, weight="_k", limit=limit).select(
         *by, x, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_rx"))
-    rank_y = cumulative_counts(pairs, by, y, weight="_k").select(
+    rank_y = cumulative_counts(pairs, by, y, weight="_k", limit=limit).select(
         *by, y, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_ry"))
     joined = pairs.join(rank_x, [*by, x]).join(rank_y, [*by, y])
     return joined.groupBy(*by).agg(

@@ -13,7 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mixing import draw_index
+from ..functions.mixing import with_mix
+from ..session import cut_lineage
+
+# Rows of the lookup side that may be broadcast; beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def day_ordinals(daily: DataFrame, by: Sequence[str], day: str) -> DataFrame:
@@ -38,13 +42,26 @@ def block_starts(sizes: DataFrame, by: Sequence[str], draws: int, width: int, se
     blocks = F.ceil(F.col(n) / width).cast("int")
     per_draw = sizes.select(*by, F.col(n).cast("int").alias("_n"), blocks.alias("_blocks"),
                             F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    # The group table is tiny: spread the draws before they fan out into blocks.
-    spread = per_draw.repartition("draw")
-    per_block = spread.select(*by, "draw", "_n", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
-    return per_block.select(
-        *by, "draw", "block", F.col("_n").alias("n"),
-        draw_index(F.col("draw"), F.col("block"), seed, F.col("_n")).cast("int").alias("start"),
-        F.least(F.lit(width), F.col("_n") - F.col("block") * width).alias("take"))
+    # A draw fans out into many blocks.  A stated partition count keeps adaptive execution
+    # from folding the few draw rows into one task, and the draws stay put until they are summed.
+    spread = per_draw.repartition(sizes.sparkSession.sparkContext.defaultParallelism, "draw")
+    per_block = spread.select(*by, "draw", "_n", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    mixed = with_mix(per_block, F.col("draw"), F.col("_block"), seed, "_mix")
+    return mixed.select(
+        *by, "draw", F.col("_n").alias("n"), (F.col("_mix") % F.col("_n")).cast("int").alias("start"),
+        F.least(F.lit(width), F.col("_n") - F.col("_block") * width).alias("take"))
+
+
+def _lookup(starts: DataFrame, table: DataFrame, keys: Sequence[str], bound: int) -> DataFrame:
+    """Join draws with the sums they pick.
+
+    The exploded draws look tiny to the planner, which would broadcast the wrong
+    side.  The lookup side is broadcast while its proven bound allows, which
+    leaves the draws where they are; otherwise both sides are shuffled.
+    """
+    if bound <= BROADCAST_ROWS:
+        return starts.join(F.broadcast(table), list(keys))
+    return starts.hint("merge").join(table, list(keys))
 
 
 def arc_sums(daily: DataFrame, by: Sequence[str], measures: Sequence[str], width: int) -> DataFrame:
@@ -72,12 +89,15 @@ def block_bootstrap(daily: DataFrame, by: Sequence[str], day: str, measures: Seq
                     width: int, seed: int) -> DataFrame:
     """Mean of every measure per (group, draw) under a paired circular-block bootstrap.
 
-    All measures share the draw, so models and references stay paired.
+    All measures share the draw, so models and references stay paired.  The
+    daily table is materialised first: the cases behind it are read once.
     """
+    daily = cut_lineage(daily.select(*by, day, *measures))
+    bound = 2 * daily.count()
     indexed = day_ordinals(daily, by, day)
     sizes = indexed.groupBy(*by).agg(F.max("n_days").alias("n_days"))
     arcs = arc_sums(indexed, by, measures, width)
-    picked = block_starts(sizes, by, draws, width, seed).join(arcs, [*by, "start", "take"])
+    picked = _lookup(block_starts(sizes, by, draws, width, seed), arcs, [*by, "start", "take"], bound)
     return picked.groupBy(*by, "draw").agg(*[
         F.try_divide(F.sum(f"`{m}__s`"), F.sum(f"`{m}__n`")).alias(m) for m in measures])
 
@@ -113,13 +133,15 @@ def nested_bootstrap(daily: DataFrame, day: str, unit: str, weight: str, measure
     Only days on which every unit reports take part.  A unit counts with its own
     ``weight`` times the number of times it was drawn.
     """
+    daily = cut_lineage(daily.select(day, unit, weight, *measures))
+    bound = 2 * width * daily.count()
     n_units = daily.select(F.count_distinct(unit).alias("n")).head().n
     full = daily.groupBy(day).agg(F.count_distinct(unit).alias("_u")).where(F.col("_u") == n_units).select(day)
     complete = daily.join(full, day, "left_semi")
     indexed = day_ordinals(complete, [], day)
     sizes = indexed.groupBy().agg(F.max("n_days").alias("n_days"))
     arcs = arc_sums(indexed, [unit, weight], measures, width)
-    temporal = (block_starts(sizes, [], draws, width, seed_time).join(arcs, ["start", "take"])
+    temporal = (_lookup(block_starts(sizes, [], draws, width, seed_time), arcs, ["start", "take"], bound)
                 .groupBy("draw", unit, weight)
                 .agg(*[F.sum(f"`{m}__{k}`").alias(f"{m}__{k}") for m in measures for k in ("s", "n")]))
     numbered = unit_ordinals(daily, [], unit)
@@ -138,11 +160,13 @@ def cell_day_bootstrap(daily: DataFrame, by: Sequence[str], cell: str, day: str,
 
     Calendar and cell inventory are shared by all groups, so models stay paired.
     """
+    daily = cut_lineage(daily.select(*by, cell, day, *measures))
+    bound = 2 * width * daily.count()
     calendar = day_ordinals(daily.select(day).distinct(), [], day)
     indexed = daily.join(calendar, day)
     sizes = calendar.groupBy().agg(F.max("n_days").alias("n_days"))
     arcs = arc_sums(indexed, [*by, cell], measures, width)
-    means = (block_starts(sizes, [], draws, width, seed_time).join(arcs, ["start", "take"])
+    means = (_lookup(block_starts(sizes, [], draws, width, seed_time), arcs, ["start", "take"], bound)
              .groupBy("draw", *by, cell)
              .agg(*[F.try_divide(F.sum(f"`{m}__s`"), F.sum(f"`{m}__n`")).alias(m) for m in measures]))
     numbered = unit_ordinals(daily, [], cell)
@@ -162,10 +186,11 @@ def weighted_spearman_draws(units: DataFrame, by: Sequence[str], block: str, x:
     """
     from .order_stats import ranked_within, weighted_correlation
 
+    units = cut_lineage(units.select(*by, block, x, y))
     numbered = unit_ordinals(units, list(by), block)
     weights = unit_weights(numbered.groupBy(*by).agg(F.max("n_units").alias("n_units")), by, draws, seed)
-    drawn = (units.join(numbered.select(*by, block, "unit_idx"), [*by, block])
-             .join(weights, [*by, "unit_idx"]).where(F.col(x).isNotNull() & F.col(y).isNotNull()))
+    drawn = (weights.join(numbered.select(*by, block, "unit_idx"), [*by, "unit_idx"])
+             .join(units, [*by, block]).where(F.col(x).isNotNull() & F.col(y).isNotNull()))
     ranked = ranked_within(drawn, [*by, "draw"], x, "_rx", "k")
     ranked = ranked_within(ranked, [*by, "draw"], y, "_ry", "k")
     return ranked.groupBy(*by, "draw").agg(weighted_correlation(F.col("_rx"), F.col("_ry"), F.col("k")).alias("rho"))

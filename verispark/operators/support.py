@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mixing import mix
+from ..functions.mixing import with_mix
 from .neighbours import radius_pairs
 
 
@@ -80,9 +80,9 @@ def thinned_pairs(pairs: DataFrame, draws: int, keep: int, seed: int, station_id
     """
     repeated = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     draw_key = F.col("draw") * 1000003 + F.col("centre_id") * 613 + F.col(support).cast("bigint")
-    score = mix(draw_key, F.col(station_id), seed)
     place = Window.partitionBy("draw", "centre_id", support).orderBy("_mix", station_id)
-    chosen = repeated.withColumn("_mix", score).withColumn("_n", F.row_number().over(place))
+    mixed = with_mix(repeated, draw_key, F.col(station_id), seed, "_mix")
+    chosen = mixed.withColumn("_n", F.row_number().over(place))
     return chosen.where((F.col("_n") <= keep) | (F.col(support) == 0)).drop("_mix", "_n")
 
 
