@@ -111,7 +111,7 @@ class EqualAreaBands:
                 "relative_sd": spread / mean}
 
 
-def transverse_mercator(latitude: Column, longitude: Column, central_meridian: float,
+def transverse_mercator(latitude: Column, longitude: Column, central_meridian: float | Column,
                         scale: float = 0.9996, false_easting: float = 500000.0) -> tuple[Column, Column]:
     """Easting and northing in metres on the GRS80 ellipsoid (third-order Krueger series)."""
     semi_major, flattening = 6378137.0, 1 / 298.257222101
