@@ -154,21 +154,27 @@ def nested_bootstrap(daily: DataFrame, day: str, unit: str, weight: str, measure
         for m in measures])
 
 
+def unit_means(daily: DataFrame, units: Sequence[str], day: str, measures: Sequence[str], draws: int, width: int,
+               seed: int) -> DataFrame:
+    """Mean of every measure per (draw, unit) when all units share one drawn calendar."""
+    daily = cut_lineage(daily.select(*units, day, *measures))
+    bound = 2 * width * daily.count()
+    calendar = day_ordinals(daily.select(day).distinct(), [], day)
+    indexed = daily.join(calendar, day)
+    sizes = calendar.groupBy().agg(F.max("n_days").alias("n_days"))
+    arcs = arc_sums(indexed, units, measures, width)
+    picked = _lookup(block_starts(sizes, [], draws, width, seed), arcs, ["start", "take"], bound)
+    return picked.groupBy("draw", *units).agg(*[
+        F.try_divide(F.sum(f"`{m}__s`"), F.sum(f"`{m}__n`")).alias(m) for m in measures])
+
+
 def cell_day_bootstrap(daily: DataFrame, by: Sequence[str], cell: str, day: str, measures: Sequence[str],
                        draws: int, width: int, seed_time: int, seed_space: int) -> DataFrame:
     """Joint draw of cells and day blocks: days average inside a cell, drawn cells count equally.
 
     Calendar and cell inventory are shared by all groups, so models stay paired.
     """
-    daily = cut_lineage(daily.select(*by, cell, day, *measures))
-    bound = 2 * width * daily.count()
-    calendar = day_ordinals(daily.select(day).distinct(), [], day)
-    indexed = daily.join(calendar, day)
-    sizes = calendar.groupBy().agg(F.max("n_days").alias("n_days"))
-    arcs = arc_sums(indexed, [*by, cell], measures, width)
-    means = (_lookup(block_starts(sizes, [], draws, width, seed_time), arcs, ["start", "take"], bound)
-             .groupBy("draw", *by, cell)
-             .agg(*[F.try_divide(F.sum(f"`{m}__s`"), F.sum(f"`{m}__n`")).alias(m) for m in measures]))
+    means = unit_means(daily, [*by, cell], day, measures, draws, width, seed_time)
     numbered = unit_ordinals(daily, [], cell)
     space = unit_weights(numbered.groupBy().agg(F.max("n_units").alias("n_units")), [], draws, seed_space)
     drawn = space.join(numbered.select("unit_idx", cell), "unit_idx").select("draw", cell, "k")

@@ -96,8 +96,8 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
 
 INVENTORY_SQL = """inventory AS (
   SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS station_id, c_mktsegment AS network,
-         (c_nationkey - 12)*6.0::DOUBLE + c_acctbal/200000 AS latitude,
-         c_nationkey*15.0::DOUBLE - 180.0::DOUBLE + c_acctbal/400000 AS longitude,
+         (c_nationkey - 12)*6.0::DOUBLE + c_acctbal/199999 AS latitude,
+         c_nationkey*15.0::DOUBLE - 180.0::DOUBLE + c_acctbal/399983 AS longitude,
          CASE WHEN c_acctbal >= 0 THEN c_acctbal/2 END AS altitude_m
   FROM customer)"""
 
@@ -107,8 +107,8 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
     balance, nation = F.col("c_acctbal"), F.col("c_nationkey")
     return table(spark, sf, "customer").select(
         F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("station_id"),
-        F.col("c_mktsegment").alias("network"), ((nation - 12) * F.lit(6.0) + balance / 200000).alias("latitude"),
-        (nation * F.lit(15.0) - 180.0 + balance / 400000).alias("longitude"),
+        F.col("c_mktsegment").alias("network"), ((nation - 12) * F.lit(6.0) + balance / 199999).alias("latitude"),
+        (nation * F.lit(15.0) - 180.0 + balance / 399983).alias("longitude"),
         F.when(balance >= 0, balance / 2).alias("altitude_m"))
 
 
@@ -173,3 +173,16 @@ def starts_sql(n: str, draws: int, width: int, seed: int, name: str = "idx") ->
 {name}_y AS (SELECT draw, block, ({pow5('x')}*48271 + 11) % {p} AS y FROM {name}_x),
 {name} AS (SELECT draw, ({pow5('y')} % {n} + o.range) % {n} AS day_idx
   FROM {name}_y, range(0, {width}) o WHERE block*{width} + o.range < {n})"""
+
+
+SITES_IN_GRID_SQL = """sites AS (
+  SELECT s_suppkey AS target_id, 31 + CAST((s_suppkey*7919) % 18000 AS DOUBLE)/18000*33 AS latitude,
+         1 + CAST((s_suppkey*104729) % 36000 AS DOUBLE)/36000*33 AS longitude FROM supplier)"""
+
+
+def sites_in_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Stations squeezed into the domain of the gridded fields."""
+    key = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(
+        key.alias("target_id"), (31 + (key * 7919 % 18000).cast("double") / 18000 * 33).alias("latitude"),
+        (1 + (key * 104729 % 36000).cast("double") / 36000 * 33).alias("longitude"))

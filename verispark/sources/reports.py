@@ -71,11 +71,11 @@ def parse_badc_metadata(lines: DataFrame) -> DataFrame:
 
 def parse_badc_reports(lines: DataFrame, columns: Sequence[str], first_column: str = "ob_time") -> DataFrame:
     """Data rows of each file, columns found by that file's own header row; ``NA`` is missing."""
-    fields = F.transform(F.split("line", ","), F.trim)
+    fields = F.transform(F.split("line", ","), lambda x: F.trim(x))
     # The byte order mark may cling to the first line of a file.
     header = lines.where(F.regexp_replace("line", "^﻿", "").startswith(first_column + ","))
     header = header.groupBy("path").agg(F.min("line").alias("_h"))
-    header = header.select("path", F.transform(F.split("_h", ","), F.trim).alias("_names"))
+    header = header.select("path", F.transform(F.split("_h", ","), lambda x: F.trim(x)).alias("_names"))
     data = lines.where(F.col("line").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]")).select("path", fields.alias("_f"))
     joined = data.join(header, "path")
 
@@ -108,7 +108,7 @@ def parse_fixed_stations(lines: DataFrame) -> DataFrame:
 def parse_product_lines(lines: DataFrame, id_field: int, time_field: int, quality_field: int, value_field: int,
                         time_pattern: str = "yyyyMMddHH") -> DataFrame:
     """Semicolon product rows padded with blanks: station number, time, quality level, value."""
-    f = F.transform(F.split("line", ";"), F.trim)
+    f = F.transform(F.split("line", ";"), lambda x: F.trim(x))
     return lines.where(F.trim("line").rlike(r"^[0-9]+\s*;")).select(
         F.lpad(F.get(f, F.lit(id_field)), 5, "0").alias("native_station_id"),
         F.try_to_timestamp(F.get(f, F.lit(time_field)), F.lit(time_pattern)).cast("timestamp_ntz").alias("valid_time"),
