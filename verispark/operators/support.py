@@ -39,6 +39,27 @@ def weight_name(weighting: str, radius: float) -> str:
     return f"{weighting}_{radius:g}".replace(".", "p")
 
 
+def neighbourhood_means(series: DataFrame, pairs: DataFrame, time: Sequence[str], values: Sequence[str],
+                        weights: Sequence[str], carry: Sequence[str] = (), station_id: str = "station_id") -> DataFrame:
+    """Weighted means around every centre that reports itself, per time.
+
+    ``series`` holds one row per (station, time); ``pairs`` one row per (centre,
+    station) with a column per weight.  Rows are spread by time before they meet
+    their neighbours, so the sums of one time need no second shuffle, and every
+    weight and value shares the one join.  The centre's own row brings its
+    ``carry`` columns along; centres absent at a time drop out.  Absent values
+    leave the norm.  Output columns are named ``value__weight``.
+    """
+    own = F.col("centre_id") == F.col(station_id)
+    joined = series.repartition(*time).join(pairs, station_id)
+    aggs = [F.max(own).alias("_present"), *[F.max(F.when(own, F.col(c))).alias(c) for c in carry]]
+    for v in values:
+        for w in weights:
+            weight = F.when(F.col(v).isNotNull(), F.col(w))
+            aggs.append(F.try_divide(F.sum(weight * F.col(v)), F.sum(weight)).alias(f"{v}__{w}"))
+    return joined.groupBy("centre_id", *time).agg(*aggs).where("_present").drop("_present")
+
+
 def support_targets(observations: DataFrame, pairs: DataFrame, keys: Sequence[str], value: str,
                     radii_km: Sequence[float], weightings: Sequence[str],
                     station_id: str = "station_id") -> DataFrame:
@@ -86,11 +107,14 @@ def thinned_pairs(pairs: DataFrame, draws: int, keep: int, seed: int, station_id
     return chosen.where((F.col("_n") <= keep) | (F.col(support) == 0)).drop("_mix", "_n")
 
 
-def support_loss(targets: DataFrame, forecasts: DataFrame, by: Sequence[str], time: str, day: str) -> DataFrame:
-    """Daily absolute and squared loss: centres average inside a time, times inside a day.
+def support_losses(panel: DataFrame, time: str, forecasts: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """Absolute and squared loss of every (forecast, target) pair of columns, per time.
 
-    ``targets`` (centre_id, time, target, ...) meets ``forecasts`` (centre_id, time, forecast, ...).
+    Centres average inside a time; columns ``forecast|target|mae`` and ``...|mse``.
     """
-    joined = targets.join(forecasts, ["centre_id", time]).withColumn("_e", F.col("forecast") - F.col("target"))
-    per_time = joined.groupBy(*by, time).agg(F.avg(F.abs("_e")).alias("mae"), F.avg(F.col("_e") * F.col("_e")).alias("mse"))
-    return per_time.groupBy(*by, F.to_date(time).alias(day)).agg(F.avg("mae").alias("mae"), F.avg("mse").alias("mse"))
+    aggs = []
+    for f in forecasts:
+        for t in targets:
+            error = F.col(f"`{f}`") - F.col(f"`{t}`")
+            aggs += [F.avg(F.abs(error)).alias(f"{f}|{t}|mae"), F.avg(error * error).alias(f"{f}|{t}|mse")]
+    return panel.groupBy(time).agg(*aggs)

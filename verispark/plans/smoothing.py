@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contrast, kernel, neighbours, resample, score, support
+from ..session import cut_lineage
 from . import domain as d
 from .registry import query, r, rounded
 from .resampling import SEED
@@ -30,20 +31,24 @@ def station_series(spark: SparkSession, sf: str) -> DataFrame:
     return d.common_panel(spark, sf).groupBy("station_id", "valid_day").agg(*[F.avg(c).alias(c) for c in (*d.MODELS, *d.REFERENCES)])
 
 
-def blurred(spark: SparkSession, sf: str) -> DataFrame:
-    """Forecasts at every smoothing width, long in sigma; width zero is the forecast itself.
+BLURS = [f"s{s:g}" for s in SIGMAS if s > 0]
+
+
+def smoothed_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Station series with every forecast at every width beside it (``model__s400``)."""
+    where = d.stations(spark, sf).select(F.col("station_id").alias("centre_id"), "latitude", "longitude")
+    sources = where.withColumnRenamed("centre_id", "station_id")
+    widths = [s for s in SIGMAS if s > 0]
+    weights = kernel.kernel_weights(where, sources, widths, target_id="centre_id", source_id="station_id")
+    pairs = kernel.kernel_columns(weights, widths, "centre_id", "station_id")
+    return support.neighbourhood_means(station_series(spark, sf), pairs, ["valid_day"], d.MODELS, BLURS, [*d.MODELS, *d.REFERENCES])
 
-    The three models travel side by side, so the kernel join runs once.
-    """
-    series = station_series(spark, sf)
-    where = d.stations(spark, sf).select("station_id", "latitude", "longitude")
-    w = kernel.kernel_weights(where, where.withColumnRenamed("station_id", "source_id"), [s for s in SIGMAS if s > 0], target_id="station_id")
-    joined = series.select(F.col("station_id").alias("source_id"), "valid_day", *d.MODELS).join(w, "source_id")
-    smooth = joined.groupBy("station_id", "valid_day", "sigma_km").agg(*[
-        F.try_divide(F.sum(F.col("weight") * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), F.col("weight")))).alias(m) for m in d.MODELS])
-    kept = smooth.join(series.select("station_id", "valid_day", *d.REFERENCES), ["station_id", "valid_day"])
-    plain = series.withColumn("sigma_km", F.lit(0.0))
-    return plain.unionByName(kept)
+
+def blurred(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, one row per width; width zero is the forecast itself."""
+    rows = F.array(*[F.struct(F.lit(s).alias("sigma_km"), *[F.col(f"{m}__s{s:g}" if s else m).alias(m) for m in d.MODELS]) for s in SIGMAS])
+    wide = smoothed_series(spark, sf)
+    return wide.select(F.col("centre_id").alias("station_id"), "valid_day", *d.REFERENCES, F.inline(rows))
 
 
 def _cells(df: DataFrame, *keep: str) -> DataFrame:
@@ -125,7 +130,6 @@ SELECT og.model, og.s AS grid_optimal_sigma, op.s AS point_optimal_sigma, og.s >
 FROM o og JOIN o op USING (model) JOIN sd USING (model) JOIN atb USING (model) WHERE og.reference = 'ref_grid' AND op.reference = 'ref_point'""")
 def smoothing_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Opposite optima, same-direction violations, dominance of the variance part, and the two-of-three gate."""
-    from ..session import cut_lineage
     curve = cut_lineage(curves(spark, sf).select("model", "reference", "sigma_km", F.col("rmse_day_weighted").alias("rmse"), "bias_squared", "centred_mse"))
     best = contrast.optimum(curve, ["model", "reference"], "sigma_km", "rmse")
     optima = best.groupBy("model").pivot("reference", list(d.REFERENCES)).agg(F.first("optimal_sigma")).select(
@@ -152,16 +156,27 @@ wg AS (SELECT k.target_id AS centre_id, k.source_id, support_km, weighting,
 tg AS (SELECT centre_id, valid_day, weighting, support_km, sum(w*ref_point)/sum(w) AS target FROM wg JOIN ser ON ser.station_id = wg.source_id GROUP BY ALL)"""
 
 
-def ladder_targets(spark: SparkSession, sf: str) -> DataFrame:
+WEIGHTS = [support.weight_name(w, radius) for w in ("uniform", "gaussian") for radius in RADII]
+
+
+def ladder_panel(spark: SparkSession, sf: str, series: DataFrame, carry: list[str]) -> DataFrame:
     pairs = support.support_pairs(d.stations(spark, sf), RADII, ("uniform", "gaussian"))
-    return support.support_targets(station_series(spark, sf), pairs, ["valid_day"], "ref_point", RADII, ("uniform", "gaussian"))
+    return support.neighbourhood_means(series, pairs, ["valid_day"], ["ref_point"], WEIGHTS, carry)
+
+
+def _supports(column):
+    """(weighting, support_km, ...) rows built from one struct per weight column."""
+    return F.array(*[F.struct(F.lit(w).alias("weighting"), F.lit(radius).alias("support_km"), *column(support.weight_name(w, radius)))
+                     for w in ("uniform", "gaussian") for radius in RADII])
 
 
 @query("support_targets", "WITH " + LADDER_SQL + """
 SELECT weighting, support_km, count(*) AS n, count(DISTINCT centre_id) AS n_centres, round(avg(target), 6) AS mean_target, round(stddev_pop(target), 6) AS sd_target FROM tg GROUP BY ALL""")
 def support_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """Observations averaged around each centre at growing support: one join for the whole ladder."""
-    return ladder_targets(spark, sf).groupBy("weighting", "support_km").agg(
+    """Observations averaged around each centre at growing support, whether or not the centre reports."""
+    pairs = support.support_pairs(d.stations(spark, sf), RADII, ("uniform", "gaussian"))
+    targets = support.support_targets(station_series(spark, sf), pairs, ["valid_day"], "ref_point", RADII, ("uniform", "gaussian"))
+    return targets.groupBy("weighting", "support_km").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("centre_id").alias("n_centres"), r(F.avg("target")).alias("mean_target"), r(F.stddev_pop("target")).alias("sd_target"))
 
 
@@ -171,9 +186,9 @@ sc AS (SELECT weighting, support_km, model, avg(mae) AS score FROM ls GROUP BY A
 
 
 def ladder_losses(spark: SparkSession, sf: str) -> DataFrame:
-    series = station_series(spark, sf).select(F.col("station_id").alias("centre_id"), "valid_day", *d.MODELS)
-    forecasts = series.unpivot(["centre_id", "valid_day"], list(d.MODELS), "model", "forecast")
-    return support.support_loss(ladder_targets(spark, sf), forecasts, ["weighting", "support_km", "model"], "valid_day", "loss_day")
+    """Daily loss of each model against each support, one wide row per day."""
+    panel = ladder_panel(spark, sf, station_series(spark, sf), list(d.MODELS))
+    return support.support_losses(panel, "valid_day", d.MODELS, [f"ref_point__{w}" for w in WEIGHTS])
 
 
 @query("support_scorecard", "WITH " + LOSS_SQL + """,
@@ -188,7 +203,10 @@ SELECT weighting, support_km, ranking, winner, round(s1, 6) AS winner_score, rou
        inv AS inversions_vs_point, pairs AS possible_pairs, winner <> w0 AS winner_changed FROM g JOIN p USING (weighting, support_km)""")
 def support_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     """Ranking, winner, margin and inversions at each support against the point ranking."""
-    table = ladder_losses(spark, sf).groupBy("weighting", "support_km", "model").agg(F.avg("mae").alias("score"))
+    losses = ladder_losses(spark, sf)
+    means = losses.agg(*[F.avg(f"`{m}|ref_point__{w}|mae`").alias(f"{m}|{w}") for m in d.MODELS for w in WEIGHTS])
+    table = means.select(F.inline(F.flatten(F.array(*[
+        _supports(lambda w, m=m: (F.lit(m).alias("model"), F.col(f"`{m}|{w}`").alias("score"))) for m in d.MODELS]))))
     card = contrast.scorecard(table, ["weighting"], "support_km", d.MODELS)
     return rounded(card, "winner_score", "runner_up_score", "winner_margin", "spearman_vs_point")
 
@@ -208,20 +226,24 @@ FROM bd GROUP BY support_km, model"""
 @query("support_optima", OPTIMA_SQL)
 def support_optima(spark: SparkSession, sf: str) -> DataFrame:
     """Best smoothing width at each support, and its bootstrap distribution."""
-    targets = ladder_targets(spark, sf).where("weighting = 'uniform'")
-    forecasts = blurred(spark, sf).select(F.col("station_id").alias("centre_id"), "valid_day", "sigma_km", *d.MODELS)
-    long = forecasts.unpivot(["centre_id", "valid_day", "sigma_km"], list(d.MODELS), "model", "forecast")
-    daily = support.support_loss(targets, long, ["support_km", "model", "sigma_km"], "valid_day", "day")
-    wide = daily.groupBy("support_km", "model", "day").pivot("sigma_km", list(SIGMAS)).agg(F.first("mse")).toDF("support_km", "model", "day", "s0", "s1", "s2")
+    series = smoothed_series(spark, sf).withColumnRenamed("centre_id", "station_id")
+    columns = {(m, sigma): f"{m}__s{sigma:g}" if sigma else m for m in d.MODELS for sigma in SIGMAS}
+    pairs = support.support_pairs(d.stations(spark, sf), RADII, ("uniform",))
+    uniform = [support.weight_name("uniform", radius) for radius in RADII]
+    panel = support.neighbourhood_means(series, pairs, ["valid_day"], ["ref_point"], uniform, list(columns.values()))
+    losses = support.support_losses(panel, "valid_day", list(columns.values()), [f"ref_point__{w}" for w in uniform])
     names = ["s0", "s1", "s2"]
+    wide = losses.select(F.col("valid_day").alias("day"), F.inline(F.array(*[
+        F.struct(F.lit(radius).alias("support_km"), F.lit(m).alias("model"),
+                 *[F.col(f"`{columns[m, sigma]}|ref_point__{w}|mse`").alias(n) for n, sigma in zip(names, SIGMAS)])
+        for radius, w in zip(RADII, uniform) for m in d.MODELS])))
 
-    def best(df: DataFrame):
+    def best():
         return F.array_min(F.array(*[F.struct(F.round(F.sqrt(c), 12).alias("v"), F.lit(s).alias("s")) for c, s in zip(names, SIGMAS)]))["s"]
 
-    from ..session import cut_lineage
     wide = cut_lineage(wide)
-    drawn = resample.unit_means(wide, ["support_km", "model"], "day", names, 200, 7, SEED + 42).withColumn("s", best(wide))
-    point = wide.groupBy("support_km", "model").agg(*[F.avg(n).alias(n) for n in names]).select("support_km", "model", best(wide).alias("optimal_sigma"))
+    drawn = resample.unit_means(wide, ["support_km", "model"], "day", names, 200, 7, SEED + 42).withColumn("s", best())
+    point = wide.groupBy("support_km", "model").agg(*[F.avg(n).alias(n) for n in names]).select("support_km", "model", best().alias("optimal_sigma"))
     low, high = resample.interval("s")
     summary = drawn.groupBy("support_km", "model").agg(r(F.avg("s")).alias("bootstrap_mean"), r(low).alias("ci_low"), r(high).alias("ci_high"), r(resample.share(F.col("s") > 0)).alias("p_gt_zero"))
     return point.join(summary, ["support_km", "model"])
