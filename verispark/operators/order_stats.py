@@ -71,9 +71,23 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
                       limit: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles of every group, one column per entry of ``probs``."""
     if fits_a_task(df, by, limit):
-        present = df.where(F.col(value).isNotNull())
-        return present.groupBy(*by).agg(F.count(F.lit(1)).alias("n_values"), *[
-            F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()])
+        group = Window.partitionBy(*by)
+        place = (df.where(F.col(value).isNotNull()).select(*by, value)
+                 .withColumn("_k", F.row_number().over(group.orderBy(value)) - 1)
+                 .withColumn("_n", F.count(F.lit(1)).over(group)))
+        picks, columns = [], []
+        for name, p in probs.items():
+            position = (F.col("_n") - 1) * F.lit(float(p))
+            low, high = F.floor(position), F.ceil(position)
+            share = position - low
+            weight = F.when(F.col("_k") == low, 1 - share).otherwise(F.lit(0.0)) + F.when(
+                F.col("_k") == high, share).otherwise(F.lit(0.0))
+            picks.append((F.col("_k") == low) | (F.col("_k") == high))
+            columns.append(F.sum(weight * F.col(value)).alias(name))
+        wanted = picks[0]
+        for pick in picks[1:]:
+            wanted = wanted | pick
+        return place.where(wanted).groupBy(*by).agg(F.max("_n").alias("n_values"), *columns)
     table = cumulative_counts(df, by, value, limit=0)
     low_high = []
     for name, p in probs.items():

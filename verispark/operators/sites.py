@@ -41,6 +41,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+# Marks a record without an elevation among the elevation bands.
+NO_BAND = -(2 ** 31)
+
+
 def _linkable(gap_low: Column, tolerance: float) -> Column:
     return gap_low.isNull() | (gap_low <= tolerance)
 
@@ -73,15 +77,25 @@ def site_links(stations: DataFrame, radius_km: float, elevation_tolerance_m: flo
 
     box = [F.min(c).alias(f"{c}_lo") for c in ("x", "y", "z", "altitude_m")]
     box += [F.max(c).alias(f"{c}_hi") for c in ("x", "y", "z", "altitude_m")]
-    boxes = placed.groupBy("node", "fine", "cx", "cy", "cz").agg(*box)
+    # Missing elevations have a band of their own, next to every other.
+    boxes = placed.groupBy("node", "fine", "cx", "cy", "cz", F.coalesce("band", F.lit(NO_BAND)).alias("band")).agg(*box)
     boxes = cut_lineage(boxes)
     span = range(-2, 3)
     reach = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"))
                       for i in span for j in span for k in span])
-    left = boxes.select(*[F.col(c).alias(f"a_{c}") for c in boxes.columns], F.inline(reach))
-    left = left.withColumn("cx", F.col("a_cx") + F.col("i")).withColumn("cy", F.col("a_cy") + F.col("j")) \
-        .withColumn("cz", F.col("a_cz") + F.col("k")).drop("i", "j", "k")
-    pairs = left.join(boxes, ["cx", "cy", "cz"]).where(F.col("a_node") < F.col("node"))
+    # Which occupied cubes lie next to which: far fewer rows than boxes.
+    cubes = boxes.select("cx", "cy", "cz").distinct()
+    around = cubes.select(F.col("cx").alias("a_cx"), F.col("cy").alias("a_cy"), F.col("cz").alias("a_cz"), F.inline(reach))
+    around = around.select("a_cx", "a_cy", "a_cz", (F.col("a_cx") + F.col("i")).alias("cx"),
+                           (F.col("a_cy") + F.col("j")).alias("cy"), (F.col("a_cz") + F.col("k")).alias("cz"))
+    beside = around.join(cubes, ["cx", "cy", "cz"])
+    b = F.col("a_band")
+    bands = F.when(b == NO_BAND, F.array(F.lit(NO_BAND))).otherwise(F.array(b - 1, b, b + 1, F.lit(NO_BAND)))
+    left = (boxes.select(*[F.col(c).alias(f"a_{c}") for c in boxes.columns]).join(beside, ["a_cx", "a_cy", "a_cz"])
+            .withColumn("band", F.explode(bands)))
+    # Two banded boxes meet from both sides, a banded and an unbanded one only once.
+    pairs = left.join(boxes, ["cx", "cy", "cz", "band"]).where(
+        (F.col("a_node") < F.col("node")) | ((F.col("band") == NO_BAND) & (b != NO_BAND)))
 
     def gap(axis: str) -> Column:
         return F.greatest(F.lit(0.0), F.col(f"a_{axis}_lo") - F.col(f"{axis}_hi"),

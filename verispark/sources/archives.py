@@ -89,8 +89,16 @@ def decode_chunk(content: bytes, compressor: dict | None) -> bytes:
 
 
 def store_metadata(spark: SparkSession, root: str) -> dict:
-    """Consolidated metadata of a version-2 chunk store: a small document, read on the driver."""
-    text = spark.read.text(f"{root.rstrip('/')}/.zmetadata", wholetext=True).head().value
+    """Consolidated metadata of a version-2 chunk store: a small document, read on the driver.
+
+    The scan skips names that start with a dot, so the file system is asked directly.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.zmetadata")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
     return json.loads(text)["metadata"]
 
 
