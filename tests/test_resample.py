@@ -142,3 +142,13 @@ def test_sup_t_ignores_a_constant_dimension(spark):
     want = np.quantile(np.abs(draws / se).max(axis=1), 0.95)
     assert out.critical["a"] == pytest.approx(want)
     assert out.band_low["c"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_distributed_unit_numbers_equal_the_window(spark, by):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 500), "u": [f"u{i}" for i in rng.integers(0, 200, 500)]})
+    df = spark.createDataFrame(pdf)
+    plain = resample.unit_ordinals(df, by, "u").toPandas().sort_values([*by, "u"]).reset_index(drop=True)
+    spread = resample.unit_ordinals(df, by, "u", limit=0).toPandas().sort_values([*by, "u"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(plain, spread[plain.columns], check_dtype=False)

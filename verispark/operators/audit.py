@@ -74,14 +74,12 @@ def timestamp_findings(df: DataFrame, time: str, series: str | None = None,
 
 def temperature_unit_finding(df: DataFrame, value: str) -> DataFrame:
     """Celsius, kelvin or Fahrenheit, judged by the median."""
-    clean = df.select(F.lit(0).alias("_g"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"))
-    median = grouped_quantiles(clean, ["_g"], "_v", {"median": 0.5})
+    clean = df.select(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"))
+    median = grouped_quantiles(clean, [], "_v", {"median": 0.5})
     m = F.col("median")
     verdict = (F.when(m.isNull(), "unknown").when((m > 150) & (m < 350), "fail")
                .when((m > 40) & (m <= 150), "fail").otherwise("pass"))
-    # Without any value the quantile table is empty: the left join keeps the question open.
-    one = df.sparkSession.range(1).select(F.lit(0).alias("_g"))
-    return one.join(median, "_g", "left").select(F.inline(F.array(_finding("temperature_units", verdict, m))))
+    return median.select(F.inline(F.array(_finding("temperature_units", verdict, m))))
 
 
 def summarise(findings: DataFrame) -> DataFrame:

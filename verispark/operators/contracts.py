@@ -68,6 +68,12 @@ def guarded_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(unique, list(keys), how)
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row frame, such as totals, to every row."""
+    tagged = F.broadcast(row.withColumn("_one", F.lit(0)))
+    return df.withColumn("_one", F.lit(0)).join(tagged, "_one").drop("_one")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key that comes first in ``order``.
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .contracts import attach_row
 from .resample import interval, share
 
 
@@ -93,6 +94,19 @@ def pair_gaps(scores: DataFrame, by: Sequence[str], models: Sequence[str], name:
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
+def pair_reversals(name: str, first: str, second: str) -> tuple[Column, Column]:
+    """Aggregates: pairs that two scores order differently, and all pairs; the group is a handful of models."""
+    models = F.collect_list(F.struct(F.col(name).alias("n"), F.col(first).alias("a"), F.col(second).alias("b")))
+
+    def flips(x: Column) -> Column:
+        return F.size(F.filter(models, lambda y: (y["n"] > x["n"]) & (
+            F.signum(x["a"] - y["a"]) != F.signum(x["b"] - y["b"]))))
+
+    count = F.size(models)
+    return (F.aggregate(models, F.lit(0), lambda total, x: total + flips(x)).cast("bigint"),
+            (count * (count - 1) / 2).cast("bigint"))
+
+
 def scorecard(curves: DataFrame, by: Sequence[str], support: str, models: Sequence[str], name: str = "model",
               score: str = "score") -> DataFrame:
     """Ranking at each support against the ranking at support zero.
@@ -167,8 +181,8 @@ def leave_one_out_days(cases: DataFrame, unit: str, day: str, measures: Sequence
     sums = [a for m in measures for a in (F.sum(f"`{m}`").alias(f"{m}__s"), F.count(f"`{m}`").alias(f"{m}__n"))]
     unit_day = cases.groupBy(unit, day).agg(*sums)
     per_day = unit_day.groupBy(day).agg(*[F.sum(f"`{m}__{k}`").alias(f"{m}__d{k}") for m in measures for k in "sn"])
-    day_means = per_day.select(F.lit(0).alias("_g"), *[F.try_divide(f"{m}__ds", f"{m}__dn").alias(m) for m in measures])
-    whole = day_means.groupBy("_g").agg(*[
+    day_means = per_day.select(*[F.try_divide(f"{m}__ds", f"{m}__dn").alias(m) for m in measures])
+    whole = day_means.agg(*[
         a for m in measures for a in (F.sum(f"`{m}`").alias(f"{m}__ts"), F.count(f"`{m}`").alias(f"{m}__tn"))])
     changes = []
     for m in measures:
@@ -176,8 +190,7 @@ def leave_one_out_days(cases: DataFrame, unit: str, day: str, measures: Sequence
         after = F.try_divide(F.col(f"`{m}__ds`") - F.col(f"`{m}__s`"), F.col(f"`{m}__dn`") - F.col(f"`{m}__n`"))
         changes += [F.sum(F.coalesce(after, F.lit(0.0)) - F.coalesce(before, F.lit(0.0))).alias(f"{m}__cs"),
                     F.sum(after.isNotNull().cast("int") - before.isNotNull().cast("int")).alias(f"{m}__cn")]
-    moved = unit_day.join(per_day, day).groupBy(unit).agg(*changes).withColumn("_g", F.lit(0))
-    # One total row, attached by a constant key.
-    return moved.join(whole, "_g").select(F.col(unit).alias("held_out"), *[
+    moved = unit_day.join(per_day, day).groupBy(unit).agg(*changes)
+    return attach_row(moved, whole).select(F.col(unit).alias("held_out"), *[
         F.try_divide(F.col(f"`{m}__ts`") + F.col(f"`{m}__cs`"), F.col(f"`{m}__tn`") + F.col(f"`{m}__cn`")).alias(m)
         for m in measures])

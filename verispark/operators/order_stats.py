@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strata import by_edges
 from ..session import cut_lineage
+from .contracts import attach_row
 
 
 TASK_ROWS = 1_000_000
@@ -43,11 +44,7 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, weight: str
     edges = counts.groupBy(*by).agg(F.array_distinct(
         F.percentile_approx(value, F.array(*probes), F.lit(1000))).alias("_edges"))
     edges = cut_lineage(edges)
-    if by:
-        binned = counts.join(edges, by)
-    else:
-        split = edges.head()._edges or []
-        binned = counts.withColumn("_edges", F.array(*[F.lit(e) for e in split]).cast("array<double>"))
+    binned = counts.join(edges, by) if by else attach_row(counts, edges)
     binned = binned.withColumn("_bucket", by_edges(F.col(value), F.col("_edges"))).drop("_edges")
     totals = binned.groupBy(*by, "_bucket").agg(F.sum("n_equal").alias("_size"))
     order = Window.partitionBy(*by).orderBy("_bucket")
@@ -115,7 +112,7 @@ def quantile_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, name:
     if by:
         joined = df.join(edges, list(by), "left")
     else:
-        joined = df.withColumn("_inner", F.lit(edges.head()._inner).cast("array<double>"))
+        joined = attach_row(df, edges)
     return joined.withColumn(name, by_edges(F.col(value), F.col("_inner"))).drop("_inner")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .contracts import attach_row
+
 
 def guarded_slope(y: str, x: str) -> Column:
     """Aggregate: slope of y on x; NULL with fewer than two points or no spread in x."""
@@ -25,20 +27,23 @@ def leave_one_out_slopes(points: DataFrame, by: Sequence[str], unit: str, x: str
     With fewer than ``informative`` units the remaining fit says nothing about
     stability, so ``informative`` is false there.
     """
+    def per_group(df: DataFrame, table: DataFrame) -> DataFrame:
+        return df.join(table, list(by)) if by else attach_row(df, table)
+
     usable = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    # Centred terms keep the differences of sums accurate.
     centre = usable.groupBy(*by).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy"))
-    shifted = (usable.withColumn("_g", F.lit(0)).join(centre.withColumn("_g", F.lit(0)), ["_g", *by])
-               .withColumn("_x", F.col(x) - F.col("_cx")).withColumn("_y", F.col(y) - F.col("_cy")))
+    shifted = (per_group(usable, centre).withColumn("_x", F.col(x) - F.col("_cx")).withColumn("_y", F.col(y) - F.col("_cy")))
     terms = {"n": F.lit(1.0), "x": F.col("_x"), "y": F.col("_y"), "xx": F.col("_x") * F.col("_x"),
              "xy": F.col("_x") * F.col("_y")}
-    per_unit = shifted.groupBy("_g", *by, unit).agg(*[F.sum(e).alias(k) for k, e in terms.items()])
-    total = per_unit.groupBy("_g", *by).agg(*[F.sum(k).alias(f"t_{k}") for k in terms],
+    per_unit = shifted.groupBy(*by, unit).agg(*[F.sum(e).alias(k) for k, e in terms.items()])
+    total = per_unit.groupBy(*by).agg(*[F.sum(k).alias(f"t_{k}") for k in terms],
                                             F.count(F.lit(1)).alias("n_units"))
     rest = {k: F.col(f"t_{k}") - F.col(k) for k in terms}
     spread = rest["xx"] - rest["x"] * rest["x"] / rest["n"]
     slope = F.when((rest["n"] >= 2) & (spread > 1e-12 * F.col("t_xx")),
                    (rest["xy"] - rest["x"] * rest["y"] / rest["n"]) / spread)
-    return per_unit.join(total, ["_g", *by]).select(
+    return per_group(per_unit, total).select(
         *by, F.col(unit).alias("excluded"), (F.col("n_units") - 1).alias("n_remaining"), slope.alias("slope"),
         (F.col("n_units") >= informative).alias("informative"))
 

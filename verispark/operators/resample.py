@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.mixing import with_mix
 from ..session import cut_lineage
+from .contracts import attach_row
+from .order_stats import fits_a_task, ranked_within, weighted_correlation
 
 # Rows of the lookup side that may be broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -116,14 +118,28 @@ def unit_weights(sizes: DataFrame, by: Sequence[str], draws: int, seed: int, n:
     return items.groupBy(*by, "draw", F.col("start").alias("unit_idx")).agg(F.count(F.lit(1)).alias("k"))
 
 
-def unit_ordinals(units: DataFrame, by: Sequence[str], unit: str) -> DataFrame:
-    """``unit_idx`` and ``n_units`` for the distinct units of a group.
+def unit_ordinals(units: DataFrame, by: Sequence[str], unit: str, limit: int | None = None) -> DataFrame:
+    """``unit_idx`` (0-based, in order of the unit) and ``n_units`` for the distinct units of a group.
 
-    Resampling units are stations, cells or regions: a bounded inventory.
+    A small inventory is numbered by a window.  A larger one is range-partitioned
+    and numbered inside its partitions, which are then offset by the sizes of
+    those before them.
     """
+    by = list(by)
     distinct = units.select(*by, unit).distinct()
-    return (distinct.withColumn("unit_idx", F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1)
-            .withColumn("n_units", F.count(F.lit(1)).over(Window.partitionBy(*by))))
+    if fits_a_task(distinct, by, limit):
+        return (distinct.withColumn("unit_idx", F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1)
+                .withColumn("n_units", F.count(F.lit(1)).over(Window.partitionBy(*by))))
+    ranged = distinct.repartitionByRange(*by, unit).sortWithinPartitions(*by, unit)
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    # Written once: the partition of a row must not change between the two uses below.
+    placed = cut_lineage(ranged.select(*by, unit, F.spark_partition_id().alias("_part"), inside.alias("_inside")))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.withColumn("_offset", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).drop("_size")
+    numbered = placed.join(offsets, "_part").withColumn("_all", F.col("_offset") + F.col("_inside"))
+    groups = numbered.groupBy(*by).agg(F.min("_all").alias("_first"), F.count(F.lit(1)).alias("n_units"))
+    joined = numbered.join(groups, by) if by else attach_row(numbered, groups)
+    return joined.select(*by, unit, (F.col("_all") - F.col("_first")).cast("int").alias("unit_idx"), "n_units")
 
 
 def nested_bootstrap(daily: DataFrame, day: str, unit: str, weight: str, measures: Sequence[str], draws: int,
@@ -190,8 +206,6 @@ def weighted_spearman_draws(units: DataFrame, by: Sequence[str], block: str, x:
 
     A unit drawn k times enters as weight k, ranks included, so nothing is copied.
     """
-    from .order_stats import ranked_within, weighted_correlation
-
     units = cut_lineage(units.select(*by, block, x, y))
     numbered = unit_ordinals(units, list(by), block)
     weights = unit_weights(numbered.groupBy(*by).agg(F.max("n_units").alias("n_units")), by, draws, seed)
@@ -220,15 +234,13 @@ def sup_t_band(draws: DataFrame, point: DataFrame, by: Sequence[str], dims: Sequ
 
     ``draws`` has one row per (by, dims, draw); ``point`` one per (by, dims) with ``point``.
     """
-    draws, point = draws.withColumn("_g", F.lit(0)), point.withColumn("_g", F.lit(0))
-    group = ["_g", *by]
-    keys = [*group, *dims]
+    keys = [*by, *dims]
     spread = draws.groupBy(*keys).agg(F.stddev_samp(value).alias("se"))
     centred = point.join(spread, keys)
     # A dimension without spread cannot be studentised and stays out of the maximum.
     deviation = F.abs((F.col(value) - F.col("point")) / F.when(F.col("se") > 0, F.col("se")))
-    largest = draws.join(centred, keys).groupBy(*group, "draw").agg(F.max(deviation).alias("_m"))
-    critical = largest.groupBy(*group).agg(F.percentile("_m", F.lit(confidence)).alias("critical"))
-    return (centred.join(critical, group).drop("_g")
-            .withColumn("band_low", F.col("point") - F.col("critical") * F.col("se"))
+    largest = draws.join(centred, keys).groupBy(*by, "draw").agg(F.max(deviation).alias("_m"))
+    critical = largest.groupBy(*by).agg(F.percentile("_m", F.lit(confidence)).alias("critical"))
+    banded = centred.join(critical, list(by)) if by else attach_row(centred, critical)
+    return (banded.withColumn("band_low", F.col("point") - F.col("critical") * F.col("se"))
             .withColumn("band_high", F.col("point") + F.col("critical") * F.col("se")))

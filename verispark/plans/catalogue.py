@@ -345,6 +345,19 @@ def join_common_cases(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("user_id").agg(F.count_distinct("day").alias("n_days"), day_text(F.min("day")).alias("first_day"))
 
 
+@query("join_common_support", """
+WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, CASE WHEN avg(value) < 60 THEN avg(value) END AS err, CASE WHEN max(value) > 10 THEN max(value) END AS rough FROM events GROUP BY ALL),
+f AS (SELECT * FROM h WHERE err IS NOT NULL AND rough IS NOT NULL), k AS (SELECT user_id, day FROM f WHERE event_type IN ('view', 'click') GROUP BY ALL HAVING count(DISTINCT event_type) = 2)
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_cells, round(avg(err), 6) AS err, round(avg(rough), 6) AS rough FROM f JOIN k USING (user_id, day) WHERE event_type IN ('view', 'click') GROUP BY ALL""")
+def join_common_support(spark: SparkSession, sf: str) -> DataFrame:
+    """Cell-days at which every model has every column."""
+    value = F.col("value")
+    cells = d.table(spark, sf, "events").where(F.col("event_type").isin("view", "click")).groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.avg(value).alias("m"), F.max(value).alias("x"))
+    cells = cells.select("user_id", "day", "event_type", F.when(F.col("m") < 60, F.col("m")).alias("err"), F.when(F.col("x") > 10, F.col("x")).alias("rough"))
+    kept = panel.common_support(cells, ["user_id", "day"], ["err", "rough"], "event_type", 2)
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_cells"), r(F.avg("err")).alias("err"), r(F.avg("rough")).alias("rough"))
+
+
 @query("join_panel_assembly", """
 WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events GROUP BY ALL)
 SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(max(v) FILTER (WHERE event_type = 'view'), 6) AS view, round(max(v) FILTER (WHERE event_type = 'click'), 6) AS click,
@@ -471,9 +484,9 @@ t AS (SELECT sum(q) AS tq, sum(n) AS tn FROM s)
 SELECT count(*) AS n_units, round(sum(abs(q/tq - n/tn))/2, 9) AS total_variation FROM s, t""")
 def agg_total_variation(spark: SparkSession, sf: str) -> DataFrame:
     """Distance between weighting stations by quantity and by count."""
-    units = d.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).cast("double").alias("n")).withColumn("_g", F.lit(0))
-    total = units.groupBy("_g").agg(F.sum("q").alias("tq"), F.sum("n").alias("tn"))
-    return units.join(total, "_g").agg(F.count(F.lit(1)).alias("n_units"), r(F.sum(F.abs(F.col("q") / F.col("tq") - F.col("n") / F.col("tn"))) / 2, 9).alias("total_variation"))
+    units = d.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).cast("double").alias("n"))
+    total = units.agg(F.sum("q").alias("tq"), F.sum("n").alias("tn"))
+    return contracts.attach_row(units, total).agg(F.count(F.lit(1)).alias("n_units"), r(F.sum(F.abs(F.col("q") / F.col("tq") - F.col("n") / F.col("tn"))) / 2, 9).alias("total_variation"))
 
 
 @query("agg_strings_crosstab", """
@@ -508,6 +521,17 @@ def agg_first_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return first.select("o_custkey", F.col("o_orderkey").alias("first_order"), r("o_totalprice", 2).alias("first_total")).join(cheap, "o_custkey")
 
 
+@query("agg_describe", """
+SELECT l_returnflag, count(*) AS n_values, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS sd, round(min(l_extendedprice), 4) AS lowest,
+       round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(median(l_extendedprice), 4) AS q50, round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, round(max(l_extendedprice), 4) AS highest FROM lineitem GROUP BY ALL""")
+def agg_describe(spark: SparkSession, sf: str) -> DataFrame:
+    """Count, moments and exact quartiles of a column."""
+    lines = d.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
+    moments = lines.groupBy("l_returnflag").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lowest"), F.max("x").alias("highest"))
+    quartiles = order_stats.grouped_quantiles(lines, ["l_returnflag"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return rounded(moments.join(quartiles, "l_returnflag"), "mean", "sd", "lowest", "highest", "q25", "q50", "q75", digits=4)
+
+
 @query("agg_sign_test", """
 WITH s AS (SELECT event_type, count(*) FILTER (WHERE m > 35) AS k, count(*) AS n FROM (SELECT event_type, CAST(ts AS DATE) AS day, median(value) AS m FROM events GROUP BY ALL) GROUP BY event_type)
 SELECT event_type, k, n, round((SELECT sum(exp(lgamma(n+1.0)-lgamma(i.range+1.0)-lgamma(n-i.range+1.0))) FROM range(k, n+1) i)/pow(2, n), 6) AS p FROM s""")

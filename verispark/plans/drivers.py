@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, strata
 from ..operators import contrast, order_stats, panel, regression, resample, score
+from ..operators.contracts import attach_row
 from . import domain as d
 from .registry import big, day_text, query, r, rounded
 from .resampling import DAILY_SQL, PAIRS, SEED, daily_errors
@@ -130,9 +131,9 @@ def boot_spatial_blocks(spark: SparkSession, sf: str) -> DataFrame:
     cells = cell_effects(spark, sf)
     rho = resample.weighted_spearman_draws(cells.select("block", "mismatch", "effect"), [], "block", "mismatch", "effect", 300, SEED + 13)
     low, high = resample.interval("rho")
-    drawn = rho.agg(F.percentile("rho", F.lit(0.5)).alias("m"), low.alias("lo"), high.alias("hi")).withColumn("_g", F.lit(0))
-    point = order_stats.spearman(cells.withColumn("_g", F.lit(0)), ["_g"], "mismatch", "effect")
-    return point.join(drawn, "_g").select(r("spearman").alias("spearman"), r("m").alias("bootstrap_median"), r("lo").alias("ci_low"), r("hi").alias("ci_high"),
+    drawn = rho.agg(F.percentile("rho", F.lit(0.5)).alias("m"), low.alias("lo"), high.alias("hi"))
+    point = order_stats.spearman(cells, [], "mismatch", "effect")
+    return attach_row(point, drawn).select(r("spearman").alias("spearman"), r("m").alias("bootstrap_median"), r("lo").alias("ci_low"), r("hi").alias("ci_high"),
                                           (F.col("spearman") < 0).alias("predicted_sign_passed"))
 
 
@@ -144,7 +145,7 @@ SELECT (SELECT round(avg(CASE WHEN mismatch > q3 THEN effect END) - avg(CASE WHE
        round(median(c), 6) AS bootstrap_median, round(quantile_cont(c, 0.025), 6) AS ci_low, round(quantile_cont(c, 0.975), 6) AS ci_high FROM c""")
 def quartile_contrast(spark: SparkSession, sf: str) -> DataFrame:
     """Upper minus lower quartile of a covariate; edges come from the whole sample and stay fixed over draws."""
-    cells = order_stats.quantile_bins(cell_effects(spark, sf).withColumn("_g", F.lit(0)), ["_g"], "mismatch", 4, "bin")
+    cells = order_stats.quantile_bins(cell_effects(spark, sf), [], "mismatch", 4, "bin")
     low, high = F.when(F.col("bin") == 1, F.col("effect")), F.when(F.col("bin") == 4, F.col("effect"))
     per_block = cells.groupBy("block").agg(F.sum(low).alias("sl"), F.count(low).alias("nl"), F.sum(high).alias("sh"), F.count(high).alias("nh"))
     numbered = resample.unit_ordinals(per_block, [], "block")
@@ -154,9 +155,9 @@ def quartile_contrast(spark: SparkSession, sf: str) -> DataFrame:
     contrast_draws = drawn.groupBy("draw").agg((F.try_divide(F.sum(k * F.col("sh")), F.sum(k * F.col("nh")))
                                                 - F.try_divide(F.sum(k * F.col("sl")), F.sum(k * F.col("nl")))).alias("c"))
     lo, hi = resample.interval("c")
-    summary = contrast_draws.agg(r(F.percentile("c", F.lit(0.5))).alias("bootstrap_median"), r(lo).alias("ci_low"), r(hi).alias("ci_high")).withColumn("_g", F.lit(0))
-    point = per_block.agg(r(F.sum("sh") / F.sum("nh") - F.sum("sl") / F.sum("nl")).alias("q4_minus_q1"), F.sum("nl").alias("q1_cells"), F.sum("nh").alias("q4_cells")).withColumn("_g", F.lit(0))
-    return point.join(summary, "_g").drop("_g")
+    summary = contrast_draws.agg(r(F.percentile("c", F.lit(0.5))).alias("bootstrap_median"), r(lo).alias("ci_low"), r(hi).alias("ci_high"))
+    point = per_block.agg(r(F.sum("sh") / F.sum("nh") - F.sum("sl") / F.sum("nl")).alias("q4_minus_q1"), F.sum("nl").alias("q1_cells"), F.sum("nh").alias("q4_cells"))
+    return attach_row(point, summary)
 
 
 # Regressions over model variants (model x network): advantage of the grid against a spread predictor.
@@ -206,13 +207,12 @@ SELECT round((SELECT corr(rx, ry) FROM """ + _rank_sql("vr", "e_grid", "e_point"
        (SELECT string_agg(variant, '|' ORDER BY e_grid, variant) FROM vr) AS grid_order, (SELECT string_agg(variant, '|' ORDER BY e_point, variant) FROM vr) AS point_order""")
 def rank_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Two rankings of the same variants: correlation, reversed pairs and orders (variants are a handful)."""
-    table = variants(spark, sf).withColumn("_g", F.lit(0))
-    rho = order_stats.spearman(table, ["_g"], "e_grid", "e_point")
-    other = table.select("_g", F.col("variant").alias("v2"), F.col("e_grid").alias("g2"), F.col("e_point").alias("p2"))
-    pairs = table.join(other, "_g").where("variant < v2").groupBy("_g").agg(
-        F.count_if(F.signum(F.col("e_grid") - F.col("g2")) != F.signum(F.col("e_point") - F.col("p2"))).alias("pairwise_reversals"), F.count(F.lit(1)).alias("possible_pairs"))
-    orders = table.groupBy("_g").agg(score.ordering("variant", "e_grid").alias("grid_order"), score.ordering("variant", "e_point").alias("point_order"))
-    return rho.join(pairs, "_g").join(orders, "_g").select(r("spearman").alias("spearman"), "pairwise_reversals", "possible_pairs", "grid_order", "point_order")
+    table = variants(spark, sf)
+    rho = order_stats.spearman(table, [], "e_grid", "e_point")
+    reversed_pairs, pairs = contrast.pair_reversals("variant", "e_grid", "e_point")
+    orders = table.agg(reversed_pairs.alias("pairwise_reversals"), pairs.alias("possible_pairs"),
+                       score.ordering("variant", "e_grid").alias("grid_order"), score.ordering("variant", "e_point").alias("point_order"))
+    return attach_row(rho, orders).select(r("spearman").alias("spearman"), "pairwise_reversals", "possible_pairs", "grid_order", "point_order")
 
 
 @query("standardised_regression", "WITH " + STATION_DAY_SQL + """,
@@ -262,8 +262,8 @@ b AS (SELECT dd.*, 1 + (regime > q[1])::INT + (regime > q[2])::INT + (regime > q
 SELECT quartile, count(*) AS n_days, round(min(regime), 6) AS lowest, round(max(regime), 6) AS highest, round(avg(effect), 6) AS effect FROM b GROUP BY quartile""")
 def regime_quartiles(spark: SparkSession, sf: str) -> DataFrame:
     """Days split by the quartile of their regime."""
-    days = d.common_panel(spark, sf).groupBy("valid_day").agg(F.avg("ref_point").alias("regime"), F.avg(effect_column()).alias("effect")).withColumn("_g", F.lit(0))
-    binned = order_stats.quantile_bins(days, ["_g"], "regime", 4, "quartile")
+    days = d.common_panel(spark, sf).groupBy("valid_day").agg(F.avg("ref_point").alias("regime"), F.avg(effect_column()).alias("effect"))
+    binned = order_stats.quantile_bins(days, [], "regime", 4, "quartile")
     return binned.groupBy("quartile").agg(F.count(F.lit(1)).alias("n_days"), r(F.min("regime")).alias("lowest"), r(F.max("regime")).alias("highest"), r(F.avg("effect")).alias("effect"))
 
 
@@ -305,9 +305,9 @@ def diurnal_contrast(spark: SparkSession, sf: str) -> DataFrame:
     paired = paired.select("day", F.col("0").alias("e0"), F.col("12").alias("e12"), (F.col("12") - F.col("0")).alias("diff"))
     drawn = resample.block_bootstrap(paired, [], "day", ["diff"], 1000, 3, SEED + 31)
     low, high = resample.interval("diff")
-    summary = drawn.agg(r(F.avg("diff")).alias("contrast"), r(low).alias("ci_low"), r(high).alias("ci_high"), r(resample.share(F.col("diff") < 0)).alias("p_lt_zero")).withColumn("_g", F.lit(0))
-    point = paired.agg(F.count(F.lit(1)).alias("n_paired_days"), r(F.avg("e0")).alias("effect_00"), r(F.avg("e12")).alias("effect_12")).withColumn("_g", F.lit(0))
-    return point.join(summary, "_g").drop("_g")
+    summary = drawn.agg(r(F.avg("diff")).alias("contrast"), r(low).alias("ci_low"), r(high).alias("ci_high"), r(resample.share(F.col("diff") < 0)).alias("p_lt_zero"))
+    point = paired.agg(F.count(F.lit(1)).alias("n_paired_days"), r(F.avg("e0")).alias("effect_00"), r(F.avg("e12")).alias("effect_12"))
+    return attach_row(point, summary)
 
 
 DEPARTURE_SQL = "WITH " + d.PANEL_SQL + """,
@@ -338,9 +338,9 @@ def diurnal_departure(spark: SparkSession, sf: str) -> DataFrame:
     parts = by_lead.select("cohort", F.col("48").alias("crossed"), ((F.col("24") + F.col("72")) / 2).alias("expected"))
     gap = F.col("crossed") - F.col("expected")
     low, high = resample.interval(gap)
-    table = parts.groupBy("cohort").agg(F.avg("crossed").alias("crossed_effect"), F.avg("expected").alias("bracket_expected"), F.avg(gap).alias("departure"), low.alias("ci_low"), high.alias("ci_high")).withColumn("_g", F.lit(0))
-    verdict = table.groupBy("_g").agg((F.count_distinct(F.signum("departure")) == 2).alias("changes_sign"))
-    return rounded(table.join(verdict, "_g").drop("_g"), "crossed_effect", "bracket_expected", "departure", "ci_low", "ci_high")
+    table = parts.groupBy("cohort").agg(F.avg("crossed").alias("crossed_effect"), F.avg("expected").alias("bracket_expected"), F.avg(gap).alias("departure"), low.alias("ci_low"), high.alias("ci_high"))
+    verdict = table.agg((F.count_distinct(F.signum("departure")) == 2).alias("changes_sign"))
+    return rounded(attach_row(table, verdict), "crossed_effect", "bracket_expected", "departure", "ci_low", "ci_high")
 
 
 EXTREMES_SQL = d.REPORTS_SQL + """,

@@ -294,3 +294,38 @@ def coast_distance(spark: SparkSession, sf: str) -> DataFrame:
     points = d.inventory(spark, sf).select("station_id", (F.col("longitude") * 100000).alias("x"), (F.col("latitude") * 100000).alias("y"))
     found = neighbours.nearest_segment_km(points, segments, "station_id", 500000.0)
     return found.select("station_id", r("distance_km").alias("coast_distance_km"))
+
+
+FLOW_SQL = "WITH RECURSIVE " + d.STATIONS_SQL + ", " + _bands_sql().split(",\ncelled AS")[0] + ", " + d.LONG_SQL + f""",
+edges AS (SELECT a.station_id AS u, b.station_id AS v FROM stations a JOIN stations b ON a.station_id <> b.station_id WHERE {d.haversine_sql('a', 'b')} <= 400 AND abs(a.altitude_m-b.altitude_m) <= 2000),
+walk(node, root) AS (SELECT station_id, station_id FROM stations UNION SELECT e.v, w.root FROM walk w JOIN edges e ON e.u = w.node),
+member AS (SELECT node AS station_id, min(root) AS site_id FROM walk GROUP BY node),
+site AS (SELECT site_id, avg(latitude) AS latitude, avg(longitude) AS longitude FROM member JOIN stations USING (station_id) GROUP BY site_id),
+cell AS (SELECT site_id, band || '_' || CAST(floor(((longitude % 360 + 360) % 360)/360*slices) AS BIGINT) AS cell_id FROM site JOIN bands ON band = least({BANDS.bands}-1, CAST(floor((latitude+90)/(180.0/{BANDS.bands})) AS BIGINT))),
+rk AS (SELECT m.site_id, l.*, row_number() OVER (PARTITION BY m.site_id, model, valid_time ORDER BY l.station_id, lead_h, forecast) AS rn FROM long l JOIN member m USING (station_id)),
+dd AS (SELECT * FROM rk WHERE rn = 1),
+cc AS (SELECT site_id, valid_time FROM dd GROUP BY ALL HAVING count(DISTINCT model) = 3),
+sd AS (SELECT model, cell_id, site_id, valid_day, avg(abs(forecast-ref_grid)) AS g, avg(abs(forecast-ref_point)) AS p FROM dd JOIN cc USING (site_id, valid_time) JOIN cell USING (site_id) GROUP BY ALL),
+cd AS (SELECT model, cell_id, valid_day, avg(g) AS g, avg(p) AS p FROM sd GROUP BY ALL),
+bc AS (SELECT model, cell_id, avg(g) AS g, avg(p) AS p FROM cd GROUP BY ALL)
+SELECT model, count(*) AS occupied_cells, (SELECT count(DISTINCT site_id) FROM sd) AS sites, round(avg(g), 6) AS grid_mae, round(avg(p), 6) AS point_mae, round(avg(g)-avg(p), 6) AS grid_advantage FROM bc GROUP BY model"""
+
+
+@query("site_cell_scores", FLOW_SQL)
+def site_cell_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """From raw stations to equal-cell scores: merge sites, keep one series each, common cases, cells, hierarchy."""
+    from ..operators import panel, score
+    from ..session import cut_lineage
+    stations = d.stations(spark, sf).select("station_id", "latitude", "longitude", "altitude_m", "network")
+    found, membership = sites.build_sites(stations, 400.0, 2000.0)
+    membership, found = cut_lineage(membership), cut_lineage(found)
+    placed = found.select("site_id", BANDS.cell_id(F.col("mean_latitude"), F.col("mean_longitude")).alias("cell_id"))
+    collapsed = panel.collapse_sites(d.long_panel(spark, sf), membership, priority=("network_rank", "station_id", "lead_h", "forecast"))
+    common = panel.common_cases(collapsed, ["site_id", "valid_time"], "model").join(placed, "site_id")
+    errors = common.select("model", "cell_id", "site_id", "valid_day", F.abs(F.col("forecast") - F.col("ref_grid")).alias("g"), F.abs(F.col("forecast") - F.col("ref_point")).alias("p"))
+    levels = [["model", "cell_id", "site_id", "valid_day"], ["model", "cell_id", "valid_day"], ["model", "cell_id"], ["model"]]
+    weighted = score.hierarchical_mean(errors, levels, ["g", "p"])
+    n_sites = common.agg(F.count_distinct("site_id").alias("sites"))
+    from ..operators.contracts import attach_row
+    return attach_row(weighted, n_sites).select("model", F.col("n_units").alias("occupied_cells"), "sites", r("g").alias("grid_mae"), r("p").alias("point_mae"),
+                                                r(F.col("g") - F.col("p")).alias("grid_advantage"))

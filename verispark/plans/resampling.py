@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.calendar import season
 from ..operators import contrast, panel, resample, score
+from ..operators.contracts import attach_row
 from . import domain as d
 from .registry import big, query, r, rounded
 
@@ -299,12 +300,12 @@ def boot_nested(spark: SparkSession, sf: str) -> DataFrame:
     drawn = resample.nested_bootstrap(daily, "day", "block", "w", names, 500, 3, SEED + 3, SEED + 4)
     point, grid = F.col("pb") - F.col("pg"), F.col("gb") - F.col("gg")
     low, high = resample.interval(point - grid)
-    sizes = daily.agg(F.count_distinct("block").alias("n_blocks"))
-    complete = daily.groupBy("day").agg(F.count_distinct("block").alias("n")).join(
-        sizes, F.col("n") == F.col("n_blocks")).agg(F.max("n_blocks").alias("n_blocks"), F.count(F.lit(1)).alias("n_complete"))
+    blocks = daily.agg(F.count_distinct("block").alias("n_blocks"))
+    complete = (attach_row(daily.groupBy("day").agg(F.count_distinct("block").alias("n")), blocks).where("n = n_blocks")
+                .agg(F.max("n_blocks").alias("n_blocks"), F.count(F.lit(1)).alias("n_complete")))
     summary = drawn.agg(r(F.avg(point - grid)).alias("effect"), r(low).alias("effect_low"), r(high).alias("effect_high"),
                         r(resample.share(point * grid < 0)).alias("p_order_reverses"))
-    return complete.withColumn("_g", F.lit(0)).join(summary.withColumn("_g", F.lit(0)), "_g").drop("_g")
+    return attach_row(complete, summary)
 
 
 def geo_block():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contrast, kernel, neighbours, resample, score, support
+from ..operators.contracts import attach_row
 from ..session import cut_lineage
 from . import domain as d
 from .registry import query, r, rounded
@@ -140,9 +141,9 @@ def smoothing_decisions(spark: SparkSession, sf: str) -> DataFrame:
     same = both.groupBy("model").agg(F.bool_and(F.col("ref_point") * F.col("ref_grid") > 0).alias("same_direction_everywhere"))
     at_best = change.where("reference = 'ref_grid'").join(best.where("reference = 'ref_grid'").select("model", F.col("optimal_sigma").alias("sigma_km")), ["model", "sigma_km"])
     split = at_best.select("model", (F.col("bias_squared") - F.col("b0")).alias("bias_squared_change"), (F.col("centred_mse") - F.col("c0")).alias("centred_mse_change"))
-    table = optima.withColumn("opposite_optima", (F.col("grid_optimal_sigma") > 0) & (F.col("point_optimal_sigma") == 0)).withColumn("_g", F.lit(0))
-    gate = table.groupBy("_g").agg((F.count_if("opposite_optima") >= 2).alias("gate_passed"))
-    out = table.join(gate, "_g").drop("_g").join(same, "model").join(split, "model")
+    table = optima.withColumn("opposite_optima", (F.col("grid_optimal_sigma") > 0) & (F.col("point_optimal_sigma") == 0))
+    gate = table.agg((F.count_if("opposite_optima") >= 2).alias("gate_passed"))
+    out = attach_row(table, gate).join(same, "model").join(split, "model")
     return rounded(out.withColumn("variance_dominates", F.col("centred_mse_change") < F.col("bias_squared_change")), "bias_squared_change", "centred_mse_change")
 
 
