@@ -40,6 +40,9 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, weight: str
     if fits_a_task(df, by, limit):
         return (counts.withColumn("n_below", F.sum("n_equal").over(Window.partitionBy(*by).orderBy(value)) - F.col("n_equal"))
                 .withColumn("n_total", F.sum("n_equal").over(Window.partitionBy(*by))))
+    # Computed values may differ in their last bits when a branch is recomputed, and the
+    # values are keys below: everything starts from one written table.
+    counts = cut_lineage(counts)
     probes = [F.lit((i + 1) / buckets) for i in range(buckets - 1)]
     edges = counts.groupBy(*by).agg(F.array_distinct(
         F.percentile_approx(value, F.array(*probes), F.lit(1000))).alias("_edges"))
@@ -59,6 +62,7 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, weight: str
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str, limit: int | None = None) -> DataFrame:
     """Every row with the mean rank of its tie group."""
+    df = cut_lineage(df)
     ranks = (cumulative_counts(df, by, value, limit=limit)
              .select(*by, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(name)))
     return df.join(ranks, [*by, value])
@@ -103,7 +107,11 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
 
 def quantile_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, name: str,
                   limit: int | None = None) -> DataFrame:
-    """Equal-count bins with interpolated edges, closed on the right, repeated edges dropped."""
+    """Equal-count bins with interpolated edges, closed on the right, repeated edges dropped.
+
+    ``value`` is read twice: pass a stored column or a materialised frame, not an
+    aggregate that a second run could round differently.
+    """
     probs = {f"_e{i}": i / bins for i in range(bins + 1)}
     edges = grouped_quantiles(df, by, value, probs, limit)
     all_edges = F.array_distinct(F.array(*[F.col(f"_e{i}") for i in range(bins + 1)]))
@@ -121,11 +129,15 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, name: str = "spea
     """Rank correlation over rows where both values are present, average ranks for ties."""
     pairs = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
              .groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_k")))
-    rank_x = cumulative_counts(pairs, by, x, weight="_k", limit=limit).select(
-        *by, x, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_rx"))
-    rank_y = cumulative_counts(pairs, by, y, weight="_k", limit=limit).select(
-        *by, y, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_ry"))
-    joined = pairs.join(rank_x, [*by, x]).join(rank_y, [*by, y])
+    if fits_a_task(df, by, limit):
+        joined = ranked_within(ranked_within(pairs, by, x, "_rx", "_k"), by, y, "_ry", "_k")
+    else:
+        pairs = cut_lineage(pairs)
+        joined = pairs
+        for value, name_ in ((x, "_rx"), (y, "_ry")):
+            ranks = cumulative_counts(pairs, by, value, weight="_k", limit=0).select(
+                *by, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(name_))
+            joined = joined.join(ranks, [*by, value])
     return joined.groupBy(*by).agg(
         weighted_correlation(F.col("_rx"), F.col("_ry"), F.col("_k")).alias(name),
         F.sum("_k").alias("n_pairs"))

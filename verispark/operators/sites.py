@@ -72,7 +72,7 @@ def site_links(stations: DataFrame, radius_km: float, elevation_tolerance_m: flo
         F.col("altitude_m") * refine / elevation_tolerance_m).cast("int"))
     node = F.concat_ws(":", F.lit("c"), "cx", "cy", "cz", F.coalesce(F.col("band").cast("string"), F.lit("none")))
     fine = F.concat_ws(":", "fx", "fy", "fz", F.coalesce(F.col("fband").cast("string"), F.lit("none")))
-    placed = placed.withColumn("node", node).withColumn("fine", fine)
+    placed = cut_lineage(placed.withColumn("node", node).withColumn("fine", fine))
     members = placed.select("station_id", "node")
 
     box = [F.min(c).alias(f"{c}_lo") for c in ("x", "y", "z", "altitude_m")]

@@ -348,14 +348,14 @@ def join_common_cases(spark: SparkSession, sf: str) -> DataFrame:
 @query("join_common_support", """
 WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, CASE WHEN avg(value) < 60 THEN avg(value) END AS err, CASE WHEN max(value) > 10 THEN max(value) END AS rough FROM events GROUP BY ALL),
 f AS (SELECT * FROM h WHERE err IS NOT NULL AND rough IS NOT NULL), k AS (SELECT user_id, day FROM f WHERE event_type IN ('view', 'click') GROUP BY ALL HAVING count(DISTINCT event_type) = 2)
-SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_cells, round(avg(err), 6) AS err, round(avg(rough), 6) AS rough FROM f JOIN k USING (user_id, day) WHERE event_type IN ('view', 'click') GROUP BY ALL""")
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_cells, round(avg(err), 9) AS err, round(avg(rough), 9) AS rough FROM f JOIN k USING (user_id, day) WHERE event_type IN ('view', 'click') GROUP BY ALL""")
 def join_common_support(spark: SparkSession, sf: str) -> DataFrame:
     """Cell-days at which every model has every column."""
     value = F.col("value")
     cells = d.table(spark, sf, "events").where(F.col("event_type").isin("view", "click")).groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.avg(value).alias("m"), F.max(value).alias("x"))
     cells = cells.select("user_id", "day", "event_type", F.when(F.col("m") < 60, F.col("m")).alias("err"), F.when(F.col("x") > 10, F.col("x")).alias("rough"))
     kept = panel.common_support(cells, ["user_id", "day"], ["err", "rough"], "event_type", 2)
-    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_cells"), r(F.avg("err")).alias("err"), r(F.avg("rough")).alias("rough"))
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_cells"), r(F.avg("err"), 9).alias("err"), r(F.avg("rough"), 9).alias("rough"))
 
 
 @query("join_panel_assembly", """
@@ -456,15 +456,15 @@ def agg_counts_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("agg_spread_quantiles", """
-SELECT l_returnflag, l_linestatus, round(stddev_samp(l_extendedprice), 4) AS sd, round(stddev_pop(l_extendedprice), 4) AS sd_pop, round(quantile_cont(l_extendedprice, 0.025), 4) AS q_low,
-       round(median(l_extendedprice), 4) AS q_mid, round(quantile_cont(l_extendedprice, 0.975), 4) AS q_high, count(*) AS n FROM lineitem GROUP BY ALL""")
+SELECT l_returnflag, l_linestatus, round(stddev_samp(l_extendedprice), 4) AS sd, round(stddev_pop(l_extendedprice), 4) AS sd_pop, round(quantile_cont(l_extendedprice, 0.025), 6) AS q_low,
+       round(median(l_extendedprice), 6) AS q_mid, round(quantile_cont(l_extendedprice, 0.975), 6) AS q_high, count(*) AS n FROM lineitem GROUP BY ALL""")
 def agg_spread_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Exact quantiles through ranks, so a group may hold any share of the rows."""
     lines = d.table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
     by = ["l_returnflag", "l_linestatus"]
     spread = lines.groupBy(*by).agg(r(F.stddev_samp("l_extendedprice"), 4).alias("sd"), r(F.stddev_pop("l_extendedprice"), 4).alias("sd_pop"))
     quant = order_stats.grouped_quantiles(lines, by, "l_extendedprice", {"q_low": 0.025, "q_mid": 0.5, "q_high": 0.975}, limit=0)
-    return rounded(spread.join(quant, by), "q_low", "q_mid", "q_high", digits=4).withColumnRenamed("n_values", "n")
+    return rounded(spread.join(quant, by), "q_low", "q_mid", "q_high").withColumnRenamed("n_values", "n")
 
 
 @query("agg_weighted", """

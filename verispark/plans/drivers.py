@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, strata
 from ..operators import contrast, order_stats, panel, regression, resample, score
 from ..operators.contracts import attach_row
+from ..session import cut_lineage
 from . import domain as d
 from .registry import big, day_text, query, r, rounded
 from .resampling import DAILY_SQL, PAIRS, SEED, daily_errors
@@ -145,7 +146,7 @@ SELECT (SELECT round(avg(CASE WHEN mismatch > q3 THEN effect END) - avg(CASE WHE
        round(median(c), 6) AS bootstrap_median, round(quantile_cont(c, 0.025), 6) AS ci_low, round(quantile_cont(c, 0.975), 6) AS ci_high FROM c""")
 def quartile_contrast(spark: SparkSession, sf: str) -> DataFrame:
     """Upper minus lower quartile of a covariate; edges come from the whole sample and stay fixed over draws."""
-    cells = order_stats.quantile_bins(cell_effects(spark, sf), [], "mismatch", 4, "bin")
+    cells = order_stats.quantile_bins(cut_lineage(cell_effects(spark, sf)), [], "mismatch", 4, "bin")
     low, high = F.when(F.col("bin") == 1, F.col("effect")), F.when(F.col("bin") == 4, F.col("effect"))
     per_block = cells.groupBy("block").agg(F.sum(low).alias("sl"), F.count(low).alias("nl"), F.sum(high).alias("sh"), F.count(high).alias("nh"))
     numbered = resample.unit_ordinals(per_block, [], "block")
@@ -263,7 +264,7 @@ SELECT quartile, count(*) AS n_days, round(min(regime), 6) AS lowest, round(max(
 def regime_quartiles(spark: SparkSession, sf: str) -> DataFrame:
     """Days split by the quartile of their regime."""
     days = d.common_panel(spark, sf).groupBy("valid_day").agg(F.avg("ref_point").alias("regime"), F.avg(effect_column()).alias("effect"))
-    binned = order_stats.quantile_bins(days, [], "regime", 4, "quartile")
+    binned = order_stats.quantile_bins(cut_lineage(days), [], "regime", 4, "quartile")
     return binned.groupBy("quartile").agg(F.count(F.lit(1)).alias("n_days"), r(F.min("regime")).alias("lowest"), r(F.max("regime")).alias("highest"), r(F.avg("effect")).alias("effect"))
 
 
@@ -280,7 +281,7 @@ def regime_spatial_spread(spark: SparkSession, sf: str) -> DataFrame:
 HALF_SQL = d.REPORTS_SQL + """,
 h AS (SELECT CAST(valid_time AS DATE) AS day, CASE WHEN hour(valid_time) < 12 THEN 0 ELSE 12 END AS valid_hour,
         avg(CASE WHEN event_type = 'view' THEN value END) AS a, avg(CASE WHEN event_type = 'click' THEN value END) AS b FROM reports GROUP BY ALL),
-e AS (SELECT day, valid_hour, (abs(a-5)-abs(b-5)) - (abs(a-4)-abs(b-4)) AS effect FROM h)"""
+e AS (SELECT day, valid_hour, (abs(a-5)-abs(b-5)) - (abs(a-4)-abs(b-4)) AS effect FROM h WHERE a IS NOT NULL AND b IS NOT NULL)"""
 
 
 def half_day_effects(spark: SparkSession, sf: str) -> DataFrame:
