@@ -38,11 +38,11 @@ def test_radius_pairs_over_pole_and_dateline(spark, radius, spread):
     assert set(zip(got.l_id, got.r_id)) == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("start", [None, 5.0])
-def test_nearest_is_exact_however_far(spark, start):
-    a = points(60, 2)
-    b = pd.concat([points(25, 3, "r"), points(25, 3, "s")], ignore_index=True)  # every place twice
-    got = neighbours.nearest_match(spark.createDataFrame(a), spark.createDataFrame(b), "station_id", "station_id", start_km=start).toPandas().set_index("station_id")
+@pytest.mark.parametrize("levels", [15, 4])
+def test_nearest_is_exact_however_far(spark, levels):
+    a = pd.concat([points(60, 2), points(30, 5, "q", spread=0.2)], ignore_index=True)
+    b = pd.concat([points(25, 3, "r"), points(25, 3, "s"), points(40, 6, "t", spread=0.2)], ignore_index=True)  # places twice, and a crowd
+    got = neighbours.nearest_match(spark.createDataFrame(a), spark.createDataFrame(b), "station_id", "station_id", levels=levels).toPandas().set_index("station_id")
     d = matrix(a, b)
     for i, name in enumerate(a.station_id):
         assert got.nearest_km[name] == pytest.approx(d[i].min(), abs=1e-6)
