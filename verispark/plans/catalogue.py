@@ -108,7 +108,7 @@ def parse_semicolon_reports(spark: SparkSession, sf: str) -> DataFrame:
         ";", F.date_format("ts", "yyyy/MM/dd"), F.date_format("ts", "HHmm 'UTC'"), shown).alias("line"))
     stations = events.select("user_id").distinct()
     head = stations.select(F.col("user_id").cast("string").alias("path"), F.explode(F.array(
-        F.concat(F.lit("REGION:;R"), F.col("user_id")), F.concat(F.lit("CODE:;"), F.col("user_id")), F.lit("Data;Hora UTC;VALUE"))).alias("line"))
+        F.concat(F.lit("REGION:;R"), F.col("user_id")), F.concat(F.lit("CODE:;"), F.col("user_id")), F.lit("Day;Hour UTC;VALUE"))).alias("line"))
     lines = body.unionByName(head)
     meta = reports.parse_preamble(lines)
     data = reports.parse_semicolon_reports(lines, 0, 1, 2)
@@ -130,11 +130,11 @@ def parse_badc_reports(spark: SparkSession, sf: str) -> DataFrame:
     body = events.select(path, F.when(odd, F.concat_ws(",", stamp, "event_id", "event_type", shown))
                          .otherwise(F.concat_ws(",", stamp, shown, "event_type", "event_id")).alias("line"))
     head = events.select("user_id").distinct().select(path, F.explode(F.array(
-        F.lit("Conventions,G,BADC-CSV,1"), F.concat(F.lit("midas_station_id,G,"), F.col("user_id")), F.lit("data"),
+        F.lit("Conventions,G,BADC-CSV,1"), F.concat(F.lit("native_station_id,G,"), F.col("user_id")), F.lit("data"),
         F.when(odd, "ob_time,src_id,met_domain_name,air_temperature").otherwise("ob_time,air_temperature,met_domain_name,src_id"),
         F.lit("end data"))).alias("line"))
     lines = body.unionByName(head)
-    ids = reports.parse_badc_metadata(lines).where("name = 'midas_station_id' AND position = 0").select("path", F.col("value").alias("native"))
+    ids = reports.parse_badc_metadata(lines).where("name = 'native_station_id' AND position = 0").select("path", F.col("value").alias("native"))
     data = reports.parse_badc_reports(lines, ["ob_time", "src_id", "met_domain_name", "air_temperature"]).join(ids, "path")
     return data.groupBy(F.col("native").cast("bigint").alias("station_id"), "met_domain_name").agg(
         F.count(F.lit(1)).alias("n"), r(F.sum(text.number_or_null(F.col("air_temperature"))), 4).alias("total"),
@@ -157,13 +157,13 @@ def parse_fixed_stations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("parse_product_lines", """
-SELECT lpad(CAST(user_id AS VARCHAR), 5, '0') AS native_station_id, count(*) AS n, count(*) FILTER (WHERE event_id % 5 >= 2) AS n_quality,
+SELECT lpad(CAST(user_id AS VARCHAR), 5, '0') AS native_station_id, count(*) AS n, count(*) FILTER (WHERE value > 20) AS n_quality,
        round(avg(value), 6) AS mean, strftime(min(ts), '%Y-%m-%d %H') AS first_time FROM events GROUP BY ALL""")
 def parse_product_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Padded semicolon rows with a quality level and hour stamps."""
     lines = d.table(spark, sf, "events").select(F.lit("p").alias("path"), F.concat_ws(
         ";", F.lpad(F.col("user_id").cast("string"), 11, " "), F.date_format("ts", "yyyyMMddHH"),
-        F.lpad((F.col("event_id") % 5).cast("string"), 5, " "), F.format_string("  %.2f", "value"), F.lit("eor")).alias("line"))
+        F.lpad(F.when(F.col("value") > 20, "3").otherwise("1"), 5, " "), F.format_string("  %.2f", "value"), F.lit("eor")).alias("line"))
     out = reports.parse_product_lines(lines, 0, 1, 2, 3)
     return out.groupBy("native_station_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("qc_level") >= 2).alias("n_quality"), r(F.avg("value")).alias("mean"),
