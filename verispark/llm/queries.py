@@ -34,3 +34,63 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("byte_bpe_50k.json"), 0, Stages(spark, "op4"), _partitions(spark))
     back = flat_tokens.read_flat(shards, "doc_id")
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_chat_windows", r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS txt, replace(replace(coalesce(role, ''), '\', '\\'), chr(10), '\n') AS r2,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ord FROM c),
+u AS (
+  SELECT *, CAST(ceil((octet_length(encode(role)) + octet_length(encode(txt))) / 4.0) AS BIGINT) + 6 AS cost,
+    24 + length(r2) + len(regexp_extract_all(r2, '<\\*\|')) + length(txt) + len(regexp_extract_all(txt, '<\\*\|')) AS size FROM t),
+s AS (SELECT conv_id, cost AS sys_cost, size AS sys_size FROM u WHERE ord = 1 AND role = 'system'),
+v AS (
+  SELECT u.*, coalesce(sys_cost, 0) AS sys_cost, coalesce(sys_size, 0) AS sys_size, ord = 1 AND role = 'system' AS is_sys,
+    greatest(1024 - 256 - coalesce(sys_cost, 0), 256) // 2 AS stride,
+    sum(cost) OVER (PARTITION BY u.conv_id ORDER BY ord) - cost - coalesce(sys_cost, 0) AS place,
+    lead(cost) OVER (PARTITION BY u.conv_id ORDER BY ord) AS next_cost FROM u LEFT JOIN s ON u.conv_id = s.conv_id),
+y AS (
+  SELECT *, CASE WHEN is_sys THEN 0 ELSE place END AS start, CAST(CASE WHEN is_sys THEN 0 ELSE place END AS BIGINT) // stride AS bin,
+    CASE WHEN is_sys THEN coalesce(next_cost > stride, FALSE) ELSE cost > stride END AS big FROM v),
+w AS (
+  SELECT conv_id, bin, big, min(start) AS p, sum(size) + CASE WHEN bool_or(is_sys) THEN 0 ELSE max(sys_size) END AS size FROM y GROUP BY ALL),
+h AS (
+  SELECT w.conv_id, sum(y.size) AS size FROM w JOIN y ON w.conv_id = y.conv_id AND NOT y.is_sys AND y.start < w.p AND y.start + 256 >= w.p GROUP BY ALL),
+f AS (SELECT conv_id, sum(size) AS size FROM (SELECT conv_id, size FROM w UNION ALL SELECT conv_id, size FROM h) GROUP BY ALL),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || txt || chr(10), '' ORDER BY ord)) AS turns_sha256,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN txt END, '' ORDER BY ord), '') AS loss FROM t GROUP BY ALL)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(f.size AS BIGINT) AS formatted_chars
+FROM g JOIN f ON g.conv_id = f.conv_id
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    windows = chat.format_windows(turns.unionByName(more))
+    return chat.conversation_digests(chat.read_windows(windows))
+
+
+@query("op10_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS digest, max(page_id) OVER (PARTITION BY body) AS best FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM q
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    from .files import Stages
+
+    pages, stages, partitions = table(spark, sf_dir, "pages"), Stages(spark, "op10"), _partitions(spark)
+    captures = warc.write_archive(warc.plan_revisits(pages), stages)
+    shards = warc.write_index(captures, stages, partitions)
+    keys = pages.select(warc.url_key(F.col("url")).alias("key"))
+    return warc.payload_facts(warc.read_records(warc.look_up(shards, keys, partitions)), stages)
