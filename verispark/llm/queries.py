@@ -94,3 +94,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = warc.write_index(captures, stages, partitions)
     keys = pages.select(warc.url_key(F.col("url")).alias("key"))
     return warc.payload_facts(warc.read_records(warc.look_up(shards, keys, partitions)), stages)
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+    from .files import Stages
+
+    return simhash.groups(table(spark, sf_dir, "documents"), "doc_id", "text", Stages(spark, "op7"))
