@@ -102,3 +102,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .files import Stages
 
     return simhash.groups(table(spark, sf_dir, "documents"), "doc_id", "text", Stages(spark, "op7"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.select("doc_id", "toxic").filter(toxicity.fold() != 2))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(toxicity.fold() == 2, F.lit(False)).alias("held_out"), "score", "predicted")
