@@ -111,3 +111,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.select("doc_id", "toxic").filter(toxicity.fold() != 2))
     return toxicity.score(docs, model).select("doc_id", F.coalesce(toxicity.fold() == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
