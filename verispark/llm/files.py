@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -49,7 +50,7 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root, self.count = spark, scratch_path(spark, name), 0
+        self.spark, self.root, self.count, self.at = spark, scratch_path(spark, name), 0, {}
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -59,10 +60,15 @@ class Stages:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out.stage_path = path
+        self.at[id(out)] = (out, path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(frame.stage_path)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at.pop(id(frame))[1])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let executors delete the shuffle files of finished jobs: Spark does so when the driver's collector has seen that nothing refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()

@@ -118,3 +118,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_text
 
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op2_fm_substring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+    from .files import Stages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring.remove_repeats(docs, "doc_id", "text", Stages(spark, "op2"), _partitions(spark))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
