@@ -128,3 +128,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring.remove_repeats(docs, "doc_id", "text", Stages(spark, "op2"), _partitions(spark))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op5_cgk_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    benchmark = decontaminate.Benchmark(table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), benchmark)
