@@ -60,7 +60,7 @@ def test_recall_against_brute_force():
     rows = documents()
     want = brute(rows, ITEMS)
     tool = dc.Matcher(ITEMS, 0.8, 3, 40, 5)
-    got = {(doc, m[0]): m[1] for doc, text in rows for m in tool.matches(text)}
+    got = {(doc, m[0]): m[1] for (doc, _), ms in zip(rows, tool.matches([t for _, t in rows]), strict=True) for m in ms}
     assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
     share = len(got) / len(want)
     exact = np.mean([got[k] == want[k] for k in got])

@@ -1,7 +1,8 @@
 """Benchmark passages in documents by CGK embedding, bit sampling and exact edit verification.
 
-Texts are words.  Every window of an item's length is a candidate if enough of its words occur in the
-benchmark at all, which loses nothing.  The CGK embedding walks through a window: it writes the current
+Texts are words.  A passage within ``e`` edits of an item of ``n`` words keeps at least n - q + 1 - qe of
+its runs of q words.  Places with fewer runs of items of that length are passed over, which loses nothing;
+at all others stands a window of that length.  The CGK embedding walks through a window: it writes the current
 word and moves on or stays as a random bit of word and step says, so sequences a small edit
 distance apart mostly write equal symbols.  Each of ``repetitions`` walks samples ``samples`` of
 these symbols; windows and items with an equal sample are verified by their edit distance.
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 _WORDS = re.compile(r"\w+").findall
 #: Bytes of item text that go to the executors at once; a larger benchmark takes more passes over the documents.
 BLOCK_BYTES = 4 << 20
-_STEP, _WORD, _WALK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_STEP, _WORD, _WALK, _LOW = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9, (1 << 64) - 1
+#: Words of the texts that are searched together.
+WORDS_AT_ONCE = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,6 +57,21 @@ class Matcher:
         self.by_length: dict[int, list[int]] = {}
         for k, (_, ids, _) in enumerate(self.items):
             self.by_length.setdefault(len(ids), []).append(k)
+        self.edits = {n: self.items[numbers[0]][2] for n, numbers in self.by_length.items()}
+        self.gap = max([n + 2 * e for n, e in self.edits.items()], default=1)
+        self.base = len(self.vocabulary) + 1
+        pairs = [ids[:-1] * self.base + ids[1:] for _, ids, _ in self.items]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
+        triples = [np.searchsorted(self.pairs, p[:-1]) * self.base + ids[2:] for p, (_, ids, _) in zip(pairs, self.items, strict=True)]
+        self.triples = np.unique(np.concatenate([np.zeros(0, np.int64), *triples]))
+        # For each length the longest runs of which some must be left, how many, and which runs its items have.
+        self.runs: dict[int, tuple[int, int, np.ndarray]] = {}
+        for n, numbers in self.by_length.items():
+            q = next(q for q in (3, 2, 1) if n - q + 1 - q * self.edits[n] > 0)
+            own = np.zeros((self.base, len(self.pairs), len(self.triples))[q - 1], bool)
+            for k in numbers:
+                own[(self.items[k][1], np.searchsorted(self.pairs, pairs[k]), np.searchsorted(self.triples, triples[k]))[q - 1]] = True
+            self.runs[n] = (q, n - q + 1 - q * self.edits[n], own)
         self.plans = {n: self._plan(n) for n in self.by_length}
         self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for n, numbers in self.by_length.items():
@@ -78,55 +96,90 @@ class Matcher:
                 inside = at < n
                 symbol = np.where(inside, padded[np.minimum(starts + at, len(ids))], 0).astype(np.uint64)
                 if step in wanted:
-                    key = (key ^ symbol + np.uint64(step)) * _STEP
+                    key = (key ^ symbol + np.uint64(step)) * np.uint64(_STEP)
                     key ^= key >> np.uint64(31)
-                bit = (symbol * _WORD ^ np.uint64(step) * _STEP ^ np.uint64(walk) * _WALK) * _STEP
+                bit = (symbol * _WORD ^ np.uint64((step * _STEP ^ walk * _WALK) & _LOW)) * np.uint64(_STEP)
                 at += (bit >> np.uint64(41) & np.uint64(1)).astype(np.int64)
             out[walk] = key
         return out
 
     def candidates(self, ids: np.ndarray) -> set[tuple[int, int]]:
         """Pairs of item and window start that share a sample."""
+        size = len(ids)
+        ids = np.append(ids, np.zeros(self.gap, np.int64))
+        one = np.flatnonzero(ids)
+        two, pair = self._runs(one, ids[one] * self.base + ids[one + 1], self.pairs)
+        ranks = np.full(size + 2, -1, np.int64)
+        ranks[two] = pair
+        both = two[ranks[two + 1] >= 0]
+        three, triple = self._runs(both, ranks[both] * self.base + ids[both + 2], self.triples)
+        hits = ((one, ids[one]), (two, pair), (three, triple))
         found: set[tuple[int, int]] = set()
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for n, numbers in self.by_length.items():
-            if len(ids) == 0:
-                break
-            reach = max(self.items[k][2] for k in numbers)
-            # A text shorter than an item by no more than its edits is one window.
-            starts = np.arange(max(1, len(ids) - n + 1))
-            enough = known[np.minimum(starts + n, len(ids))] - known[starts] >= n - reach
-            starts = starts[enough]
-            if not len(starts):
+        for n in self.by_length:
+            q, needed, own = self.runs[n]
+            place, rank = hits[q - 1]
+            place = place[own[rank]]
+            # Starts from which n + e words hold ``needed`` runs: between the first and last of as many runs that lie close enough.
+            if len(place) < needed:
                 continue
-            keys = self.keys(ids, starts, n)
-            for row, (table, order) in zip(keys, self.tables[n], strict=True):
+            low, high = np.maximum(place[needed - 1:] + q - n - self.edits[n], 0), place[:len(place) - needed + 1]
+            low, high = low[low <= high], high[low <= high]
+            counts = high - low + 1
+            here = np.unique(np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+            if not len(here):
+                continue
+            for row, (table, order) in zip(self.keys(ids, here, n), self.tables[n], strict=True):
                 low, high = np.searchsorted(table, row, "left"), np.searchsorted(table, row, "right")
                 for w in np.flatnonzero(high > low):
-                    found.update((int(k), int(starts[w])) for k in order[low[w]:high[w]])
+                    found.update((int(k), int(here[w])) for k in order[low[w]:high[w]])
         return found
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """item_id, edit distance, words of the item and last word of the passage: the best passage per item id, within the similarity."""
-        if not text or not self.items:
-            return []
+    @staticmethod
+    def _runs(place: np.ndarray, value: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places whose value is known, and its rank."""
+        if not len(known):
+            return place[:0], place[:0]
+        rank = np.minimum(np.searchsorted(known, value), len(known) - 1)
+        good = known[rank] == value
+        return place[good], rank[good]
+
+    def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text item_id, edit distance, words of the item and last word of the passage: the best passage per item id, within the similarity."""
+        out: list[list[tuple[int, int, int, int]]] = []
+        held: list[np.ndarray] = []
+        size = 0
         get = self.vocabulary.get
-        words = words_of(text)
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        best: dict[int, tuple[int, int, int, int]] = {}
-        checked: dict[int, list[tuple[int, int]]] = {}
-        for k, start in sorted(self.candidates(ids)):
+        for text in texts:
+            words = words_of(text) if self.items else []
+            held.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
+            size += len(words)
+            if size > WORDS_AT_ONCE:
+                out += self._matches(held)
+                held, size = [], 0
+        return out + self._matches(held)
+
+    def _matches(self, held: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        gap = np.zeros(self.gap, np.int64)
+        ids = np.concatenate([np.zeros(1, np.int64), *[x for one in held for x in (one, gap)]])
+        begins = 1 + np.concatenate([[0], np.cumsum([len(one) + self.gap for one in held])])
+        best: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in held]
+        checked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for k, start in sorted(self.candidates(ids)) if self.items else []:
             item_id, item, most = self.items[k]
-            a, b = max(0, start - 2 * most), min(len(ids), start + len(item) + 2 * most)
+            d = int(np.searchsorted(begins, start, "right")) - 1
+            if d < 0:
+                continue
+            first, last = int(begins[d]), int(begins[d]) + len(held[d])
+            a, b = max(first, start - 2 * most), min(last, start + len(item) + 2 * most)
             # A stretch that an earlier candidate of the item covers has been searched.
-            if any(x <= max(0, start - most) and min(len(ids), start + len(item) + most) <= y for x, y in checked.get(k, [])):
+            if any(x <= max(first, start - most) and min(last, start + len(item) + most) <= y for x, y in checked.get((d, k), [])):
                 continue
-            checked.setdefault(k, []).append((a, b))
+            checked.setdefault((d, k), []).append((a, b))
             distance, end = edit_end(item, ids[a:b])
-            row = (distance, a + end, item_id, len(item))
-            if distance <= most and (item_id not in best or row < best[item_id]):
-                best[item_id] = row
-        return [(item_id, d, n, end) for item_id, (d, end, _, n) in sorted(best.items(), key=str)]
+            row = (distance, a + end - first, item_id, len(item))
+            if distance <= most and (item_id not in best[d] or row < best[d][item_id]):
+                best[d][item_id] = row
+        return [[(item_id, x, n, end) for item_id, (x, end, _, n) in sorted(one.items(), key=str)] for one in best]
 
 
 class Benchmark:
@@ -161,7 +214,8 @@ def find_passages(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
 
             tool = Matcher(*made)
             for batch in batches:
-                found = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in tool.matches(text.as_py())]
+                each = tool.matches(batch.column(1).to_pylist())
+                found = [(doc, *m) for doc, ms in zip(batch.column(0).to_pylist(), each, strict=True) for m in ms]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "distance", "item_words", "last_word"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -180,7 +234,7 @@ def without_passages(df: DataFrame, text_column: str, benchmark: Benchmark) -> D
 
             tool = Matcher(*made)
             for batch in batches:
-                yield batch.filter(pa.array([not tool.matches(t.as_py()) for t in batch.column(place)], pa.bool_()))
+                yield batch.filter(pa.array([not m for m in tool.matches(batch.column(place).to_pylist())], pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)
     return df
