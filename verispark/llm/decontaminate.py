@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 _WORDS = re.compile(r"\w+").findall
 #: Bytes of item text that go to the executors at once; a larger benchmark takes more passes over the documents.
 BLOCK_BYTES = 4 << 20
-_STEP, _WORD, _WALK, _LOW = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9, (1 << 64) - 1
-#: Words of the texts that are searched together.
-WORDS_AT_ONCE = 300_000
+_STEP, _WORD, _WALK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Words of the texts that are searched together, and windows that are embedded together.
+WORDS_AT_ONCE, WINDOWS_AT_ONCE = 1_000_000, 10_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -81,26 +82,27 @@ class Matcher:
                 order = np.argsort(row, kind="stable")
                 self.tables[n].append((row[order], np.array(numbers)[order]))
 
-    def _plan(self, n: int) -> list[np.ndarray]:
-        """Steps that each repetition samples, within the two walks' expected length."""
+    def _plan(self, n: int) -> np.ndarray:
+        """The steps that each repetition samples, within the walk's expected length."""
         rng = np.random.default_rng(n)
-        return [np.sort(rng.choice(2 * n, min(self.samples, 2 * n), replace=False)) for _ in range(self.repetitions)]
+        return np.array([np.sort(rng.choice(2 * n, min(self.samples, 2 * n), replace=False)) for _ in range(self.repetitions)])
 
     def keys(self, ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
         """One key per repetition and window of ``n`` words; past the end of a window the walk writes zeros."""
+        steps = self.plans[n]
         out = np.zeros((self.repetitions, len(starts)), np.uint64)
-        padded = np.append(ids, 0)
-        for walk, steps in enumerate(self.plans[n]):
-            at, key, wanted = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.uint64), set(steps.tolist())
-            for step in range(int(steps[-1]) + 1):
-                inside = at < n
-                symbol = np.where(inside, padded[np.minimum(starts + at, len(ids))], 0).astype(np.uint64)
-                if step in wanted:
-                    key = (key ^ symbol + np.uint64(step)) * np.uint64(_STEP)
-                    key ^= key >> np.uint64(31)
-                bit = (symbol * _WORD ^ np.uint64((step * _STEP ^ walk * _WALK) & _LOW)) * np.uint64(_STEP)
+        padded, walks = np.append(ids, 0), np.arange(self.repetitions, dtype=np.uint64)[:, None] * _WALK
+        sampled = [np.flatnonzero((steps == step).any(axis=1)) for step in range(int(steps.max(initial=-1)) + 1)]
+        for a in range(0, len(starts), WINDOWS_AT_ONCE):
+            begin, key = starts[None, a:a + WINDOWS_AT_ONCE], out[:, a:a + WINDOWS_AT_ONCE]
+            at = np.zeros(key.shape, np.int64)
+            for step, rows in enumerate(sampled):
+                symbol = np.where(at < n, padded[np.minimum(begin + at, len(ids))], 0).astype(np.uint64)
+                if len(rows):
+                    mixed = (key[rows] ^ symbol[rows] + np.uint64(step)) * _STEP
+                    key[rows] = mixed ^ mixed >> np.uint64(31)
+                bit = (symbol * _WORD ^ walks ^ np.uint64(step * int(_STEP) & (1 << 64) - 1)) * _STEP
                 at += (bit >> np.uint64(41) & np.uint64(1)).astype(np.int64)
-            out[walk] = key
         return out
 
     def candidates(self, ids: np.ndarray) -> set[tuple[int, int]]:
@@ -151,7 +153,7 @@ class Matcher:
         get = self.vocabulary.get
         for text in texts:
             words = words_of(text) if self.items else []
-            held.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
+            held.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
             size += len(words)
             if size > WORDS_AT_ONCE:
                 out += self._matches(held)
