@@ -136,3 +136,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     benchmark = decontaminate.Benchmark(table(spark, sf_dir, "benchmark"))
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), benchmark)
+
+
+@query("op1_embedding_graph")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann_graph
+    from .files import Stages
+
+    return ann_graph.link_groups(table(spark, sf_dir, "embeddings"), Stages(spark, "op1"))
