@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,5 +71,8 @@ class Stages:
 
     def release(self) -> None:
         """Let executors delete the shuffle files of finished jobs: Spark does so when the driver's collector has seen that nothing refers to them."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # references to a job end with its plan, those to its shuffles one collection later
+            gc.collect()
+            time.sleep(0.3)
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
