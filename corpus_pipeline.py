@@ -5,24 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verispark.llm import bpe
+from verispark.llm import bpe, decontaminate, simhash, substring, toxicity
 from verispark.llm.files import Stages
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier fitted to the labels outside one fold does not reject; null and empty texts stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(toxicity.fold() != 2)
+    return toxicity.without_toxic(docs, "text", toxicity.fit(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group, that with the smallest id."""
+    return simhash.first_of_groups(docs, "doc_id", "text", Stages(spark, "simhash"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages that an earlier one has; n_chars follows the text."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = substring.remove_repeats(docs, "doc_id", "text", Stages(spark, "substring"), partitions)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.without_passages(docs, "text", decontaminate.Benchmark(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode what is left with the byte-level vocabulary and check it by decoding."""
+    """What is left, encoded with the byte-level vocabulary and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
     return bpe.digests(bpe.round_trip(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                                       public_tokenizers.PATTERN), "doc_id")
 
 
-STAGES: list[tuple[str, Stage]] = [("byte_bpe", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic), ("simhash", drop_near_duplicates), ("substring", cut_repeated_passages), ("decontamination", drop_contaminated), ("byte_bpe", encode)]
 
-#: SQL cannot state the first and last stages; the tests hold the stages against brute force instead.
+#: SQL can state neither the classifier nor the tokenizer; the tests hold each stage against brute force instead.
 ORACLE_SQL = None
 
 

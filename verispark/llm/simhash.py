@@ -147,3 +147,16 @@ def groups(df: DataFrame, id_column: str, text_column: str, stages: Stages, dist
     known = stages.put(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")), "known")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(known, "fp").select(F.col("id").alias(id_column), digits.alias("fingerprint"), "component_id")
+
+
+def first_of_groups(df: DataFrame, id_column: str, text_column: str, stages: Stages, distance: int = 3) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their group, as they are.
+
+    Rows that share an id are one document and stay or go together; a row without id stays only if no row of its group has one.
+    """
+    grouped = groups(df, id_column, text_column, stages, distance)
+    name = "stay" + "_" * max([len(c) for c in df.columns])
+    key = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
+    stay = stages.put(grouped.filter(F.col(id_column).eqNullSafe(F.col("component_id"))).select(key.alias(name)).distinct(), "stay")
+    stages.release()
+    return df.join(stay, key == F.col(name), "left_semi")

@@ -174,6 +174,23 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], threshold: flo
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
 
 
+def without_toxic(df: DataFrame, text_column: str, model: tuple[dict[int, float], float], threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df`` whose text scores below the threshold, as they are."""
+    weights, intercept = model
+    place, limit = df.columns.index(text_column), float(np.log(threshold / (1 - threshold)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from verispark.llm.toxicity import Features, words_of
+
+        chosen = list(weights)
+        tool, w = Features({h: k for k, h in enumerate(chosen)}), [weights[h] for h in chosen]
+        for batch in batches:
+            keep = [intercept + sum([w[k] for k in sorted(tool.of(words_of(t.as_py())))]) < limit for t in batch.column(place)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
