@@ -38,11 +38,10 @@ def test_radius_pairs_over_pole_and_dateline(spark, radius, spread):
     assert set(zip(got.l_id, got.r_id)) == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("levels", [15, 4])
-def test_nearest_is_exact_however_far(spark, levels):
+def test_nearest_is_exact_however_far(spark):
     a = pd.concat([points(60, 2), points(30, 5, "q", spread=0.2)], ignore_index=True)
     b = pd.concat([points(25, 3, "r"), points(25, 3, "s"), points(40, 6, "t", spread=0.2)], ignore_index=True)  # places twice, and a crowd
-    got = neighbours.nearest_match(spark.createDataFrame(a), spark.createDataFrame(b), "station_id", "station_id", levels=levels).toPandas().set_index("station_id")
+    got = neighbours.nearest_match(spark.createDataFrame(a), spark.createDataFrame(b), "station_id", "station_id").toPandas().set_index("station_id")
     d = matrix(a, b)
     for i, name in enumerate(a.station_id):
         assert got.nearest_km[name] == pytest.approx(d[i].min(), abs=1e-6)
@@ -114,7 +113,8 @@ def test_equal_area_cells_cover_the_sphere(spark):
     bands = geo.EqualAreaBands(500.0)
     total = 4 * np.pi * 6371.0088 ** 2
     assert sum(a * n for a, n in zip(bands.cell_areas_km2, bands.slices)) == pytest.approx(total)
-    assert bands.summary()["relative_sd"] < 0.05
+    areas, counts = np.array(bands.cell_areas_km2), np.array(bands.slices)
+    assert np.sqrt((counts * (areas / (total / counts.sum()) - 1) ** 2).sum() / counts.sum()) < 0.05
     df = spark.createDataFrame([(90.0, 10.0), (-90.0, -0.1), (0.0, 359.999), (0.0, -180.0), (0.0, 180.0)], "latitude double, longitude double")
     cells = [r.c for r in df.select(bands.cell_id(F.col("latitude"), F.col("longitude")).alias("c")).collect()]
     assert cells[0][:4] == f"b{bands.bands - 1:03d}" and cells[1][:4] == "b000" and cells[3] == cells[4]
@@ -133,26 +133,29 @@ def test_projection_on_the_central_meridian(spark):
 
 
 @pytest.fixture(scope="module")
-def globe(spark):
-    lat, lon = np.meshgrid(np.arange(-90, 90.1, 5.0), np.arange(0, 360, 5.0), indexing="ij")
-    pdf = pd.DataFrame({"source_id": np.arange(lat.size), "latitude": lat.ravel(), "longitude": lon.ravel()})
-    pdf["value"] = np.sin(np.radians(pdf.latitude)) + 0.3 * np.cos(2 * np.radians(pdf.longitude))
+def lattice():
+    """A thinned Fibonacci lattice with a field of two waves."""
+    k = np.arange(1500)
+    pdf = pd.DataFrame({"source_id": k, "latitude": np.degrees(np.arcsin(1 - 2 * (k + 0.5) / 1500)), "longitude": k * 137.50776405 % 360 - 180})
+    pdf["value"] = 4.0 + np.cos(np.radians(3 * pdf.latitude)) * np.sin(np.radians(2 * pdf.longitude + 25))
     return pdf
 
 
-def test_kernel_identities(spark, globe):
-    targets = pd.DataFrame({"target_id": [0, 1, 2, 3], "latitude": [0.0, 45.0, 80.0, 0.0], "longitude": [180.0, 10.0, -170.0, -180.0]})
-    w = kernel.kernel_weights(spark.createDataFrame(targets), spark.createDataFrame(globe[["source_id", "latitude", "longitude"]]), [500.0])
-    field = spark.createDataFrame(globe[["source_id", "value"]]).withColumn("time", F.lit(0)).withColumn("one", F.lit(1.0))
-    smooth = kernel.apply_kernel(w, field, ["time"], "value").orderBy("target_id").toPandas().smoothed.to_numpy()
-    ones = kernel.apply_kernel(w, field, ["time"], "one").toPandas().smoothed
-    assert np.abs(ones - 1).max() < 1e-12
-    assert abs(smooth[0] - smooth[3]) < 1e-12
-    for i, t in targets.iterrows():
-        d = haversine(t.latitude, t.longitude, globe.latitude, globe.longitude)
-        keep = d <= 2000.0
-        weight = np.exp(-0.5 * (d[keep] / 500.0) ** 2) * np.maximum(np.cos(np.radians(globe.latitude[keep])), 0)
-        assert smooth[i] == pytest.approx((weight * globe.value[keep]).sum() / weight.sum(), abs=1e-10)
+def test_kernel_against_all_distances(spark, lattice):
+    places = [(11, -33.5, 179.9), (12, -33.5, -180.1), (13, 71.2, 25.8), (14, -88.9, 100.0), (15, 6.3, -52.4), (16, 71.2, 385.8)]
+    targets = pd.DataFrame(places, columns=["target_id", "latitude", "longitude"])
+    sigma = 640.0
+    w = kernel.kernel_weights(spark.createDataFrame(targets), spark.createDataFrame(lattice[["source_id", "latitude", "longitude"]]), [sigma])
+    field = spark.createDataFrame(lattice[["source_id", "value"]]).withColumn("time", F.lit(7)).withColumn("flat", F.lit(-2.5))
+    smooth = kernel.apply_kernel(w, field, ["time"], "value").toPandas().set_index("target_id").smoothed
+    flat = kernel.apply_kernel(w, field, ["time"], "flat").toPandas().smoothed
+    assert np.abs(flat + 2.5).max() < 1e-12
+    # One place under two names of its longitude.
+    assert abs(smooth[13] - smooth[16]) < 1e-12
+    for t in targets.itertuples():
+        km = haversine(t.latitude, t.longitude, lattice.latitude, lattice.longitude)
+        share = np.where(km <= 4 * sigma, np.exp(-0.5 * (km / sigma) ** 2) * np.maximum(np.cos(np.radians(lattice.latitude)), 0), 0.0)
+        assert smooth[t.target_id] == pytest.approx((share * lattice.value).sum() / share.sum(), abs=1e-10)
 
 
 def test_bilinear_has_no_wrap_and_clips(spark):
@@ -184,14 +187,25 @@ def test_planar_filter_keeps_constants(spark):
     assert out.roughness == pytest.approx(0, abs=1e-12)
 
 
-def test_four_labelled_stations(spark):
-    reference = spark.createDataFrame([("isd-a", 50.0, 1.0, 100.0, "01234")], "station_id string, latitude double, longitude double, altitude_m double, wmo_id string")
-    rows = [("same-site", "open_uk", 50.0001, 1.0001, 102.0, "NCM", True), ("gts-site", "open_uk", 52.0, 2.0, 120.0, "SYNOP", False),
-            ("local-site", "amateur", 53.0, 3.0, 130.0, "LOCAL_NON_GTS", True), ("unknown-site", "hourly", 54.0, 4.0, 140.0, "", False)]
-    cand = spark.createDataFrame(rows, "station_id string, network string, latitude double, longitude double, altitude_m double, report_type string, documented_non_operational boolean")
-    out = risk.classify(cand, reference, {"amateur": "low_risk_candidate"}, ("wmo_id",), 1.0, 30.0, ("SYNOP", "METAR"), ("LOCAL_NON_GTS",))
-    got = {r.station_id: r.risk_class for r in out.collect()}
-    assert got == {"same-site": "potentially_assimilated", "gts-site": "potentially_assimilated", "local-site": "low_risk_candidate", "unknown-site": "unknown"}
+def test_every_rule_of_the_risk_cascade(spark):
+    columns = "station_id string, network string, latitude double, longitude double, altitude_m double, report_type string, documented_non_operational boolean, wmo_id string"
+    reference = spark.createDataFrame([("ref-1", -41.3, 174.8, 12.0, "93434"), ("ref-2", 64.1, -179.995, 5.0, "25399")],
+                                      "station_id string, latitude double, longitude double, altitude_m double, wmo_id string")
+    registry = {"airfields": "potentially_assimilated", "gardens": "confirmed_independent", "schools": "low_risk_candidate"}
+    rows = [("beside", "gardens", -41.302, 174.801, 20.0, "LOCAL", True, None, "potentially_assimilated"),
+            ("over the dateline", "gardens", 64.1, 179.995, 6.0, "", True, None, "potentially_assimilated"),
+            ("beside but high above", "gardens", -41.302, 174.801, 400.0, "", None, None, "confirmed_independent"),
+            ("same number", "schools", 10.0, 10.0, 1.0, "LOCAL", True, "93434", "potentially_assimilated"),
+            ("own number", "schools", 11.0, 10.0, 1.0, "LOCAL", True, "70001", "potentially_assimilated"),
+            ("sends bulletins", "gardens", 12.0, 10.0, 1.0, "metar", True, None, "potentially_assimilated"),
+            ("known network", "Airfields ", 13.0, 10.0, 1.0, "LOCAL", True, None, "potentially_assimilated"),
+            ("documented", "schools", 14.0, 10.0, 1.0, "", True, None, "low_risk_candidate"),
+            ("undocumented", "schools", 15.0, 10.0, 1.0, "", False, None, "unknown"),
+            ("local type", "hobby", 16.0, 10.0, 1.0, "LOCAL", False, None, "low_risk_candidate"),
+            ("no place", "gardens", None, None, 1.0, "", None, None, "confirmed_independent"),
+            ("nothing known", None, 17.0, 10.0, None, None, None, None, "unknown")]
+    out = risk.classify(spark.createDataFrame([r[:-1] for r in rows], columns), reference, registry, ("wmo_id",), 1.0, 30.0, ("METAR",), ("LOCAL",))
+    assert {r.station_id: r.risk_class for r in out.collect()} == {r[0]: r[-1] for r in rows}
 
 
 def test_segments_far_and_near(spark):
@@ -210,6 +224,39 @@ def test_segments_far_and_near(spark):
         assert got[i] == pytest.approx(best / 1000, rel=1e-9)
 
 
+def test_points_without_a_segment_or_a_place_stay(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9e9, 0.0), (3, None, 1.0), (4, float("nan"), 1.0)], "id int, x double, y double")
+    segments = spark.createDataFrame([(0.0, 3e3, 1e3, 3e3)], "ax double, ay double, bx double, by double")
+    got = {r.id: r.distance_km for r in neighbours.nearest_segment_km(points, segments, "id", 1e4).collect()}
+    assert got[1] == pytest.approx(3.0) and got[2] == pytest.approx(9e6 - 1, rel=1e-6) and got[3] is None and got[4] is None
+    none = neighbours.nearest_segment_km(points, segments.limit(0), "id", 1e4).collect()
+    assert {r.id: r.distance_km for r in none} == {1: None, 2: None, 3: None, 4: None}
+
+
+def test_nearest_match_keeps_every_point_and_crosses_cube_planes(spark):
+    rng = np.random.default_rng(8)
+    a = pd.DataFrame({"id": range(120), "latitude": 30.5 + rng.uniform(-0.2, 0.2, 120), "longitude": rng.uniform(-0.2, 0.2, 120)})
+    b = pd.DataFrame({"id": range(120), "latitude": 30.5 + rng.uniform(-0.2, 0.2, 120), "longitude": 0.3 + rng.uniform(-0.1, 0.1, 120)})
+    left = spark.createDataFrame([*a.itertuples(index=False, name=None), (900, None, 1.0), (901, float("nan"), 1.0)], "id long, latitude double, longitude double")
+    got = {r.id: (r.nearest_id, r.nearest_km) for r in neighbours.nearest_match(left, spark.createDataFrame(b), "id", "id").collect()}
+    assert len(got) == 122 and got[900] == (None, None) and got[901] == (None, None)
+    for t in a.itertuples():
+        km = haversine(t.latitude, t.longitude, b.latitude, b.longitude)
+        assert got[t.id][0] == int(km.argmin()) and got[t.id][1] == pytest.approx(km.min())
+
+
+def test_fine_cells_keep_their_numbers(spark):
+    for size in (10.0, 4.0):
+        bands = geo.EqualAreaBands(size)
+        df = spark.createDataFrame([(0.0, 0.0), (50.0, 3.0), (50.1, 3.0), (89.0, 10.0), (-89.9, 359.9)], "lat double, lon double")
+        cell = df.select("lat", "lon", bands.cell_id(F.col("lat"), F.col("lon")).alias("c"))
+        lat, lon = bands.centre(F.col("c"))
+        rows = cell.withColumns({"clat": lat, "clon": lon}).collect()
+        assert len({r.c for r in rows}) == 5
+        for r in rows:
+            assert haversine(r.lat, r.lon, r.clat, r.clon) < size
+
+
 def test_support_zero_is_the_centre_and_absent_values_leave_the_norm(spark):
     st = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.3), (3, 0.0, 5.0)], "station_id int, latitude double, longitude double")
     obs = spark.createDataFrame([(1, 1, 10.0), (2, 1, 20.0), (3, 1, 99.0), (1, 2, None), (2, 2, 30.0)], "station_id int, t int, v double")

@@ -53,6 +53,12 @@ def offset_block(latitude: Column, longitude: Column, degrees: float) -> Column:
     return F.concat_ws("_", row.cast("string"), column.cast("string"))
 
 
+def padded(number: Column, digits: int) -> Column:
+    """A whole number with leading zeros up to ``digits``; longer ones keep every digit."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(digits)), F.lit("0"))
+
+
 class EqualAreaBands:
     """Latitude bands of a target height, each cut into slices of near-equal area.
 
@@ -83,11 +89,11 @@ class EqualAreaBands:
         slices = self._pick(self.slices, band)
         turn = F.pmod(longitude, F.lit(360.0)) / 360.0
         index = F.least(slices - 1, F.floor(turn * slices)).cast("int")
-        return F.concat(F.lit("b"), F.lpad(band.cast("string"), 3, "0"),
-                        F.lit("s"), F.lpad(index.cast("string"), 4, "0"))
+        return F.concat(F.lit("b"), padded(band, 3), F.lit("s"), padded(index, 4))
 
     def parse(self, cell_id: Column) -> tuple[Column, Column]:
-        return F.substring(cell_id, 2, 3).cast("int"), F.substring(cell_id, 6, 4).cast("int")
+        pattern = "^b([0-9]+)s([0-9]+)$"
+        return F.regexp_extract(cell_id, pattern, 1).cast("int"), F.regexp_extract(cell_id, pattern, 2).cast("int")
 
     def centre(self, cell_id: Column) -> tuple[Column, Column]:
         """Latitude halving the cell's area and the middle longitude."""
@@ -101,15 +107,6 @@ class EqualAreaBands:
         band, _ = self.parse(cell_id)
         return self._pick(self.cell_areas_km2, band)
 
-    def summary(self) -> dict:
-        """Dispersion of the cell areas over the whole tessellation."""
-        cells = sum(self.slices)
-        mean = sum(a * n for a, n in zip(self.cell_areas_km2, self.slices)) / cells
-        spread = math.sqrt(sum(n * (a - mean) ** 2 for a, n in zip(self.cell_areas_km2, self.slices)) / cells)
-        return {"target_cell_km": self.cell_km, "bands": self.bands, "cells": cells, "mean_km2": mean,
-                "sd_km2": spread, "min_km2": min(self.cell_areas_km2), "max_km2": max(self.cell_areas_km2),
-                "relative_sd": spread / mean}
-
 
 def transverse_mercator(latitude: Column, longitude: Column, central_meridian: float | Column,
                         scale: float = 0.9996, false_easting: float = 500000.0) -> tuple[Column, Column]:

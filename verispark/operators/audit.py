@@ -11,6 +11,8 @@ from ..functions.calendar import in_leap_year, is_leap_day
 from .order_stats import grouped_quantiles
 
 
+# The names of the checks and the severities pass, warn, fail and unknown are fixed values of the result.
+
 def _finding(check: str, severity: Column, value: Column) -> Column:
     return F.struct(F.lit(check).alias("check"), severity.alias("severity"), value.cast("double").alias("detail"))
 

@@ -24,6 +24,17 @@ from .contracts import attach_row
 TASK_ROWS = 1_000_000
 
 
+def without_nan(df: DataFrame, *columns: str) -> DataFrame:
+    """NaN read as missing in the named floating-point columns."""
+    types = dict(df.dtypes)
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(types[c])) for c in columns if types[c] in ("double", "float")})
+
+
+def interpolated(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation that leaves an order statistic as it is where nothing has to be interpolated, infinite ones too."""
+    return F.when((share == 0) | (low == high), low).otherwise(low + share * (high - low))
+
+
 def fits_a_task(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
     """Whether the largest group holds at most ``limit`` rows: one pre-aggregated count."""
     limit = TASK_ROWS if limit is None else limit
@@ -35,6 +46,7 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, weight: str
                       buckets: int = 64, limit: int | None = None) -> DataFrame:
     """Per distinct value: its count, the count below it and the group total."""
     by = list(by)
+    df = without_nan(df, value)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(amount.alias("n_equal"))
     if fits_a_task(df, by, limit):
@@ -61,16 +73,17 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, weight: str
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str, limit: int | None = None) -> DataFrame:
-    """Every row with the mean rank of its tie group."""
-    df = cut_lineage(df)
+    """Every row with the mean rank of its tie group, NULL where the value is missing."""
+    df = cut_lineage(without_nan(df, value))
     ranks = (cumulative_counts(df, by, value, limit=limit)
              .select(*by, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(name)))
-    return df.join(ranks, [*by, value])
+    return df.join(ranks, [*by, value], "left")
 
 
 def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
                       limit: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles of every group, one column per entry of ``probs``."""
+    df = without_nan(df, value)
     if fits_a_task(df, by, limit):
         group = Window.partitionBy(*by)
         place = (df.where(F.col(value).isNotNull()).select(*by, value)
@@ -79,12 +92,10 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
         picks, columns = [], []
         for name, p in probs.items():
             position = (F.col("_n") - 1) * F.lit(float(p))
-            low, high = F.floor(position), F.ceil(position)
-            share = position - low
-            weight = F.when(F.col("_k") == low, 1 - share).otherwise(F.lit(0.0)) + F.when(
-                F.col("_k") == high, share).otherwise(F.lit(0.0))
-            picks.append((F.col("_k") == low) | (F.col("_k") == high))
-            columns.append(F.sum(weight * F.col(value)).alias(name))
+            low, high = F.col("_k") == F.floor(position), F.col("_k") == F.ceil(position)
+            picks.append(low | high)
+            columns.append(interpolated(F.max(F.when(low, F.col(value))), F.max(F.when(high, F.col(value))),
+                                        F.max(position - F.floor(position))).alias(name))
         wanted = picks[0]
         for pick in picks[1:]:
             wanted = wanted | pick
@@ -101,7 +112,7 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
     for name, p in probs.items():
         position = (F.col("n_values") - 1) * F.lit(float(p))
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        columns.append((low + (position - F.floor(position)) * (high - low)).alias(name))
+        columns.append(interpolated(low, high, position - F.floor(position)).alias(name))
     return picked.select(*by, "n_values", *columns)
 
 
@@ -127,7 +138,7 @@ def quantile_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, name:
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, name: str = "spearman",
              limit: int | None = None) -> DataFrame:
     """Rank correlation over rows where both values are present, average ranks for ties."""
-    pairs = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = (without_nan(df, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
              .groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_k")))
     if fits_a_task(df, by, limit):
         joined = ranked_within(ranked_within(pairs, by, x, "_rx", "_k"), by, y, "_ry", "_k")

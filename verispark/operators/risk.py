@@ -44,10 +44,11 @@ def classify(candidates: DataFrame, reference: DataFrame, registry: dict[str, st
     ref_columns = [c for c in (*identifier_columns, *extra_identifiers) if c in reference.columns]
     near = nearest_match(candidates, reference, "station_id", "station_id")
     heights = reference.select(F.col("station_id").alias("nearest_id"), F.col("altitude_m").alias("_ref_z"))
-    joined = (near.join(heights, "nearest_id")
+    joined = (near.join(heights, "nearest_id", "left")
               .join(identifier_matches(candidates, reference, columns, ref_columns), "station_id", "left"))
     gap = F.abs(F.col("altitude_m") - F.col("_ref_z"))
-    physical = (F.col("nearest_km") <= radius_km) & (gap.isNull() | (gap <= elevation_tolerance_m))
+    # A candidate without coordinates is nowhere near, and stays in the result.
+    physical = F.coalesce((F.col("nearest_km") <= radius_km) & (gap.isNull() | (gap <= elevation_tolerance_m)), F.lit(False))
     report = _either(candidates, "report_type", lambda c: F.upper(F.coalesce(c, F.lit(""))))
     international = F.lit(False)
     for c in identifier_columns:

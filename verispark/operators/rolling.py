@@ -25,12 +25,17 @@ def centred_median(df: DataFrame, key: str, order: Sequence[str], value: str, ha
     rows of every bucket form a thin edge table; a window over the edges alone
     finds what lies beyond each boundary, and those rows are handed to the bucket
     as a halo.  One series may therefore hold any share of the data.
-    ``order[0]`` must be a timestamp.
+    ``order[0]`` must be a timestamp; every report counts, also those that share their times.
     """
     order = list(order)
     slim = (df.withColumn("_bucket", F.date_trunc(bucket, F.col(order[0])))
             .withColumn("_value", F.col(value)))
     cell = [key, "_bucket"]
+    # Reports that share a time follow one another by value; equal ones are told apart by number.
+    names = order
+    tied = Window.partitionBy(*cell, *order, "_value").orderBy(F.lit(0))
+    slim = slim.withColumn("_rank_value", F.col("_value")).withColumn("_tie", F.row_number().over(tied))
+    order = [*order, "_rank_value", "_tie"]
     ascending = Window.partitionBy(*cell).orderBy(*order)
     descending = Window.partitionBy(*cell).orderBy(*[F.desc(c) for c in order])
     core = slim.select(key, "_bucket", *order, "_value")
@@ -58,7 +63,7 @@ def centred_median(df: DataFrame, key: str, order: Sequence[str], value: str, ha
                 F.coalesce(after, F.array().cast(_array_type(around, packed)))))).alias("_r"))
             .select(key, "_bucket", *[F.col(f"_r.{c}").alias(c) for c in order],
                     F.col("_r._value").alias("_value"), F.lit(True).alias("_halo")))
-    payload = [c for c in df.columns if c not in (key, *order)]
+    payload = [c for c in df.columns if c not in (key, *names)]
     main = slim.select(key, "_bucket", *order, "_value", F.lit(False).alias("_halo"),
                        F.struct(*payload).alias("_row") if payload else F.lit(None).alias("_row"))
     full = main.unionByName(halo, allowMissingColumns=True)
@@ -66,7 +71,7 @@ def centred_median(df: DataFrame, key: str, order: Sequence[str], value: str, ha
     near += [F.col("_value")] + [F.lead("_value", s).over(ascending) for s in range(1, half + 1)]
     rolled = full.withColumn("_near", F.array(*near)).where(~F.col("_halo"))
     return rolled.select(
-        key, *order, *[F.col(f"_row.`{c}`").alias(c) for c in payload],
+        key, *names, *[F.col(f"_row.`{c}`").alias(c) for c in payload],
         median_of(F.col("_near")).alias(median),
         F.size(F.array_compact(F.col("_near"))).cast("bigint").alias(count))
 

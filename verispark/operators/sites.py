@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from .contracts import first_present
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) where the component is its smallest node id.
 
     Alternates two star contractions, which needs a logarithmic number of
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     current = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     seal = None
-    for _ in range(max_rounds):
+    while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Larger neighbours move to the smallest node around u.
@@ -38,7 +38,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             return (current.select(F.col("u").alias("node"), F.col("v").alias("component"))
                     .union(current.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
         seal = tuple(state)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 # Marks a record without an elevation among the elevation bands.
@@ -62,6 +61,7 @@ def site_links(stations: DataFrame, radius_km: float, elevation_tolerance_m: flo
     """
     side = chord_of_arc(radius_km) / 3 ** 0.5 * (1 - 1e-9)
     x, y, z = unit_xyz(F.col("latitude"), F.col("longitude"))
+    stations = stations.withColumn("altitude_m", F.nanvl(F.col("altitude_m").cast("double"), F.lit(None).cast("double")))
     placed = stations.select("station_id", "latitude", "longitude", "altitude_m",
                              *([identifier] if identifier else []), x.alias("x"), y.alias("y"), z.alias("z"))
     band = F.floor(F.col("altitude_m") / elevation_tolerance_m).cast("int")

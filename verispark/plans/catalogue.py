@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions import geo
 from ..functions import quality as q
 from ..functions import strata, text
 from ..operators import contracts, contrast, order_stats, panel, score
@@ -142,12 +143,12 @@ def parse_badc_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("parse_fixed_stations", "WITH " + d.STATIONS_SQL + """
-SELECT lpad(CAST(station_id AS VARCHAR), 5, '0') AS native_station_id, round(altitude_m, 2) AS altitude_m, round(latitude, 2) AS latitude,
+SELECT lpad(CAST(station_id AS VARCHAR), CAST(greatest(5, length(CAST(station_id AS VARCHAR))) AS INTEGER), '0') AS native_station_id, round(altitude_m, 2) AS altitude_m, round(latitude, 2) AS latitude,
        round(longitude, 2) AS longitude, 'Old ' || network || ' Hill' AS station_name, 'S' || region AS state, '1990-01-15' AS open_date FROM stations""")
 def parse_fixed_stations(spark: SparkSession, sf: str) -> DataFrame:
     """Whitespace-aligned station list with blanks inside names, below two header lines."""
     stations = d.stations(spark, sf)
-    line = F.concat_ws("   ", F.lpad(F.col("station_id").cast("string"), 5, "0"), F.lit("19900115"), F.lit("20201231"),
+    line = F.concat_ws("   ", geo.padded(F.col("station_id"), 5), F.lit("19900115"), F.lit("20201231"),
                        F.format_string("%.2f", "altitude_m"), F.format_string("%.2f", "latitude"), F.format_string("%.2f", "longitude"),
                        F.concat(F.lit("Old "), "network", F.lit(" Hill")), F.concat(F.lit("S"), "region"))
     lines = stations.select(F.lit("list").alias("path"), line.alias("line")).unionByName(stations.agg(
@@ -157,7 +158,7 @@ def parse_fixed_stations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("parse_product_lines", """
-SELECT lpad(CAST(user_id AS VARCHAR), 5, '0') AS native_station_id, count(*) AS n, count(*) FILTER (WHERE value > 20) AS n_quality,
+SELECT lpad(CAST(user_id AS VARCHAR), CAST(greatest(5, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') AS native_station_id, count(*) AS n, count(*) FILTER (WHERE value > 20) AS n_quality,
        round(avg(value), 6) AS mean, strftime(min(ts), '%Y-%m-%d %H') AS first_time FROM events GROUP BY ALL""")
 def parse_product_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Padded semicolon rows with a quality level and hour stamps."""
@@ -242,8 +243,8 @@ def segment_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("scalar_text", """
 SELECT doc_id, length(text) AS n_chars, length(regexp_extract(text, '([A-Za-z]+)', 1)) AS first_word,
-       len(string_split(text, ' ')) AS n_words, upper(trim(lang)) AS lang, lpad(CAST(doc_id AS VARCHAR), 6, '0') AS padded,
-       'b' || lpad(CAST(doc_id % 180 AS VARCHAR), 3, '0') || 's' || lpad(CAST(doc_id AS VARCHAR), 4, '0') AS code,
+       len(string_split(text, ' ')) AS n_words, upper(trim(lang)) AS lang, lpad(CAST(doc_id AS VARCHAR), CAST(greatest(6, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS padded,
+       'b' || lpad(CAST(doc_id % 180 AS VARCHAR), CAST(greatest(3, length(CAST(doc_id % 180 AS VARCHAR))) AS INTEGER), '0') || 's' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(4, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS code,
        TRY_CAST(replace(source, ',', '.') AS DOUBLE) AS number, regexp_matches(text, '[0-9]{3}') AS has_digits, sha256(text) AS digest,
        concat_ws('|', lang, source) AS joined FROM documents""")
 def scalar_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,8 +253,8 @@ def scalar_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "documents").select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"),
         F.length(F.regexp_extract("text", "([A-Za-z]+)", 1)).cast("bigint").alias("first_word"),
-        F.size(F.split("text", " ")).cast("bigint").alias("n_words"), F.upper(F.trim("lang")).alias("lang"), F.lpad(key, 6, "0").alias("padded"),
-        F.concat(F.lit("b"), F.lpad((F.col("doc_id") % 180).cast("string"), 3, "0"), F.lit("s"), F.lpad(key, 4, "0")).alias("code"),
+        F.size(F.split("text", " ")).cast("bigint").alias("n_words"), F.upper(F.trim("lang")).alias("lang"), geo.padded(key, 6).alias("padded"),
+        F.concat(F.lit("b"), geo.padded((F.col("doc_id") % 180), 3), F.lit("s"), geo.padded(key, 4)).alias("code"),
         text.decimal_comma(F.col("source")).alias("number"), F.col("text").rlike("[0-9]{3}").alias("has_digits"), F.sha2("text", 256).alias("digest"),
         F.concat_ws("|", "lang", "source").alias("joined"))
 

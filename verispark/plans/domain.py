@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions import geo
 
 MODELS = ("alpha", "beta", "gamma")
 REFERENCES = ("ref_point", "ref_grid")
@@ -95,7 +96,7 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 INVENTORY_SQL = """inventory AS (
-  SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS station_id, c_mktsegment AS network,
+  SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(9, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS station_id, c_mktsegment AS network,
          (c_nationkey - 12)*6.0::DOUBLE + c_acctbal/199999 AS latitude,
          c_nationkey*15.0::DOUBLE - 180.0::DOUBLE + c_acctbal/399983 AS longitude,
          CASE WHEN c_acctbal >= 0 THEN c_acctbal/2 END AS altitude_m
@@ -106,7 +107,7 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of records around 25 places, some without an elevation, one across the dateline."""
     balance, nation = F.col("c_acctbal"), F.col("c_nationkey")
     return table(spark, sf, "customer").select(
-        F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("station_id"),
+        F.concat(F.lit("c"), geo.padded(F.col("c_custkey"), 9)).alias("station_id"),
         F.col("c_mktsegment").alias("network"), ((nation - 12) * F.lit(6.0) + balance / 199999).alias("latitude"),
         (nation * F.lit(15.0) - 180.0 + balance / 399983).alias("longitude"),
         F.when(balance >= 0, balance / 2).alias("altitude_m"))

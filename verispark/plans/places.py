@@ -13,17 +13,17 @@ from .registry import query, r, rounded
 BANDS = geo.EqualAreaBands(500.0)
 
 
-def _bands_sql() -> str:
+def _bands_sql(tiling: geo.EqualAreaBands = BANDS) -> str:
     """Band table from the definition: equal heights, slices from the band area."""
-    n = BANDS.bands
+    n, area = tiling.bands, tiling.cell_km ** 2
     return f"""bands AS (
   SELECT b.range AS band, -90.0 + 180.0*b.range/{n} AS south, -90.0 + 180.0*(b.range+1)/{n} AS north,
-         greatest(CAST(round_even(2*pi()*6371.0088*6371.0088*(sin(radians(-90.0 + 180.0*(b.range+1)/{n})) - sin(radians(-90.0 + 180.0*b.range/{n})))/250000.0, 0) AS BIGINT), 1) AS slices
+         greatest(CAST(round_even(2*pi()*6371.0088*6371.0088*(sin(radians(-90.0 + 180.0*(b.range+1)/{n})) - sin(radians(-90.0 + 180.0*b.range/{n})))/{area}, 0) AS BIGINT), 1) AS slices
   FROM range(0, {n}) b),
 celled AS (
   SELECT s.*, b.band, b.slices, b.south, b.north, least(b.slices-1, CAST(floor(((s.longitude % 360 + 360) % 360)/360*b.slices) AS BIGINT)) AS slice
   FROM stations s JOIN bands b ON b.band = least({n}-1, greatest(0, CAST(floor((s.latitude+90)/(180.0/{n})) AS BIGINT)))),
-cells AS (SELECT *, 'b' || lpad(CAST(band AS VARCHAR), 3, '0') || 's' || lpad(CAST(slice AS VARCHAR), 4, '0') AS cell_id FROM celled)"""
+cells AS (SELECT *, 'b' || lpad(CAST(band AS VARCHAR), CAST(greatest(3, length(CAST(band AS VARCHAR))) AS INTEGER), '0') || 's' || lpad(CAST(slice AS VARCHAR), CAST(greatest(4, length(CAST(slice AS VARCHAR))) AS INTEGER), '0') AS cell_id FROM celled)"""
 
 
 CELLS_SQL = "WITH " + d.STATIONS_SQL + ", " + _bands_sql()
@@ -41,6 +41,25 @@ def geo_equal_area_cells(spark: SparkSession, sf: str) -> DataFrame:
                          r(BANDS.area_km2(F.col("cell_id")), 3).alias("area_km2"))
 
 
+FINE = {size: geo.EqualAreaBands(size) for size in (10.0, 4.0)}
+
+
+@query("geo_equal_area_cells_fine", " UNION ALL ".join(f"""
+SELECT * FROM (WITH {d.STATIONS_SQL}, {_bands_sql(tiling)}
+SELECT {size} AS cell_km, station_id, cell_id, CAST(band AS BIGINT) AS band, CAST(slice AS BIGINT) AS slice,
+       round(degrees(asin((sin(radians(south))+sin(radians(north)))/2)), 6) AS centre_latitude FROM cells)""" for size, tiling in FINE.items()))
+def geo_equal_area_cells_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of a few kilometres, whose band and slice numbers outgrow three and four digits, read back from their ids."""
+    stations, out = d.stations(spark, sf), None
+    for size, tiling in FINE.items():
+        placed = stations.select(F.lit(size).alias("cell_km"), "station_id", tiling.cell_id(F.col("latitude"), F.col("longitude")).alias("cell_id"))
+        band, index = tiling.parse(F.col("cell_id"))
+        placed = placed.select("cell_km", "station_id", "cell_id", band.cast("bigint").alias("band"), index.cast("bigint").alias("slice"),
+                               r(tiling.centre(F.col("cell_id"))[0]).alias("centre_latitude"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
 @query("geo_unit_sphere", "WITH " + d.STATIONS_SQL + """
 SELECT station_id, round(cos(radians(latitude))*cos(radians(longitude)), 9) AS x, round(cos(radians(latitude))*sin(radians(longitude)), 9) AS y,
        round(sin(radians(latitude)), 9) AS z,
@@ -150,16 +169,16 @@ def sites_membership(spark: SparkSession, sf: str) -> DataFrame:
 CANDIDATES_SQL = d.INVENTORY_SQL + """,
 candidates AS (SELECT i.*, CASE network WHEN 'BUILDING' THEN 'SYNOP' WHEN 'FURNITURE' THEN 'LOCAL' ELSE '' END AS report_type,
                       CASE WHEN c_acctbal > 9000 THEN CAST(c_custkey AS VARCHAR) END AS wmo_id, c_acctbal < 500 AS documented_non_operational
-               FROM inventory i JOIN customer ON i.station_id = 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')),
-reference AS (SELECT 'r' || lpad(CAST(station_id AS VARCHAR), 9, '0') AS station_id, latitude, longitude, altitude_m,
-                     lpad(CAST(station_id*10 AS VARCHAR), 6, '0') || '99999' AS isd FROM stations)"""
+               FROM inventory i JOIN customer ON i.station_id = 'c' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(9, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0')),
+reference AS (SELECT 'r' || lpad(CAST(station_id AS VARCHAR), CAST(greatest(9, length(CAST(station_id AS VARCHAR))) AS INTEGER), '0') AS station_id, latitude, longitude, altitude_m,
+                     lpad(CAST(station_id*10 AS VARCHAR), CAST(greatest(6, length(CAST(station_id*10 AS VARCHAR))) AS INTEGER), '0') || '99999' AS isd FROM stations)"""
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     raw = d.table(spark, sf, "customer")
     network = F.col("network")
     return d.inventory(spark, sf).join(raw.select(
-        F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("station_id"),
+        F.concat(F.lit("c"), geo.padded(F.col("c_custkey"), 9)).alias("station_id"),
         F.when(F.col("c_acctbal") > 9000, F.col("c_custkey").cast("string")).alias("wmo_id"),
         (F.col("c_acctbal") < 500).alias("documented_non_operational")), "station_id").withColumn(
         "report_type", F.when(network == "BUILDING", "SYNOP").when(network == "FURNITURE", "LOCAL").otherwise(""))
@@ -167,7 +186,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def reference(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("station_id")
-    return d.stations(spark, sf).select(F.concat(F.lit("r"), F.lpad(key.cast("string"), 9, "0")).alias("station_id"), "latitude", "longitude",
+    return d.stations(spark, sf).select(F.concat(F.lit("r"), geo.padded(key, 9)).alias("station_id"), "latitude", "longitude",
                                         "altitude_m", key.cast("string").alias("wmo_id"))
 
 
@@ -177,7 +196,7 @@ REGISTRY = {"household": "confirmed_independent", "automobile": "potentially_ass
 @query("risk_cascade", "WITH " + d.STATIONS_SQL + ", " + CANDIDATES_SQL + f""",
 p AS (SELECT c.station_id, s.station_id AS ref, abs(c.altitude_m-s.altitude_m) AS gap, {d.haversine_sql('c', 's')} AS km FROM candidates c, reference s),
 n AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY round(km, 9), ref) AS rn FROM p),
-ids AS (SELECT CAST(s.station_id AS VARCHAR) AS key, min('r' || lpad(CAST(s.station_id AS VARCHAR), 9, '0')) AS ref FROM stations s GROUP BY 1),
+ids AS (SELECT CAST(s.station_id AS VARCHAR) AS key, min('r' || lpad(CAST(s.station_id AS VARCHAR), CAST(greatest(9, length(CAST(s.station_id AS VARCHAR))) AS INTEGER), '0')) AS ref FROM stations s GROUP BY 1),
 j AS (SELECT c.*, n.km, n.km <= 600 AND (n.gap IS NULL OR n.gap <= 500) AS physical, i.ref IS NOT NULL AS idmatch, coalesce(i.ref, '') AS idrefs,
              c.wmo_id IS NOT NULL AS international
       FROM candidates c JOIN n ON c.station_id = n.station_id AND n.rn = 1 LEFT JOIN ids i ON i.key = c.wmo_id)
@@ -194,18 +213,18 @@ def risk_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("identifier_variants", "WITH " + d.STATIONS_SQL + """,
-ref AS (SELECT lpad(CAST(station_id*10 AS VARCHAR), 6, '0') || CASE WHEN region = 0 THEN '99999' ELSE lpad(CAST(station_id AS VARCHAR), 5, '0') END AS id FROM stations),
+ref AS (SELECT lpad(CAST(station_id*10 AS VARCHAR), CAST(greatest(6, length(CAST(station_id*10 AS VARCHAR))) AS INTEGER), '0') || CASE WHEN region = 0 THEN '99999' ELSE lpad(CAST(station_id AS VARCHAR), CAST(greatest(5, length(CAST(station_id AS VARCHAR))) AS INTEGER), '0') END AS id FROM stations),
 keys AS (SELECT id AS key, id FROM ref UNION ALL SELECT substr(id, 1, 6), id FROM ref
          UNION ALL SELECT substr(id, 7, 5), id FROM ref WHERE substr(id, 7, 5) <> '99999'
          UNION ALL SELECT substr(id, 1, 5), id FROM ref WHERE substr(id, 6, 1) = '0'),
 known AS (SELECT key, min(id) AS id FROM keys GROUP BY key)
-SELECT c_custkey AS station_id, id AS identifier_overlap_ids FROM customer JOIN known ON key = lpad(CAST(c_custkey AS VARCHAR), 5, '0')""")
+SELECT c_custkey AS station_id, id AS identifier_overlap_ids FROM customer JOIN known ON key = lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(5, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0')""")
 def identifier_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Five-digit numbers matched against the parts of eleven-digit compound keys."""
     key = F.col("station_id")
-    tail = F.when(F.col("region") == 0, "99999").otherwise(F.lpad(key.cast("string"), 5, "0"))
-    ref = d.stations(spark, sf).select(F.concat(F.lpad((key * 10).cast("string"), 6, "0"), tail).alias("station_id"))
-    wanted = d.table(spark, sf, "customer").select(F.col("c_custkey").alias("station_id"), F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("wmo_id"))
+    tail = F.when(F.col("region") == 0, "99999").otherwise(geo.padded(key, 5))
+    ref = d.stations(spark, sf).select(F.concat(geo.padded((key * 10), 6), tail).alias("station_id"))
+    wanted = d.table(spark, sf, "customer").select(F.col("c_custkey").alias("station_id"), geo.padded(F.col("c_custkey"), 5).alias("wmo_id"))
     return risk.identifier_matches(wanted, ref, ("wmo_id",), ())
 
 
@@ -296,6 +315,23 @@ def coast_distance(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("station_id", r("distance_km").alias("coast_distance_km"))
 
 
+@query("coast_distance_all_points", "WITH " + COAST_SQL + """,
+pt AS (SELECT station_id, CASE WHEN altitude_m > 1000 THEN NULL ELSE longitude*100000 * (CASE WHEN altitude_m > 500 THEN 1000 ELSE 1 END) END AS x,
+              latitude*100000 AS y FROM inventory),
+u AS (SELECT *, least(1, greatest(0, ((x-ax)*(cx-ax)+(y-ay)*(cy-ay))/(pow(cx-ax,2)+pow(cy-ay,2)))) AS t FROM pt, seg)
+SELECT station_id, round(min(sqrt(pow(x-(ax+t*(cx-ax)),2)+pow(y-(ay+t*(cy-ay)),2)))/1000, 3) AS coast_distance_km FROM u GROUP BY station_id""")
+def coast_distance_all_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point is returned: high stations are moved far off, the highest have no longitude and so no distance."""
+    nodes = d.grid_targets(spark, sf).select("target_id", (F.col("longitude") * 100000).alias("x"), (F.col("latitude") * 100000).alias("y"))
+    ends = nodes.select((F.col("target_id") - 1).alias("target_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    segments = nodes.withColumnsRenamed({"x": "ax", "y": "ay"}).join(ends, "target_id").drop("target_id")
+    high = F.col("altitude_m")
+    x = F.when(high > 1000, F.lit(None)).otherwise(F.col("longitude") * 100000 * F.when(high > 500, 1000).otherwise(1))
+    points = d.inventory(spark, sf).select("station_id", x.alias("x"), (F.col("latitude") * 100000).alias("y"))
+    found = neighbours.nearest_segment_km(points, segments, "station_id", 500000.0, growth=16.0)
+    return found.select("station_id", r("distance_km", 3).alias("coast_distance_km"))
+
+
 FLOW_SQL = "WITH RECURSIVE " + d.STATIONS_SQL + ", " + _bands_sql().split(",\ncelled AS")[0] + ", " + d.LONG_SQL + f""",
 edges AS (SELECT a.station_id AS u, b.station_id AS v FROM stations a JOIN stations b ON a.station_id <> b.station_id WHERE {d.haversine_sql('a', 'b')} <= 400 AND abs(a.altitude_m-b.altitude_m) <= 2000),
 walk(node, root) AS (SELECT station_id, station_id FROM stations UNION SELECT e.v, w.root FROM walk w JOIN edges e ON e.u = w.node),

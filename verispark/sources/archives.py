@@ -103,12 +103,15 @@ def store_metadata(spark: SparkSession, root: str) -> dict:
 
 
 def read_coordinate(spark: SparkSession, root: str, name: str, metadata: dict) -> list[float]:
-    """A one-dimensional coordinate, its chunks in order: an axis of the grid."""
+    """A one-dimensional coordinate, its chunks in order: one axis of the grid, so the driver holds no more than that."""
     spec = metadata[f"{name}/.zarray"]
     size, step = spec["shape"][0], spec["chunks"][0]
     chunks = {int(r.path.rsplit("/", 1)[1]): bytes(r.content)
               for r in spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{name}/[0-9]*").select("path", "content").collect()}
     values: list[float] = []
+    missing = sorted(set(range((size + step - 1) // step)) - chunks.keys())
+    if missing:
+        raise FileNotFoundError(f"coordinate {name!r} lacks the chunks {missing}")
     for index in range((size + step - 1) // step):
         raw = np.frombuffer(decode_chunk(chunks[index], spec.get("compressor")), dtype=np.dtype(spec["dtype"]))
         values.extend(float(v) for v in raw[:min(step, size - index * step)])
@@ -126,10 +129,10 @@ def read_chunked_field(spark: SparkSession, root: str, name: str, metadata: dict
     spec, attrs = metadata[f"{name}/.zarray"], metadata.get(f"{name}/.zattrs", {})
     shape, chunks = tuple(spec["shape"]), tuple(spec["chunks"])
     if chunks[-2:] != shape[-2:] or len(shape) not in (2, 3, 4):
-        raise ValueError(f"unexpected horizontal chunking for {name}: {chunks} of {shape}")
+        raise ValueError(f"array {name!r}: one chunk must hold a whole horizontal plane, but chunks {chunks} cut shape {shape}")
     dims = attrs.get("_ARRAY_DIMENSIONS", ["time", "lead", "latitude", "longitude"][-len(shape):])[-2:]
     if sorted(dims) != ["latitude", "longitude"]:
-        raise ValueError(f"cannot orient {name}: {dims}")
+        raise ValueError(f"array {name!r}: the last two dimensions are {dims}, not latitude and longitude")
     swap, order = dims == ["longitude", "latitude"], spec.get("order", "C")
     dtype, compressor = np.dtype(spec["dtype"]), spec.get("compressor")
     lead_axes = len(shape) - 2
@@ -154,4 +157,15 @@ def read_chunked_field(spark: SparkSession, root: str, name: str, metadata: dict
                         "value": plane.ravel()})
 
     scan = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{name}/[0-9]*").select("path", "content")
+    # A plane that is absent would be a gap in every later result: names are counted before anything is read.
+    wanted = 1
+    for s, c in zip(shape, chunks):
+        wanted *= -(-s // c)
+    inside = F.lit(True)
+    parts = F.split(F.element_at(F.split("path", "/"), -1), "\\.")
+    for axis, (s, c) in enumerate(zip(shape, chunks)):
+        inside = inside & (F.get(parts, F.lit(axis)).cast("int") < -(-s // c))
+    there = scan.select("path").where(inside).distinct().count()
+    if there != wanted:
+        raise FileNotFoundError(f"array {name!r} has {there} of {wanted} chunks")
     return scan.mapInPandas(run, "time_idx int, lead_idx int, lat_idx int, lon_idx int, value double")

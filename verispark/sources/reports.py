@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import padded
 from ..functions.text import decimal_comma, file_stem, number_or_null, timestamp_or_null
 
 
@@ -55,15 +56,25 @@ def parse_semicolon_reports(lines: DataFrame, date_field: int, time_field: int,
                             time_pattern: str = "yyyy/MM/dd HHmm 'UTC'") -> DataFrame:
     """Data lines of a ``;`` file with decimal commas; header and preamble lines are not dates and drop out."""
     fields = F.split("line", ";")
-    stamp = F.concat_ws(" ", F.trim(fields[date_field]), F.trim(fields[time_field]))
+    # A line that ends early has no time of day: its stamp and value are NULL, the line stays.
+    stamp = F.concat_ws(" ", F.trim(F.get(fields, F.lit(date_field))), F.trim(F.get(fields, F.lit(time_field))))
     return (lines.where(F.col("line").rlike(r"^\s*[0-9]{4}[/-][0-9]{2}[/-][0-9]{2}"))
             .select("path", timestamp_or_null(stamp, time_pattern).alias("valid_time"),
                     decimal_comma(F.get(fields, F.lit(value_field))).alias("value")))
 
 
+def csv_fields(line: Column) -> Column:
+    """Fields of a comma-separated line; a quoted field may hold commas and doubled quotes."""
+    # A comma outside quotes has an even number of quotes after it.
+    parts = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    quoted = lambda x: F.trim(x).rlike('^"(?s:.*)"$')
+    bare = lambda x: F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return F.when(line.contains('"'), F.transform(parts, lambda x: F.when(quoted(x), bare(x)).otherwise(x))).otherwise(F.split(line, ",", -1))
+
+
 def parse_badc_metadata(lines: DataFrame) -> DataFrame:
     """Global attributes (``name,G,value...``) of each file: path, name, position, value."""
-    fields = F.split("line", ",")
+    fields = csv_fields(F.col("line"))
     rows = lines.where((F.size(fields) >= 3) & (F.get(fields, F.lit(1)) == "G"))
     return rows.select("path", fields[0].alias("name"),
                        F.posexplode(F.slice(fields, F.lit(3), F.size(fields) - 2)).alias("position", "value"))
@@ -71,11 +82,11 @@ def parse_badc_metadata(lines: DataFrame) -> DataFrame:
 
 def parse_badc_reports(lines: DataFrame, columns: Sequence[str], first_column: str = "ob_time") -> DataFrame:
     """Data rows of each file, columns found by that file's own header row; ``NA`` is missing."""
-    fields = F.transform(F.split("line", ","), lambda x: F.trim(x))
+    fields = F.transform(csv_fields(F.col("line")), lambda x: F.trim(x))
     # The byte order mark may cling to the first line of a file.
     header = lines.where(F.regexp_replace("line", "^﻿", "").startswith(first_column + ","))
     header = header.groupBy("path").agg(F.min("line").alias("_h"))
-    header = header.select("path", F.transform(F.split("_h", ","), lambda x: F.trim(x)).alias("_names"))
+    header = header.select("path", F.transform(csv_fields(F.col("_h")), lambda x: F.trim(x)).alias("_names"))
     data = lines.where(F.col("line").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]")).select("path", fields.alias("_f"))
     joined = data.join(header, "path")
 
@@ -90,13 +101,18 @@ def parse_badc_reports(lines: DataFrame, columns: Sequence[str], first_column: s
 def parse_fixed_stations(lines: DataFrame) -> DataFrame:
     """Whitespace station list: id, opening and closing date, height, latitude, longitude, name words, state.
 
-    The name may hold blanks; header and rule lines do not start with a number.
+    The name may hold blanks; header and rule lines do not start with a number.  A station line with
+    too few words or with words for numbers stops the job: a lost station would be an incomplete list.
     """
     parts = F.split(F.trim("line"), r"\s+")
     size = F.size(parts)
-    usable = lines.where(F.trim("line").rlike(r"^[0-9]+\s+[0-9]{8}\s+[0-9]{8}\s") & (size >= 8))
+    station = lines.where(F.trim("line").rlike(r"^[0-9]+\s+[0-9]{8}\s+[0-9]{8}(\s|$)"))
+    sound = F.coalesce((size >= 8) & number_or_null(F.get(parts, F.lit(3))).isNotNull() & number_or_null(F.get(parts, F.lit(4))).isNotNull()
+                       & number_or_null(F.get(parts, F.lit(5))).isNotNull(), F.lit(False))
+    usable = station.where(F.when(sound, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("station line cannot be read: "), F.col("line"))).cast("boolean")))
     return usable.select(
-        F.lpad(parts[0].cast("int").cast("string"), 5, "0").alias("native_station_id"),
+        padded(parts[0].cast("bigint"), 5).alias("native_station_id"),
         F.to_date(F.try_to_timestamp(parts[1], F.lit("yyyyMMdd"))).alias("open_date"),
         F.to_date(F.try_to_timestamp(parts[2], F.lit("yyyyMMdd"))).alias("archive_end_date"),
         number_or_null(parts[3]).alias("altitude_m"), number_or_null(parts[4]).alias("latitude"),
@@ -110,7 +126,7 @@ def parse_product_lines(lines: DataFrame, id_field: int, time_field: int, qualit
     """Semicolon product rows padded with blanks: station number, time, quality level, value."""
     f = F.transform(F.split("line", ";"), lambda x: F.trim(x))
     return lines.where(F.trim("line").rlike(r"^[0-9]+\s*;")).select(
-        F.lpad(F.get(f, F.lit(id_field)), 5, "0").alias("native_station_id"),
+        padded(F.get(f, F.lit(id_field)), 5).alias("native_station_id"),
         F.try_to_timestamp(F.get(f, F.lit(time_field)), F.lit(time_pattern)).cast("timestamp_ntz").alias("valid_time"),
         number_or_null(F.get(f, F.lit(quality_field))).alias("qc_level"),
         number_or_null(F.get(f, F.lit(value_field))).alias("value"))
