@@ -54,22 +54,27 @@ class FMIndex:
         self.text, self.ends, self.width = text, ends, width
         rank = np.where(inside, text + len(ends), 0)
         rank[ends] = np.arange(len(ends))
-        # Prefix doubling: the rank of a suffix by its first 1, 2, 4, ... symbols.
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-        step, short, short_step = 1, rank, 1
+        # Prefix doubling: the rank of a suffix by its first 3, 6, 12, ... symbols; three fit one key at the start.
+        bits = int(n + text.max(initial=0)).bit_length()
+        step = 3 if bits <= 21 and width >= 3 else 1
+        key = rank
+        for k in range(1, step):
+            later = np.zeros(n, np.int64)
+            later[:n - k] = rank[k:]
+            key = key << bits | later
         while True:
-            second = np.zeros(n, np.int64)
-            second[:n - step] = rank[step:] + 1
-            key = rank * (n + 1) + second
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-            step *= 2
             if step <= width:
                 short, short_step = rank, step
-            if rank[order[-1]] == n - 1:
+            if rank[order[-1]] == n - 1 and 2 * short_step >= width:
                 break
+            second = np.zeros(n, np.int64)
+            second[:max(0, n - step)] = rank[step:] + 1
+            key = rank * (n + 1) + second
+            step *= 2
         self.order = order
         # Two ranks by ``short_step`` symbols tell whether the first ``width`` symbols are equal.
         later = np.minimum(order + width - short_step, n - 1)

@@ -53,7 +53,7 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 700_000:
+        if len(self) > 1_000_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -165,14 +165,14 @@ def _pieces(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, anchor long, segment long, offset int, n int, doc long, words binary")
 
 
-def search_shard(words: list[bytes], docs: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each segment, a text of words joined by spaces, the smallest document of each of its windows."""
+def search_shard(words: list[bytes], docs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment, a text of words joined by spaces, the smallest document of each of its windows: all values, and where each segment's begin."""
     from .fm_index import FMIndex
 
-    split = [w.split(b" ") for w in words]
-    number: dict[bytes, int] = {}
-    symbols = np.array([number.setdefault(w, len(number) + 1) for s in split for w in s], np.int64)
-    lengths = np.array([len(s) for s in split])
+    lengths = np.array([w.count(b" ") + 1 for w in words])
+    flat = b" ".join(words).split(b" ")
+    number = {w: k for k, w in enumerate(dict.fromkeys(flat), 1)}
+    symbols = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     index = FMIndex(symbols, lengths, width)
     owner = np.repeat(docs, lengths + 1)
     smallest = np.minimum.reduceat(owner[index.order], index.group_start)
@@ -182,7 +182,7 @@ def search_shard(words: list[bytes], docs: np.ndarray, width: int = WIDTH) -> li
     base = np.concatenate([[0], np.cumsum(counts)])
     out = np.full(int(base[-1]), np.iinfo(np.int64).max)
     out[base[query] + offset] = smallest[group]
-    return np.split(out, base[1:-1])
+    return out, base
 
 
 def _search(pieces: DataFrame, partitions: int) -> DataFrame:
@@ -197,10 +197,10 @@ def _search(pieces: DataFrame, partitions: int) -> DataFrame:
         n_words = 0
 
         def flush() -> pa.RecordBatch:
-            found = search_shard([h[6] for h in held], np.array([h[5] for h in held], np.int64))
+            values, begins = search_shard([h[6] for h in held], np.array([h[5] for h in held], np.int64))
             return pa.RecordBatch.from_arrays(
                 [pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.int64()), pa.array([h[3] for h in held], pa.int32()),
-                 pa.array(found, pa.list_(pa.int64()))], names=names)
+                 pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(values))], names=names)
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
