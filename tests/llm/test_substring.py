@@ -95,12 +95,19 @@ def test_removal(spark, monkeypatch):
     assert run(spark, []) == []
 
 
-def test_small_shards_and_slices():
+def test_small_shards_and_slices(monkeypatch):
     rng = np.random.default_rng(1)
     words = [b"w%d" % k for k in rng.integers(0, 30, 400)]
     hashes = substring.HASHES.of(words)
-    anchor, segment, first, n = substring.segments(hashes)
+    anchor, segment, first, n, own = substring.segments([hashes])
     assert n.sum() == 400 - 12 and (first[1:] == first[:-1] + n[:-1]).all() and n.max() <= 9
+    # Together, alone and after others, a document has the same segments; slices only cut some.
+    many = substring.segments([hashes[:5], hashes[:200], hashes, hashes[:13], hashes[50:90]])
+    assert [m[many[4] == 2].tolist() for m in many[:4]] == [x.tolist() for x in (anchor, segment, first, n)]
+    assert [int(many[3][many[4] == k].sum()) for k in range(5)] == [0, 188, 388, 1, 28]
+    monkeypatch.setattr(substring, "SLICE", 64)
+    sliced = substring.segments([hashes])
+    assert sliced[3].sum() == 388 and set(sliced[0]) >= set(anchor)
     pieces = [b" ".join(words[f:f + k + 12]) for f, k in zip(first, n, strict=True)]
     values, begins = substring.search_shard(pieces, np.arange(len(pieces)))
     found = np.split(values, begins[1:-1])

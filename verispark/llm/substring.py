@@ -61,32 +61,68 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
-def segments(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, hash of its words, first word and number of windows of each segment of a document."""
-    parts = []
-    for a in range(0, max(0, len(hashes) - WIDTH + 1), SLICE):
-        h = hashes[a:a + SLICE + WIDTH - 1]
-        n = len(h) - WIDTH + 1
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * POWER[:len(h)], out=sums[1:])
-        gram = (sums[GRAM:] - sums[:-GRAM]) * INVERSE[:len(h) - GRAM + 1]
-        gram ^= gram >> np.uint64(29)
-        gram *= _MIX
-        gram ^= gram >> np.uint64(32)
-        # The low bits of the place ride along, so minima alone find the least of each window and where it is.
-        place = np.arange(len(gram), dtype=np.uint64)
-        least = gram & ~np.uint64(15) | place & np.uint64(15)
-        two = np.minimum(least[:-1], least[1:])
-        four = np.minimum(two[:-2], two[2:])
-        eight = np.minimum(four[:-4], four[4:])
-        value = np.minimum(eight[:n], least[SPAN - 1:SPAN - 1 + n])
-        at = (place[:n] + ((value - place[:n]) & np.uint64(15))).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        last = np.append(first[1:], n)
-        words = (sums[last + WIDTH - 1] - sums[first]) * INVERSE[first]
-        parts.append((gram[at[first]].view(np.int64), words.view(np.int64), first + a, last - first))
+def _cut(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of documents that lie one after another: anchor, hash of the words, first word and windows; ``bounds`` are the documents' ends."""
+    n = len(h) - WIDTH + 1
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * POWER[:len(h)], out=sums[1:])
+    gram = (sums[GRAM:] - sums[:-GRAM]) * INVERSE[:len(h) - GRAM + 1]
+    gram ^= gram >> np.uint64(29)
+    gram *= _MIX
+    gram ^= gram >> np.uint64(32)
+    # The low bits of the place ride along, so minima alone find the least of each window and where it is.
+    place = np.arange(len(gram), dtype=np.uint64)
+    least = gram & ~np.uint64(15) | place & np.uint64(15)
+    two = np.minimum(least[:-1], least[1:])
+    four = np.minimum(two[:-2], two[2:])
+    eight = np.minimum(four[:-4], four[4:])
+    value = np.minimum(eight[:n], least[SPAN - 1:SPAN - 1 + n])
+    at = (place[:n] + ((value - place[:n]) & np.uint64(15))).astype(np.int64)
+    # Windows across the end of a document are none.
+    crossing = np.zeros(len(h) + 1, np.int64)
+    np.add.at(crossing, np.maximum(bounds[:-1] - WIDTH + 1, 0), 1)
+    np.add.at(crossing, bounds[:-1], -1)
+    at[np.cumsum(crossing)[:n] > 0] = -1
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.append(first[1:], n)
+    inside = at[first] >= 0
+    first, last = first[inside], last[inside]
+    words = (sums[last + WIDTH - 1] - sums[first]) * INVERSE[first]
+    return gram[at[first]].view(np.int64), words.view(np.int64), first, last - first
+
+
+def segments(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, hash of its words, first word and number of windows of each segment, and the number of its document; from hashes of words.
+
+    Short documents are taken together; a long one is taken in slices, which cut segments but lose no window.
+    """
+    parts, held, size = [], [], 0
+
+    def flush() -> None:
+        nonlocal held, size
+        if held:
+            ends = np.cumsum([len(documents[k]) for k in held])
+            anchor, words, first, n = _cut(np.concatenate([documents[k] for k in held]), ends)
+            own = np.searchsorted(ends, first, "right")
+            parts.append((anchor, words, first - np.concatenate([[0], ends])[own], n, np.array(held)[own]))
+        held, size = [], 0
+
+    for k, hashes in enumerate(documents):
+        if len(hashes) < WIDTH:
+            continue
+        if len(hashes) > SLICE:
+            for a in range(0, len(hashes) - WIDTH + 1, SLICE):
+                part = hashes[a:a + SLICE + WIDTH - 1]
+                anchor, words, first, n = _cut(part, np.array([len(part)]))
+                parts.append((anchor, words, first + a, n, np.full(len(first), k)))
+            continue
+        if size + len(hashes) > SLICE:
+            flush()
+        held.append(k)
+        size += len(hashes)
+    flush()
     if not parts:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -98,33 +134,34 @@ def text_tag(text: str) -> int:
 
 
 def _occurrences(docs: DataFrame, whole: bool) -> DataFrame:
-    """doc and anchor, once per document, or with ``whole`` every segment: anchor, segment, doc, place (first word, tag of the text, windows)."""
+    """doc and anchor of every segment, or with ``whole`` also its words and place: anchor, segment, doc, place (first word, tag of the text, windows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from verispark.llm.substring import HASHES, segments, text_tag
 
-        def made(parts: list) -> pa.RecordBatch:
-            columns = [np.concatenate(p) for p in zip(*parts, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "segment", "doc", "place"] if whole else ["anchor", "doc"])
+        def made(ids: list[int], texts: list[str], hashes: list[np.ndarray]) -> pa.RecordBatch:
+            anchor, segment, first, n, own = segments(hashes)
+            doc = np.array(ids, np.int64)[own] if len(own) else own
+            if not whole:
+                return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc)], names=["anchor", "doc"])
+            tags = np.array([text_tag(t) for t in texts], np.int64)[own] if len(own) else own
+            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment), pa.array(doc), pa.array(first << 32 | tags << 8 | n)],
+                                              names=["anchor", "segment", "doc", "place"])
 
         for batch in batches:
-            parts, size = [], 0
+            ids, texts, hashes, size = [], [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 words = text.encode().split() if text else []
-                if len(words) < WIDTH:
-                    continue
-                anchor, segment, first, n = segments(HASHES.of(words))
-                if whole:
-                    parts.append((anchor, segment, np.full(len(anchor), doc), first << 32 | text_tag(text) << 8 | n))
-                else:
-                    anchor = np.unique(anchor)
-                    parts.append((anchor, np.full(len(anchor), doc)))
-                size += len(anchor)
-                if size > 200_000:
-                    yield made(parts)
-                    parts, size = [], 0
-            if parts:
-                yield made(parts)
+                if len(words) >= WIDTH:
+                    ids.append(doc)
+                    texts.append(text)
+                    hashes.append(HASHES.of(words))
+                    size += len(words)
+                if size > 500_000:
+                    yield made(ids, texts, hashes)
+                    ids, texts, hashes, size = [], [], [], 0
+            if ids:
+                yield made(ids, texts, hashes)
 
     return docs.mapInArrow(run, "anchor long, segment long, doc long, place long" if whole else "anchor long, doc long")
 
