@@ -95,10 +95,21 @@ def test_removal(spark, monkeypatch):
     assert run(spark, []) == []
 
 
+def test_word_hashes():
+    texts = [b"", b" a  bb\tccc\n", "é x\x85y \x1cz".encode(), b"longer-than-eight longer-than-eighT longer-than-eight", b"a", b"   ", b"x" * 1000 + b" " + b"x" * 999]
+    got = substring.word_hashes(texts)
+    assert [len(g) for g in got] == [len(t.split()) for t in texts]
+    known = {}
+    for t, g in zip(texts, got, strict=True):
+        for w, h in zip(t.split(), g.tolist(), strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known) and substring.word_hashes([]) == []
+
+
 def test_small_shards_and_slices(monkeypatch):
     rng = np.random.default_rng(1)
     words = [b"w%d" % k for k in rng.integers(0, 30, 400)]
-    hashes = substring.HASHES.of(words)
+    hashes, = substring.word_hashes([b" ".join(words)])
     anchor, segment, first, n, own = substring.segments([hashes])
     assert n.sum() == 400 - 12 and (first[1:] == first[:-1] + n[:-1]).all() and n.max() <= 9
     # Together, alone and after others, a document has the same segments; slices only cut some.

@@ -43,22 +43,31 @@ def _powers(base: int) -> np.ndarray:
 POWER, INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
-class WordHashes(dict):
-    """XXH64 of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 1_000_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-HASHES = WordHashes()
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text: eight bytes of all words at a time are mixed into what came before."""
+    joined = b" ".join(texts)
+    raw = np.frombuffer(joined + b" " + bytes(8), np.uint8)
+    edge = np.diff((~_SPACE[raw[:len(joined) + 1]]).view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    left = ends - starts
+    loads = np.ndarray((len(joined) + 1,), "<u8", raw.data, 0, (1,))
+    out = left.astype(np.uint64) * _MIX
+    live, at = np.arange(len(starts)), starts
+    while len(live):
+        mixed = (out[live] ^ loads[at] & _MASK[np.minimum(left, 8)]) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(_BASE)
+        out[live] = mixed ^ mixed >> np.uint64(32)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    # A text begins after the one before it and a space.
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    return np.split(out, np.searchsorted(starts, begins[1:-1])) if texts else []
 
 
 def _cut(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +135,7 @@ def segments(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def text_tag(text: str) -> int:
+def text_tag(text: str | bytes) -> int:
     """24 bits that tell rows with one id but different texts apart."""
     import xxhash
 
@@ -136,32 +145,29 @@ def text_tag(text: str) -> int:
 def _occurrences(docs: DataFrame, whole: bool) -> DataFrame:
     """doc and anchor of every segment, or with ``whole`` also its words and place: anchor, segment, doc, place (first word, tag of the text, windows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from verispark.llm.substring import HASHES, segments, text_tag
+        from verispark.llm.substring import segments, text_tag, word_hashes
 
-        def made(ids: list[int], texts: list[str], hashes: list[np.ndarray]) -> pa.RecordBatch:
-            anchor, segment, first, n, own = segments(hashes)
-            doc = np.array(ids, np.int64)[own] if len(own) else own
+        def made(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+            anchor, segment, first, n, own = segments(word_hashes(texts))
+            doc = np.array(ids, np.int64)[own]
             if not whole:
                 return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc)], names=["anchor", "doc"])
-            tags = np.array([text_tag(t) for t in texts], np.int64)[own] if len(own) else own
+            tags = np.array([text_tag(t) for t in texts], np.int64)[own]
             return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment), pa.array(doc), pa.array(first << 32 | tags << 8 | n)],
                                               names=["anchor", "segment", "doc", "place"])
 
         for batch in batches:
-            ids, texts, hashes, size = [], [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                words = text.encode().split() if text else []
-                if len(words) >= WIDTH:
+            ids, texts, size = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if text:
                     ids.append(doc)
                     texts.append(text)
-                    hashes.append(HASHES.of(words))
-                    size += len(words)
-                if size > 500_000:
-                    yield made(ids, texts, hashes)
-                    ids, texts, hashes, size = [], [], [], 0
+                    size += len(text)
+                if size > 2_000_000:
+                    yield made(ids, texts)
+                    ids, texts, size = [], [], 0
             if ids:
-                yield made(ids, texts, hashes)
+                yield made(ids, texts)
 
     return docs.mapInArrow(run, "anchor long, segment long, doc long, place long" if whole else "anchor long, doc long")
 
