@@ -101,3 +101,26 @@ def test_bins_follow_interpolated_edges(spark, skewed, limit):
 def test_spearman_without_spread_is_missing(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0)], "g string, x double, y double")
     assert order_stats.spearman(df, ["g"], "x", "y").head().spearman is None
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_quantiles_mean_the_same_on_both_branches(spark, limit):
+    inf, nan = float("inf"), float("nan")
+    groups = {"a": [1.0, 2.0, 3.0, inf], "b": [-inf, 5.0, nan, None, inf], "c": [inf, inf], "d": [nan, None], "e": [2.0], "f": [1.0, 1.0, 4.0, 4.0, 9.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {x.g: x for x in order_stats.grouped_quantiles(df, ["g"], "v", {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}, limit).collect()}
+    assert set(got) == {"a", "b", "c", "e", "f"}
+    assert (got["a"].q25, got["a"].q50, got["a"].q75, got["a"].q100) == (1.75, 2.5, inf, inf)
+    assert (got["b"].n_values, got["b"].q0, got["b"].q50, got["b"].q100) == (3, -inf, 5.0, inf)
+    assert (got["c"].q25, got["c"].q100, got["e"].q75, got["f"].q50, got["f"].q75) == (inf, inf, 2.0, 4.0, 4.0)
+    ranks = {(x.g, x.v): x.k for x in order_stats.average_ranks(df, ["g"], "v", "k", limit).collect()}
+    assert ranks[("d", None)] is None and ranks[("a", inf)] == 4.0 and ranks[("f", 1.0)] == 1.5
+
+
+def test_reports_that_share_a_time_all_count(spark):
+    rows = [("s", dt.datetime(2020, 1, 1, 23, 50), v) for v in (4.0, 1.0, 2.0)] + [("s", dt.datetime(2020, 1, 2, 0, 10), 5.0)]
+    rows += [("t", dt.datetime(2020, 1, 1, 23, 50), 7.0)] * 3 + [("t", dt.datetime(2020, 1, 2), 1.0)] * 2
+    out = rolling.centred_median(spark.createDataFrame(rows, "k string, at timestamp_ntz, v double"), "k", ["at"], "v")
+    got = {(x.k, x.v, x.at.day): (x.rolling_median, x.rolling_count) for x in out.collect()}
+    assert out.count() == 9 and got[("s", 5.0, 2)] == (4.0, 3) and got[("s", 2.0, 1)] == (3.0, 4)
+    assert got[("t", 1.0, 2)][0] in (1.0, 4.0, 7.0)

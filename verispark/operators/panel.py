@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .contracts import first_per_key
 
 
@@ -39,7 +40,11 @@ def case_keys(df: DataFrame, keys: Sequence[str], member: str, n_members: int |
 
 
 def common_cases(df: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
-    """Keep the keys that every member covers, so all are scored on identical cases."""
+    """Keep the keys that every member covers, so all are scored on identical cases.
+
+    The input is written once: its members are counted, its keys divided and its rows kept from that table.
+    """
+    df = cut_lineage(df)
     total = df.select(F.count_distinct(member).alias("n")).head().n
     return df.join(case_keys(df, keys, member, total), list(keys), "left_semi")
 

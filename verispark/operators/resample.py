@@ -18,8 +18,8 @@ from ..session import cut_lineage
 from .contracts import attach_row
 from .order_stats import fits_a_task, ranked_within, weighted_correlation
 
-# Rows of the lookup side that may be broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+# Values of the lookup side that may be broadcast, rows times columns; beyond it both sides are shuffled.
+BROADCAST_VALUES = 4_000_000
 
 
 def day_ordinals(daily: DataFrame, by: Sequence[str], day: str) -> DataFrame:
@@ -30,8 +30,6 @@ def day_ordinals(daily: DataFrame, by: Sequence[str], day: str) -> DataFrame:
     calendar = daily.select(*by, day).distinct()
     numbered = (calendar.withColumn("day_idx", F.row_number().over(Window.partitionBy(*by).orderBy(day)) - 1)
                 .withColumn("n_days", F.count(F.lit(1)).over(Window.partitionBy(*by))))
-    if numbered.columns == daily.columns:
-        return numbered
     return daily.join(numbered, [*by, day])
 
 
@@ -61,7 +59,7 @@ def _lookup(starts: DataFrame, table: DataFrame, keys: Sequence[str], bound: int
     side.  The lookup side is broadcast while its proven bound allows, which
     leaves the draws where they are; otherwise both sides are shuffled.
     """
-    if bound <= BROADCAST_ROWS:
+    if bound * len(table.columns) <= BROADCAST_VALUES:
         return starts.join(F.broadcast(table), list(keys))
     return starts.hint("merge").join(table, list(keys))
 

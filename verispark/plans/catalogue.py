@@ -644,3 +644,23 @@ SELECT user_id, string_agg(event_type, '|' ORDER BY m, event_type) AS ranking, a
 def sort_ranking_strings(spark: SparkSession, sf: str) -> DataFrame:
     s = d.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
     return s.groupBy("user_id").agg(score.ordering("event_type", "m").alias("ranking"), score.winner("event_type", "m").alias("winner"))
+
+
+@query("quantiles_with_gaps", """
+WITH e AS (SELECT event_type, CASE WHEN event_id % 89 = 0 OR event_id % 97 = 0 THEN NULL WHEN event_id % 101 = 0 THEN CAST('inf' AS DOUBLE)
+                       WHEN event_id % 103 = 0 THEN CAST('-inf' AS DOUBLE) ELSE value END AS v FROM events)
+SELECT event_type, count(v) AS n_values, CAST(quantile_disc(v, 0.0) AS VARCHAR) AS smallest, round(quantile_cont(v, 0.25), 6) AS q25,
+       round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.9), 6) AS q90, CAST(quantile_disc(v, 1.0) AS VARCHAR) AS largest
+FROM e GROUP BY event_type""")
+def quantiles_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of values with NULL and NaN, which are missing, and with infinities, which are not."""
+    key = F.col("event_id")
+    v = (F.when(key % 89 == 0, F.lit(None)).when(key % 97 == 0, F.lit(float("nan"))).when(key % 101 == 0, F.lit(float("inf")))
+         .when(key % 103 == 0, F.lit(float("-inf"))).otherwise(F.col("value")))
+    events = d.table(spark, sf, "events").select("event_type", v.alias("v"))
+    out = order_stats.grouped_quantiles(events, ["event_type"], "v", {"smallest": 0.0, "q25": 0.25, "q50": 0.5, "q90": 0.9, "largest": 1.0})
+
+    def shown(c: str):
+        return F.when(F.col(c) == float("inf"), "inf").when(F.col(c) == float("-inf"), "-inf").otherwise(F.col(c).cast("string")).alias(c)
+
+    return out.select("event_type", "n_values", shown("smallest"), r("q25").alias("q25"), r("q50").alias("q50"), r("q90").alias("q90"), shown("largest"))

@@ -81,14 +81,14 @@ def _weighted_rank_sql(source: str, x: str, y: str) -> str:
 
 @query("boot_station_spearman", "WITH " + STATION_DAY_SQL + """,
 un AS (SELECT *, row_number() OVER (ORDER BY station_id) - 1 AS unit_idx FROM st),
-""" + _unit_draw_sql("(SELECT count(*) FROM st)", 300, SEED + 11) + """,
+""" + _unit_draw_sql("(SELECT count(*) FROM st)", 2000, SEED + 11) + """,
 dr AS (SELECT u.draw, un.effect, un.bias FROM u JOIN un ON un.unit_idx = u.day_idx),
 rho AS (SELECT draw, corr(rx, ry) AS rho FROM """ + _weighted_rank_sql("dr", "effect", "bias") + """ GROUP BY draw)
 SELECT count(*) AS n_draws, round(avg(rho), 6) AS mean, round(quantile_cont(rho, 0.025), 6) AS ci_low, round(quantile_cont(rho, 0.975), 6) AS ci_high FROM rho""")
 def boot_station_spearman(spark: SparkSession, sf: str) -> DataFrame:
     """Stations drawn with replacement; a station drawn k times weighs k, ranks included."""
     units = station_table(spark, sf).select("station_id", "effect", "bias")
-    rho = resample.weighted_spearman_draws(units, [], "station_id", "effect", "bias", 300, SEED + 11)
+    rho = resample.weighted_spearman_draws(units, [], "station_id", "effect", "bias", 2000, SEED + 11)
     low, high = resample.interval("rho")
     return rho.agg(F.count("rho").alias("n_draws"), r(F.avg("rho")).alias("mean"), r(low).alias("ci_low"), r(high).alias("ci_high"))
 
@@ -112,7 +112,7 @@ def boot_day_spearman(spark: SparkSession, sf: str) -> DataFrame:
 BLOCKS_SQL = "WITH " + STATION_DAY_SQL + ", " + d.STATIONS_SQL + """,
 ce AS (SELECT st.*, abs(s.altitude_m) AS mismatch, CAST(floor((s.latitude+90)/30) AS BIGINT) || '_' || CAST(floor(((s.longitude+180) % 360)/30) AS BIGINT) AS block FROM st JOIN stations s USING (station_id)),
 bl AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS unit_idx FROM (SELECT DISTINCT block FROM ce)),
-""" + _unit_draw_sql("(SELECT count(*) FROM bl)", 300, SEED + 13) + """,
+""" + _unit_draw_sql("(SELECT count(*) FROM bl)", 2000, SEED + 13) + """,
 dr AS (SELECT u.draw, ce.* FROM u JOIN bl ON bl.unit_idx = u.day_idx JOIN ce USING (block))"""
 
 
@@ -130,7 +130,7 @@ SELECT round((SELECT rho FROM p), 6) AS spearman, round(median(rho), 6) AS boots
 def boot_spatial_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Rank correlation with whole spatial blocks drawn with replacement."""
     cells = cell_effects(spark, sf)
-    rho = resample.weighted_spearman_draws(cells.select("block", "mismatch", "effect"), [], "block", "mismatch", "effect", 300, SEED + 13)
+    rho = resample.weighted_spearman_draws(cells.select("block", "mismatch", "effect"), [], "block", "mismatch", "effect", 2000, SEED + 13)
     low, high = resample.interval("rho")
     drawn = rho.agg(F.percentile("rho", F.lit(0.5)).alias("m"), low.alias("lo"), high.alias("hi"))
     point = order_stats.spearman(cells, [], "mismatch", "effect")
@@ -150,7 +150,7 @@ def quartile_contrast(spark: SparkSession, sf: str) -> DataFrame:
     low, high = F.when(F.col("bin") == 1, F.col("effect")), F.when(F.col("bin") == 4, F.col("effect"))
     per_block = cells.groupBy("block").agg(F.sum(low).alias("sl"), F.count(low).alias("nl"), F.sum(high).alias("sh"), F.count(high).alias("nh"))
     numbered = resample.unit_ordinals(per_block, [], "block")
-    draws = resample.unit_weights(numbered.groupBy().agg(F.max("n_units").alias("n_units")), [], 300, SEED + 13)
+    draws = resample.unit_weights(numbered.groupBy().agg(F.max("n_units").alias("n_units")), [], 2000, SEED + 13)
     drawn = draws.join(numbered.select("unit_idx", "block"), "unit_idx").join(per_block, "block")
     k = F.col("k")
     contrast_draws = drawn.groupBy("draw").agg((F.try_divide(F.sum(k * F.col("sh")), F.sum(k * F.col("nh")))
@@ -296,7 +296,7 @@ def half_day_effects(spark: SparkSession, sf: str) -> DataFrame:
 @query("diurnal_contrast", "WITH " + HALF_SQL + """,
 p AS (SELECT x.day, x.effect AS e0, y.effect AS e12, y.effect - x.effect AS diff FROM e x JOIN e y USING (day) WHERE x.valid_hour = 0 AND y.valid_hour = 12),
 nm AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS day_idx FROM p),
-""" + d.starts_sql("(SELECT count(*) FROM p)", 1000, 3, SEED + 31) + """,
+""" + d.starts_sql("(SELECT count(*) FROM p)", 2000, 3, SEED + 31) + """,
 dr AS (SELECT draw, avg(diff) AS c FROM idx JOIN nm USING (day_idx) GROUP BY draw)
 SELECT (SELECT count(*) FROM p) AS n_paired_days, (SELECT round(avg(e0), 6) FROM p) AS effect_00, (SELECT round(avg(e12), 6) FROM p) AS effect_12,
        round(avg(c), 6) AS contrast, round(quantile_cont(c, 0.025), 6) AS ci_low, round(quantile_cont(c, 0.975), 6) AS ci_high, round(avg(CASE WHEN c < 0 THEN 1.0 ELSE 0.0 END), 6) AS p_lt_zero FROM dr""")
@@ -304,7 +304,7 @@ def diurnal_contrast(spark: SparkSession, sf: str) -> DataFrame:
     """Effect at one valid hour minus the other, paired on the calendar day."""
     paired = half_day_effects(spark, sf).groupBy("day").pivot("valid_hour", [0, 12]).agg(F.first("effect")).na.drop()
     paired = paired.select("day", F.col("0").alias("e0"), F.col("12").alias("e12"), (F.col("12") - F.col("0")).alias("diff"))
-    drawn = resample.block_bootstrap(paired, [], "day", ["diff"], 1000, 3, SEED + 31)
+    drawn = resample.block_bootstrap(paired, [], "day", ["diff"], 2000, 3, SEED + 31)
     low, high = resample.interval("diff")
     summary = drawn.agg(r(F.avg("diff")).alias("contrast"), r(low).alias("ci_low"), r(high).alias("ci_high"), r(resample.share(F.col("diff") < 0)).alias("p_lt_zero"))
     point = paired.agg(F.count(F.lit(1)).alias("n_paired_days"), r(F.avg("e0")).alias("effect_00"), r(F.avg("e12")).alias("effect_12"))
@@ -315,7 +315,7 @@ DEPARTURE_SQL = "WITH " + d.PANEL_SQL + """,
 dd AS (SELECT cohort, lead_h, valid_day, avg((abs(beta-ref_point)-abs(gamma-ref_point)) - (abs(beta-ref_grid)-abs(gamma-ref_grid))) AS effect FROM common WHERE lead_h IN (24, 48, 72) GROUP BY ALL),
 sz AS (SELECT cohort, lead_h, count(*) AS n FROM dd GROUP BY ALL),
 nm AS (SELECT *, row_number() OVER (PARTITION BY cohort, lead_h ORDER BY valid_day) - 1 AS day_idx FROM dd),
-x AS (SELECT cohort, lead_h, n, d.range AS draw, b.range AS block, (d.range*7919 + b.range*104729 + {seed}) % {p} AS x FROM sz, range(0, 300) d, range(0, (SELECT CAST(ceil(max(n)/7.0) AS BIGINT) FROM sz)) b WHERE b.range*7 < n),
+x AS (SELECT cohort, lead_h, n, d.range AS draw, b.range AS block, (d.range*7919 + b.range*104729 + {seed}) % {p} AS x FROM sz, range(0, 2000) d, range(0, (SELECT CAST(ceil(max(n)/7.0) AS BIGINT) FROM sz)) b WHERE b.range*7 < n),
 y AS (SELECT *, ({px}*48271 + 11) % {p} AS y FROM x),
 ix AS (SELECT cohort, lead_h, draw, ({py} % n + o.range) % n AS day_idx FROM y, range(0, 7) o WHERE block*7 + o.range < n),
 dr AS (SELECT cohort, lead_h, draw, avg(effect) AS effect FROM ix JOIN nm USING (cohort, lead_h, day_idx) GROUP BY ALL),
@@ -334,7 +334,7 @@ def _pow5(x: str) -> str:
 def diurnal_departure(spark: SparkSession, sf: str) -> DataFrame:
     """Effect at a middle lead against the mean of the leads around it, draw by draw, per cycle."""
     daily = d.common_panel(spark, sf).where(F.col("lead_h").isin(24, 48, 72)).groupBy("cohort", "lead_h", "valid_day").agg(F.avg(effect_column()).alias("effect"))
-    drawn = resample.block_bootstrap(daily, ["cohort", "lead_h"], "valid_day", ["effect"], 300, 7, SEED + 32)
+    drawn = resample.block_bootstrap(daily, ["cohort", "lead_h"], "valid_day", ["effect"], 2000, 7, SEED + 32)
     by_lead = drawn.groupBy("cohort", "draw").pivot("lead_h", [24, 48, 72]).agg(F.first("effect"))
     parts = by_lead.select("cohort", F.col("48").alias("crossed"), ((F.col("24") + F.col("72")) / 2).alias("expected"))
     gap = F.col("crossed") - F.col("expected")

@@ -231,7 +231,7 @@ pt AS (SELECT r.time_id, r.g, l.target AS large, r.x - l.target AS fine FROM rin
 mo AS (SELECT * FROM (VALUES ('sharp', 0.3, 1.0), ('mid', 0.15, 0.5), ('broad', 0.0, 0.0)) m(model, d, gain)),
 loss AS (SELECT time_id, half_width, model, avg(pow((1-d)*large + gain*fine - u.target, 2)) AS mse FROM pt JOIN u USING (time_id, g), mo GROUP BY ALL),
 daily AS (SELECT *, dense_rank() OVER (ORDER BY time_id) - 1 AS day_idx FROM loss),
-""" + d.starts_sql("(SELECT count(DISTINCT time_id) FROM daily)", 300, 5, 77) + """,
+""" + d.starts_sql("(SELECT count(DISTINCT time_id) FROM daily)", 2000, 5, 77) + """,
 dr AS (SELECT draw, half_width, model, avg(mse) AS s FROM idx JOIN daily USING (day_idx) GROUP BY ALL),
 wn AS (SELECT draw, half_width, arg_min(model, s) AS winner FROM dr GROUP BY ALL),
 pp AS (SELECT half_width, model, avg(mse) AS s FROM daily GROUP BY ALL),
@@ -257,7 +257,7 @@ def support_rank_stability(spark: SparkSession, sf: str) -> DataFrame:
             losses.append(F.avg(F.when(F.col("half_width") == h, error * error)).alias(f"h{h}__{m}"))
     daily = cells.groupBy("time_id").agg(*losses)
     names = [f"h{h}__{m}" for h in HALF_WIDTHS for m in STABILITY_MODELS]
-    drawn = resample.block_bootstrap(daily, [], "time_id", names, 300, 5, 77)
+    drawn = resample.block_bootstrap(daily, [], "time_id", names, 2000, 5, 77)
     models = list(STABILITY_MODELS)
     point = daily.agg(*[F.avg(n).alias(n) for n in names])
 

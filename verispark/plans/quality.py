@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as q
 from ..functions import text
 from ..operators import audit, contracts, rolling
+from ..session import cut_lineage
 from . import domain as d
 from .registry import big, query, r, rounded
 
@@ -82,7 +83,7 @@ FROM qc JOIN cov USING (station_id) WHERE n_usable >= 30 AND qc_valid AND hour(v
 GROUP BY station_id""")
 def qc_eligible_observations(spark: SparkSession, sf: str) -> DataFrame:
     """Stations with enough usable reports, their reports at the cycle hours only."""
-    out = checked(spark, sf, "valid_rows")
+    out = cut_lineage(checked(spark, sf, "valid_rows"))
     rich = out.groupBy("station_id").agg(F.count_if("qc_valid").alias("n_usable")).where("n_usable >= 30")
     kept = out.where(F.col("qc_valid") & F.hour("valid_time").isin(0, 6, 12, 18)).join(rich, "station_id", "left_semi")
     return kept.groupBy("station_id").agg(F.count(F.lit(1)).alias("n_observations"), r(F.avg("value")).alias("mean_value"),
@@ -217,3 +218,16 @@ def identifier_cleaning(spark: SparkSession, sf: str) -> DataFrame:
     return raw.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("id").isNull()).alias("n_empty"), F.count_distinct("id").alias("n_ids"),
         F.min("id").alias("first_id"), F.count_if("yes").alias("n_true"))
+
+
+@query("qc_tied_times", """
+WITH e AS (SELECT user_id, date_trunc('day', ts) AS t, value FROM events),
+w AS (SELECT user_id, median(value) OVER p AS m, count(value) OVER p AS n
+      FROM e WINDOW p AS (PARTITION BY user_id ORDER BY t, value ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT user_id, count(*) AS n_reports, CAST(sum(n) AS BIGINT) AS n_near, round(sum(m), 6) AS sum_of_medians FROM w GROUP BY user_id""")
+def qc_tied_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling medians ordered by time alone where many reports share a time: each counts, smaller values first."""
+    events = d.table(spark, sf, "events").select("user_id", F.date_trunc("day", "ts").alias("t"), "value")
+    rolled = rolling.centred_median(events, "user_id", ["t"], "value", bucket="month")
+    return rolled.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_reports"), F.sum("rolling_count").alias("n_near"),
+                                         r(F.sum("rolling_median")).alias("sum_of_medians"))

@@ -158,7 +158,7 @@ def boot_block_days(spark: SparkSession, sf: str) -> DataFrame:
     return _summary(spark, sf, 5)
 
 
-@query("boot_day_weights", "WITH " + DAILY_SQL + ",\n" + d.starts_sql("(SELECT count(*) FROM daily)", 200, 7, SEED) + """,
+@query("boot_day_weights", "WITH " + DAILY_SQL + ",\n" + d.starts_sql("(SELECT count(*) FROM daily)", 2000, 7, SEED) + """,
 k AS (SELECT draw, day_idx, count(*) AS k FROM idx GROUP BY ALL)
 SELECT draw, count(*) AS distinct_days, CAST(sum(k) AS BIGINT) AS total_days, max(k) AS largest,
        round(sum(k*ref_point__alpha)/sum(k), 6) AS score
@@ -167,7 +167,7 @@ def boot_day_weights(spark: SparkSession, sf: str) -> DataFrame:
     """The weight form of a block draw: how often each day counts."""
     daily = resample.day_ordinals(daily_errors(spark, sf), [], "valid_day")
     sizes = daily.groupBy().agg(F.max("n_days").alias("n_days"))
-    weights = resample.day_weights(sizes, [], 200, 7, SEED)
+    weights = resample.day_weights(sizes, [], 2000, 7, SEED)
     return weights.join(daily, "day_idx").groupBy("draw").agg(
         F.count(F.lit(1)).alias("distinct_days"), F.sum("k").alias("total_days"), F.max("k").alias("largest"),
         r(F.sum(F.col("k") * F.col("ref_point__alpha")) / F.sum("k")).alias("score")).withColumn("draw", F.col("draw").cast("bigint"))
@@ -256,15 +256,15 @@ def stratum_effect(cases: DataFrame, stratum: str, draws_n: int, width: int, see
         r(resample.share(F.col("dp") * F.col("dg") < 0)).alias("p_order_reverses"))
 
 
-@query("stratum_effects_by_network", _stratum_effect_sql("network", 500, 7, SEED + 1))
+@query("stratum_effects_by_network", _stratum_effect_sql("network", 2000, 7, SEED + 1))
 def stratum_effects_by_network(spark: SparkSession, sf: str) -> DataFrame:
     """Every stratum has its own calendar, so its own number of blocks and cut block."""
-    return stratum_effect(d.common_panel(spark, sf), "network", 500, 7, SEED + 1)
+    return stratum_effect(d.common_panel(spark, sf), "network", 2000, 7, SEED + 1)
 
 
-@query("stratum_effects_by_lead", _stratum_effect_sql("lead_h", 500, 3, SEED + 2))
+@query("stratum_effects_by_lead", _stratum_effect_sql("lead_h", 2000, 3, SEED + 2))
 def stratum_effects_by_lead(spark: SparkSession, sf: str) -> DataFrame:
-    return stratum_effect(d.common_panel(spark, sf), "lead_h", 500, 3, SEED + 2)
+    return stratum_effect(d.common_panel(spark, sf), "lead_h", 2000, 3, SEED + 2)
 
 
 # Nested bootstrap: spatial blocks are latitude bands of the stations, weighted by their stations.
@@ -277,8 +277,8 @@ months AS (SELECT date_trunc('month', valid_time) AS day, block, avg(abs(beta-re
            avg(abs(beta-ref_grid)) AS gb, avg(abs(gamma-ref_grid)) AS gg FROM placed GROUP BY ALL),
 full_days AS (SELECT day FROM months GROUP BY day HAVING count(DISTINCT block) = (SELECT count(*) FROM weights)),
 numbered AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS day_idx FROM full_days),
-""" + d.starts_sql("(SELECT count(*) FROM numbered)", 500, 3, SEED + 3, "t") + ",\n" + d.starts_sql(
-    "(SELECT count(*) FROM ranked)", 500, 1, SEED + 4, "u") + """,
+""" + d.starts_sql("(SELECT count(*) FROM numbered)", 2000, 3, SEED + 3, "t") + ",\n" + d.starts_sql(
+    "(SELECT count(*) FROM ranked)", 2000, 1, SEED + 4, "u") + """,
 dr AS (SELECT t.draw, sum(r.w*m.pb)/sum(r.w) AS pb, sum(r.w*m.pg)/sum(r.w) AS pg, sum(r.w*m.gb)/sum(r.w) AS gb, sum(r.w*m.gg)/sum(r.w) AS gg
        FROM t JOIN numbered n ON t.day_idx = n.day_idx JOIN u ON t.draw = u.draw JOIN ranked r ON u.day_idx = r.unit_idx
        JOIN months m ON m.day = n.day AND m.block = r.block GROUP BY t.draw)
@@ -297,7 +297,7 @@ def boot_nested(spark: SparkSession, sf: str) -> DataFrame:
     errors = {f"{ref[4]}{m[0]}": F.avg(F.abs(F.col(m) - F.col(ref))) for ref in d.REFERENCES for m in ("beta", "gamma")}
     daily = placed.groupBy("day", "block").agg(*[e.alias(n) for n, e in errors.items()]).join(weights, "block")
     names = list(errors)
-    drawn = resample.nested_bootstrap(daily, "day", "block", "w", names, 500, 3, SEED + 3, SEED + 4)
+    drawn = resample.nested_bootstrap(daily, "day", "block", "w", names, 2000, 3, SEED + 3, SEED + 4)
     point, grid = F.col("pb") - F.col("pg"), F.col("gb") - F.col("gg")
     low, high = resample.interval(point - grid)
     blocks = daily.agg(F.count_distinct("block").alias("n_blocks"))

@@ -103,7 +103,7 @@ def smoothing_optimum(spark: SparkSession, sf: str) -> DataFrame:
 @query("smoothing_changes", "WITH " + CURVE_SQL + """,
 wd AS (SELECT model, reference, valid_day, max(a) FILTER (WHERE sigma_km = 0) AS a0, max(a) FILTER (WHERE sigma_km = 400) AS a1, max(a) FILTER (WHERE sigma_km = 800) AS a2 FROM dc GROUP BY ALL),
 cal AS (SELECT valid_day, row_number() OVER (ORDER BY valid_day) - 1 AS day_idx FROM (SELECT DISTINCT valid_day FROM wd)),
-""" + d.starts_sql("(SELECT count(*) FROM cal)", 300, 7, SEED + 41) + """,
+""" + d.starts_sql("(SELECT count(*) FROM cal)", 2000, 7, SEED + 41) + """,
 dr AS (SELECT draw, model, reference, avg(a0) AS a0, avg(a1) AS a1, avg(a2) AS a2 FROM idx JOIN cal USING (day_idx) JOIN wd USING (valid_day) GROUP BY ALL),
 lg AS (SELECT model, reference, 400.0::DOUBLE AS sigma_km, a1-a0 AS x FROM dr UNION ALL SELECT model, reference, 800.0, a2-a0 FROM dr)
 SELECT model, reference, sigma_km, round(avg(x), 6) AS change, round(quantile_cont(x, 0.025), 6) AS ci_low, round(quantile_cont(x, 0.975), 6) AS ci_high,
@@ -112,7 +112,7 @@ def smoothing_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Paired change of the score when a forecast is smoothed, with block-bootstrap intervals."""
     wide = curve_days(spark, sf).groupBy("model", "reference", "valid_day").pivot("sigma_km", list(SIGMAS)).agg(F.first("absolute"))
     wide = wide.toDF("model", "reference", "valid_day", "a0", "a1", "a2")
-    drawn = resample.unit_means(wide, ["model", "reference"], "valid_day", ["a0", "a1", "a2"], 300, 7, SEED + 41)
+    drawn = resample.unit_means(wide, ["model", "reference"], "valid_day", ["a0", "a1", "a2"], 2000, 7, SEED + 41)
     rows = F.array(*[F.struct(F.lit(s).alias("sigma_km"), (F.col(c) - F.col("a0")).alias("x")) for s, c in ((400.0, "a1"), (800.0, "a2"))])
     low, high = resample.interval("x")
     return drawn.select("model", "reference", F.inline(rows)).groupBy("model", "reference", "sigma_km").agg(

@@ -7,7 +7,7 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,10 +38,21 @@ def seal_differences(parameters: dict, sealed: dict) -> list[str]:
             if name not in parameters or digest(parameters[name]) != value]
 
 
-def write_manifest(path: str, inputs: dict, parameters: dict, counts: dict, validations: dict, outputs: dict) -> dict:
+def write_manifest(path: str, inputs: dict, parameters: dict, counts: dict, validations: dict, outputs: dict,
+                   spark: SparkSession | None = None) -> dict:
+    """Write the manifest: through the session's file systems if one is given, else to a local file."""
     document = {"schema_version": 1, "inputs": inputs, "parameters_sha256": digest(parameters), "counts": counts,
                 "validations": validations, "outputs": outputs}
-    Path(path).write_text(json.dumps(document, indent=2, sort_keys=True), encoding="utf-8")
+    text = json.dumps(document, indent=2, sort_keys=True)
+    if spark is None:
+        Path(path).write_text(text, encoding="utf-8")
+    else:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
     return document
 
 
