@@ -267,11 +267,15 @@ def repeated_windows(docs: DataFrame, stages: Stages, partitions: int) -> DataFr
     """
     spread = (_occurrences(docs, False).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
               .filter("low < high").select("anchor"))
+    # A written table on this side of the join leaves Spark free to split the rows of a common anchor.
+    spread = stages.put(spread, "spread")
+    stages.release()
     found = stages.put(_occurrences(docs, True).join(spread.hint("merge"), "anchor"), "found")
+    stages.drop(spread)
     stages.release()
     # Equal segments once, with their smallest document; then how crowded the anchor is.
     distinct = stages.put(found.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "place")).alias("least")), "distinct")
-    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("anchor", F.lit(True).alias("crowded"))
+    crowds = stages.put(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowds")
     chosen = (distinct.join(crowds, "anchor", "left")
               .select("least.doc", F.struct("least.place", "anchor", "segment", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("one"))
               .groupBy("doc").agg(F.collect_list("one").alias("chosen")))
