@@ -21,6 +21,12 @@ def coast_stratum(distance_km: Column, limit_km: float = 25.0) -> Column:
     return F.when(distance_km <= limit_km, "coast").otherwise("interior")
 
 
+def altitude_stratum(altitude_m: Column, limits: tuple[float, float] = (300.0, 1000.0)) -> Column:
+    low, high = limits
+    return (F.when(altitude_m.isNull(), "unknown").when(altitude_m < low, "lowland").when(altitude_m < high, "upland")
+            .otherwise("mountain"))
+
+
 def density_stratum(stations_in_cell: Column) -> Column:
     return F.when(stations_in_cell >= 2, "shared_cell").otherwise("single_station_cell")
 

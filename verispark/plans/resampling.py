@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, strata
 from ..functions.calendar import season
 from ..operators import contrast, panel, resample, score
 from ..operators.contracts import attach_row
+from ..session import cut_lineage
 from . import domain as d
 from .registry import big, query, r, rounded
 
@@ -222,32 +223,39 @@ def seasonal_scores(spark: SparkSession, sf: str) -> DataFrame:
                        score.min_rank(["season", "reference"], "score").alias("mae_rank"))
 
 
-def _stratum_effect_sql(stratum: str, draws: int, width: int, seed: int) -> str:
-    """Reference effect of one pair inside each value of a stratum column."""
+def _effect_sql(tables: str, draws: int, width: int, seed: int, tail: str = "SELECT * FROM effects") -> str:
+    """Reference effect of one pair inside each stratum of ``dd`` (stratum, valid_day, dp, dg), which ``tables`` define."""
     p = 2147483647
 
     def pow5(x: str) -> str:
         return f"(((({x})*({x}) % {p}) * (({x})*({x}) % {p}) % {p}) * ({x}) % {p})"
 
-    return "WITH " + d.PANEL_SQL + f""",
-daily AS (SELECT {stratum} AS stratum, valid_day, row_number() OVER (PARTITION BY {stratum} ORDER BY valid_day) - 1 AS day_idx,
-          avg(abs(beta-ref_point)-abs(gamma-ref_point)) AS dp, avg(abs(beta-ref_grid)-abs(gamma-ref_grid)) AS dg
-          FROM common GROUP BY {stratum}, valid_day),
+    return "WITH " + tables + f""",
+daily AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY valid_day) - 1 AS day_idx FROM dd),
 sizes AS (SELECT stratum, count(*) AS n FROM daily GROUP BY stratum),
 x AS (SELECT stratum, n, d.range AS draw, b.range AS block, (d.range*7919 + b.range*104729 + {seed}) % {p} AS x
       FROM sizes, range(0, {draws}) d, range(0, (SELECT CAST(ceil(max(n)/{width}.0) AS BIGINT) FROM sizes)) b WHERE b.range*{width} < n),
 y AS (SELECT *, ({pow5('x')}*48271 + 11) % {p} AS y FROM x),
 idx AS (SELECT stratum, draw, ({pow5('y')} % n + o.range) % n AS day_idx FROM y, range(0, {width}) o WHERE block*{width} + o.range < n),
-dr AS (SELECT stratum, draw, avg(dp) AS dp, avg(dg) AS dg FROM idx JOIN daily USING (stratum, day_idx) GROUP BY ALL)
-SELECT stratum, round(avg(dp-dg), 6) AS effect, round(quantile_cont(dp-dg, 0.025), 6) AS effect_low,
+dr AS (SELECT stratum, draw, avg(dp) AS dp, avg(dg) AS dg FROM idx JOIN daily USING (stratum, day_idx) GROUP BY ALL),
+effects AS (SELECT stratum, round(avg(dp-dg), 6) AS effect, round(quantile_cont(dp-dg, 0.025), 6) AS effect_low,
        round(quantile_cont(dp-dg, 0.975), 6) AS effect_high, round(avg(CASE WHEN dp*dg < 0 THEN 1.0 ELSE 0.0 END), 6) AS p_order_reverses
-FROM dr GROUP BY stratum"""
+FROM dr GROUP BY stratum)
+{tail}"""
 
 
-def stratum_effect(cases: DataFrame, stratum: str, draws_n: int, width: int, seed: int) -> DataFrame:
-    gap = {ref: F.abs(F.col("beta") - F.col(ref)) - F.abs(F.col("gamma") - F.col(ref)) for ref in d.REFERENCES}
-    daily = (cases.select(F.col(stratum).alias("stratum"), "valid_day", gap["ref_point"].alias("dp"), gap["ref_grid"].alias("dg"))
-             .groupBy("stratum", "valid_day").agg(F.avg("dp").alias("dp"), F.avg("dg").alias("dg")))
+def _stratum_effect_sql(stratum: str, draws: int, width: int, seed: int, source: str = "common", tables: str = "") -> str:
+    return _effect_sql(d.PANEL_SQL + tables + f""",
+dd AS (SELECT {stratum} AS stratum, valid_day, avg(abs(beta-ref_point)-abs(gamma-ref_point)) AS dp, avg(abs(beta-ref_grid)-abs(gamma-ref_grid)) AS dg
+       FROM {source} GROUP BY ALL)""", draws, width, seed)
+
+
+def _gaps() -> dict[str, Column]:
+    return {ref: F.abs(F.col("beta") - F.col(ref)) - F.abs(F.col("gamma") - F.col(ref)) for ref in d.REFERENCES}
+
+
+def effect_of_daily(daily: DataFrame, draws_n: int, width: int, seed: int) -> DataFrame:
+    """Effect with interval and reversal share of every stratum of daily means dp and dg."""
     drawn = resample.block_bootstrap(daily, ["stratum"], "valid_day", ["dp", "dg"], draws_n, width, seed)
     effect = F.col("dp") - F.col("dg")
     low, high = resample.interval(effect)
@@ -256,6 +264,13 @@ def stratum_effect(cases: DataFrame, stratum: str, draws_n: int, width: int, see
         r(resample.share(F.col("dp") * F.col("dg") < 0)).alias("p_order_reverses"))
 
 
+def stratum_effect(cases: DataFrame, stratum: str, draws_n: int, width: int, seed: int) -> DataFrame:
+    gap = _gaps()
+    daily = (cases.select(F.col(stratum).alias("stratum"), "valid_day", gap["ref_point"].alias("dp"), gap["ref_grid"].alias("dg"))
+             .groupBy("stratum", "valid_day").agg(F.avg("dp").alias("dp"), F.avg("dg").alias("dg")))
+    return effect_of_daily(daily, draws_n, width, seed)
+
+
 @query("stratum_effects_by_network", _stratum_effect_sql("network", 2000, 7, SEED + 1))
 def stratum_effects_by_network(spark: SparkSession, sf: str) -> DataFrame:
     """Every stratum has its own calendar, so its own number of blocks and cut block."""
@@ -267,6 +282,61 @@ def stratum_effects_by_lead(spark: SparkSession, sf: str) -> DataFrame:
     return stratum_effect(d.common_panel(spark, sf), "lead_h", 2000, 3, SEED + 2)
 
 
+ALTITUDE_SQL = """CASE WHEN altitude_m IS NULL THEN 'unknown' WHEN altitude_m < 500 THEN 'lowland' WHEN altitude_m < 3000 THEN 'upland' ELSE 'mountain' END"""
+
+
+@query("stratum_effects_by_altitude", _stratum_effect_sql(ALTITUDE_SQL, 2000, 7, SEED + 6, "placed", ", " + d.STATIONS_SQL + """,
+placed AS (SELECT c.*, s.altitude_m FROM common c JOIN stations s USING (station_id))"""))
+def stratum_effects_by_altitude(spark: SparkSession, sf: str) -> DataFrame:
+    where = d.stations(spark, sf).select("station_id", strata.altitude_stratum(F.col("altitude_m"), (500.0, 3000.0)).alias("band"))
+    return stratum_effect(d.common_panel(spark, sf).join(where, "station_id"), "band", 2000, 7, SEED + 6)
+
+
+@query("stratum_effects_by_belt", _stratum_effect_sql(
+    "CASE WHEN latitude < -23.5 THEN 'south_extratropics' WHEN latitude > 23.5 THEN 'north_extratropics' ELSE 'tropics' END",
+    2000, 7, SEED + 7, "placed", ", " + d.STATIONS_SQL + """,
+placed AS (SELECT c.*, s.latitude FROM common c JOIN stations s USING (station_id))"""))
+def stratum_effects_by_belt(spark: SparkSession, sf: str) -> DataFrame:
+    where = d.stations(spark, sf).select("station_id", strata.latitude_belt(F.col("latitude")).alias("belt"))
+    return stratum_effect(d.common_panel(spark, sf).join(where, "station_id"), "belt", 2000, 7, SEED + 7)
+
+
+@query("leave_one_region_out", _effect_sql(d.PANEL_SQL + ", " + d.STATIONS_SQL + """,
+u AS (SELECT region, valid_day, count(*) AS n, sum(abs(beta-ref_point)-abs(gamma-ref_point)) AS sp, sum(abs(beta-ref_grid)-abs(gamma-ref_grid)) AS sg
+      FROM common JOIN stations USING (station_id) GROUP BY ALL),
+f AS (SELECT 'all' AS stratum, * FROM u UNION ALL SELECT 'only_' || region, * FROM u
+      UNION ALL SELECT 'without_' || k.region, u.* FROM u, (SELECT DISTINCT region FROM u) k WHERE u.region <> k.region),
+dd AS (SELECT stratum, valid_day, sum(sp)/sum(n) AS dp, sum(sg)/sum(n) AS dg FROM f GROUP BY ALL)""", 2000, 7, SEED + 8, """
+SELECT e.stratum AS fold, e.effect, e.effect_low, e.effect_high, e.p_order_reverses, round(e.effect - a.effect, 6) AS shift, sign(e.effect) = sign(a.effect) AS same_sign
+FROM effects e, effects a WHERE a.stratum = 'all'"""))
+def leave_one_region_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Effect without each region and within each alone, bootstrapped per fold, and its shift against all stations.
+
+    A fold's daily sums are those of all regions minus the region's, so no case is copied.
+    """
+    gap, regions = _gaps(), d.stations(spark, sf).select("station_id", "region")
+    own = (d.common_panel(spark, sf).join(regions, "station_id").groupBy("region", "valid_day")
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(gap["ref_point"]).alias("sp"), F.sum(gap["ref_grid"]).alias("sg")))
+    own = cut_lineage(own)
+    total = own.groupBy("valid_day").agg(*[F.sum(c).alias(c) for c in ("n", "sp", "sg")])
+    present = own.agg(F.collect_set("region").alias("regions"))
+    label = F.col("region").cast("string")
+    whole = total.select(F.lit("all").alias("stratum"), "valid_day", "n", "sp", "sg")
+    only = own.select(F.concat(F.lit("only_"), label).alias("stratum"), "valid_day", "n", "sp", "sg")
+    # A fold has a row for every day, also for days on which its region has no case.
+    days = attach_row(total, present).select("valid_day", "n", "sp", "sg", F.explode("regions").alias("region"))
+    mine = own.select("region", "valid_day", *[F.col(c).alias(f"_{c}") for c in ("n", "sp", "sg")])
+    rest = days.join(mine, ["region", "valid_day"], "left").select(
+        F.concat(F.lit("without_"), label).alias("stratum"), "valid_day", *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("n", "sp", "sg")])
+    folds = whole.unionByName(only).unionByName(rest).where("n > 0").select(
+        "stratum", "valid_day", (F.col("sp") / F.col("n")).alias("dp"), (F.col("sg") / F.col("n")).alias("dg"))
+    effects = cut_lineage(effect_of_daily(folds, 2000, 7, SEED + 8))
+    every = effects.where("stratum = 'all'").select(F.col("effect").alias("_all"))
+    return attach_row(effects, every).select(
+        F.col("stratum").alias("fold"), "effect", "effect_low", "effect_high", "p_order_reverses", r(F.col("effect") - F.col("_all")).alias("shift"),
+        (F.signum("effect") == F.signum("_all")).alias("same_sign"))
+
+
 # Nested bootstrap: spatial blocks are latitude bands of the stations, weighted by their stations.
 NESTED_SQL = "WITH " + d.STATIONS_SQL + ", " + d.PANEL_SQL + """,
 placed AS (SELECT c.*, CAST(floor(s.latitude/60) AS BIGINT) || '_' || CAST(floor(s.longitude/120) AS BIGINT) AS block
