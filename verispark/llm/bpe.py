@@ -79,7 +79,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         self.find = regex.compile(pattern).findall
         self.token = {rank: token for token, rank in self.ranks.items()}
-        self.cache = PieceCache(self._pack)
+        self.cache = PieceCache(self._pack, 300_000)
         self.table = bytes(range(256)).decode("latin-1")
 
     def _pack(self, parts: list[str]) -> list[bytes]:

@@ -44,7 +44,7 @@ def words_of(text: str | None) -> set[str]:
 class Features:
     """Chosen features of a text; the words already seen are kept, in bounded number."""
 
-    def __init__(self, chosen: dict[int, int], limit: int = 1_000_000) -> None:
+    def __init__(self, chosen: dict[int, int], limit: int = 150_000) -> None:
         self.chosen, self.limit, self.known = chosen, limit, {}
 
     def of(self, words: set[str]) -> set[int]:
