@@ -86,6 +86,46 @@ def test_range_search_finds_a_dense_ball():
     assert (cos >= 0.93).all() and len(set(zip(who.tolist(), what.tolist(), strict=True))) == len(who) >= 0.97 * len(there)
 
 
+def crowd_and_pairs(crowd=200, pairs=50, single=400, width=64):
+    """Vectors and the group of each: a crowd of distinct near copies beside many small groups and single rows."""
+    rng = np.random.default_rng(7)
+    x, group = [rng.normal(size=width) for _ in range(single)], list(range(single))
+    for g in range(pairs):
+        c = rng.normal(size=width)
+        for _ in range(2 + g % 3):
+            x.append(c + rng.normal(size=width) * 0.1)
+            group.append(single + g)
+    c = rng.normal(size=width)
+    for _ in range(crowd):
+        x.append(c + rng.normal(size=width) * 0.1)
+        group.append(single + pairs)
+    return np.array(x), np.array(group)
+
+
+def recall_by_group(n_links, group, there):
+    return {int(g): n_links[group == g].sum() / there[group == g].sum() for g in np.unique(group) if there[group == g].sum()}
+
+
+def test_search_leaves_a_crowd():
+    x, group = crowd_and_pairs()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    starts = ag.start_rows(x)
+    seeds = np.column_stack([np.broadcast_to(starts, (len(x), len(starts))), np.arange(len(x))])
+    who, _, _ = ag.range_search(x, ag.joined_neighbours(x), seeds, x, 0.93)
+    recall = recall_by_group(np.bincount(who, minlength=len(x)) - 1, group, (x @ x.T >= 0.93).sum(axis=1) - 1)
+    assert len(recall) == 51 and min(recall.values()) == 1
+    # Two crowds that no edge joins are one graph all the same.
+    two = np.concatenate([x[group == 450], -x[group == 450]])
+    links = ag.joined_neighbours(two)
+    assert len(set(ag._components(len(two), np.repeat(np.arange(len(two)), [len(v) for v in links]), np.concatenate(links)).tolist())) == 1
+
+
+def test_crowd_beside_small_groups(spark):
+    x, _ = crowd_and_pairs()
+    rows = [(i, [float(np.float32(c)) for c in v], 1) for i, v in enumerate(x)]
+    assert got(spark, rows) == brute(rows)
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
 def test_op1_query(spark, folder):
     from verispark.llm.queries import op1

@@ -2,9 +2,10 @@
 
 Equal vectors are one node.  The nodes of a label are cut into overlapping clusters until a cluster
 holds at most ``capacity`` nodes; one that stays larger is dealt out into parts, which are searched by
-blocks of its nodes.  Each shard builds a graph of pruned neighbours, adjacency lists of a
-node are united over its shards, and every node is searched for in its shards: greedily from the
-medoid, then on to all that can be reached without leaving the range by more than a margin.  Cosines of
+blocks of its nodes.  Each shard builds a graph of pruned neighbours with reverse edges
+and edges between its components, adjacency lists of a
+node are united over its shards, and every node is searched for in its shards: greedily from
+medoids, itself and its neighbours, then on to all that can be reached without leaving the range by more than a margin.  Cosines of
 what is met are taken in double precision.  A pair that meets in several shards counts in the first
 of them, so shards return counts and spanning edges, never pairs.  Recall is measured on
 a sample against all vectors, and the overlap is widened while it falls short.
@@ -21,7 +22,7 @@ from .components import connected_components
 from .files import Stages
 
 CAPACITY, OVERLAP, LEVELS, CLUSTERS = 1500, 2, 6, 64
-DEGREE, CANDIDATES, ALPHA, BEAM, MARGIN = 16, 48, 1.2, 24, 0.06
+DEGREE, CANDIDATES, ALPHA, BEAM, MARGIN, STARTS = 16, 48, 1.2, 24, 0.06, 8
 #: Rows of a shard that its clusters are fitted to, rows clustered by one task, queries of the audit.
 FIT_ROWS, ASSIGN_ROWS, AUDIT_ROWS = 4000, 20_000, 400
 
@@ -74,9 +75,55 @@ def pruned_neighbours(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def range_search(x: np.ndarray, links: list[np.ndarray], start: int, queries: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, row and cosine of all rows met whose cosine is at least ``low``, for queries of unit length."""
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row that each row reaches over the edges a, b."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def joined_neighbours(x: np.ndarray) -> list[np.ndarray]:
+    """Pruned neighbours with the reverse of every edge, and an edge from each component to the nearest row outside, until there is one."""
+    n = len(x)
+    near = pruned_neighbours(x)
+    a, k = np.nonzero(near >= 0)
+    b = near[a, k]
+    while n > 1:
+        label = _components(n, a, b)
+        roots = np.unique(label)
+        if len(roots) == 1:
+            break
+        best, other = np.full(n, -3.0), np.zeros(n, np.int64)
+        for i in range(0, n, 500):
+            sims = x[i:i + 500] @ x.T
+            sims[label[i:i + 500][:, None] == label[None, :]] = -3
+            other[i:i + 500], best[i:i + 500] = sims.argmax(axis=1), sims.max(axis=1)
+        order = np.lexsort((-best, label))
+        first = order[np.concatenate([[True], label[order][1:] != label[order][:-1]])]
+        a, b = np.concatenate([a, first]), np.concatenate([b, other[first]])
+    edges = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return np.split(edges % n, np.searchsorted(edges // n, np.arange(1, n))) if n else []
+
+
+def start_rows(x: np.ndarray) -> np.ndarray:
+    """Rows nearest to the mean and to centres far apart."""
+    mean = int((x @ x.mean(axis=0)).argmax())
+    return np.unique(np.append((fit_clusters(x, STARTS, 3) @ x.T).argmax(axis=1), mean))
+
+
+def range_search(x: np.ndarray, links: list[np.ndarray], start: int | np.ndarray, queries: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, row and cosine of all rows met whose cosine is at least ``low``, for queries of unit length.
+
+    ``start`` is one row for all, or rows of each query, padded by -1.
+    """
     n, width = len(x), max([len(v) for v in links], default=1) or 1
+    seeds = np.full((len(queries), 1), start, np.int64) if np.ndim(start) == 0 else start
     table = np.full((n, width), -1, np.int64)
     for i, v in enumerate(links):
         table[i, :len(v)] = v
@@ -85,11 +132,19 @@ def range_search(x: np.ndarray, links: list[np.ndarray], start: int, queries: np
         q = queries[a:a + 256]
         rows = np.arange(len(q))
         seen = np.zeros((len(q), n), bool)
-        seen[:, start] = True
-        beam, score = np.full((len(q), BEAM), -1, np.int64), np.full((len(q), BEAM), -3.0)
-        beam[:, 0], score[:, 0] = start, q @ x[start]
+        own = seeds[a:a + 256]
+        i, j = np.nonzero(own >= 0)
+        pair = np.unique(i * n + own[i, j])
+        who, what = pair // n, pair % n
+        seen[who, what] = True
+        cos = np.einsum("ij,ij->i", q[who], x[what])
+        met = [(who, what, cos)]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        ids, scores = np.full((len(q), max(BEAM, own.shape[1])), -1, np.int64), np.full((len(q), max(BEAM, own.shape[1])), -3.0)
+        ids[who, place], scores[who, place] = what, cos
+        top = np.argpartition(-scores, BEAM - 1, axis=1)[:, :BEAM]
+        beam, score = np.take_along_axis(ids, top, axis=1), np.take_along_axis(scores, top, axis=1)
         done = np.zeros((len(q), BEAM), bool)
-        met = [(rows, np.full(len(q), start), score[:, 0].copy())]
         live = rows
         while len(live):
             open_ = np.where(done[live] | (beam[live] < 0), -3.0, score[live])
@@ -186,12 +241,12 @@ def _shards(members: DataFrame, stages: Stages) -> DataFrame:
 def _graph(shards: DataFrame, stages: Stages) -> DataFrame:
     """node and its neighbours, united over the shards in which it has any."""
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        from verispark.llm.ann_graph import pruned_neighbours, unit_rows
+        from verispark.llm.ann_graph import joined_neighbours, unit_rows
 
         rows = rows.sort_values("node")
         ids = rows["node"].to_numpy()
-        near = pruned_neighbours(unit_rows(rows["vector"]))
-        return pd.DataFrame({"node": ids, "near": [ids[v[v >= 0]] for v in near]})
+        near = joined_neighbours(unit_rows(rows["vector"]))
+        return pd.DataFrame({"node": ids, "near": [ids[v] for v in near]})
 
     lists = shards.select("shard", "part", "node", "vector").groupBy("shard", "part").applyInPandas(build, "node long, near array<long>")
     return stages.put(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
@@ -221,25 +276,33 @@ def _search(shards: DataFrame, graph: DataFrame, threshold: float, stages: Stage
     blocks = F.sequence(F.lit(0), F.col("parts") - 1)
     graph_rows = rows.select("shard", "part", F.explode(blocks).alias("block"), "node", "n_copies", "vector", "shards", "near", F.lit(False).alias("asks"))
     query_rows = rows.select("shard", F.explode(blocks).alias("part"), F.col("part").alias("block"), "node", "n_copies", "vector", "shards",
-                             F.array().cast("array<bigint>").alias("near"), F.lit(True).alias("asks"))
+                             "near", F.lit(True).alias("asks"))
 
     def search(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        from verispark.llm.ann_graph import _first_common, _padded, range_search, unit_rows
+        from verispark.llm.ann_graph import DEGREE, _first_common, _padded, range_search, start_rows, unit_rows
 
         empty = pd.DataFrame({"node": np.zeros(0, np.int64), "linked": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
         here, asked = both[~both["asks"]].sort_values("node"), both[both["asks"]].sort_values("node")
         if not len(here) or not len(asked):
             return empty
         ids, x = here["node"].to_numpy(), unit_rows(here["vector"])
-        links = []
-        for v in here["near"]:
+
+        def places(v: np.ndarray) -> np.ndarray:
             v = np.sort(np.asarray(v, np.int64))
             at = np.searchsorted(ids, v)
             at = at[at < len(ids)]
-            links.append(at[ids[at] == v[:len(at)]])
-        medoid = int((x @ x.mean(axis=0)).argmax())
+            return at[ids[at] == v[:len(at)]]
+
+        links = [places(v) for v in here["near"]]
         names, q = asked["node"].to_numpy(), unit_rows(asked["vector"])
-        who, what, _ = range_search(x, links, medoid, q, threshold)
+        # From medoids, from the query where it is a row itself, and from neighbours of its own.
+        medoids = start_rows(x)
+        seeds = np.full((len(q), len(medoids) + 1 + DEGREE), -1, np.int64)
+        seeds[:, :len(medoids)] = medoids
+        for k, (name, near) in enumerate(zip(names, asked["near"], strict=True)):
+            own = np.concatenate([places([name]), places(near)])[:1 + DEGREE]
+            seeds[k, len(medoids):len(medoids) + len(own)] = own
+        who, what, _ = range_search(x, links, seeds, q, threshold)
         good = ids[what] != names[who]
         who, what = who[good], what[good]
         owner = _first_common(_padded(asked["shards"])[who], _padded(here["shards"])[what])
