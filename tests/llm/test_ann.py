@@ -1,7 +1,9 @@
 """Vector groups against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from verispark.llm import ann_graph as ag
 from verispark.llm.files import Stages
@@ -126,6 +128,29 @@ def test_crowd_beside_small_groups(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_audit_weighs_every_node_and_size_alike():
+    # A crowd of 200 found whole, 20 pairs lost: 0.999 of all links.
+    audit = pd.DataFrame({"home": [1] * 220 + [2] * 5, "there": [199] * 200 + [1] * 20 + [3] * 5, "recall": [1.0] * 200 + [0.0] * 20 + [1.0] * 5})
+    assert ag.short_homes(audit, 0.97) == [1]
+    assert ag.short_homes(audit[audit["recall"] > 0], 0.97) == ag.short_homes(audit[:0], 0.97) == []
+
+
+def test_what_the_search_misses_in_a_shard_is_found():
+    x, _ = crowd_and_pairs(150, 40, 100, 16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    who, what = ag.whole_range(x, [np.zeros(0, np.int64)] * len(x), 0, x, 0.93)
+    assert sorted(zip(who.tolist(), what.tolist(), strict=True)) == [tuple(p) for p in np.argwhere(x @ x.T >= 0.93).tolist()]
+
+
+def test_labels_that_fall_short_are_searched_whole(spark, monkeypatch):
+    x, _ = crowd_and_pairs(150, 40, 100, 16)
+    rows = [(i, [float(np.float32(c)) for c in v], 1) for i, v in enumerate(x)]
+    monkeypatch.setattr(ag, "CAPACITY", 120)
+    monkeypatch.setattr(ag, "MOST_OVERLAP", 2)
+    monkeypatch.setattr(ag, "_split", lambda members, stages, overlap: members.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(8))))
+    assert got(spark, rows) == brute(rows)
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
 def test_op1_query(spark, folder):
     from verispark.llm.queries import op1

@@ -6,9 +6,11 @@ blocks of its nodes.  Each shard builds a graph of pruned neighbours with revers
 and edges between its components, adjacency lists of a
 node are united over its shards, and every node is searched for in its shards: greedily from
 medoids, itself and its neighbours, then on to all that can be reached without leaving the range by more than a margin.  Cosines of
-what is met are taken in double precision.  A pair that meets in several shards counts in the first
-of them, so shards return counts and spanning edges, never pairs.  Recall is measured on
-a sample against all vectors, and the overlap is widened while it falls short.
+what is met are taken in double precision, and the product of a shard's blocks adds what the search
+missed.  A pair that meets in several shards counts in the first of them, so shards return counts and
+spanning edges, never pairs.  Links between clusters can be lost: recall is measured per node and by
+size of group on samples against all vectors, the overlap is widened while a label falls short, and
+one that still does is searched whole by blocks.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ CAPACITY, OVERLAP, LEVELS, CLUSTERS = 1500, 2, 6, 64
 DEGREE, CANDIDATES, ALPHA, BEAM, MARGIN, STARTS = 16, 48, 1.2, 24, 0.06, 8
 #: Rows of a shard that its clusters are fitted to, rows clustered by one task, queries of the audit.
 FIT_ROWS, ASSIGN_ROWS, AUDIT_ROWS = 4000, 20_000, 400
+#: Clusters of a node at most, before labels that fall short are searched whole.
+MOST_OVERLAP = 8
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -117,6 +121,12 @@ def start_rows(x: np.ndarray) -> np.ndarray:
     return np.unique(np.append((fit_clusters(x, STARTS, 3) @ x.T).argmax(axis=1), mean))
 
 
+def in_range(x: np.ndarray, queries: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Query number and row of all pairs whose cosine is at least ``low``, by blocks of the full product."""
+    found = [np.nonzero(queries[a:a + 256] @ x.T >= low) for a in range(0, len(queries), 256)]
+    return (np.concatenate([i + 256 * k for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])) if found else (np.zeros(0, np.int64),) * 2
+
+
 def range_search(x: np.ndarray, links: list[np.ndarray], start: int | np.ndarray, queries: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query number, row and cosine of all rows met whose cosine is at least ``low``, for queries of unit length.
 
@@ -127,6 +137,9 @@ def range_search(x: np.ndarray, links: list[np.ndarray], start: int | np.ndarray
     table = np.full((n, width), -1, np.int64)
     for i, v in enumerate(links):
         table[i, :len(v)] = v
+    # A row that is near to very many has as many edges, so the ball is spread over lists without padding.
+    degree = np.array([len(v) for v in links], np.int64)
+    begin, flat = np.cumsum(degree) - degree, np.concatenate([*links, np.zeros(0, np.int64)]).astype(np.int64)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(queries), 256):
         q = queries[a:a + 256]
@@ -173,12 +186,13 @@ def range_search(x: np.ndarray, links: list[np.ndarray], start: int | np.ndarray
         front = who[inside], what[inside]
         kept = [(who[inside], what[inside], cos[inside])]
         while len(front[0]):
-            who, what = np.repeat(front[0], width), table[front[1]].ravel()
-            good = what >= 0
-            who, what = who[good], what[good]
-            good = ~seen[who, what]
-            pair = np.unique(who[good] * n + what[good])
-            who, what = pair // n, pair % n
+            new = np.zeros((len(q), n), bool)
+            for b in range(0, len(front[0]), 20_000):
+                who, row = front[0][b:b + 20_000], front[1][b:b + 20_000]
+                many = degree[row]
+                edge = np.arange(int(many.sum())) + np.repeat(begin[row] - np.cumsum(many) + many, many)
+                new[np.repeat(who, many), flat[edge]] = True
+            who, what = np.nonzero(new & ~seen)
             seen[who, what] = True
             cos = np.concatenate([np.einsum("ij,ij->i", q[who[b:b + 50_000]], x[what[b:b + 50_000]]) for b in range(0, len(who), 50_000)]) if len(who) else np.zeros(0)
             inside = cos >= low - MARGIN
@@ -190,6 +204,17 @@ def range_search(x: np.ndarray, links: list[np.ndarray], start: int | np.ndarray
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def whole_range(x: np.ndarray, links: list[np.ndarray], start: int | np.ndarray, queries: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Query number and row of all rows in range: what the search meets, and what it misses.
+
+    A link that the first shard of a pair left out would be counted by no other.
+    """
+    who, what, _ = range_search(x, links, start, queries, low)
+    by, missed = in_range(x, queries, low)
+    pair = np.union1d(who * len(x) + what, by * len(x) + missed)
+    return pair // len(x), pair % len(x)
+
+
 def _split(members: DataFrame, stages: Stages, overlap: int) -> DataFrame:
     """Cut shards above the capacity into clusters, each node to its nearest ``overlap``, until none is above it or the levels are used up."""
     for _ in range(LEVELS):
@@ -279,7 +304,7 @@ def _search(shards: DataFrame, graph: DataFrame, threshold: float, stages: Stage
                              "near", F.lit(True).alias("asks"))
 
     def search(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        from verispark.llm.ann_graph import DEGREE, _first_common, _padded, range_search, start_rows, unit_rows
+        from verispark.llm.ann_graph import DEGREE, _first_common, _padded, start_rows, unit_rows, whole_range
 
         empty = pd.DataFrame({"node": np.zeros(0, np.int64), "linked": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
         here, asked = both[~both["asks"]].sort_values("node"), both[both["asks"]].sort_values("node")
@@ -287,22 +312,27 @@ def _search(shards: DataFrame, graph: DataFrame, threshold: float, stages: Stage
             return empty
         ids, x = here["node"].to_numpy(), unit_rows(here["vector"])
 
-        def places(v: np.ndarray) -> np.ndarray:
-            v = np.sort(np.asarray(v, np.int64))
-            at = np.searchsorted(ids, v)
-            at = at[at < len(ids)]
-            return at[ids[at] == v[:len(at)]]
+        def places(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+            owner = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
+            flat = np.concatenate([np.asarray(v, np.int64) for v in lists])
+            at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+            good = ids[at] == flat
+            return owner[good], at[good]
 
-        links = [places(v) for v in here["near"]]
+        owner, at = places(here["near"])
+        links = np.split(at, np.searchsorted(owner, np.arange(1, len(ids))))
         names, q = asked["node"].to_numpy(), unit_rows(asked["vector"])
         # From medoids, from the query where it is a row itself, and from neighbours of its own.
         medoids = start_rows(x)
         seeds = np.full((len(q), len(medoids) + 1 + DEGREE), -1, np.int64)
         seeds[:, :len(medoids)] = medoids
-        for k, (name, near) in enumerate(zip(names, asked["near"], strict=True)):
-            own = np.concatenate([places([name]), places(near)])[:1 + DEGREE]
-            seeds[k, len(medoids):len(medoids) + len(own)] = own
-        who, what, _ = range_search(x, links, seeds, q, threshold)
+        own = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+        seeds[:, len(medoids)] = np.where(ids[own] == names, own, -1)
+        owner, at = places(asked["near"])
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        few = place < DEGREE
+        seeds[owner[few], len(medoids) + 1 + place[few]] = at[few]
+        who, what = whole_range(x, links, seeds, q, threshold)
         good = ids[what] != names[who]
         who, what = who[good], what[good]
         owner = _first_common(_padded(asked["shards"])[who], _padded(here["shards"])[what])
@@ -330,11 +360,21 @@ def _search(shards: DataFrame, graph: DataFrame, threshold: float, stages: Stage
     return stages.put(both.groupBy("shard", "part", "block").applyInPandas(search, "node long, linked long, other long"), "searched")
 
 
-def audit_recall(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
-    """Links found of links there are, for at most ``AUDIT_ROWS`` nodes drawn by hash, each compared with all vectors of its label."""
-    drawn = nodes.select("node", "home", "vector").orderBy(F.xxhash64("node", F.lit(11))).limit(AUDIT_ROWS).collect()
+def audit_recall(nodes: DataFrame, linked: DataFrame, threshold: float) -> pd.DataFrame:
+    """home, there (links there are) and recall of audited nodes that have links, each compared with all vectors of its label.
+
+    Drawn by hash are at most ``AUDIT_ROWS`` of all nodes and as many for each size (power of four) of the groups found.
+    """
+    size = F.floor(F.log2(F.coalesce("linked", F.lit(0)) + 1) / 2).cast("int")
+    known = nodes.join(linked, "node", "left").select("node", "home", "vector", size.alias("size"))
+    order = F.xxhash64("node", F.lit(11))
+    picks = [known.orderBy(order).limit(AUDIT_ROWS).collect()]
+    for row in known.filter("size > 0").select("size").distinct().orderBy("size").collect():
+        picks.append(known.filter(F.col("size") == row.size).orderBy(order).limit(AUDIT_ROWS).collect())
+    drawn = list({r.node: r for rows in picks for r in rows}.values())
+    none = pd.DataFrame({"home": np.zeros(0, np.int64), "there": np.zeros(0, np.int64), "recall": np.zeros(0)})
     if not drawn:
-        return 1.0
+        return none
     homes, names = np.array([r.home for r in drawn]), np.array([r.node for r in drawn])
     vectors = [np.asarray(r.vector, np.float64) for r in drawn]
 
@@ -345,11 +385,19 @@ def audit_recall(nodes: DataFrame, linked: DataFrame, threshold: float) -> float
                 if len(mine):
                     x, q = unit_rows(part["vector"]), unit_rows(pd.Series([vectors[k] for k in mine]))
                     close = (q @ x.T >= threshold) & (names[mine][:, None] != part["node"].to_numpy()[None, :])
-                    yield pd.DataFrame({"node": names[mine], "there": close @ part["n_copies"].to_numpy()}).astype("int64")
+                    yield pd.DataFrame({"node": names[mine], "home": home, "there": close @ part["n_copies"].to_numpy()}).astype("int64")
 
-    there = nodes.select("node", "home", "n_copies", "vector").mapInPandas(count, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
-    both = there.join(linked, "node", "left").agg(F.sum(F.least(F.coalesce("linked", F.lit(0)), "there")).alias("got"), F.sum("there").alias("all")).first()
-    return float(both["got"]) / float(both["all"]) if both["all"] else 1.0
+    there = nodes.select("node", "home", "n_copies", "vector").mapInPandas(count, "node long, home long, there long").groupBy("node", "home").agg(F.sum("there").alias("there"))
+    rows = there.filter("there > 0").join(linked, "node", "left").select("home", "there", (F.least(F.coalesce("linked", F.lit(0)), "there") / F.col("there")).alias("recall")).collect()
+    return pd.DataFrame([tuple(r) for r in rows], columns=list(none.columns)) if rows else none
+
+
+def short_homes(audit: pd.DataFrame, target: float) -> list[int]:
+    """Labels whose mean recall per audited node, over all or over those of one group size, is below the target."""
+    size = (np.log2(audit["there"].to_numpy(np.float64) + 1) // 2).astype(int)
+    by_size = audit.groupby(["home", size])["recall"].mean().groupby(level=0).min()
+    worst = np.minimum(audit.groupby("home")["recall"].mean(), by_size)
+    return [int(h) for h in worst.index[worst < target]]
 
 
 def link_groups(df: DataFrame, stages: Stages, threshold: float = 0.93, target: float = 0.97) -> DataFrame:
@@ -367,15 +415,29 @@ def link_groups(df: DataFrame, stages: Stages, threshold: float = 0.93, target:
     # Adding zero makes one zero of both.
     rows = stages.put(rows.withColumn("node", F.when(F.col("usable"), F.xxhash64("label", F.transform("vector", lambda x: x + F.lit(0.0).cast("float"))))), "rows")
     nodes = stages.put(rows.filter("usable").groupBy("node", "home").agg(F.count("*").alias("n_copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector")), "nodes")
-    overlap = OVERLAP
-    while True:
-        members = _split(nodes.select(F.col("home").alias("shard"), "node", "n_copies", "vector"), stages, overlap)
+    members = nodes.select(F.col("home").alias("shard"), "node", "n_copies", "vector")
+    # A label that is one shard is whole; only the others can lose links, those between clusters.
+    sizes = stages.put(nodes.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") > CAPACITY).select("home"), "cut_labels")
+    at_risk = stages.put(nodes.join(sizes, "home", "left_semi"), "at_risk")
+
+    def searched(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         shards = _shards(members, stages)
         found = _search(shards, _graph(shards, stages), threshold, stages)
-        linked = stages.put(found.groupBy("node").agg(F.sum("linked").alias("linked")), "linked")
-        if overlap >= 8 or audit_recall(nodes, linked, threshold) >= target:
+        return found, stages.put(found.groupBy("node").agg(F.sum("linked").alias("linked")), "linked")
+
+    overlap = OVERLAP
+    while True:
+        found, linked = searched(_split(members, stages, overlap))
+        short = short_homes(audit_recall(at_risk, linked, threshold), target)
+        if not short or overlap >= MOST_OVERLAP:
             break
         overlap *= 2
+    if short:
+        # Labels that fall short at the last widening as well are searched whole, every part against every other.
+        left = stages.put(nodes.filter(F.col("home").isin(short)).select("node"), "short")
+        whole, whole_linked = searched(members.filter(F.col("shard").isin(short)))
+        found = found.join(left, "node", "left_anti").unionByName(whole)
+        linked = linked.join(left, "node", "left_anti").unionByName(whole_linked)
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")), stages).withColumnRenamed("component", "root")
     placed = nodes.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
