@@ -42,6 +42,16 @@ def test_page_without_article():
     assert main_text(page) == f"{words.strip()}\n\nshort\n\n{words.strip()}"
 
 
+def test_interrupted_page_without_article():
+    story = [f"Part {k} of the story, told in a sentence that is long enough to count. " * 2 for k in range(3)]
+    links = "".join(f"<div><a href=/{k}>See also {k}</a></div>" for k in range(4))
+    items = "".join(f"<div>item {k}</div>" for k in range(6))
+    page = (f"<body><div><a href=/>Home</a></div><div>{story[0]}</div>{links}<div><a href=/h>A linked heading</a></div><div>{story[1]}</div>"
+            f"<div class=ad>Buy!</div>{items}<div>{story[2]}</div><div><a href=/x>x</a></div></body>")
+    assert main_text(page).split("\n\n") == [
+        story[0].strip(), *[f"See also {k}" for k in range(4)], "A linked heading", story[1].strip(), *[f"item {k}" for k in range(6)], story[2].strip()]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>only text</p>"), (2, "u", "no markup at all &am &amp x"), (3, "u", "<nav>menu"), (4, "u", "<article><p>cut off &amp"),
             (5, "u", "<article>" + "<p>word</p>" * 30_000 + "</article>"), (6, "u", '<article><p title="a > b">quoted</p><p>a < b</p></article>'), (7, "u", "<script>x")]

@@ -4,8 +4,8 @@ Markup is stripped to one line per block.  Lines of elements that are not the ar
 or by their class or id weigh nothing, and so do lines outside the article where the page names
 one; in other pages the text of links does not count.  Weights are summed over a sliding window of
 lines.  The text lies between a surge, where the sum leaves zero or the threshold, and the dive
-after which it stays below: from the first surge to the last dive in a named article, between the
-surge and dive that hold most text in other pages.
+after which it stays below, from the first surge to the last dive.  In a page without a named article,
+short or linked blocks between them belong to the text.
 """
 
 from __future__ import annotations
@@ -178,8 +178,9 @@ def main_text(page: str | None) -> str:
         start, end = between_surge_and_dive(weights, 0, True)
         return "\n\n".join([line.text for line, w in zip(lines[start:end], weights[start:end], strict=True) if w])
     weights = [0 if line.dropped else max(0, len(line.text) - line.linked) for line in lines]
-    start, end = between_surge_and_dive(weights, THRESHOLD if sum(weights) > THRESHOLD else 0, False)
-    return "\n\n".join([line.text for line, w in zip(lines[start:end], weights[start:end], strict=True) if w])
+    start, end = between_surge_and_dive(weights, THRESHOLD if sum(weights) > THRESHOLD else 0, True)
+    # What interrupts the text, or is all link inside it, belongs to it unless its markup says otherwise.
+    return "\n\n".join([line.text for line in lines[start:end] if not line.dropped])
 
 
 def extract(pages: DataFrame) -> DataFrame:
