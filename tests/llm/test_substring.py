@@ -39,6 +39,22 @@ def run(spark, rows, partitions=3):
     return sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got], key=str)
 
 
+def test_equal_windows_of_a_crowd_are_combined(spark, monkeypatch):
+    rng = random.Random(9)
+    hot = " ".join(f"hot{k}" for k in range(30))
+    rows = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(20)) + f" {hot} " + " ".join(f"w{rng.randrange(10_000)}" for _ in range(20))) for i in range(80)]
+    seen, search = [], substring._search
+
+    def watched(pieces, partitions):
+        seen.append(max([r["count"] for r in pieces.groupBy("key").count().collect()], default=0))
+        return search(pieces, partitions)
+
+    monkeypatch.setattr(substring, "CROWD", 20)
+    monkeypatch.setattr(substring, "_search", watched)
+    assert run(spark, rows) == brute(rows)
+    assert max(seen) <= 20
+
+
 def test_wavelet_ranks():
     rng = np.random.default_rng(0)
     for n_symbols in (1, 2, 7, 300):

@@ -5,8 +5,8 @@ within a window is its anchor, so equal windows have equal anchors, and neighbou
 share one are a segment.  Segments whose anchor occurs in two documents are gathered, equal ones
 once with their smallest document, and dealt out to shards by anchor.  A shard's segments are
 indexed in a compressed FM-index; its segments are streamed against it by backward search, which gives
-for every window all places where it occurs, and hence the smallest document.  Anchors with very
-many segments are cut into single windows, dealt out by the window.
+for every window all places where it occurs, and hence the smallest document.  Segments of anchors with
+very many are cut into single windows, whose smallest document is a minimum over equal windows.
 
 Work and space grow with the text: no document is compared with a shard that shares no anchor with it.
 """
@@ -277,10 +277,21 @@ def repeated_windows(docs: DataFrame, stages: Stages, partitions: int) -> DataFr
     distinct = stages.put(found.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "place")).alias("least")), "distinct")
     crowds = stages.put(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowds")
     chosen = (distinct.join(crowds, "anchor", "left")
-              .select("least.doc", F.struct("least.place", "anchor", "segment", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("one"))
-              .groupBy("doc").agg(F.collect_list("one").alias("chosen")))
-    pieces = _pieces(docs.join(chosen, "doc").select("doc", "text", "chosen"))
-    searched = stages.put(_search(pieces, partitions), "searched")
+              .select("least.doc", F.struct("least.place", "anchor", "segment", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("one")))
+
+    def pieces(crowded: bool) -> DataFrame:
+        mine = chosen.filter(F.col("one.crowded") == crowded).groupBy("doc").agg(F.collect_list("one").alias("chosen"))
+        return _pieces(docs.join(mine, "doc").select("doc", "text", "chosen"))
+
+    answers, held = _search(pieces(False), partitions), []
+    if not crowds.isEmpty():
+        # Equal windows of a crowd are combined before they meet, and a written table lets Spark split the rows that ask for a common one.
+        windows = stages.put(pieces(True), "windows")
+        least = stages.put(windows.groupBy("key", "words").agg(F.min("doc").alias("low")), "least")
+        held = [windows, least]
+        answers = answers.unionByName(windows.join(least.hint("merge"), ["key", "words"]).select("anchor", "segment", "offset", F.array("low").alias("docs")))
+    searched = stages.put(answers, "searched")
+    stages.drop(*held)
     stages.release()
     earlier = F.aggregate(F.transform("docs", lambda d, k: F.when(d < F.col("doc"), F.call_function("shiftleft", F.lit(1), (k + F.col("offset")).cast("int"))).otherwise(0)),
                           F.lit(0), lambda a, b: a + b)
