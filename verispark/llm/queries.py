@@ -144,3 +144,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .files import Stages
 
     return ann_graph.link_groups(table(spark, sf_dir, "embeddings"), Stages(spark, "op1"))
+
+
+@query("op13_line_dedup", r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, s.key IS NOT NULL AND s.last <> k.doc_id AS gone FROM k LEFT JOIN s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+    from .files import Stages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bitmaps = line_dedup.keep_bitmaps(docs, "doc_id", "text", Stages(spark, "op13"), _partitions(spark))
+    return line_dedup.apply_bitmaps(docs, "doc_id", "text", bitmaps).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
