@@ -165,3 +165,29 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = line_dedup.keep_bitmaps(docs, "doc_id", "text", Stages(spark, "op13"), _partitions(spark))
     return line_dedup.apply_bitmaps(docs, "doc_id", "text", bitmaps).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_lexical_blas", r"""
+WITH p AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term),
+t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), term)) AS w
+  FROM documents, p),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), term)) AS w
+  FROM benchmark, p),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // terms) AS m FROM n, a),
+f AS (SELECT doc_id, w, count(*) AS tf FROM t SEMI JOIN i ON t.w = i.w GROUP BY ALL),
+v AS (SELECT w, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM f, a GROUP BY w, docs),
+s AS (
+  SELECT item_id, f.doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM i JOIN v ON i.w = v.w JOIN f ON f.w = i.w JOIN m ON m.doc_id = f.doc_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+    from .files import Stages
+
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Stages(spark, "op11"))
