@@ -191,3 +191,64 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .files import Stages
 
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Stages(spark, "op11"))
+
+
+@query("op12_repair", r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, tab),
+x AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt
+  FROM k, range(2) AS copies(c) WHERE kind <> 0 AND (c = 0 OR kind = 3)),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt) AS place FROM x),
+f AS (
+  SELECT conv_id, turn, role, txt, place, left(role, 1) AS one, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair,
+    CASE WHEN NOT regexp_matches(txt, '[^\x20\x09-\x0D]') THEN 1 WHEN place > min(place) OVER (PARTITION BY conv_id, role, txt) THEN 2
+      WHEN NOT regexp_matches(txt, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM p),
+ins(q, q2, ls, c, says) AS (
+  VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''), (0, 2, 'I', 3, chr(10) || 'user:'), (1, 2, 'I', 3, chr(10) || 'user:'),
+    (3, 2, 'I', 3, chr(10) || 'user:'), (2, 3, 'I', 3, chr(10) || 'assistant:'),
+    (0, 3, 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:')),
+acts(q, a, one, q2, c) AS (
+  VALUES (0, 'D', '', 0, 4), (1, 'D', '', 1, 4), (2, 'D', '', 2, 4), (3, 'D', '', 3, 4), (0, 'R', '', 2, 3), (1, 'R', '', 2, 3), (2, 'R', '', 3, 3), (3, 'R', '', 2, 3),
+    (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0)),
+d AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'says': ''} AS best FROM f
+  UNION ALL
+  SELECT conv_id, i, q, min(best) FROM (
+    SELECT d.conv_id, d.i + 1 AS i, acts.q2 AS q, {
+      'cost': d.best.cost + ins.c + acts.c + CASE WHEN acts.a <> 'D' AND f.fault = 3 THEN 3 ELSE 0 END,
+      'audit': d.best.audit || ins.ls || acts.a,
+      'says': d.best.says || ins.says || CASE acts.a WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.txt
+        ELSE chr(10) || CASE acts.q2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.txt END} AS best
+    FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id AND f.place = d.i + 1 JOIN ins ON ins.q = d.q JOIN acts ON acts.q = ins.q2
+    WHERE acts.a = 'D' OR (f.fault NOT IN (1, 2) AND (acts.a = 'R' OR acts.one = f.one))) GROUP BY ALL),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS n FROM f GROUP BY conv_id),
+e AS (
+  SELECT d.conv_id, min({'cost': best.cost + ins.c, 'audit': best.audit || ins.ls, 'says': best.says || ins.says}) AS best
+  FROM d JOIN g ON d.conv_id IS NOT DISTINCT FROM g.conv_id AND d.i = g.n JOIN ins ON ins.q = d.q WHERE ins.q2 IN (0, 3) GROUP BY d.conv_id),
+o AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost, coalesce(e.best.audit, '') AS audit,
+  sha256(coalesce(substr(e.best.says, 2), '')) AS repaired_sha256
+FROM o LEFT JOIN g ON o.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repair
+    from .files import Stages
+
+    original = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, rows = repair.repair(repair.damage(original), Stages(spark, "op12"), _partitions(spark))
+    ids = original.select("conv_id").distinct().select("conv_id", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")).alias("key"))
+    whole = ids.join(report.drop("conv_id"), "key", "left").join(repair.repaired_digests(rows), "key", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
