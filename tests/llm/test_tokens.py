@@ -93,6 +93,40 @@ def test_flat_small(spark, docs, hug):
     assert flat_tokens.read_flat(empty, "doc_id").count() == 0
 
 
+def test_words_go_to_the_model_as_the_whole_tokenizer_would(hug):
+    import random
+    rng, tool = random.Random(7), flat_tokens.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tool.model is not None
+    letters = "abcXYZ '.,!-_0129éßŁ\t\n\r\x0b\x00\u00a0\u0250\u4e2d🙂<|>"
+    parts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(3000)] + [" don't", " we'll've", "  ", " \n x", "<|endoftext|>"]
+    direct, whole = tool._pack(parts), tool._lines(parts)
+    assert direct == whole
+    assert [list(memoryview(p).cast("H")) for p in whole] == [hug.encode(p, add_special_tokens=False).ids for p in parts]
+
+
+def test_range_reads_equal_the_memory_map(spark, docs, monkeypatch):
+    shards = flat_tokens.write_flat(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 0, Stages(spark, "t"), 1)
+    row = shards.first()
+    mapped = flat_tokens.ShardIds(row.file, row.width, row.n_tokens)
+    monkeypatch.setattr(flat_tokens, "local_path", lambda path: None)
+    ranged = flat_tokens.ShardIds(row.file, row.width, row.n_tokens)
+    assert (ranged[3:9] == mapped[3:9]).all() and (ranged[0:row.n_tokens] == mapped[0:row.n_tokens]).all()
+    ranged.close()
+
+
+def test_sample_of_the_ranges_holds_no_texts(spark):
+    docs = spark.createDataFrame([(i // 2, "word " * 500) for i in range(50)], "doc_id long, text string")
+    seen = []
+    frame = type(docs)
+    real = frame.repartitionByRange
+    try:
+        frame.repartitionByRange = lambda self, n, *cols: (seen.append(cols), real(self, n, *cols))[1]
+        flat_tokens.write_flat(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 0, Stages(spark, "t"), 3)
+    finally:
+        frame.repartitionByRange = real
+    assert seen == [("id", "head")]
+
+
 def test_op4_query(spark, sf, hug):
     from verispark.llm.queries import op4
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

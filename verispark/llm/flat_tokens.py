@@ -9,13 +9,17 @@ table, so what a lost or repeated attempt left behind is never read.
 
 from __future__ import annotations
 
+import json
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,17 @@ from .pieces import PieceCache
 MAGIC = b"FLATTOK1"
 #: Documents written or read together.
 GROUP_CHARS = 4_000_000
+#: Words of which a Python worker keeps the ids, beside those of whole parts.
+KNOWN_WORDS = 250_000
+# Fixed value: the pattern by which a byte-level pre-tokenizer with use_regex splits a text.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others in order from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(others)}}
 
 
 class Tokens:
@@ -42,12 +57,40 @@ class Tokens:
         newline = self._ids(["\n"])[0]
         self.newline = newline[0] if len(newline) == 1 else None
         self.cache = PieceCache(self._pack)
+        # Words of plain byte-level models need no pre-tokenizer and go to the model directly.
+        made = json.loads(self.tool.to_str())
+        splits = made.get("pre_tokenizer") or {}
+        self.model = self.tool.model if (
+            splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
+            and not made.get("normalizer") and all(t["special"] for t in made.get("added_tokens", []))) else None
+        self.names, self.words = _byte_names(), {}
 
     def _ids(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        named = word.encode().decode("latin-1").translate(self.names)
+        packed = array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(named)])
+        if sys.byteorder == "big":
+            packed.byteswap()
+        self.words[word] = out = packed.tobytes()
+        return out
+
     def _pack(self, parts: list[str]) -> list[bytes]:
-        """Packed ids of text parts.
+        """Packed ids of text parts: word by word where that is known to be the same, else by the whole tokenizer."""
+        if len(self.words) > KNOWN_WORDS:
+            self.words.clear()
+        # Classes of characters up to U+024F have been settled long ago; later ones may differ between libraries.
+        direct = [self.model is not None and (p.isascii() or max(p) < "\u0250") for p in parts]
+        known, word = self.words.get, self._word
+        out = [b"".join([known(w) or word(w) for w in _WORDS(p)]) if good else b"" for p, good in zip(parts, direct, strict=True)]
+        rest = [i for i, good in enumerate(direct) if not good]
+        for i, packed in zip(rest, self._lines([parts[i] for i in rest]), strict=True):
+            out[i] = packed
+        return out
+
+    def _lines(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of text parts by the whole tokenizer.
 
         A call of the tokenizer costs more than a short part, so parts without a line break go
         through it as lines of one text: a line break before a space or a letter is a token of its own.
@@ -83,7 +126,9 @@ def write_flat(df: DataFrame, id_column: str, text_column: str, path: str, end_i
     """
     folder = stages.path("flat")
     source = (df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-              .repartitionByRange(partitions, "id", "text").sortWithinPartitions("id", "text"))
+              # The driver's sample of the ranges holds ids and the first bytes of texts, which sort as the texts do.
+              .withColumn("head", F.substring(F.col("text").cast("binary"), 1, 16))
+              .repartitionByRange(partitions, "id", "head").select("id", "text").sortWithinPartitions("id", "text"))
     schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +180,25 @@ def grouped(batch: pa.RecordBatch) -> Iterator[tuple[list[str], np.ndarray]]:
             start, size = i + 1, 0
 
 
-def mapped_ids(file: str, width: int, n_tokens: int):
-    """The ids of a shard, memory-mapped where the store is a file system."""
-    dtype = np.dtype("<u2" if width == 2 else "<u4")
-    plain = local_path(f"{file}.bin")
-    if plain is not None:
-        return np.memmap(plain, dtype, "r", shape=(n_tokens,))
-    with open_input(f"{file}.bin") as stream:
-        return np.frombuffer(stream.read(), dtype)
+class ShardIds:
+    """The ids of a shard by range: memory-mapped where the store is a file system, read range by range elsewhere."""
+
+    def __init__(self, file: str, width: int, n_tokens: int) -> None:
+        self.dtype = np.dtype("<u2" if width == 2 else "<u4")
+        plain = local_path(f"{file}.bin")
+        self.mapped = np.memmap(plain, self.dtype, "r", shape=(n_tokens,)) if plain is not None else None
+        self.stream = None if plain is not None else open_input(f"{file}.bin")
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[span]
+        size = self.dtype.itemsize
+        self.stream.seek(span.start * size)
+        return np.frombuffer(self.stream.read((span.stop - span.start) * size), self.dtype)
+
+    def close(self) -> None:
+        if self.stream is not None:
+            self.stream.close()
 
 
 def read_index(file: str) -> np.ndarray:
@@ -160,20 +216,22 @@ def read_flat(shards: DataFrame, id_column: str) -> DataFrame:
     spread = shards.repartition(max(1, shards.count()), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from verispark.llm.flat_tokens import mapped_ids, read_index
+        from verispark.llm.flat_tokens import ShardIds, read_index
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["n_docs"] == 0:
                     continue
-                index, ids = read_index(row["file"]), mapped_ids(row["file"], row["width"], row["n_tokens"])
+                index, ids = read_index(row["file"]), ShardIds(row["file"], row["width"], row["n_tokens"])
                 for a in range(0, row["n_docs"], 2000):
                     part = index[a:min(a + 2000, row["n_docs"]) + 1]
-                    names = part[:-1, 0]
+                    names, first = part[:-1, 0], int(part[0, 1])
+                    held = ids[first:int(part[-1, 1])]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(names, mask=names == -(1 << 63)), pa.array(part[:-1, 1] + row["base"]),
                         pa.array(np.diff(part[:, 1])),
-                        pa.array([ids[s:e].astype("<u4").tobytes() for s, e in zip(part[:-1, 1], part[1:, 1], strict=True)], pa.binary()),
+                        pa.array([held[s:e].astype("<u4").tobytes() for s, e in zip(part[:-1, 1] - first, part[1:, 1] - first, strict=True)], pa.binary()),
                     ], names=["id", "start", "n_tokens", "ids"])
+                ids.close()
 
     return spread.mapInArrow(run, "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_column)
