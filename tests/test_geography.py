@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verispark.functions import geo
-from verispark.operators import kernel, neighbours, regions, risk, sites, support
+from verispark.operators import box_tree, kernel, neighbours, regions, risk, sites, support
 
 
 def haversine(a_lat, a_lon, b_lat, b_lon):
@@ -214,7 +214,7 @@ def test_segments_far_and_near(spark):
     pts = rng.uniform(-5e5, 8e5, size=(40, 2))
     s = spark.createDataFrame(seg.tolist(), "ax double, ay double, bx double, by double")
     p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id int, x double, y double")
-    got = neighbours.nearest_segment_km(p, s, "id", 2e4).toPandas().set_index("id").distance_km
+    got = neighbours.nearest_segment_km(p, s, "id").toPandas().set_index("id").distance_km
     for i, q in enumerate(pts):
         best = np.inf
         for ax, ay, bx, by in seg:
@@ -227,12 +227,45 @@ def test_segments_far_and_near(spark):
 def test_points_without_a_segment_or_a_place_stay(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9e9, 0.0), (3, None, 1.0), (4, float("nan"), 1.0)], "id int, x double, y double")
     segments = spark.createDataFrame([(0.0, 3e3, 1e3, 3e3)], "ax double, ay double, bx double, by double")
-    got = {r.id: r.distance_km for r in neighbours.nearest_segment_km(points, segments, "id", 1e4).collect()}
+    got = {r.id: r.distance_km for r in neighbours.nearest_segment_km(points, segments, "id").collect()}
     assert got[1] == pytest.approx(3.0) and got[2] == pytest.approx(9e6 - 1, rel=1e-6) and got[3] is None and got[4] is None
-    none = neighbours.nearest_segment_km(points, segments.limit(0), "id", 1e4).collect()
+    none = neighbours.nearest_segment_km(points, segments.limit(0), "id").collect()
     assert {r.id: r.distance_km for r in none} == {1: None, 2: None, 3: None, 4: None}
 
 
+def test_far_clusters_and_crowds_cost_little(spark):
+    rng = np.random.default_rng(12)
+
+    def cluster(lat, lon, n, spread):
+        return pd.DataFrame({"id": range(n), "latitude": lat + rng.normal(0, spread, n), "longitude": lon + rng.normal(0, spread, n)})
+
+    def tree(pdf):
+        x = [np.cos(np.radians(pdf.latitude)) * np.cos(np.radians(pdf.longitude)), np.cos(np.radians(pdf.latitude)) * np.sin(np.radians(pdf.longitude)), np.sin(np.radians(pdf.latitude))]
+        rows = list(zip(pdf.id.tolist(), *[c.tolist() for c in x], *[c.tolist() for c in x]))
+        return box_tree.build(spark.createDataFrame(rows, "id long, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double"), "xyz")
+
+    for left, right in ((cluster(40, 5, 600, 0.5), cluster(-30, 150, 600, 0.5)), (cluster(40, 5, 600, 1e-6), cluster(40, 5, 600, 1e-6)),
+                        (cluster(10, 10, 600, 20), cluster(10, 10, 600, 20))):
+        pairs = box_tree.candidates(tree(left), tree(right)).count()
+        assert 600 <= pairs < 60 * 600
+        got = {r.id: (r.nearest_id, r.nearest_km) for r in neighbours.nearest_match(spark.createDataFrame(left), spark.createDataFrame(right), "id", "id").collect()}
+        for t in left.itertuples():
+            km = haversine(t.latitude, t.longitude, right.latitude, right.longitude)
+            assert got[t.id][1] == pytest.approx(km.min(), rel=1e-6, abs=1e-9) and km[got[t.id][0]] == pytest.approx(km.min(), rel=1e-6, abs=1e-9)
+
+
+def test_infinite_coordinates_have_no_neighbour(spark):
+    inf = float("inf")
+    points = spark.createDataFrame([(1, 0.0, 1.0), (2, inf, 0.0), (3, 0.0, -inf), (4, 1e300, 0.0)], "id int, x double, y double")
+    segments = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0), (inf, 0.0, 1.0, 1.0), (0.0, 5.0, None, 1.0)], "ax double, ay double, bx double, by double")
+    got = {r.id: r.distance_km for r in neighbours.nearest_segment_km(points, segments, "id").collect()}
+    assert got[1] == pytest.approx(0.001) and got[2] is None and got[3] is None and got[4] == pytest.approx(1e297)
+    places = points.select("id", F.col("x").alias("latitude"), F.col("y").alias("longitude")).where("id < 4")
+    near = {r.id: r.nearest_id for r in neighbours.nearest_match(places, places, "id", "id").collect()}
+    assert near == {1: 1, 2: None, 3: None}
+    assert [r.nearest_id for r in neighbours.nearest_match(places, places.limit(0), "id", "id").collect()] == [None] * 3
+
+
 def test_nearest_match_keeps_every_point_and_crosses_cube_planes(spark):
     rng = np.random.default_rng(8)
     a = pd.DataFrame({"id": range(120), "latitude": 30.5 + rng.uniform(-0.2, 0.2, 120), "longitude": rng.uniform(-0.2, 0.2, 120)})

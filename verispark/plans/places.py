@@ -306,12 +306,12 @@ pt AS (SELECT station_id, longitude*100000 AS x, latitude*100000 AS y FROM inven
 u AS (SELECT *, least(1, greatest(0, ((x-ax)*(cx-ax)+(y-ay)*(cy-ay))/(pow(cx-ax,2)+pow(cy-ay,2)))) AS t FROM pt, seg)
 SELECT station_id, round(min(sqrt(pow(x-(ax+t*(cx-ax)),2)+pow(y-(ay+t*(cy-ay)),2)))/1000, 6) AS coast_distance_km FROM u GROUP BY station_id""")
 def coast_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """Distance of every record to a polyline, found by widening squares around both."""
+    """Distance of every record to a polyline, found by branch and bound over boxes of points and segments."""
     nodes = d.grid_targets(spark, sf).select("target_id", (F.col("longitude") * 100000).alias("x"), (F.col("latitude") * 100000).alias("y"))
     ends = nodes.select((F.col("target_id") - 1).alias("target_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
     segments = nodes.withColumnsRenamed({"x": "ax", "y": "ay"}).join(ends, "target_id").drop("target_id")
     points = d.inventory(spark, sf).select("station_id", (F.col("longitude") * 100000).alias("x"), (F.col("latitude") * 100000).alias("y"))
-    found = neighbours.nearest_segment_km(points, segments, "station_id", 500000.0)
+    found = neighbours.nearest_segment_km(points, segments, "station_id")
     return found.select("station_id", r("distance_km").alias("coast_distance_km"))
 
 
@@ -328,7 +328,7 @@ def coast_distance_all_points(spark: SparkSession, sf: str) -> DataFrame:
     high = F.col("altitude_m")
     x = F.when(high > 1000, F.lit(None)).otherwise(F.col("longitude") * 100000 * F.when(high > 500, 1000).otherwise(1))
     points = d.inventory(spark, sf).select("station_id", x.alias("x"), (F.col("latitude") * 100000).alias("y"))
-    found = neighbours.nearest_segment_km(points, segments, "station_id", 500000.0, growth=16.0)
+    found = neighbours.nearest_segment_km(points, segments, "station_id")
     return found.select("station_id", r("distance_km", 3).alias("coast_distance_km"))
 
 
