@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from verispark.functions.mixing import mixed_array
 from verispark.operators import resample
 
 DAY0 = dt.date(2020, 1, 1)
@@ -152,3 +153,64 @@ def test_distributed_unit_numbers_equal_the_window(spark, by):
     plain = resample.unit_ordinals(df, by, "u").toPandas().sort_values([*by, "u"]).reset_index(drop=True)
     spread = resample.unit_ordinals(df, by, "u", limit=0).toPandas().sort_values([*by, "u"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(plain, spread[plain.columns], check_dtype=False)
+
+
+def test_day_counts_are_the_drawn_blocks():
+    for n, width in ((11, 3), (7, 7), (5, 9), (1, 2)):
+        counts = resample.day_counts(4, 9, n, width, 77)
+        for row, draw in zip(counts, range(4, 9), strict=True):
+            want = np.zeros(n)
+            for block in range(-(-n // width)):
+                start = int(mixed_array(np.array([draw]), np.array([block]), 77)[0, 0] % n)
+                for o in range(min(width, n - block * width)):
+                    want[(start + o) % n] += 1
+            assert (row == want).all() and row.sum() == n
+
+
+def test_unit_means_over_gaps_and_values_that_are_not_finite(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, day, float(rng.normal())) for u in range(7) for day in range(20) if rng.random() < 0.7]
+    rows += [(7, 3, float("inf")), (7, 4, 1.0), (8, 3, float("inf")), (8, 5, float("-inf")), (9, 6, float("nan")), (9, 7, 2.0), (10, 8, None), (None, 2, 4.0)]
+    rows += [(r[0], r[1], 0.5) for r in rows[:5]]  # two rows of one day weigh as two
+    frame = spark.createDataFrame(rows, "unit int, day int, v double")
+    got = {(r.draw, r.unit): r.v for r in resample.unit_means(frame, ["unit"], "day", ["v"], 30, 4, 5).collect()}
+    days = sorted({r[1] for r in rows})
+    counts = resample.day_counts(0, 30, len(days), 4, 5)
+    for draw in range(30):
+        for unit in {r[0] for r in rows}:
+            weight = np.array([counts[draw, days.index(d)] for u, d, v in rows if u == unit and v is not None])
+            values = np.array([v for u, d, v in rows if u == unit and v is not None])
+            if weight.sum() == 0:
+                assert (draw, unit) not in got
+                continue
+            some = weight > 0
+            want = (weight[some] * values[some]).sum() / weight.sum()
+            assert got[draw, unit] == pytest.approx(want, nan_ok=True)
+
+
+def test_ranks_along_a_fixed_order_equal_the_windows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(g, int(rng.integers(0, 9)), float(rng.integers(0, 6)), None if rng.random() < 0.1 else float(rng.normal())) for g in ("a", "b") for _ in range(60)]
+    rows += [("one", 1, 2.0, 3.0), ("flat", 1, 2.0, 3.0), ("flat", 2, 2.0, 4.0)]
+    frame = spark.createDataFrame(rows, "g string, block int, x double, y double")
+
+    def run():
+        return {(r.g, r.draw): r.rho for r in resample.weighted_spearman_draws(frame, ["g"], "block", "x", "y", 40, 9).collect()}
+
+    fast = run()
+    monkeypatch.setattr(resample, "MATRIX_VALUES", 10)
+    slow = run()
+    assert set(fast) == set(slow) and len(fast) >= 120
+    for key, rho in slow.items():
+        assert fast[key] == (pytest.approx(rho, abs=1e-9) if rho is not None else None)
+
+
+def test_average_ranks_down_columns():
+    values = np.array([[3.0, 1.0], [1.0, 1.0], [3.0, 0.0], [2.0, 1.0]])
+    assert (resample.average_rank_columns(values) == np.array([[3.5, 3.0], [1.0, 3.0], [3.5, 1.0], [2.0, 3.0]])).all()
+
+
+def test_no_shuffle_carries_draws(spark):
+    frame = spark.range(100).selectExpr("id % 5 as unit", "id % 20 as day", "cast(id as double) as v")
+    plan = resample.unit_means(frame, ["unit"], "day", ["v"], 500, 7, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0]

@@ -9,6 +9,7 @@ one draw on a lattice and bias every interval.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,13 @@ def with_mix(df: DataFrame, draw: Column, item: Column, seed: int, name: str) ->
         steps = steps.withColumn("_q", F.col("_sq") * F.col("_sq") % PRIME * F.col("_m") % PRIME)
         steps = steps.withColumn("_m", F.col("_q") if last else (F.col("_q") * 48271 + 11) % PRIME)
     return steps.withColumn(name, F.col("_m")).drop("_m", "_sq", "_q")
+
+
+def mixed_array(draws: np.ndarray, items: np.ndarray, seed: int) -> np.ndarray:
+    """The residues of ``with_mix`` for every draw (rows) and item (columns)."""
+    m = (draws.astype(np.int64)[:, None] * 7919 + items.astype(np.int64)[None, :] * 104729 + seed) % PRIME
+    for last in (False, True):
+        square = m * m % PRIME
+        fifth = square * square % PRIME * m % PRIME
+        m = fifth if last else (fifth * 48271 + 11) % PRIME
+    return m

@@ -8,12 +8,14 @@ is arithmetic on counters (see ``functions.mixing``): retried tasks repeat it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mixing import with_mix
+from ..functions.mixing import mixed_array, with_mix
 from ..session import cut_lineage
 from .contracts import attach_row
 from .order_stats import fits_a_task, ranked_within, weighted_correlation
@@ -140,6 +142,84 @@ def unit_ordinals(units: DataFrame, by: Sequence[str], unit: str, limit: int | N
     return joined.select(*by, unit, (F.col("_all") - F.col("_first")).cast("int").alias("unit_idx"), "n_units")
 
 
+def day_counts(first: int, last: int, n: int, width: int, seed: int) -> np.ndarray:
+    """How often each of ``n`` days is in draws ``first`` to ``last`` - 1 (rows): the circular blocks of ``block_starts``, laid on by differences."""
+    items = np.arange(-(-n // width))
+    starts = mixed_array(np.arange(first, last), items, seed) % n
+    ends = starts + np.minimum(width, n - items * width)
+    rows = np.arange(last - first)[:, None] * (2 * n + 1)
+    size = (last - first) * (2 * n + 1)
+    change = np.bincount((rows + starts).ravel(), minlength=size) - np.bincount((rows + ends).ravel(), minlength=size)
+    twice = np.cumsum(change.reshape(last - first, 2 * n + 1), axis=1)
+    return (twice[:, :n] + twice[:, n:2 * n]).astype(float)
+
+
+def drawn_sums(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the columns of ``values`` over the days of each draw, infinite and NaN values as addition has them."""
+    finite = np.isfinite(values)
+    if finite.all():
+        return counts @ values
+    out = counts @ np.where(finite, values, 0.0)
+    odd = np.flatnonzero(~finite.all(axis=0))
+    part = values[:, odd]
+    up, down, neither = (counts @ flags.astype(float) > 0 for flags in (part == np.inf, part == -np.inf, np.isnan(part)))
+    out[:, odd] = np.where(neither | (up & down), np.nan, np.where(up, np.inf, np.where(down, -np.inf, out[:, odd])))
+    return out
+
+
+def _calendar_arrays(daily: DataFrame, units: Sequence[str], day: str, measures: Sequence[str], calendar: DataFrame) -> DataFrame:
+    """units, n_days, at (day numbers) and per measure arrays of sums and counts: one row per unit, as long as the calendar."""
+    indexed = daily.join(day_ordinals(calendar, [], day), day)
+    sums = indexed.groupBy(*units, "day_idx").agg(
+        F.max("n_days").alias("n_days"), *[a for k, m in enumerate(measures) for a in (F.sum(F.col(f"`{m}`").cast("double")).alias(f"s{k}"), F.count(f"`{m}`").cast("double").alias(f"c{k}"))])
+    row = F.struct("day_idx", *[f"{x}{k}" for k in range(len(measures)) for x in "sc"])
+    packed = sums.groupBy(*units).agg(F.max("n_days").cast("int").alias("n_days"), F.collect_list(row).alias("_days"))
+    return packed.select(*units, "n_days", F.col("_days.day_idx").cast("array<int>").alias("at"),
+                         *[F.transform(F.col(f"_days.{x}{k}"), lambda v: F.coalesce(v, F.lit(0.0))).alias(f"{x}{k}") for k in range(len(measures)) for x in "sc"])
+
+
+#: Draws whose sums are made and sent on together, and values of the units that meet them at once.
+DRAW_BLOCK, UNIT_VALUES = 125, 4_000_000
+
+
+def unit_sums(daily: DataFrame, units: Sequence[str], day: str, measures: Sequence[str], draws: int, width: int, seed: int,
+              calendar: DataFrame | None = None) -> DataFrame:
+    """draw, units and, per measure, ``m__s`` and ``m__n``: sum and count over the drawn days when all units share one drawn calendar.
+
+    A unit's days are one array as long as the calendar.  Draws are arithmetic on counters, so each task makes the
+    day counts of a block of draws itself and multiplies them with the days of its units: nothing is shuffled per draw.
+    """
+    units, names = list(units), [f"{m}__{x}" for m in measures for x in "sn"]
+    packed = _calendar_arrays(daily, units, day, measures, calendar if calendar is not None else daily.select(day).distinct())
+    types = {f.name: f.dataType.simpleString() for f in packed.select(*units).schema}
+    columns = [f"{x}{k}" for k in range(len(measures)) for x in "sc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            n = whole.column("n_days")[0].as_py()
+            step = max(1, UNIT_VALUES // (n * len(columns)))
+            for begin in range(0, whole.num_rows, step):
+                batch = whole.slice(begin, step)
+                many = batch.num_rows
+                sizes = np.asarray(batch.column("at").value_lengths())
+                unit, at = np.repeat(np.arange(many), sizes), np.asarray(batch.column("at").flatten())
+                days = np.zeros((n, many, len(columns)))
+                for c, name in enumerate(columns):
+                    days[at, unit, c] = np.asarray(batch.column(name).flatten())
+                for first in range(0, draws, DRAW_BLOCK):
+                    last = min(first + DRAW_BLOCK, draws)
+                    sums = drawn_sums(day_counts(first, last, n, width, seed), days.reshape(n, -1)).reshape(last - first, many, len(columns))
+                    keys = [batch.column(u).take(pa.array(np.tile(np.arange(many), last - first))) for u in units]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, last, dtype=np.int32), many)), *keys,
+                                                      *[pa.array(sums[:, :, c].ravel()) for c in range(len(columns))]], names=["draw", *units, *names])
+
+    # A stated partition count keeps adaptive execution from folding the few rows of units into one task.
+    dealt = packed.repartition(daily.sparkSession.sparkContext.defaultParallelism, *units)
+    return dealt.mapInArrow(run, ", ".join(["draw int", *[f"`{u}` {types[u]}" for u in units], *[f"`{c}` double" for c in names]]))
+
+
 def nested_bootstrap(daily: DataFrame, day: str, unit: str, weight: str, measures: Sequence[str], draws: int,
                      width: int, seed_time: int, seed_space: int) -> DataFrame:
     """Days in circular blocks and spatial units with replacement, jointly.
@@ -148,16 +228,10 @@ def nested_bootstrap(daily: DataFrame, day: str, unit: str, weight: str, measure
     ``weight`` times the number of times it was drawn.
     """
     daily = cut_lineage(daily.select(day, unit, weight, *measures))
-    bound = 2 * width * daily.count()
     n_units = daily.select(F.count_distinct(unit).alias("n")).head().n
     full = daily.groupBy(day).agg(F.count_distinct(unit).alias("_u")).where(F.col("_u") == n_units).select(day)
     complete = daily.join(full, day, "left_semi")
-    indexed = day_ordinals(complete, [], day)
-    sizes = indexed.groupBy().agg(F.max("n_days").alias("n_days"))
-    arcs = arc_sums(indexed, [unit, weight], measures, width)
-    temporal = (_lookup(block_starts(sizes, [], draws, width, seed_time), arcs, ["start", "take"], bound)
-                .groupBy("draw", unit, weight)
-                .agg(*[F.sum(f"`{m}__{k}`").alias(f"{m}__{k}") for m in measures for k in ("s", "n")]))
+    temporal = unit_sums(complete, [unit, weight], day, measures, draws, width, seed_time)
     numbered = unit_ordinals(daily, [], unit)
     space = unit_weights(numbered.groupBy().agg(F.max("n_units").alias("n_units")), [], draws, seed_space)
     drawn = space.join(numbered.select("unit_idx", unit), "unit_idx").select("draw", unit, "k")
@@ -170,16 +244,12 @@ def nested_bootstrap(daily: DataFrame, day: str, unit: str, weight: str, measure
 
 def unit_means(daily: DataFrame, units: Sequence[str], day: str, measures: Sequence[str], draws: int, width: int,
                seed: int) -> DataFrame:
-    """Mean of every measure per (draw, unit) when all units share one drawn calendar."""
-    daily = cut_lineage(daily.select(*units, day, *measures))
-    bound = 2 * width * daily.count()
-    calendar = day_ordinals(daily.select(day).distinct(), [], day)
-    indexed = daily.join(calendar, day)
-    sizes = calendar.groupBy().agg(F.max("n_days").alias("n_days"))
-    arcs = arc_sums(indexed, units, measures, width)
-    picked = _lookup(block_starts(sizes, [], draws, width, seed), arcs, ["start", "take"], bound)
-    return picked.groupBy("draw", *units).agg(*[
-        F.try_divide(F.sum(f"`{m}__s`"), F.sum(f"`{m}__n`")).alias(m) for m in measures])
+    """Mean of every measure per (draw, unit) when all units share one drawn calendar; a draw without a day of the unit is left out."""
+    sums = unit_sums(daily, units, day, measures, draws, width, seed)
+    some = F.lit(False)
+    for m in measures:
+        some = some | (F.col(f"`{m}__n`") > 0)
+    return sums.where(some).select("draw", *units, *[F.try_divide(F.col(f"`{m}__s`"), F.col(f"`{m}__n`")).alias(m) for m in measures])
 
 
 def cell_day_bootstrap(daily: DataFrame, by: Sequence[str], cell: str, day: str, measures: Sequence[str],
@@ -198,14 +268,96 @@ def cell_day_bootstrap(daily: DataFrame, by: Sequence[str], cell: str, day: str,
                      F.sum(F.when(F.col(f"`{m}`").isNotNull(), F.col("k")))).alias(m) for m in measures])
 
 
+def average_rank_columns(values: np.ndarray) -> np.ndarray:
+    """Average ranks down each column."""
+    n = len(values)
+    order = np.argsort(values, axis=0, kind="stable")
+    ordered = np.take_along_axis(values, order, axis=0)
+    starts = np.ones(values.shape, bool)
+    starts[1:] = ordered[1:] != ordered[:-1]
+    place = np.arange(n)[:, None]
+    first = np.maximum.accumulate(np.where(starts, place, 0), axis=0)
+    ends = np.ones(values.shape, bool)
+    ends[:-1] = starts[1:]
+    last = np.minimum.accumulate(np.where(ends, place, n)[::-1], axis=0)[::-1]
+    out = np.empty(values.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=0)
+    return out
+
+
+def tied_ranks(weights: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Average ranks of units that count ``weights`` (draws by units) times, along their fixed order with the numbers of tied groups."""
+    along = weights[:, order]
+    firsts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    totals = np.add.reduceat(along, firsts, axis=1)
+    ranks = np.cumsum(totals, axis=1) - (totals - 1) / 2
+    out = np.empty(weights.shape)
+    out[:, order] = ranks[:, group]
+    return out
+
+
+def _correlations(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted correlation of each row, NaN without spread."""
+    n = weights.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean_x, mean_y = (weights * x).sum(axis=1) / n, (weights * y).sum(axis=1) / n
+        cx, cy = x - mean_x[:, None], y - mean_y[:, None]
+        spread = np.sqrt((weights * cx * cx).sum(axis=1) * (weights * cy * cy).sum(axis=1)) / n
+        return np.where(spread > 1e-12, (weights * cx * cy).sum(axis=1) / n / spread, np.nan)
+
+
+#: Values of a block of draws by units in one task.
+MATRIX_VALUES = 8_000_000
+
+
+def _draw_blocks(draws: int, n_units: int) -> int:
+    """Draws that one task takes: a share of the draws, fewer where there are many units."""
+    return max(1, min(DRAW_BLOCK, MATRIX_VALUES // max(n_units, 1)))
+
+
 def weighted_spearman_draws(units: DataFrame, by: Sequence[str], block: str, x: str, y: str, draws: int,
                             seed: int) -> DataFrame:
     """Rank correlation per (group, draw) when whole blocks of units are drawn with replacement.
 
-    A unit drawn k times enters as weight k, ranks included, so nothing is copied.
+    A unit drawn k times enters as weight k, ranks included, so nothing is copied.  The order of the units is the same in all draws:
+    they are sorted once, and a draw's tied ranks are cumulative weights along that order.  A task takes a block
+    of draws and the units of one group; groups beyond ``MATRIX_VALUES`` units are ranked by windows instead.
     """
-    units = cut_lineage(units.select(*by, block, x, y))
-    numbered = unit_ordinals(units, list(by), block)
+    by, units = list(by), cut_lineage(units.select(*by, block, x, y))
+    numbered = unit_ordinals(units, by, block)
+    present = units.join(numbered, [*by, block]).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    largest = units.groupBy(*by).count().agg(F.max("count")).head()[0] or 0
+    if largest > MATRIX_VALUES:
+        return _weighted_spearman_windows(units, numbered, by, block, x, y, draws, seed)
+    step = _draw_blocks(draws, largest)
+    spread = present.select(*by, F.col("unit_idx").cast("int").alias("unit_idx"), F.col("n_units").cast("int").alias("n_units"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+                            F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(step))).alias("_first"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in present.select(*by).schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        first, n = table.column("_first")[0].as_py(), table.column("n_units")[0].as_py()
+        last = min(first + step, draws)
+        drawn = mixed_array(np.arange(first, last), np.arange(n), seed) % n
+        counts = np.stack([np.bincount(row, minlength=n) for row in drawn])
+        weights = counts[:, table.column("unit_idx").to_numpy()].astype(float)
+        ranks = []
+        for name in ("x", "y"):
+            values = table.column(name).to_numpy()
+            order = np.argsort(values, kind="stable")
+            along = values[order]
+            # NaN is one value, above all others, as in a sort of rows.
+            differs = (along[1:] != along[:-1]) & ~(np.isnan(along[1:]) & np.isnan(along[:-1]))
+            ranks.append(tied_ranks(weights, order, np.r_[0, np.cumsum(differs)]))
+        rho = _correlations(ranks[0], ranks[1], weights)
+        some = weights.sum(axis=1) > 0  # a draw of blocks without a pair has no row
+        keys = [table.column(c).combine_chunks().take(pa.array(np.zeros(int(some.sum()), np.int32))) for c in by]
+        return pa.table([*keys, pa.array(np.arange(first, last, dtype=np.int32)[some]), pa.array(rho[some], mask=np.isnan(rho[some]))], names=[*by, "draw", "rho"])
+
+    dealt = spread.repartition(units.sparkSession.sparkContext.defaultParallelism, *by, "_first")
+    return dealt.groupBy(*by, "_first").applyInArrow(run, ", ".join(filter(None, [types, "draw int", "rho double"])))
+
+
+def _weighted_spearman_windows(units: DataFrame, numbered: DataFrame, by: list[str], block: str, x: str, y: str, draws: int, seed: int) -> DataFrame:
     weights = unit_weights(numbered.groupBy(*by).agg(F.max("n_units").alias("n_units")), by, draws, seed)
     drawn = (weights.join(numbered.select(*by, block, "unit_idx"), [*by, "unit_idx"])
              .join(units, [*by, block]).where(F.col(x).isNotNull() & F.col(y).isNotNull()))
@@ -214,6 +366,40 @@ def weighted_spearman_draws(units: DataFrame, by: Sequence[str], block: str, x:
     return ranked.groupBy(*by, "draw").agg(weighted_correlation(F.col("_rx"), F.col("_ry"), F.col("k")).alias("rho"))
 
 
+def drawn_day_spearman(daily: DataFrame, unit: str, day: str, measures: Sequence[str], target: Column, covariates: dict[str, Column],
+                       draws: int, width: int, seed: int) -> DataFrame:
+    """draw, covariate, rho: rank correlation over units of ``target`` with each covariate, all recomputed under each draw of day blocks.
+
+    ``target`` and ``covariates`` are expressions of the measures' means.  A unit without a value in a draw leaves that correlation.
+    Units travel as arrays of a block of draws each; a task ranks one block, column by column.
+    """
+    means = unit_means(daily, [unit], day, measures, draws, width, seed)
+    names = list(covariates)
+    values = means.select("draw", target.cast("double").alias("_t"), *[c.cast("double").alias(f"_c{k}") for k, c in enumerate(covariates.values())])
+    n_units = daily.select(F.count_distinct(unit)).head()[0]
+    step = _draw_blocks(draws, n_units * (len(names) + 1))
+
+    def run(table: pa.Table) -> pa.Table:
+        draw = table.column("draw").to_numpy()
+        order = np.argsort(draw, kind="stable")
+        ids, firsts = np.unique(draw[order], return_index=True)
+        t = table.column("_t").to_numpy()[order]
+        out: dict[str, list] = {"draw": [], "covariate": [], "rho": []}
+        for k, name in enumerate(names):
+            c = table.column(f"_c{k}").to_numpy()[order]
+            for i, a, b in zip(ids, firsts, [*firsts[1:], len(draw)], strict=True):
+                good = ~(np.isnan(t[a:b]) | np.isnan(c[a:b]))
+                x, y = (average_rank_columns(v[a:b][good][:, None])[:, 0][None] for v in (t, c))
+                rho = _correlations(x, y, np.ones(x.shape))[0] if x.size else np.nan
+                out["draw"].append(int(i))
+                out["covariate"].append(name)
+                out["rho"].append(None if np.isnan(rho) else float(rho))
+        return pa.table({"draw": pa.array(out["draw"], pa.int32()), "covariate": pa.array(out["covariate"]), "rho": pa.array(out["rho"], pa.float64())})
+
+    dealt = values.withColumn("_block", F.floor(F.col("draw") / step)).repartition(daily.sparkSession.sparkContext.defaultParallelism, "_block")
+    return dealt.groupBy("_block").applyInArrow(run, "draw int, covariate string, rho double")
+
+
 def interval(value: str | Column, confidence: float = 0.95) -> tuple[Column, Column]:
     """Aggregates: percentile interval over the draws of a group (a bounded number)."""
     tail = (1 - confidence) / 2

@@ -93,20 +93,35 @@ def boot_station_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return rho.agg(F.count("rho").alias("n_draws"), r(F.avg("rho")).alias("mean"), r(low).alias("ci_low"), r(high).alias("ci_high"))
 
 
-@query("boot_day_spearman", "WITH " + STATION_DAY_SQL + """,
+PANEL_DAYS_SQL = STATION_DAY_SQL.replace("FROM common GROUP BY ALL", ", avg(ref_point) FILTER (WHERE lead_h = 48) AS obs_b, avg(ref_point) FILTER (WHERE lead_h = 24) AS obs_a FROM common GROUP BY ALL", 1)
+
+
+@query("boot_day_spearman", "WITH " + PANEL_DAYS_SQL + """,
 cal AS (SELECT valid_day, row_number() OVER (ORDER BY valid_day) - 1 AS day_idx FROM (SELECT DISTINCT valid_day FROM sd)),
-""" + d.starts_sql("(SELECT count(*) FROM cal)", 60, 7, SEED + 12) + """,
-dr AS (SELECT draw, station_id, avg(effect) AS effect, sqrt(avg(diff2)) AS rmse FROM idx JOIN cal USING (day_idx) JOIN sd USING (valid_day) GROUP BY ALL),
-rho AS (SELECT draw, corr(rx, ry) AS rho FROM """ + _weighted_rank_sql("dr", "effect", "rmse") + """ GROUP BY draw)
-SELECT count(*) AS n_draws, round(avg(rho), 6) AS mean, round(quantile_cont(rho, 0.025), 6) AS ci_low, round(quantile_cont(rho, 0.975), 6) AS ci_high FROM rho""")
+""" + d.starts_sql("(SELECT count(*) FROM cal)", 2000, 7, SEED + 12) + """,
+kd AS (SELECT draw, valid_day, count(*) AS k FROM idx JOIN cal USING (day_idx) GROUP BY ALL),
+dr AS (SELECT draw, station_id, sum(k*effect)/sum(k) AS effect, sum(k*obs)/sum(k) AS mean_obs, sqrt(greatest(sum(k*obs2)/sum(k)-pow(sum(k*obs)/sum(k), 2), 0)) AS sd_obs,
+         sum(k*diff)/sum(k) AS bias, sqrt(sum(k*diff2)/sum(k)) AS rmse,
+         sum(k*obs_b)/sum(k) FILTER (WHERE obs_b IS NOT NULL) - sum(k*obs_a)/sum(k) FILTER (WHERE obs_a IS NOT NULL) AS lead_contrast
+       FROM kd JOIN sd USING (valid_day) GROUP BY ALL),
+cv AS (SELECT draw, m.covariate, effect, m.v FROM dr, LATERAL (VALUES ('mean_obs', mean_obs), ('sd_obs', sd_obs), ('bias', bias), ('rmse', rmse), ('lead_contrast', lead_contrast)) m(covariate, v)
+       WHERE m.v IS NOT NULL),
+rk AS (SELECT draw, covariate, rank() OVER (PARTITION BY draw, covariate ORDER BY effect) AS rx, rank() OVER (PARTITION BY draw, covariate ORDER BY v) AS ry FROM cv),
+rho AS (SELECT draw, covariate, corr(rx, ry) AS rho FROM rk GROUP BY ALL)
+SELECT covariate, count(rho) AS n_draws, round(avg(rho), 4) AS mean, round(quantile_cont(rho, 0.025), 4) AS ci_low, round(quantile_cont(rho, 0.975), 4) AS ci_high,
+       round(avg(CASE WHEN rho > 0 THEN 1.0 ELSE 0.0 END), 4) AS p_gt_zero FROM rho GROUP BY covariate""")
 def boot_day_spearman(spark: SparkSession, sf: str) -> DataFrame:
-    """Effects and covariates of every station recomputed under each draw of day blocks."""
-    means = resample.unit_means(station_days(spark, sf), ["station_id"], "valid_day", ["effect", "diff2"], 60, 7, SEED + 12)
-    ranked = order_stats.ranked_within(means.withColumn("rmse", F.sqrt("diff2")), ["draw"], "effect", "rx")
-    ranked = order_stats.ranked_within(ranked, ["draw"], "rmse", "ry")
-    rho = ranked.groupBy("draw").agg(F.corr("rx", "ry").alias("rho"))
+    """Effects and every covariate of every station, the contrast of two leads among them, recomputed under each draw of day blocks."""
+    diff, obs = F.col("ref_grid") - F.col("ref_point"), F.col("ref_point")
+    days = d.common_panel(spark, sf).groupBy("station_id", "valid_day").agg(
+        F.avg(effect_column()).alias("effect"), F.avg(obs).alias("obs"), F.avg(obs * obs).alias("obs2"), F.avg(diff).alias("diff"), F.avg(diff * diff).alias("diff2"),
+        F.avg(F.when(F.col("lead_h") == 48, obs)).alias("obs_b"), F.avg(F.when(F.col("lead_h") == 24, obs)).alias("obs_a"))
+    measures = ["effect", "obs", "obs2", "diff", "diff2", "obs_b", "obs_a"]
+    wanted = {**covariates(*[F.col(c) for c in ("obs", "obs2", "diff", "diff2")]), "lead_contrast": F.col("obs_b") - F.col("obs_a")}
+    rho = resample.drawn_day_spearman(cut_lineage(days), "station_id", "valid_day", measures, F.col("effect"), wanted, 2000, 7, SEED + 12)
     low, high = resample.interval("rho")
-    return rho.agg(F.count("rho").alias("n_draws"), r(F.avg("rho")).alias("mean"), r(low).alias("ci_low"), r(high).alias("ci_high"))
+    return rho.groupBy("covariate").agg(F.count("rho").alias("n_draws"), r(F.avg("rho"), 4).alias("mean"), r(low, 4).alias("ci_low"), r(high, 4).alias("ci_high"),
+                                        r(resample.share(F.col("rho") > 0), 4).alias("p_gt_zero"))
 
 
 BLOCKS_SQL = "WITH " + STATION_DAY_SQL + ", " + d.STATIONS_SQL + """,
@@ -227,11 +242,12 @@ def standardised_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("boot_cell_day_slope", "WITH " + d.LONG_SQL + """,
 ce AS (SELECT s_suppkey AS station_id, s_nationkey AS cell FROM supplier),
-cd AS (SELECT model, cell, date_trunc('month', valid_time) AS day, avg(abs(forecast-ref_grid)) AS eg, avg(abs(forecast-ref_point)) AS ep, avg(abs(forecast-30)) AS ro FROM long JOIN ce USING (station_id) GROUP BY ALL),
+cd AS (SELECT model, cell, valid_day AS day, avg(abs(forecast-ref_grid)) AS eg, avg(abs(forecast-ref_point)) AS ep, avg(abs(forecast-30)) AS ro FROM long JOIN ce USING (station_id) GROUP BY ALL),
 cal AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS day_idx FROM (SELECT DISTINCT day FROM cd)),
 cu AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS unit_idx FROM (SELECT DISTINCT cell FROM cd)),
-""" + d.starts_sql("(SELECT count(*) FROM cal)", 200, 3, SEED + 21, "t") + ",\n" + d.starts_sql("(SELECT count(*) FROM cu)", 200, 1, SEED + 22, "u") + """,
-bc AS (SELECT t.draw, model, cell, avg(eg) AS eg, avg(ep) AS ep, avg(ro) AS ro FROM t JOIN cal USING (day_idx) JOIN cd USING (day) GROUP BY ALL),
+""" + d.starts_sql("(SELECT count(*) FROM cal)", 2000, 3, SEED + 21, "t") + ",\n" + d.starts_sql("(SELECT count(*) FROM cu)", 2000, 1, SEED + 22, "u") + """,
+kt AS (SELECT draw, day, count(*) AS k FROM t JOIN cal USING (day_idx) GROUP BY ALL),
+bc AS (SELECT draw, model, cell, sum(k*eg)/sum(k) AS eg, sum(k*ep)/sum(k) AS ep, sum(k*ro)/sum(k) AS ro FROM kt JOIN cd USING (day) GROUP BY ALL),
 dm AS (SELECT bc.draw, model, avg(eg) AS eg, avg(ep) AS ep, avg(ro) AS ro FROM u JOIN cu ON cu.unit_idx = u.day_idx JOIN bc ON bc.cell = cu.cell AND bc.draw = u.draw GROUP BY ALL),
 sl AS (SELECT draw, regr_slope(eg-ep, ro) AS s FROM dm GROUP BY draw)
 SELECT count(s) AS finite_draws, round(avg(s), 5) AS mean, round(quantile_cont(s, 0.025), 5) AS ci_low, round(quantile_cont(s, 0.975), 5) AS ci_high, round(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_slope_gt_zero FROM sl""")
@@ -239,9 +255,9 @@ def boot_cell_day_slope(spark: SparkSession, sf: str) -> DataFrame:
     """Slope of advantage on roughness under joint draws of cells and day blocks."""
     cells = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("station_id"), F.col("s_nationkey").alias("cell"))
     f = F.col("forecast")
-    daily = d.long_panel(spark, sf).join(cells, "station_id").groupBy("model", "cell", F.date_trunc("month", "valid_time").alias("day")).agg(
+    daily = d.long_panel(spark, sf).join(cells, "station_id").groupBy("model", "cell", F.col("valid_day").alias("day")).agg(
         F.avg(F.abs(f - F.col("ref_grid"))).alias("eg"), F.avg(F.abs(f - F.col("ref_point"))).alias("ep"), F.avg(F.abs(f - 30)).alias("ro"))
-    drawn = resample.cell_day_bootstrap(daily, ["model"], "cell", "day", ["eg", "ep", "ro"], 200, 3, SEED + 21, SEED + 22)
+    drawn = resample.cell_day_bootstrap(daily, ["model"], "cell", "day", ["eg", "ep", "ro"], 2000, 3, SEED + 21, SEED + 22)
     slopes = drawn.withColumn("b", F.col("eg") - F.col("ep")).groupBy("draw").agg(regression.guarded_slope("b", "ro").alias("s"))
     low, high = resample.interval("s")
     return slopes.agg(F.count("s").alias("finite_draws"), r(F.avg("s"), 5).alias("mean"), r(low, 5).alias("ci_low"), r(high, 5).alias("ci_high"), r(resample.share(F.col("s") > 0)).alias("p_slope_gt_zero"))

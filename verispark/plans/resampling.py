@@ -339,19 +339,19 @@ def leave_one_region_out(spark: SparkSession, sf: str) -> DataFrame:
 
 # Nested bootstrap: spatial blocks are latitude bands of the stations, weighted by their stations.
 NESTED_SQL = "WITH " + d.STATIONS_SQL + ", " + d.PANEL_SQL + """,
-placed AS (SELECT c.*, CAST(floor(s.latitude/60) AS BIGINT) || '_' || CAST(floor(s.longitude/120) AS BIGINT) AS block
+placed AS (SELECT c.*, CAST(floor(s.latitude/90) AS BIGINT) || '_' || CAST(floor(s.longitude/180) AS BIGINT) AS block
            FROM common c JOIN stations s USING (station_id)),
 weights AS (SELECT block, CAST(count(DISTINCT station_id) AS DOUBLE) AS w FROM placed GROUP BY block),
 ranked AS (SELECT block, w, row_number() OVER (ORDER BY block) - 1 AS unit_idx FROM weights),
-months AS (SELECT date_trunc('month', valid_time) AS day, block, avg(abs(beta-ref_point)) AS pb, avg(abs(gamma-ref_point)) AS pg,
+days AS (SELECT valid_day AS day, block, avg(abs(beta-ref_point)) AS pb, avg(abs(gamma-ref_point)) AS pg,
            avg(abs(beta-ref_grid)) AS gb, avg(abs(gamma-ref_grid)) AS gg FROM placed GROUP BY ALL),
-full_days AS (SELECT day FROM months GROUP BY day HAVING count(DISTINCT block) = (SELECT count(*) FROM weights)),
+full_days AS (SELECT day FROM days GROUP BY day HAVING count(DISTINCT block) = (SELECT count(*) FROM weights)),
 numbered AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS day_idx FROM full_days),
 """ + d.starts_sql("(SELECT count(*) FROM numbered)", 2000, 3, SEED + 3, "t") + ",\n" + d.starts_sql(
     "(SELECT count(*) FROM ranked)", 2000, 1, SEED + 4, "u") + """,
 dr AS (SELECT t.draw, sum(r.w*m.pb)/sum(r.w) AS pb, sum(r.w*m.pg)/sum(r.w) AS pg, sum(r.w*m.gb)/sum(r.w) AS gb, sum(r.w*m.gg)/sum(r.w) AS gg
        FROM t JOIN numbered n ON t.day_idx = n.day_idx JOIN u ON t.draw = u.draw JOIN ranked r ON u.day_idx = r.unit_idx
-       JOIN months m ON m.day = n.day AND m.block = r.block GROUP BY t.draw)
+       JOIN days m ON m.day = n.day AND m.block = r.block GROUP BY t.draw)
 SELECT (SELECT count(*) FROM ranked) AS n_blocks, (SELECT count(*) FROM numbered) AS n_complete,
        round(avg((pb-pg)-(gb-gg)), 6) AS effect, round(quantile_cont((pb-pg)-(gb-gg), 0.025), 6) AS effect_low,
        round(quantile_cont((pb-pg)-(gb-gg), 0.975), 6) AS effect_high,
@@ -362,7 +362,7 @@ SELECT (SELECT count(*) FROM ranked) AS n_blocks, (SELECT count(*) FROM numbered
 def boot_nested(spark: SparkSession, sf: str) -> DataFrame:
     """Time blocks and spatial clusters drawn jointly; only complete periods, clusters weighted by stations."""
     where = d.stations(spark, sf).select("station_id", geo_block().alias("block"))
-    placed = d.common_panel(spark, sf).join(where, "station_id").withColumn("day", F.date_trunc("month", "valid_time"))
+    placed = d.common_panel(spark, sf).join(where, "station_id").withColumn("day", F.col("valid_day"))
     weights = placed.groupBy("block").agg(F.count_distinct("station_id").cast("double").alias("w"))
     errors = {f"{ref[4]}{m[0]}": F.avg(F.abs(F.col(m) - F.col(ref))) for ref in d.REFERENCES for m in ("beta", "gamma")}
     daily = placed.groupBy("day", "block").agg(*[e.alias(n) for n, e in errors.items()]).join(weights, "block")
@@ -379,7 +379,7 @@ def boot_nested(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def geo_block():
-    return F.concat_ws("_", F.floor(F.col("latitude") / 60).cast("string"), F.floor(F.col("longitude") / 120).cast("string"))
+    return F.concat_ws("_", F.floor(F.col("latitude") / 90).cast("string"), F.floor(F.col("longitude") / 180).cast("string"))
 
 
 @query("sup_t_band", "WITH " + draws_sql(7) + """,

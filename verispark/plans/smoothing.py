@@ -216,7 +216,7 @@ OPTIMA_SQL = "WITH " + BLUR_SQL + LADDER_SQL[len(SERIES_SQL):] + """,
 ls AS (SELECT weighting, support_km, model, sigma_km, t.valid_day, avg(pow(value-target, 2)) AS mse FROM tg t JOIN blur b ON b.station_id = t.centre_id AND b.valid_day = t.valid_day WHERE weighting = 'uniform' GROUP BY ALL),
 sc AS (SELECT support_km, model, sigma_km, sqrt(avg(mse)) AS rmse FROM ls GROUP BY ALL),
 cal AS (SELECT valid_day, row_number() OVER (ORDER BY valid_day) - 1 AS day_idx FROM (SELECT DISTINCT valid_day FROM ls)),
-""" + d.starts_sql("(SELECT count(*) FROM cal)", 200, 7, SEED + 42) + """,
+""" + d.starts_sql("(SELECT count(*) FROM cal)", 2000, 7, SEED + 42) + """,
 dr AS (SELECT draw, support_km, model, sigma_km, sqrt(avg(mse)) AS rmse FROM idx JOIN cal USING (day_idx) JOIN ls USING (valid_day) GROUP BY ALL),
 bd AS (SELECT draw, support_km, model, arg_min(sigma_km, (round(rmse, 12), sigma_km)) AS s FROM dr GROUP BY ALL)
 SELECT support_km, model, (SELECT arg_min(sigma_km, (round(rmse, 12), sigma_km)) FROM sc WHERE sc.support_km = bd.support_km AND sc.model = bd.model) AS optimal_sigma,
@@ -243,7 +243,7 @@ def support_optima(spark: SparkSession, sf: str) -> DataFrame:
         return F.array_min(F.array(*[F.struct(F.round(F.sqrt(c), 12).alias("v"), F.lit(s).alias("s")) for c, s in zip(names, SIGMAS)]))["s"]
 
     wide = cut_lineage(wide)
-    drawn = resample.unit_means(wide, ["support_km", "model"], "day", names, 200, 7, SEED + 42).withColumn("s", best())
+    drawn = resample.unit_means(wide, ["support_km", "model"], "day", names, 2000, 7, SEED + 42).withColumn("s", best())
     point = wide.groupBy("support_km", "model").agg(*[F.avg(n).alias(n) for n in names]).select("support_km", "model", best().alias("optimal_sigma"))
     low, high = resample.interval("s")
     summary = drawn.groupBy("support_km", "model").agg(r(F.avg("s")).alias("bootstrap_mean"), r(low).alias("ci_low"), r(high).alias("ci_high"), r(resample.share(F.col("s") > 0)).alias("p_gt_zero"))
