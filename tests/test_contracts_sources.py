@@ -1,7 +1,9 @@
 """Contracts, findings, file readers and records."""
 
 import gzip
+import datetime as dt
 import json
+import os
 import zipfile
 import zlib
 
@@ -13,7 +15,7 @@ from verispark.functions import calendar as cal
 from verispark.functions import quality, text
 from verispark.operators import audit, contracts, contrast, panel, regression, score
 from verispark.session import scratch_path
-from verispark.sources import archives, records, reports, tables
+from verispark.sources import archives, chunks, records, reports, tables
 
 
 def test_columns_and_cardinality(spark):
@@ -187,6 +189,64 @@ def test_chunk_store(spark, tmp_path, codec):
     assert archives.read_coordinate(spark, str(root), "latitude", archives.store_metadata(spark, str(root))) == [10.0, 15.0, 20.0]
 
 
+def test_chunk_source_opens_only_what_filters_want(spark, tmp_path):
+    origin, rng = dt.datetime(2021, 3, 1), np.random.default_rng(2)
+    cells = [(t, k, i, j, float(rng.normal())) for t in range(50) for k in range(2) for i in range(2) for j in range(3) if rng.random() < 0.9 and t // 10 != 3]
+    frame = spark.createDataFrame(cells, "time_idx int, lead_idx int, lat_idx int, lon_idx int, value double")
+    root = str(tmp_path / "store")
+    chunks.write_field(frame, root, "v", origin, 50, [0.0, 6.0], (2, 3), (10, 1))
+    field = chunks.read_field(spark, root, "v")
+    assert field.rdd.getNumPartitions() == 10
+    got = {(r.valid_time, r.lead_h, r.lat_idx, r.lon_idx): r.value for r in field.where("not isnan(value)").collect()}
+    assert got == {(origin + dt.timedelta(hours=t), 6.0 * k, i, j): v for t, k, i, j, v in cells}
+    window = field.where((F.col("valid_time") >= origin + dt.timedelta(hours=12)) & (F.col("valid_time") < origin + dt.timedelta(hours=20)) & (F.col("lead_h") == 6.0))
+    assert window.rdd.getNumPartitions() == 1
+    for name in os.listdir(tmp_path / "store" / "v"):
+        if name != "1.1.0.0":
+            (tmp_path / "store" / "v" / name).write_bytes(b"unreadable")
+    assert window.count() == 8 * 6
+    assert field.where(F.col("lead_h").isin(6.0) & (F.col("valid_time") == origin + dt.timedelta(hours=13))).count() == 6
+    assert field.where(F.col("valid_time") > origin + dt.timedelta(days=9)).count() == 0
+    with pytest.raises(Exception, match="rror"):
+        field.where(F.col("lead_h") == 0.0).count()
+
+
+def test_chunk_source_reads_either_axis_order_and_three_axes(spark, tmp_path):
+    data = np.arange(3 * 2 * 4, dtype="<f4").reshape(3, 4, 2)  # time, longitude, latitude
+    root = tmp_path / "s"
+    for folder in ("v", "time"):
+        (root / folder).mkdir(parents=True)
+    meta = {"v/.zarray": {"shape": [3, 4, 2], "chunks": [2, 4, 2], "dtype": "<f4", "order": "C", "compressor": None}, "v/.zattrs": {"_ARRAY_DIMENSIONS": ["time", "longitude", "latitude"]},
+            "time/.zarray": {"shape": [3], "chunks": [3], "dtype": "<i8", "order": "C", "compressor": None}, "time/.zattrs": {"units": "days since 2020-01-01"}}
+    (root / ".zmetadata").write_text(json.dumps({"metadata": meta}))
+    (root / "time" / "0").write_bytes(np.arange(3, dtype="<i8").tobytes())
+    for k in range(2):
+        block = np.zeros((2, 4, 2), "<f4")
+        block[:len(data[2 * k:2 * k + 2])] = data[2 * k:2 * k + 2]
+        (root / "v" / f"{k}.0.0").write_bytes(block.tobytes())
+    rows = chunks.read_field(spark, str(root), "v").collect()
+    assert len(rows) == data.size and all(r.value == data[(r.valid_time - dt.datetime(2020, 1, 1)).days, r.lon_idx, r.lat_idx] for r in rows)
+
+
+def test_zip_members_are_read_by_range(spark, tmp_path):
+    long_lines = [f"line {i} é" for i in range(120_000)]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("one.txt", "\r\n".join(long_lines).encode("latin-1"))
+        z.writestr("two.txt", "x\n\ny", compress_type=zipfile.ZIP_STORED)
+        z.writestr("empty.txt", "")
+        z.writestr("other.bin", b"\x00" * 10)
+    members = archives.zip_members(spark, str(tmp_path / "*.zip"), suffix=".txt", single=False).collect()
+    assert sorted(m.member for m in members) == ["empty.txt", "one.txt", "two.txt"]
+    lines = archives.read_zip_lines(spark, str(tmp_path / "*.zip"), suffix=".txt", single=False, batch=1000)
+    got = {}
+    for r in lines.collect():
+        got.setdefault(r.member, []).append(r.line)
+    assert got == {"one.txt": long_lines, "two.txt": ["x", "", "y"]}
+    with open(tmp_path / "a.zip", "rb") as stream:
+        pieces = list(archives.inflated(stream, next(m.header for m in members if m.member == "one.txt"), next(m.packed for m in members if m.member == "one.txt"), 8))
+    assert max(map(len, pieces)) <= archives.PIECE
+
+
 def test_geojson(spark, tmp_path):
     doc = {"type": "FeatureCollection", "features": [
         {"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1], [2, 0]]}},

@@ -50,8 +50,11 @@ def common_cases(df: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
 
 
 def common_support(df: DataFrame, keys: Sequence[str], columns: Sequence[str], member: str,
-                   n_members: int) -> DataFrame:
-    """Keys at which every member has every column."""
+                   n_members: int | None = None) -> DataFrame:
+    """Keys at which every member has every column; without ``n_members`` the members of the input are counted."""
+    if n_members is None:
+        df = cut_lineage(df)
+        n_members = df.select(F.count_distinct(member).alias("n")).head().n
     filled = complete_cases(df, columns)
     return filled.join(case_keys(filled, keys, member, n_members), list(keys), "left_semi")
 

@@ -347,51 +347,61 @@ def join_common_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("join_common_support", """
-WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, CASE WHEN avg(value) < 60 THEN avg(value) END AS err, CASE WHEN max(value) > 10 THEN max(value) END AS rough FROM events GROUP BY ALL),
-f AS (SELECT * FROM h WHERE err IS NOT NULL AND rough IS NOT NULL), k AS (SELECT user_id, day FROM f WHERE event_type IN ('view', 'click') GROUP BY ALL HAVING count(DISTINCT event_type) = 2)
-SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_cells, round(avg(err), 9) AS err, round(avg(rough), 9) AS rough FROM f JOIN k USING (user_id, day) WHERE event_type IN ('view', 'click') GROUP BY ALL""")
+WITH h AS (SELECT user_id % 10 AS cell, CAST(ts AS DATE) AS day, event_type, CASE WHEN avg(value) < 60 THEN avg(value) END AS err, CASE WHEN max(value) > 10 THEN max(value) END AS rough FROM events GROUP BY ALL),
+f AS (SELECT * FROM h WHERE err IS NOT NULL AND rough IS NOT NULL), k AS (SELECT cell, day FROM f GROUP BY ALL HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events))
+SELECT event_type, count(*) AS n, count(DISTINCT cell) AS n_cells, round(avg(err), 9) AS err, round(avg(rough), 9) AS rough FROM f JOIN k USING (cell, day) GROUP BY ALL""")
 def join_common_support(spark: SparkSession, sf: str) -> DataFrame:
     """Cell-days at which every model has every column."""
     value = F.col("value")
-    cells = d.table(spark, sf, "events").where(F.col("event_type").isin("view", "click")).groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.avg(value).alias("m"), F.max(value).alias("x"))
-    cells = cells.select("user_id", "day", "event_type", F.when(F.col("m") < 60, F.col("m")).alias("err"), F.when(F.col("x") > 10, F.col("x")).alias("rough"))
-    kept = panel.common_support(cells, ["user_id", "day"], ["err", "rough"], "event_type", 2)
-    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_cells"), r(F.avg("err"), 9).alias("err"), r(F.avg("rough"), 9).alias("rough"))
+    cells = d.table(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("cell"), F.to_date("ts").alias("day"), "event_type").agg(F.avg(value).alias("m"), F.max(value).alias("x"))
+    cells = cells.select("cell", "day", "event_type", F.when(F.col("m") < 60, F.col("m")).alias("err"), F.when(F.col("x") > 10, F.col("x")).alias("rough"))
+    kept = panel.common_support(cells, ["cell", "day"], ["err", "rough"], "event_type")
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cell").alias("n_cells"), r(F.avg("err"), 9).alias("err"), r(F.avg("rough"), 9).alias("rough"))
 
 
 @query("join_panel_assembly", """
-WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events GROUP BY ALL)
-SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(max(v) FILTER (WHERE event_type = 'view'), 6) AS view, round(max(v) FILTER (WHERE event_type = 'click'), 6) AS click,
-       round(max(v) FILTER (WHERE event_type = 'purchase'), 6) AS purchase FROM h GROUP BY user_id, h.day""")
+WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events GROUP BY ALL),
+w AS (SELECT user_id, day, """ + ", ".join(f"max(v) FILTER (WHERE event_type = '{m}') AS {m}" for m in d.EVENT_TYPES) + """ FROM h GROUP BY ALL),
+o AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS obs FROM events GROUP BY ALL),
+s AS (SELECT s_suppkey AS user_id, s_nationkey AS cell, s_acctbal AS altitude_m FROM supplier),
+g AS (SELECT cell, CAST(ts AS DATE) AS day, avg(value) AS grid FROM events JOIN s USING (user_id) GROUP BY ALL)
+SELECT user_id, strftime(w.day, '%Y-%m-%d') AS day, """ + ", ".join(f"round({m}, 6) AS {m}" for m in d.EVENT_TYPES) + """,
+  round(obs, 6) AS obs, s.cell, round(altitude_m, 6) AS altitude_m, round(grid, 6) AS grid
+FROM w JOIN o USING (user_id, day) LEFT JOIN s USING (user_id) LEFT JOIN g ON g.cell = s.cell AND g.day = w.day""")
 def join_panel_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide panel from long parts: one pivot replaces a chain of joins, one column per model."""
-    events = d.table(spark, sf, "events").select("user_id", F.to_date("ts").alias("d"), "event_type", "value")
-    wide = panel.to_wide(events, ["user_id", "d"], "event_type", ["view", "click", "purchase"], "value")
-    return rounded(wide.select("user_id", day_text("d").alias("day"), "view", "click", "purchase"), "view", "click", "purchase")
-
-
-@query("join_lead_shift", "WITH " + d.PANEL_SQL + """,
-f AS (SELECT station_id, valid_time - lead_h * INTERVAL 1 HOUR AS init_time, lead_h, alpha FROM panel),
-o AS (SELECT station_id, valid_time, avg(ref_point) AS obs FROM panel GROUP BY ALL)
-SELECT lead_h, count(*) AS n, round(avg(abs(alpha-obs)), 6) AS mae FROM f JOIN o ON o.station_id = f.station_id AND o.valid_time = f.init_time + f.lead_h * INTERVAL 1 HOUR GROUP BY lead_h""")
+    """Wide panel of every model from long parts, beside the observation of the station-day, the station and the mean of its grid cell."""
+    events = d.table(spark, sf, "events").select("user_id", F.to_date("ts").alias("d"), "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    wide = panel.to_wide(events, ["user_id", "d"], "event_type", list(d.EVENT_TYPES), "value")
+    observed = events.groupBy("user_id", "d").agg(F.avg("k").alias("obs"))
+    stations = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_nationkey").alias("cell"), F.col("s_acctbal").alias("altitude_m"))
+    grid = events.join(stations, "user_id").groupBy("cell", "d").agg(F.avg("value").alias("grid"))
+    placed = contracts.checked_join(wide.join(observed, ["user_id", "d"]), stations, ["user_id"], "many_to_one", "left").join(grid, ["cell", "d"], "left")
+    shown = [*d.EVENT_TYPES, "obs", "altitude_m", "grid"]
+    return rounded(placed.select("user_id", day_text("d").alias("day"), "cell", *shown), *shown)
+
+
+@query("join_lead_shift", """
+WITH f AS (SELECT o_custkey % 10 AS cell, o_orderdate AS init_time, 24*(o_orderkey % 7 + 1) AS lead_h, o_totalprice/1000 AS alpha FROM orders),
+o AS (SELECT l_suppkey % 10 AS cell, l_shipdate AS valid_time, avg(l_extendedprice)/1000 AS obs FROM lineitem GROUP BY ALL)
+SELECT lead_h, count(*) AS n, round(avg(abs(alpha-obs)), 6) AS mae FROM f JOIN o ON o.cell = f.cell AND o.valid_time = f.init_time + f.lead_h * INTERVAL 1 HOUR GROUP BY lead_h""")
 def join_lead_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """Forecasts meet the observation at initialisation plus lead: an equi-join on a derived time."""
-    wide = d.wide_panel(spark, sf)
-    forecasts = wide.select("station_id", (F.col("valid_time") - F.make_dt_interval(hours=F.col("lead_h"))).alias("init_time"), "lead_h", "alpha")
-    observed = wide.groupBy("station_id", "valid_time").agg(F.avg("ref_point").alias("obs"))
-    joined = panel.with_valid_time(forecasts).join(observed, ["station_id", "valid_time"])
+    """Forecasts of one table meet the observations of another at initialisation plus lead: an equi-join on a derived time."""
+    forecasts = d.table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 10).alias("cell"), F.col("o_orderdate").alias("init_time"), (24 * (F.col("o_orderkey") % 7 + 1)).alias("lead_h"), (F.col("o_totalprice") / 1000).alias("alpha"))
+    observed = d.table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("cell"), F.col("l_shipdate").alias("valid_time")).agg((F.avg("l_extendedprice") / 1000).alias("obs"))
+    joined = panel.with_valid_time(forecasts).join(observed, ["cell", "valid_time"])
     return joined.groupBy("lead_h").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.abs(F.col("alpha") - F.col("obs")))).alias("mae"))
 
 
 @query("join_shared_times", """
 WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders INTERSECT SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_returnflag = 'A'
-           INTERSECT SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_returnflag = 'R')
+           INTERSECT SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_returnflag = 'N' INTERSECT SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_returnflag = 'R')
 SELECT CAST(year(d) AS BIGINT) AS y, count(*) AS n FROM t GROUP BY 1""")
 def join_shared_times(spark: SparkSession, sf: str) -> DataFrame:
     """Days available in every source."""
     lines = d.table(spark, sf, "lineitem")
     axes = [d.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"))]
-    axes += [lines.where(F.col("l_returnflag") == flag).select(F.to_date("l_shipdate").alias("d")) for flag in ("A", "R")]
+    axes += [lines.where(F.col("l_returnflag") == flag).select(F.to_date("l_shipdate").alias("d")) for flag in ("A", "N", "R")]
     return panel.shared_times(axes, "d").groupBy(F.year("d").cast("bigint").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 

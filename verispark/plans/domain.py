@@ -16,6 +16,7 @@ from ..functions import geo
 
 MODELS = ("alpha", "beta", "gamma")
 REFERENCES = ("ref_point", "ref_grid")
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 GRID_ROWS, GRID_COLUMNS, GRID_LAT0, GRID_LON0, GRID_STEP = 8, 8, 30.0, 0.0, 5.0
 
 

@@ -293,38 +293,54 @@ def regime_spatial_spread(spark: SparkSession, sf: str) -> DataFrame:
     return means.groupBy("valid_day").agg(F.stddev_samp("m").alias("sd")).select(day_text("valid_day").alias("day"), r("sd").alias("spatial_sd"))
 
 
+_P = 2147483647
+
+
+def _pow5(x: str) -> str:
+    return f"(((({x})*({x}) % {_P}) * (({x})*({x}) % {_P}) % {_P}) * ({x}) % {_P})"
+
+
 # Hours and extremes on the report series.
 HALF_SQL = d.REPORTS_SQL + """,
-h AS (SELECT CAST(valid_time AS DATE) AS day, CASE WHEN hour(valid_time) < 12 THEN 0 ELSE 12 END AS valid_hour,
-        avg(CASE WHEN event_type = 'view' THEN value END) AS a, avg(CASE WHEN event_type = 'click' THEN value END) AS b FROM reports GROUP BY ALL),
-e AS (SELECT day, valid_hour, (abs(a-5)-abs(b-5)) - (abs(a-4)-abs(b-4)) AS effect FROM h WHERE a IS NOT NULL AND b IS NOT NULL)"""
+h AS (SELECT event_type, CAST(valid_time AS DATE) AS day, CASE WHEN hour(valid_time) < 12 THEN 0 ELSE 12 END AS valid_hour, avg(value) AS v FROM reports GROUP BY ALL),
+e AS (SELECT x.event_type || '-' || y.event_type AS pair, day, valid_hour, (abs(x.v-5)-abs(y.v-5)) - (abs(x.v-4)-abs(y.v-4)) AS effect
+      FROM h x JOIN h y USING (day, valid_hour) WHERE x.event_type < y.event_type AND x.v IS NOT NULL AND y.v IS NOT NULL)"""
 
 
 def half_day_effects(spark: SparkSession, sf: str) -> DataFrame:
-    value, kind = F.col("value"), F.col("event_type")
-    halves = d.reports(spark, sf).groupBy(F.to_date("valid_time").alias("day"), F.when(F.hour("valid_time") < 12, 0).otherwise(12).alias("valid_hour")).agg(
-        F.avg(F.when(kind == "view", value)).alias("a"), F.avg(F.when(kind == "click", value)).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    effect = (F.abs(a - 5) - F.abs(b - 5)) - (F.abs(a - 4) - F.abs(b - 4))
-    return halves.select("day", "valid_hour", effect.alias("effect"))
+    """Effect of every pair of report types in each half of a day: all types side by side, pairs without a join."""
+    halves = d.reports(spark, sf).groupBy(F.to_date("valid_time").alias("day"), F.when(F.hour("valid_time") < 12, 0).otherwise(12).alias("valid_hour")).pivot(
+        "event_type", list(d.EVENT_TYPES)).agg(F.avg("value"))
+
+    def effect(x: str, y: str) -> Column:
+        a, b = F.col(x), F.col(y)
+        return (F.abs(a - 5) - F.abs(b - 5)) - (F.abs(a - 4) - F.abs(b - 4))
+
+    pairs = [F.struct(F.lit(f"{x}-{y}").alias("pair"), effect(x, y).alias("effect")) for i, x in enumerate(d.EVENT_TYPES) for y in d.EVENT_TYPES[i + 1:]]
+    return halves.select("day", "valid_hour", F.inline(F.array(*pairs))).where(F.col("effect").isNotNull())
 
 
 @query("diurnal_contrast", "WITH " + HALF_SQL + """,
-p AS (SELECT x.day, x.effect AS e0, y.effect AS e12, y.effect - x.effect AS diff FROM e x JOIN e y USING (day) WHERE x.valid_hour = 0 AND y.valid_hour = 12),
-nm AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS day_idx FROM p),
-""" + d.starts_sql("(SELECT count(*) FROM p)", 2000, 3, SEED + 31) + """,
-dr AS (SELECT draw, avg(diff) AS c FROM idx JOIN nm USING (day_idx) GROUP BY draw)
-SELECT (SELECT count(*) FROM p) AS n_paired_days, (SELECT round(avg(e0), 6) FROM p) AS effect_00, (SELECT round(avg(e12), 6) FROM p) AS effect_12,
-       round(avg(c), 6) AS contrast, round(quantile_cont(c, 0.025), 6) AS ci_low, round(quantile_cont(c, 0.975), 6) AS ci_high, round(avg(CASE WHEN c < 0 THEN 1.0 ELSE 0.0 END), 6) AS p_lt_zero FROM dr""")
+p AS (SELECT x.pair, x.day, x.effect AS e0, y.effect AS e12, y.effect - x.effect AS diff FROM e x JOIN e y USING (pair, day) WHERE x.valid_hour = 0 AND y.valid_hour = 12),
+sz AS (SELECT pair, count(*) AS n FROM p GROUP BY pair),
+nm AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY day) - 1 AS day_idx FROM p),
+x AS (SELECT pair, n, d.range AS draw, b.range AS block, (d.range*7919 + b.range*104729 + {seed}) % {p} AS x FROM sz, range(0, 2000) d, range(0, (SELECT CAST(ceil(max(n)/3.0) AS BIGINT) FROM sz)) b WHERE b.range*3 < n),
+y AS (SELECT *, ({px}*48271 + 11) % {p} AS y FROM x),
+ix AS (SELECT pair, draw, ({py} % n + o.range) % n AS day_idx FROM y, range(0, 3) o WHERE block*3 + o.range < n),
+dr AS (SELECT pair, draw, avg(diff) AS c FROM ix JOIN nm USING (pair, day_idx) GROUP BY ALL),
+pt AS (SELECT pair, count(*) AS n_paired_days, round(avg(e0), 6) AS effect_00, round(avg(e12), 6) AS effect_12 FROM p GROUP BY pair)
+SELECT pair, any_value(n_paired_days) AS n_paired_days, any_value(effect_00) AS effect_00, any_value(effect_12) AS effect_12,
+       round(avg(c), 6) AS contrast, round(quantile_cont(c, 0.025), 6) AS ci_low, round(quantile_cont(c, 0.975), 6) AS ci_high, round(avg(CASE WHEN c < 0 THEN 1.0 ELSE 0.0 END), 6) AS p_lt_zero
+FROM dr JOIN pt USING (pair) GROUP BY pair""".format(seed=SEED + 31, p=2147483647, px=_pow5("x"), py=_pow5("y")))
 def diurnal_contrast(spark: SparkSession, sf: str) -> DataFrame:
-    """Effect at one valid hour minus the other, paired on the calendar day."""
-    paired = half_day_effects(spark, sf).groupBy("day").pivot("valid_hour", [0, 12]).agg(F.first("effect")).na.drop()
-    paired = paired.select("day", F.col("0").alias("e0"), F.col("12").alias("e12"), (F.col("12") - F.col("0")).alias("diff"))
-    drawn = resample.block_bootstrap(paired, [], "day", ["diff"], 2000, 3, SEED + 31)
+    """Effect of every pair at one half of the day minus the other, paired on the calendar day."""
+    paired = half_day_effects(spark, sf).groupBy("pair", "day").pivot("valid_hour", [0, 12]).agg(F.first("effect")).na.drop()
+    paired = cut_lineage(paired.select("pair", "day", F.col("0").alias("e0"), F.col("12").alias("e12"), (F.col("12") - F.col("0")).alias("diff")))
+    drawn = resample.block_bootstrap(paired, ["pair"], "day", ["diff"], 2000, 3, SEED + 31)
     low, high = resample.interval("diff")
-    summary = drawn.agg(r(F.avg("diff")).alias("contrast"), r(low).alias("ci_low"), r(high).alias("ci_high"), r(resample.share(F.col("diff") < 0)).alias("p_lt_zero"))
-    point = paired.agg(F.count(F.lit(1)).alias("n_paired_days"), r(F.avg("e0")).alias("effect_00"), r(F.avg("e12")).alias("effect_12"))
-    return attach_row(point, summary)
+    summary = drawn.groupBy("pair").agg(r(F.avg("diff")).alias("contrast"), r(low).alias("ci_low"), r(high).alias("ci_high"), r(resample.share(F.col("diff") < 0)).alias("p_lt_zero"))
+    point = paired.groupBy("pair").agg(F.count(F.lit(1)).alias("n_paired_days"), r(F.avg("e0")).alias("effect_00"), r(F.avg("e12")).alias("effect_12"))
+    return point.join(summary, "pair")
 
 
 DEPARTURE_SQL = "WITH " + d.PANEL_SQL + """,
@@ -339,12 +355,8 @@ dp AS (SELECT cohort, draw, max(effect) FILTER (WHERE lead_h = 48) AS crossed, (
 SELECT cohort, round(avg(crossed), 6) AS crossed_effect, round(avg(expected), 6) AS bracket_expected, round(avg(crossed-expected), 6) AS departure,
        round(quantile_cont(crossed-expected, 0.025), 6) AS ci_low, round(quantile_cont(crossed-expected, 0.975), 6) AS ci_high,
        (SELECT count(DISTINCT sign(m)) = 2 FROM (SELECT avg(crossed-expected) AS m FROM dp GROUP BY cohort)) AS changes_sign FROM dp GROUP BY cohort"""
-_P = 2147483647
 
 
-def _pow5(x: str) -> str:
-    return f"(((({x})*({x}) % {_P}) * (({x})*({x}) % {_P}) % {_P}) * ({x}) % {_P})"
-
 
 @query("diurnal_departure", DEPARTURE_SQL.format(seed=SEED + 32, p=_P, px=_pow5("x"), py=_pow5("y")))
 def diurnal_departure(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import json
 import posixpath
@@ -14,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .store import open_input, write_bytes
+
 
 def safe_member(name: str) -> bool:
     """A member must stay below the folder it is unpacked into."""
@@ -21,44 +25,129 @@ def safe_member(name: str) -> bool:
     return not (clean.startswith(("/", "../")) or clean == ".." or ":" in clean.split("/")[0])
 
 
+#: Bytes of a member that are inflated at once.
+PIECE = 1 << 20
+_MEMBERS = "path string, member string, header long, packed long, method int"
+
+
+def zip_members(spark: SparkSession, paths: str, prefix: str = "", suffix: str = "", single: bool = True) -> DataFrame:
+    """path, member, header, packed, method: the matching members of every archive, from its central directory alone.
+
+    An archive with an unsafe name, with an encrypted member, or, if ``single``, without exactly one match fails.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                with open_input(path) as stream, zipfile.ZipFile(stream) as bundle:
+                    infos = bundle.infolist()
+                unsafe = [i.filename for i in infos if not safe_member(i.filename)]
+                if unsafe:
+                    raise ValueError(f"unsafe member {unsafe[0]!r} in {path}")
+                picked = [i for i in infos if posixpath.basename(i.filename).startswith(prefix) and i.filename.endswith(suffix) and not i.is_dir()]
+                if single and len(picked) != 1:
+                    raise ValueError(f"{path} holds {len(picked)} members named {prefix}*{suffix}")
+                locked = [i.filename for i in picked if i.flag_bits & 1]
+                if locked:
+                    raise ValueError(f"member {locked[0]!r} in {path} is encrypted")
+                yield pd.DataFrame({"path": path, "member": [i.filename for i in picked], "header": [i.header_offset for i in picked],
+                                    "packed": [i.compress_size for i in picked], "method": [i.compress_type for i in picked]}).astype({"member": object})
+
+    # Paths and sizes come from the listing; no content is read here.
+    scan = spark.read.format("binaryFile").load(paths).select("path")
+    return scan.mapInPandas(run, _MEMBERS)
+
+
+def inflated(stream: io.RawIOBase, header: int, packed: int, method: int) -> Iterator[bytes]:
+    """The bytes of a stored or deflated member, piece by piece, from its place in the archive."""
+    stream.seek(header)
+    fixed = stream.read(30)
+    if fixed[:4] != b"PK\x03\x04":
+        raise ValueError(f"no member starts at {header}")
+    stream.seek(header + 30 + int.from_bytes(fixed[26:28], "little") + int.from_bytes(fixed[28:30], "little"))
+    if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError(f"compression method {method} is not read by range")
+    inflate = zlib.decompressobj(-15) if method == zipfile.ZIP_DEFLATED else None
+    while packed:
+        piece = stream.read(min(PIECE, packed))
+        if not piece:
+            raise EOFError("archive ends within a member")
+        packed -= len(piece)
+        while piece:
+            yield inflate.decompress(piece, PIECE) if inflate else piece
+            piece = inflate.unconsumed_tail if inflate else b""
+    if inflate:
+        yield inflate.flush()
+
+
 def read_zip_lines(spark: SparkSession, paths: str, prefix: str = "", suffix: str = "", encoding: str = "latin-1",
                    single: bool = True, batch: int = 50_000) -> DataFrame:
-    """Lines of the matching members of every archive, one archive per row of the scan.
+    """path, member and line of the matching members of every archive, one member per task.
 
-    A zip archive cannot be split, so the archive is the unit of parallelism;
-    members are decoded as a stream and leave in batches.
+    The central directory tells where a member lies; a task reads that range and inflates it as a
+    stream, so neither an archive nor a member is held in memory.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as bundle:
-                    unsafe = [n for n in bundle.namelist() if not safe_member(n)]
-                    if unsafe:
-                        raise ValueError(f"unsafe member {unsafe[0]!r} in {path}")
-                    names = [n for n in bundle.namelist()
-                             if posixpath.basename(n).startswith(prefix) and n.endswith(suffix)]
-                    if single and len(names) != 1:
-                        raise ValueError(f"{path} holds {len(names)} members named {prefix}*{suffix}")
-                    for name in names:
-                        with bundle.open(name) as raw:
-                            text, lines = io.TextIOWrapper(raw, encoding=encoding), []
-                            for line in text:
-                                lines.append(line.rstrip("\r\n"))
-                                if len(lines) == batch:
-                                    yield pd.DataFrame({"path": path, "member": name, "line": lines})
-                                    lines = []
-                            if lines:
-                                yield pd.DataFrame({"path": path, "member": name, "line": lines})
-
-    scan = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return scan.mapInPandas(run, "path string, member string, line string")
+            for row in frame.itertuples(index=False):
+                decoder, rest, lines = codecs.getincrementaldecoder(encoding)(), "", []
+                with open_input(row.path) as stream:
+                    for piece in inflated(stream, row.header, row.packed, row.method):
+                        parts = (rest + decoder.decode(piece)).split("\n")
+                        rest = parts.pop()
+                        lines += parts
+                        while len(lines) >= batch:
+                            yield pd.DataFrame({"path": row.path, "member": row.member, "line": [x.rstrip("\r") for x in lines[:batch]]})
+                            lines = lines[batch:]
+                lines += [x for x in [rest + decoder.decode(b"", True)] if x]
+                if lines:
+                    yield pd.DataFrame({"path": row.path, "member": row.member, "line": [x.rstrip("\r") for x in lines]})
+
+    members = cut_lineage(zip_members(spark, paths, prefix, suffix, single))
+    dealt = members.repartition(max(1, min(members.count(), 10 * spark.sparkContext.defaultParallelism)), "path", "header")
+    return dealt.mapInPandas(run, "path string, member string, line string")
+
+
+def write_zips(df: DataFrame, root: str, key: str, member: str, line: str, order: str, encoding: str = "latin-1") -> None:
+    """One archive per key below ``root`` with one deflated member per name, its lines in order; a task streams one archive's rows."""
+    root = root.rstrip("/")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, bundle, buffer, name, out = None, None, None, None, None
+
+        def close() -> None:
+            out.close()
+            bundle.close()
+            write_bytes(f"{root}/{current}.zip", buffer.getvalue())
+
+        for frame in frames:
+            for k, m, text in zip(frame["k"], frame["m"], frame["t"]):
+                if k != current:
+                    if bundle is not None:
+                        close()
+                    current, name, buffer = k, None, io.BytesIO()
+                    bundle = zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED)
+                if m != name:
+                    if name is not None:
+                        out.close()
+                    name, out = m, bundle.open(zipfile.ZipInfo(m), "w")
+                out.write(f"{text}\n".encode(encoding))
+            yield pd.DataFrame({"n": [len(frame)]})
+        if bundle is not None:
+            close()
+
+    rows = df.select(F.col(key).cast("string").alias("k"), F.col(member).alias("m"), F.col(line).alias("t"), F.col(order).alias("o"))
+    sent = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "k").sortWithinPartitions("k", "m", "o").select("k", "m", "t")
+    sent.mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def read_geojson_segments(spark: SparkSession, path: str, west: float, south: float, east: float,
-                          north: float) -> DataFrame:
-    """Line segments of LineString and MultiLineString features that touch a bounding box."""
+                          north: float, per_line: bool = False) -> DataFrame:
+    """Line segments of LineString and MultiLineString features that touch a bounding box.
+
+    A document spread over lines is one record; with ``per_line`` every line is a document of its own, and files are split.
+    """
     schema = ("features array<struct<geometry:struct<type:string,coordinates:string>>>")
-    raw = spark.read.option("multiLine", True).schema(schema).json(path)
+    raw = spark.read.option("multiLine", not per_line).schema(schema).json(path)
     geometry = raw.select(F.explode("features.geometry").alias("g"))
     single = F.from_json("g.coordinates", "array<array<double>>")
     many = F.from_json("g.coordinates", "array<array<array<double>>>")
