@@ -62,6 +62,31 @@ def test_odd_pages(spark):
     assert extract(frame.limit(0)).count() == 0
 
 
+def test_broken_pages_take_time_in_proportion():
+    import time
+    for piece in ("<a ", "<nav>", "<div class=ad>", "<a \">", "<!-- <a", "<a b='\"><p>x", "</", "<![CDATA[", "<p>word", "<title", "&am", "<a \"<b>\"", "<article class=ad>"):
+        start = time.perf_counter()
+        main_text(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - start < 8, piece  # quadratic ones take minutes
+    nested = "<div>" * 90_000 + "deep" + "</div>" * 90_000
+    assert main_text(nested) == "deep"
+
+
+def test_unclosed_quotes_end_at_the_next_bracket():
+    assert main_text("<p>a<b x='>c</b> d</p><p>e</p>") == "ac d\n\ne"
+    assert main_text("<p>one <!-- never closed <p>two") == "one"
+    assert main_text("<a <!-- x") == "<a"
+
+
+def test_the_distribution_decides_within_a_named_article():
+    words = "a sentence that is long enough to be the story itself, and more of it. "
+    strays = "".join(f"<div>{c}</div>" for c in "xyz")
+    page = f"<body>{strays * 3}<article><p>{words}</p>{strays}<p>{words}</p></article>{strays * 3}</body>"
+    assert main_text(page).split("\n\n")[2:-2] == [words.strip(), "x", "y", "z", words.strip()]
+    # Without a surge outside, text beside the article stays out however the article is cut.
+    assert "advert" not in main_text(f"<div>advert in the margin</div><div></div>{'<div>.</div>' * 4}<article><p>{words}</p></article>")
+
+
 def test_surge_and_dive():
     assert between_surge_and_dive([0, 0, 5, 0, 7, 0, 0, 0, 9, 0], 0, True) == (2, 9)
     assert between_surge_and_dive([0, 0, 5, 0, 7, 0, 0, 0, 9, 0], 0, False) == (2, 5)

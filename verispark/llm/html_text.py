@@ -1,17 +1,19 @@
 """Main text of web pages from the line-block distribution.
 
-Markup is stripped to one line per block.  Lines of elements that are not the article by their kind
-or by their class or id weigh nothing, and so do lines outside the article where the page names
-one; in other pages the text of links does not count.  Weights are summed over a sliding window of
-lines.  The text lies between a surge, where the sum leaves zero or the threshold, and the dive
-after which it stays below, from the first surge to the last dive.  In a page without a named article,
-short or linked blocks between them belong to the text.
+Markup is stripped to one line per block, and with it the elements that are not the article by their kind
+or by their class or id.  A line weighs its text without that of links; where a page names its article, lines inside weigh
+more and lines outside less.  Weights are summed over a sliding window of lines.  The text lies between a surge, where
+the sum leaves the threshold, and the dive after which it stays below, from the first surge to the last dive; what is
+short or linked between them belongs to it.
+
+Pages are read in one pass, in time proportional to their length however they are broken.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Characters that a window needs where no element names the article.
-THRESHOLD = 50
+#: Weight that a window needs, and its share of the greatest one that is enough.
+THRESHOLD, SHARE = 50, 0.5
+#: Weight of a character inside the article that a page names, and outside of it.
+INSIDE, OUTSIDE = 8.0, 0.125
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr "
@@ -35,8 +39,8 @@ MARKS = frozenset(
     "footer header masthead menu menus nav navbar navigation newsletter notice notices notification alert paywall popup modal overlay promo promotion promoted recommended "
     "related replies reply responses share sharing sidebar sidebars skip social sponsor sponsored subscribe subscription toolbar topbar widget login signup search "
     "complementary contentinfo".split())
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*").match
+_SPECIAL = re.compile("[>\"']").search
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+").split
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])").sub
@@ -49,23 +53,74 @@ class Token(NamedTuple):
     body: str
 
 
+class _Finder:
+    """``str.find`` in a page that remembers from where on a mark is absent, so that no stretch is searched in vain twice."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.absent, self.quotes = page, {}, True
+
+    def __call__(self, mark: str, start: int) -> int:
+        none_from = self.absent.get(mark, len(self.page))
+        if start >= none_from:
+            return -1
+        place = self.page.find(mark, start, min(none_from + len(mark) - 1, len(self.page)))
+        if place < 0:
+            self.absent[mark] = start
+        return place
+
+
+def _tag_end(page: str, start: int, find: _Finder) -> int:
+    """Place of the ``>`` that ends a tag whose attributes start at ``start``, outside quotes; -1 if there is none.
+
+    Where quotes leave a tag without an end they count no longer, for it and all that follow.
+    """
+    at = start
+    while find.quotes:
+        special = _SPECIAL(page, at)
+        if special is not None and special[0] == ">":
+            return special.start()
+        close = find(special[0], special.end()) if special is not None else -1
+        if close < 0:
+            find.quotes = False
+        at = close + 1
+    return find(">", start)
+
+
 def tokens(page: str) -> list[Token]:
-    out, at, end = [], 0, len(page)
-    while at < end:
-        match = _TOKEN.search(page, at)
-        if match is None:
-            out.append(Token("", False, page[at:]))
-            break
-        if match.start() > at:
-            out.append(Token("", False, page[at:match.start()]))
-        at = match.end()
-        name = (match[2] or "").lower()
+    """Texts and tags in order; comments, declarations and the content of raw elements are left out."""
+    out, shown, at, find = [], 0, 0, _Finder(page)
+    while (at := page.find("<", at)) >= 0:
+        closing = page.startswith("/", at + 1)
+        name, end = _NAME(page, at + 1 + closing), -1
+        if page.startswith("<!--", at):
+            end = find("-->", at + 4)
+            end = end + 2 if end >= 0 else len(page) - 1
+        elif page.startswith("<![CDATA[", at):
+            end = find("]]>", at + 9)
+            end = end + 2 if end >= 0 else find(">", at + 9)
+        elif name:
+            end = _tag_end(page, name.end(), find)
+        elif closing or page[at + 1:at + 2] in ("!", "?"):
+            end = find(">", at + 2 + closing)
+        if end < 0:
+            at += 1
+            if find(">", at) < 0:  # no tag can end any more, but a comment may begin
+                at = page.find("<!--", at)
+                if at < 0:
+                    break
+            continue
+        if at > shown:
+            out.append(Token("", False, page[shown:at]))
+        at = shown = end + 1
         if name:
-            out.append(Token(name, bool(match[1]), match[3]))
-            if name in RAW and not match[1]:
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
-                out.append(Token(name, True, ""))
+            token = Token(name[0].lower(), closing, page[name.end():end])
+            out.append(token)
+            if token.name in RAW and not closing:
+                close = re.compile(rf"</{re.escape(token.name)}\s*>", re.I).search(page, at)
+                at = shown = close.end() if close else len(page)
+                out.append(Token(token.name, True, ""))
+    if shown < len(page):
+        out.append(Token("", False, page[shown:]))
     return out
 
 
@@ -82,20 +137,25 @@ def marked(token: Token) -> bool:
     return False
 
 
-def element_end(all_tokens: list[Token], start: int) -> int | None:
-    """Place after the element that opens at ``start``; None if nothing closes it."""
-    name, depth = all_tokens[start].name, 0
-    for i in range(start, len(all_tokens)):
-        token = all_tokens[i]
-        if token.name == name:
-            depth += -1 if token.closing else 1
-            if depth == 0:
-                return i + 1
-        if name == "p" and i > start and token.name in BLOCKS:
-            return i
-        if name == "p" and i > start and depth > 1:
-            return i
-    return None
+def element_ends(all_tokens: list[Token]) -> list[int | None]:
+    """For every opening tag the place after its element, None if nothing closes it; a paragraph ends before the next block."""
+    ends: list[int | None] = [None] * len(all_tokens)
+    opened: dict[str, list[int]] = {}
+    paragraphs: list[int] = []
+    for i, token in enumerate(all_tokens):
+        if token.name in BLOCKS:
+            for k in paragraphs:
+                ends[k] = i + 1 if token.name == "p" and token.closing else i
+            paragraphs = []
+        if token.name == "p":
+            paragraphs += [] if token.closing else [i]
+        elif token.name:
+            stack = opened.setdefault(token.name, [])
+            if not token.closing:
+                stack.append(i)
+            elif stack:
+                ends[stack.pop()] = i + 1
+    return ends
 
 
 class Line(NamedTuple):
@@ -109,6 +169,7 @@ def lines_of(page: str) -> list[Line]:
     """One line per block with text: the text, how much of it is links, whether it is dropped, whether it is in the article."""
     all_tokens = tokens(page)
     named = [i for i, t in enumerate(all_tokens) if t.name in ("article", "main") and not t.closing and not marked(t)]
+    ends = element_ends(all_tokens)
     drop_until, article_until, link_depth, lines, parts, linked = 0, 0, 0, [], [], 0
     dropped = inside = False
 
@@ -129,11 +190,11 @@ def lines_of(page: str) -> list[Line]:
         if not token.closing and not now_dropped and token.name not in VOID:
             by_kind = token.name in DROPPED or token.name == "header" and not now_inside
             if by_kind or token.name not in ("html", "body") and marked(token):
-                end = element_end(all_tokens, i)
-                if end is not None and not any(i < k < end for k in named):
+                end, after = ends[i], bisect_right(named, i)
+                if end is not None and not (after < len(named) and named[after] < end):
                     drop_until, now_dropped = end, True
         if token.name in ("article", "main") and not token.closing and not now_dropped and not now_inside:
-            article_until, now_inside = element_end(all_tokens, i) or len(all_tokens), True
+            article_until, now_inside = ends[i] or len(all_tokens), True
         if token.name in BLOCKS or now_dropped != dropped or now_inside != inside:
             flush()
             if token.name in BLOCKS:
@@ -147,7 +208,7 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
-def between_surge_and_dive(weights: list[int], threshold: int, widest: bool) -> tuple[int, int]:
+def between_surge_and_dive(weights: list[float], threshold: float, widest: bool) -> tuple[int, int]:
     """First and past-the-last line of the text: the stretch with most text, or from the first to the last stretch if ``widest``."""
     sums = [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
     stretches, i = [], 0
@@ -171,16 +232,12 @@ def between_surge_and_dive(weights: list[int], threshold: int, widest: bool) ->
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by an empty line; empty if there is none."""
-    lines = lines_of(page) if page else []
-    article = any(line.inside and not line.dropped for line in lines)
-    if article:
-        weights = [0 if line.dropped or not line.inside else len(line.text) for line in lines]
-        start, end = between_surge_and_dive(weights, 0, True)
-        return "\n\n".join([line.text for line, w in zip(lines[start:end], weights[start:end], strict=True) if w])
-    weights = [0 if line.dropped else max(0, len(line.text) - line.linked) for line in lines]
-    start, end = between_surge_and_dive(weights, THRESHOLD if sum(weights) > THRESHOLD else 0, True)
-    # What interrupts the text, or is all link inside it, belongs to it unless its markup says otherwise.
-    return "\n\n".join([line.text for line in lines[start:end] if not line.dropped])
+    lines = [line for line in lines_of(page) if not line.dropped] if page else []
+    named = any(line.inside for line in lines)
+    weights = [INSIDE * len(line.text) if line.inside else (OUTSIDE if named else 1.0) * max(0, len(line.text) - line.linked) for line in lines]
+    greatest = max((sum(weights[i:i + WINDOW]) for i in range(len(weights))), default=0)
+    start, end = between_surge_and_dive(weights, min(THRESHOLD, SHARE * greatest), True)
+    return "\n\n".join([line.text for line in lines[start:end]])
 
 
 def extract(pages: DataFrame) -> DataFrame:
