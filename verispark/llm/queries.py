@@ -93,7 +93,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.write_archive(warc.plan_revisits(pages), stages)
     shards = warc.write_index(captures, stages, partitions)
     keys = pages.select(warc.url_key(F.col("url")).alias("key"))
-    return warc.payload_facts(warc.read_records(warc.look_up(shards, keys, partitions)), stages)
+    found = stages.put(warc.look_up(shards, keys, partitions), "found")
+    return warc.payload_facts(warc.read_records(found), stages)
 
 
 @query("op7_simhash")

@@ -26,7 +26,7 @@ from .files import Stages, open_input, open_output
 
 #: Captures of one index block, and bytes of an archive that one task reads.
 BLOCK_LINES = 256
-READ_BYTES = 32 << 20
+PART_BYTES = 4 << 20
 #: All records carry one date, so that an archive depends on nothing but its pages.
 DATE = "2020-01-01T00:00:00Z"
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
@@ -179,6 +179,8 @@ def look_up(shards: DataFrame, keys: DataFrame, partitions: int) -> DataFrame:
 
     # At most as many keys share a block as it has lines.
     blocks = asked.mapInArrow(find, "key string, file string, offset long, length long").groupBy("file", "offset", "length").agg(F.collect_set("key").alias("keys"))
+    # Rows of blocks are tiny and their reads are not: a stated number of tasks is not folded into one.
+    blocks = blocks.repartition(partitions, "file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,9 +199,14 @@ def look_up(shards: DataFrame, keys: DataFrame, partitions: int) -> DataFrame:
 
 
 def read_records(captures: DataFrame) -> DataFrame:
-    """Read captures by range: page_id, url, record_type, refers_to, digest (of the header), payload (null for revisits)."""
-    part = F.floor(F.col("offset") / READ_BYTES)
-    near = captures.select("file", "offset", "length", part.alias("part")).repartition("file", "part").sortWithinPartitions("file", "offset")
+    """Read captures by range: page_id, url, record_type, refers_to, digest (of the header), payload (null for revisits).
+
+    Tasks follow from the bytes to read, not from the few bytes of their pointers; a written table of captures is summed at
+    little cost.  Equal captures are read once each; an empty table has no records; other columns are ignored.
+    """
+    part = F.floor(F.col("offset") / PART_BYTES)
+    total = captures.agg(F.sum("length")).head()[0] or 0
+    near = captures.select("file", "offset", "length", part.alias("part")).repartition(int(total // PART_BYTES) + 1, "file", "part").sortWithinPartitions("file", "offset")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                         ("digest", pa.string()), ("payload", pa.binary())])
 
