@@ -272,3 +272,18 @@ def test_records(spark, tmp_path):
 def test_sign_test(spark):
     row = spark.range(1).select(contrast.sign_test(F.lit(9), F.lit(10)).alias("p"), contrast.sign_test(F.lit(0), F.lit(10)).alias("q")).head()
     assert row.p == pytest.approx(11 / 1024) and row.q == pytest.approx(1.0)
+
+
+def test_shared_folder_names_its_store(spark, tmp_path):
+    from verispark.session import CHECKPOINT_KEY, shared_folder
+    spark.conf.set(CHECKPOINT_KEY, str(tmp_path))
+    try:
+        assert shared_folder(spark) == f"file:{tmp_path}"
+        local = spark._jsc.hadoopConfiguration().get("fs.defaultFS")
+        spark._jsc.hadoopConfiguration().set("fs.defaultFS", "viewfs://store/")
+        spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+        spark.conf.set(CHECKPOINT_KEY, "/in/stages")
+        assert shared_folder(spark) == "viewfs://store/in/stages"
+        spark._jsc.hadoopConfiguration().set("fs.defaultFS", local)
+    finally:
+        spark.conf.unset(CHECKPOINT_KEY)

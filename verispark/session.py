@@ -43,7 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if configured:
-        return configured
+        # A path without a scheme belongs to the cluster's default store, not to the disk of whoever opens it.
+        path = spark._jvm.org.apache.hadoop.fs.Path(configured)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     active = spark.sparkContext.getCheckpointDir()
     if active:
         return active
