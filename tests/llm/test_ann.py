@@ -142,6 +142,25 @@ def test_what_the_search_misses_in_a_shard_is_found():
     assert sorted(zip(who.tolist(), what.tolist(), strict=True)) == [tuple(p) for p in np.argwhere(x @ x.T >= 0.93).tolist()]
 
 
+def test_links_come_from_the_graph_and_an_empty_one_is_noticed(monkeypatch):
+    x, _ = crowd_and_pairs(150, 40, 100, 16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = [tuple(p) for p in np.argwhere(x @ x.T >= 0.93).tolist()]
+    graph = ag.joined_neighbours(x)
+    seeds = np.column_stack([np.tile(ag.start_rows(x), (len(x), 1)), np.arange(len(x))])
+    who, what, _ = ag.range_search(x, graph, seeds, x, 0.93)
+    assert ag.range_recall(x, x, 0.93, who, what) >= ag.SHARD_RECALL
+    empty = [np.zeros(0, np.int64)] * len(x)
+    who, what, _ = ag.range_search(x, empty, seeds, x, 0.93)
+    assert ag.range_recall(x, x, 0.93, who, what) < 0.9
+    # The product answers only where the graph falls short.
+    monkeypatch.setattr(ag, "SHARD_RECALL", 0.0)
+    who, what = ag.whole_range(x, graph, seeds, x, 0.93)
+    assert len(set(zip(who.tolist(), what.tolist(), strict=True)) & set(want)) >= 0.995 * len(want)
+    who, what = ag.whole_range(x, empty, seeds, x, 0.93)
+    assert len(set(zip(who.tolist(), what.tolist(), strict=True)) & set(want)) < 0.9 * len(want)
+
+
 def test_labels_that_fall_short_are_searched_whole(spark, monkeypatch):
     x, _ = crowd_and_pairs(150, 40, 100, 16)
     rows = [(i, [float(np.float32(c)) for c in v], 1) for i, v in enumerate(x)]

@@ -6,8 +6,8 @@ blocks of its nodes.  Each shard builds a graph of pruned neighbours with revers
 and edges between its components, adjacency lists of a
 node are united over its shards, and every node is searched for in its shards: greedily from
 medoids, itself and its neighbours, then on to all that can be reached without leaving the range by more than a margin.  Cosines of
-what is met are taken in double precision, and the product of a shard's blocks adds what the search
-missed.  A pair that meets in several shards counts in the first of them, so shards return counts and
+what is met are taken in double precision.  Each shard measures the recall of its search on a sample; one that falls short
+is answered by the product of its blocks.  A pair that meets in several shards counts in the first of them, so shards return counts and
 spanning edges, never pairs.  Links between clusters can be lost: recall is measured per node and by
 size of group on samples against all vectors, the overlap is widened while a label falls short, and
 one that still does is searched whole by blocks.
@@ -27,6 +27,8 @@ CAPACITY, OVERLAP, LEVELS, CLUSTERS = 1500, 2, 6, 64
 DEGREE, CANDIDATES, ALPHA, BEAM, MARGIN, STARTS = 16, 48, 1.2, 24, 0.06, 8
 #: Rows of a shard that its clusters are fitted to, rows clustered by one task, queries of the audit.
 FIT_ROWS, ASSIGN_ROWS, AUDIT_ROWS = 4000, 20_000, 400
+#: Queries of a shard whose recall is measured, and the recall below which a shard is answered by its product.
+RECALL_ROWS, SHARD_RECALL = 96, 0.995
 #: Clusters of a node at most, before labels that fall short are searched whole.
 MOST_OVERLAP = 8
 
@@ -204,15 +206,28 @@ def range_search(x: np.ndarray, links: list[np.ndarray], start: int | np.ndarray
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def range_recall(x: np.ndarray, queries: np.ndarray, low: float, who: np.ndarray, what: np.ndarray) -> float:
+    """Mean share of the rows in range that a search met, over a sample of the queries by their order and of those that met any.
+
+    The sample is bounded and compared with the product; without a row in range the recall is 1.
+    """
+    asked = np.unique(np.linspace(0, len(queries) - 1, min(RECALL_ROWS, len(queries))).astype(np.int64))
+    met = np.unique(who)
+    drawn = np.union1d(asked, met[np.linspace(0, len(met) - 1, min(RECALL_ROWS, len(met))).astype(np.int64)]) if len(met) else asked
+    there = np.bincount(in_range(x, queries[drawn], low)[0], minlength=len(drawn))
+    found = np.bincount(who, minlength=len(queries))[drawn]
+    some = there > 0
+    return float(np.minimum(found[some] / there[some], 1.0).mean()) if some.any() else 1.0
+
+
 def whole_range(x: np.ndarray, links: list[np.ndarray], start: int | np.ndarray, queries: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
-    """Query number and row of all rows in range: what the search meets, and what it misses.
+    """Query number and row of all rows in range that the search of the graph meets.
 
-    A link that the first shard of a pair left out would be counted by no other.
+    A shard whose measured recall is below ``SHARD_RECALL`` is answered by the product of its blocks instead: a graph that fails is not
+    hidden and loses nothing.
     """
     who, what, _ = range_search(x, links, start, queries, low)
-    by, missed = in_range(x, queries, low)
-    pair = np.union1d(who * len(x) + what, by * len(x) + missed)
-    return pair // len(x), pair % len(x)
+    return (who, what) if range_recall(x, queries, low, who, what) >= SHARD_RECALL else in_range(x, queries, low)
 
 
 def _split(members: DataFrame, stages: Stages, overlap: int) -> DataFrame:
