@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from verispark.llm import decontaminate as dc
 
@@ -59,7 +60,7 @@ def documents():
 def test_recall_against_brute_force():
     rows = documents()
     want = brute(rows, ITEMS)
-    tool = dc.Matcher(ITEMS, 0.8, 3, 40, 5)
+    tool = dc.Matcher(ITEMS, 0.8, 0.95, 5)
     got = {(doc, m[0]): m[1] for (doc, _), ms in zip(rows, tool.matches([t for _, t in rows]), strict=True) for m in ms}
     assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
     share = len(got) / len(want)
@@ -67,6 +68,22 @@ def test_recall_against_brute_force():
     assert share >= 0.9 and exact >= 0.95, (share, exact)
 
 
+@pytest.mark.parametrize(("words", "trials"), [(20, 40), (55, 40), (150, 40), (400, 30), (1000, 20)])
+def test_recall_at_the_limit_for_every_length(words, trials):
+    rng = random.Random(words)
+    item = [f"v{rng.randrange(2000)}" for _ in range(words)]
+    tool = dc.Matcher([(1, " ".join(item))], 0.8, 0.95, 1)
+    filler = lambda: [f"v{rng.randrange(2000)}" for _ in range(rng.randrange(40, 90))]
+    texts = [" ".join(filler() + edited(rng, item, int(0.2 * words)) + filler()) for _ in range(trials)]
+    assert np.mean([bool(m) for m in tool.matches(texts)]) >= 0.9
+
+
+def test_short_items_are_found_as_they_are():
+    tool = dc.Matcher([(1, "one"), (2, "Two three"), (3, "a b c d"), (4, ""), (5, "!?")], 0.8, 0.95, 1)
+    got = [[m[0] for m in ms] for ms in tool.matches(["so one, two", "two; THREE", "a b c", "x a b c d", None, "two x three"])]
+    assert got == [[1], [2], [], [3], [], []]
+
+
 def test_edit_end():
     rng = random.Random(2)
     for _ in range(50):
@@ -86,7 +103,7 @@ def test_odd_rows(spark, monkeypatch):
     want = [(1, 3, 0, 35), (None, 1, 0, 12)]
     for size in (1 << 20, 300):  # one block, and several
         monkeypatch.setattr(dc, "BLOCK_BYTES", size)
-        benchmark = dc.Benchmark(items)
+        benchmark = dc.Benchmark(items, min_words=5)
         assert (len(benchmark.blocks) > 1) == (size == 300)
         assert sorted([tuple(r)[:4] for r in dc.find_passages(docs, benchmark).collect()], key=str) == want
         kept = dc.without_passages(docs, "text", benchmark)
@@ -98,7 +115,7 @@ def test_odd_rows(spark, monkeypatch):
 def test_op5_query(spark, sf):
     from verispark.llm.queries import op5
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    tool = dc.Matcher(items, 0.8, 3, 40, 5)
+    tool = dc.Matcher(items, 0.8, 0.95, 5)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     # Exact copies of items are all there, and nothing that is not similar.
     exact = {(d, i) for d, t in rows for i, b in items if t and " ".join(dc.words_of(b)) in " ".join(dc.words_of(t))}

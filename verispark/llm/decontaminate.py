@@ -4,8 +4,10 @@ Texts are words.  A passage within ``e`` edits of an item of ``n`` words keeps a
 its runs of q words.  Places with fewer runs of items of that length are passed over, which loses nothing;
 at all others stands a window of that length.  The CGK embedding walks through a window: it writes the current
 word and moves on or stays as a random bit of word and step says, so sequences a small edit
-distance apart mostly write equal symbols.  Each of ``repetitions`` walks samples ``samples`` of
-these symbols; windows and items with an equal sample are verified by their edit distance.
+distance apart mostly write equal symbols.  Each of some walks samples a few of these symbols; windows and
+items with an equal sample are verified by their edit distance.  Long passages write fewer equal symbols, so how many are
+sampled in how many walks follows from the target recall: for every length the cheapest of ``PLANS`` is
+taken that finds that share of trial passages, items with random edits up to the limit.
 """
 
 from __future__ import annotations
@@ -22,6 +24,11 @@ from pyspark.sql import functions as F
 _WORDS = re.compile(r"\w+").findall
 #: Bytes of item text that go to the executors at once; a larger benchmark takes more passes over the documents.
 BLOCK_BYTES = 4 << 20
+#: Symbols and walks by rising cost, the trials of a length, and starts on either side of a trial's own.
+PLANS = ((3, 40), (3, 80), (2, 40), (2, 80), (2, 160), (2, 320), (1, 320), (1, 640))
+TRIALS, SHIFT = 40, 3
+#: A walk falls back into step after a shift that is small beside its length, so long windows stand this many times closer than their length only.
+STARTS_PER_LENGTH = 128
 _STEP, _WORD, _WALK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Words of the texts that are searched together, and windows that are embedded together.
 WORDS_AT_ONCE, WINDOWS_AT_ONCE = 1_000_000, 10_000
@@ -46,15 +53,14 @@ def edit_end(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Matcher:
     """The items of one block, prepared for matching."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, samples: int, repetitions: int, min_words: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float, min_words: int, chosen: dict[int, tuple[int, int]] | None = None) -> None:
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray, int]] = []
         for item_id, text in items:
             words = words_of(text)
-            if len(words) >= min_words:
+            if len(words) >= max(min_words, 1):
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
                 self.items.append((item_id, ids, int((1 - similarity) * len(words) + 1e-9)))
-        self.samples, self.repetitions = samples, repetitions
         self.by_length: dict[int, list[int]] = {}
         for k, (_, ids, _) in enumerate(self.items):
             self.by_length.setdefault(len(ids), []).append(k)
@@ -73,7 +79,9 @@ class Matcher:
             for k in numbers:
                 own[(self.items[k][1], np.searchsorted(self.pairs, pairs[k]), np.searchsorted(self.triples, triples[k]))[q - 1]] = True
             self.runs[n] = (q, n - q + 1 - q * self.edits[n], own)
-        self.plans = {n: self._plan(n) for n in self.by_length}
+        #: Symbols and walks of each length, and the steps that each walk samples.
+        self.chosen = dict(chosen) if chosen is not None else {n: self._choose(n, recall) for n in self.by_length}
+        self.plans = {n: self._plan(n, *self.chosen[n]) for n in self.by_length}
         self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for n, numbers in self.by_length.items():
             keys = self.keys(np.concatenate([self.items[k][1] for k in numbers]), np.arange(len(numbers)) * n, n)
@@ -82,16 +90,48 @@ class Matcher:
                 order = np.argsort(row, kind="stable")
                 self.tables[n].append((row[order], np.array(numbers)[order]))
 
-    def _plan(self, n: int) -> np.ndarray:
-        """The steps that each repetition samples, within the walk's expected length."""
+    @staticmethod
+    def _plan(n: int, samples: int, walks: int) -> np.ndarray:
+        """The steps that each walk samples, within its expected length."""
         rng = np.random.default_rng(n)
-        return np.array([np.sort(rng.choice(2 * n, min(self.samples, 2 * n), replace=False)) for _ in range(self.repetitions)])
+        return np.array([np.sort(rng.choice(2 * n, min(samples, 2 * n), replace=False)) for _ in range(walks)])
 
-    def keys(self, ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """One key per repetition and window of ``n`` words; past the end of a window the walk writes zeros."""
-        steps = self.plans[n]
-        out = np.zeros((self.repetitions, len(starts)), np.uint64)
-        padded, walks = np.append(ids, 0), np.arange(self.repetitions, dtype=np.uint64)[:, None] * _WALK
+    def _choose(self, n: int, recall: float) -> tuple[int, int]:
+        """The first of ``PLANS`` that finds enough of the trial passages of this length, the last if none does."""
+        if not self.edits[n]:
+            return 3, 1  # equal windows write equal symbols
+        rng, own, windows, begins, stride = np.random.default_rng(n + 1), self.by_length[n], [], [], max(1, n // STARTS_PER_LENGTH)
+        size = 0
+        for k in range(TRIALS):
+            words = list(self.items[own[k % len(own)]][1])
+            for _ in range(self.edits[n]):
+                at, kind = int(rng.integers(len(words) + 1)), int(rng.integers(3))
+                if kind == 0 or at == len(words):
+                    words.insert(at, int(rng.integers(1, self.base)))
+                elif kind == 1:
+                    words[at] = int(rng.integers(1, self.base))
+                else:
+                    del words[at]
+            around = SHIFT * stride
+            padded = np.r_[rng.integers(1, self.base, around), words, rng.integers(1, self.base, self.edits[n] + around + stride)]
+            begins.append(size + np.arange(2 * SHIFT + 1) * stride + int(rng.integers(stride)))
+            windows.append(padded)
+            size += len(padded)
+        ids, starts = np.concatenate(windows), np.concatenate(begins)
+        items = np.concatenate([self.items[own[k % len(own)]][1] for k in range(TRIALS)])
+        for plan in PLANS:
+            steps = self._plan(n, *plan)
+            met = self.keys(ids, starts, n, steps).reshape(len(steps), TRIALS, -1) == self.keys(items, np.arange(TRIALS) * n, n, steps)[:, :, None]
+            # Half of the misses allowed: a few trials say little about the last hundredths.
+            if met.any(axis=(0, 2)).mean() >= (1 + recall) / 2:
+                return plan
+        return PLANS[-1]
+
+    def keys(self, ids: np.ndarray, starts: np.ndarray, n: int, steps: np.ndarray | None = None) -> np.ndarray:
+        """One key per walk and window of ``n`` words; past the end of a window the walk writes zeros."""
+        steps = self.plans[n] if steps is None else steps
+        out = np.zeros((len(steps), len(starts)), np.uint64)
+        padded, walks = np.append(ids, 0), np.arange(len(steps), dtype=np.uint64)[:, None] * _WALK
         sampled = [np.flatnonzero((steps == step).any(axis=1)) for step in range(int(steps.max(initial=-1)) + 1)]
         for a in range(0, len(starts), WINDOWS_AT_ONCE):
             begin, key = starts[None, a:a + WINDOWS_AT_ONCE], out[:, a:a + WINDOWS_AT_ONCE]
@@ -130,6 +170,8 @@ class Matcher:
             here = np.unique(np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
             if not len(here):
                 continue
+            # The first start of each stretch, and every so many words.
+            here = here[(here % max(1, n // STARTS_PER_LENGTH) == 0) | np.r_[True, np.diff(here) > 1]]
             for row, (table, order) in zip(self.keys(ids, here, n), self.tables[n], strict=True):
                 low, high = np.searchsorted(table, row, "left"), np.searchsorted(table, row, "right")
                 for w in np.flatnonzero(high > low):
@@ -187,8 +229,8 @@ class Matcher:
 class Benchmark:
     """Items (item_id, text) in blocks of bounded size; the parameters are those of the search."""
 
-    def __init__(self, items: DataFrame, similarity: float = 0.8, samples: int = 3, repetitions: int = 40, min_words: int = 5) -> None:
-        self.settings = (similarity, samples, repetitions, min_words)
+    def __init__(self, items: DataFrame, similarity: float = 0.8, recall: float = 0.95, min_words: int = 1) -> None:
+        self.settings = (similarity, recall, min_words)
         rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n = int(size // BLOCK_BYTES) + 1
@@ -196,16 +238,17 @@ class Benchmark:
         self.blocks = [rows.filter(part == b) for b in range(n)]
 
     def matcher(self, block: DataFrame) -> tuple:
-        """Arguments of the matcher of a block: its texts, of about ``BLOCK_BYTES``."""
-        return sorted([(r.item_id, r.text) for r in block.collect()], key=str), *self.settings
+        """Arguments of the matcher of a block: its texts, of about ``BLOCK_BYTES``, and the plans chosen for their lengths."""
+        rows = sorted([(r.item_id, r.text) for r in block.collect()], key=str)
+        return rows, *self.settings, Matcher(rows, *self.settings).chosen
 
 
 def find_passages(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
     """doc_id, item_id, distance, item_words, last_word: the items found in each row of ``docs`` (doc_id, text), its best passage each.
 
     Words are runs of letters, digits and underscores in lower case; an item is found where some stretch of words is within
-    (1 - similarity) times its words of edit distance.  Items of fewer than ``min_words`` words and null texts are
-    found nowhere; equal rows give equal results; null ids pass through; other columns are ignored.
+    (1 - similarity) times its words of edit distance, so items of fewer than five words as they are.  Items of fewer than ``min_words``
+    words, items without words and null texts are found nowhere; texts of any length are searched whole; equal rows give equal results; null ids pass through; other columns are ignored.
     """
     out = None
     for block in benchmark.blocks:
