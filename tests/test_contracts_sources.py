@@ -274,16 +274,14 @@ def test_sign_test(spark):
     assert row.p == pytest.approx(11 / 1024) and row.q == pytest.approx(1.0)
 
 
-def test_shared_folder_names_its_store(spark, tmp_path):
-    from verispark.session import CHECKPOINT_KEY, shared_folder
-    spark.conf.set(CHECKPOINT_KEY, str(tmp_path))
+def test_a_path_without_scheme_belongs_to_the_default_store(spark, tmp_path):
+    from verispark.session import qualified
+    settings = spark._jsc.hadoopConfiguration()
+    before = settings.get("fs.defaultFS")
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and qualified(spark, f"file://{tmp_path}").startswith("file:/")
     try:
-        assert shared_folder(spark) == f"file:{tmp_path}"
-        local = spark._jsc.hadoopConfiguration().get("fs.defaultFS")
-        spark._jsc.hadoopConfiguration().set("fs.defaultFS", "viewfs://store/")
-        spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
-        spark.conf.set(CHECKPOINT_KEY, "/in/stages")
-        assert shared_folder(spark) == "viewfs://store/in/stages"
-        spark._jsc.hadoopConfiguration().set("fs.defaultFS", local)
+        settings.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+        settings.set("fs.defaultFS", "viewfs://store/")
+        assert qualified(spark, "/in/stages") == "viewfs://store/in/stages"
     finally:
-        spark.conf.unset(CHECKPOINT_KEY)
+        settings.set("fs.defaultFS", before)

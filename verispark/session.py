@@ -35,6 +35,12 @@ def build_session(app_name: str = "verispark", master: str | None = None,
     return builder.getOrCreate()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: without one it belongs to the cluster's default store, not to the disk of whoever opens it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that survives the loss of an executor.
 
@@ -43,9 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if configured:
-        # A path without a scheme belongs to the cluster's default store, not to the disk of whoever opens it.
-        path = spark._jvm.org.apache.hadoop.fs.Path(configured)
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return qualified(spark, configured)
     active = spark.sparkContext.getCheckpointDir()
     if active:
         return active
