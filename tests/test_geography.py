@@ -308,3 +308,32 @@ def test_farthest_points_survives_many_picks(spark):
         gap[chosen] = -1
         chosen.append(int(np.flatnonzero(gap == gap.max())[0]))
     assert list(out.sort_values("pick").station_id) == [f"p{i:04d}" for i in chosen]
+
+
+def test_the_first_column_owns_an_identifier(spark):
+    reference = spark.createDataFrame([("b", "100", "7"), ("a", "200", "100"), ("c", "100", None), ("01234012345", None, None), ("d", "01234", None)], "station_id string, wmo_id string, isd_station_id string")
+    wanted = spark.createDataFrame([(1, "100"), (2, "7"), (3, "12345"), (4, "01234"), (5, "a"), (6, "012340")], "station_id int, wmo_id string")
+    got = {r.station_id: r.identifier_overlap_ids for r in risk.identifier_matches(wanted, reference, ("wmo_id",), ("wmo_id", "isd_station_id")).collect()}
+    # 100 is b's and c's in the first column and a's in the second; parts of compound keys come last, bare ids are none.
+    assert got == {1: "b", 2: "b", 3: "01234012345", 4: "d", 6: "01234012345"}
+
+
+def test_a_target_without_a_source_fails(spark, lattice):
+    grid = spark.createDataFrame([(1, 0.0, 0.0)], "source_id int, latitude double, longitude double")
+    targets = spark.createDataFrame([(1, 0.0, 1.0), (2, 60.0, 100.0)], "target_id int, latitude double, longitude double")
+    assert kernel.kernel_weights(targets.where("target_id = 1"), grid, [100.0]).count() == 1
+    with pytest.raises(Exception, match="no source within reach of target 2"):
+        kernel.kernel_weights(targets, grid, [100.0]).collect()
+
+
+def test_lloyd_reaches_a_fixed_point(spark):
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.normal(c, 0.4, (40, 2)) for c in ((0, 0), (6, 1), (2, 8))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(900, None, 1.0)], "id int, x double, y double")
+    centres = regions.lloyd(df.where("x is not null"), ("x", "y"), [tuple(xy[0]), tuple(xy[1]), tuple(xy[50])])
+    own = ((xy[:, None] - np.array(centres)[None]) ** 2).sum(-1).argmin(1)
+    for k in range(3):
+        assert np.allclose(xy[own == k].mean(0), centres[k], atol=1e-8)
+    rows = regions.kmeans_regions(df, "id", "x", "y", 3).collect()
+    assert {r.region for r in rows if r.id < 40} == {"r02"} and {r.region for r in rows if 40 <= r.id < 80} == {"r01"} and {r.region for r in rows if 80 <= r.id < 120} == {"r00"}
+    assert [r.region for r in rows if r.id == 900] == [None]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,12 @@ def year_window(timestamp: Column, year: int, halo_days: int = 0) -> Column:
     return (timestamp >= low) & (timestamp < high)
 
 
+def day_window(day: Column, first: str, last: str, halo_days: int = 0) -> Column:
+    """Days from ``first`` to ``last``, widened by whole days on both sides; a bound on a partition column prunes its folders."""
+    low, high = (dt.date.fromisoformat(d) + dt.timedelta(days=sign * halo_days) for d, sign in ((first, -1), (last, 1)))
+    return day.between(F.lit(low), F.lit(high))
+
+
 def overlaps_year(start: Column, end: Column, year: int) -> Column:
     """A segment [start, end] touches ``year``; an open end is NULL."""
     first = F.lit(f"{year}-01-01").cast("date")

@@ -20,8 +20,8 @@ def clean_identifier(value: Column) -> Column:
     return F.when(~text.isin(*EMPTY_TOKENS), F.replace(text, F.lit(" "), F.lit("")))
 
 
-def identifier_variants(value: Column) -> Column:
-    """The identifier itself plus the parts hidden in an 11-digit compound key.
+def compound_parts(value: Column) -> Column:
+    """The numbers hidden in an 11-digit compound key, none for any other identifier.
 
     Such a key is six digits (station number times ten, or a plain number) and a
     five-digit national number in which 99999 stands for none.
@@ -30,7 +30,6 @@ def identifier_variants(value: Column) -> Column:
     compound = clean.rlike(r"^[0-9]{11}$")
     head, tail = F.substring(clean, 1, 6), F.substring(clean, 7, 5)
     parts = F.array(
-        clean,
         F.when(compound, head),
         F.when(compound & (tail != "99999"), tail),
         F.when(compound & head.endswith("0"), F.substring(head, 1, 5)),
@@ -38,6 +37,11 @@ def identifier_variants(value: Column) -> Column:
     return F.array_distinct(F.array_compact(parts))
 
 
+def identifier_variants(value: Column) -> Column:
+    """The identifier itself and the parts hidden in it."""
+    return F.array_distinct(F.array_compact(F.concat(F.array(clean_identifier(value)), compound_parts(value))))
+
+
 def decimal_comma(value: Column) -> Column:
     return F.replace(F.trim(value), F.lit(","), F.lit(".")).try_cast("double")
 

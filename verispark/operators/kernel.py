@@ -21,7 +21,8 @@ def kernel_weights(targets: DataFrame, grid: DataFrame, sigmas_km: Sequence[floa
                    target_id: str = "target_id", source_id: str = "source_id") -> DataFrame:
     """Row-normalised weights (target, sigma, source): Gaussian in distance times cos(latitude) area.
 
-    ``grid`` has ``source_id, latitude, longitude``.  One distance join serves every sigma.
+    ``grid`` has ``source_id, latitude, longitude``.  One distance join serves every sigma.  The job fails at a target
+    without any source in reach: it would be missing from every later field.
     """
     pairs = radius_pairs(targets, grid, max(sigmas_km) * truncation, target_id, source_id,
                          keep_right=("latitude",))
@@ -33,7 +34,11 @@ def kernel_weights(targets: DataFrame, grid: DataFrame, sigmas_km: Sequence[floa
                              raw.alias("_w"))
     # A target's row is its kernel footprint: bounded by the grid, whatever the data volume.
     row = Window.partitionBy(target_id, "sigma_km")
-    return weighted.withColumn("weight", F.col("_w") / F.sum("_w").over(row)).drop("_w")
+    shares = weighted.withColumn("weight", F.col("_w") / F.sum("_w").over(row)).drop("_w")
+    wanted = targets.select(target_id, sigma.alias("sigma_km"))
+    lonely = F.raise_error(F.concat(F.lit("no source within reach of target "), F.col(target_id).cast("string"), F.lit(" at "), F.col("sigma_km"), F.lit(" km")))
+    found = F.when(F.col(source_id).isNull(), lonely.cast(dict(grid.dtypes)[source_id])).otherwise(F.col(source_id))
+    return wanted.join(shares, [target_id, "sigma_km"], "left").withColumn(source_id, found)
 
 
 def kernel_columns(weights: DataFrame, sigmas_km: Sequence[float], target_id: str, source_id: str) -> DataFrame:

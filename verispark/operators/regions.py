@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -49,13 +47,39 @@ def farthest_points(candidates: DataFrame, station_id: str, columns: Sequence[st
     return candidates.sparkSession.createDataFrame(order, f"pick int, {station_id} {id_type}")
 
 
-def kmeans_regions(stations: DataFrame, x: str, y: str, clusters: int, seed: int, name: str = "region") -> DataFrame:
-    """Regions by k-means on projected coordinates, numbered from north to south."""
-    assembled = VectorAssembler(inputCols=[x, y], outputCol="_xy").transform(stations)
-    model = KMeans(k=clusters, seed=seed, featuresCol="_xy", predictionCol="_label").fit(assembled)
-    north = sorted(range(len(model.clusterCenters())), key=lambda i: -model.clusterCenters()[i][1])
-    number = F.create_map(*[v for new, old in enumerate(north) for v in (F.lit(old), F.lit(new))])
-    label = F.concat(F.lit("r"), F.lpad(number[F.col("_label")].cast("string"), 2, "0"))
-    return model.transform(assembled).withColumn(name, label).drop("_xy", "_label")
+def lloyd(points: DataFrame, columns: Sequence[str], seeds: Sequence[Sequence[float]], most: int = 300) -> list[tuple[float, ...]]:
+    """Centres of k-means from given ones to the fixed point, by ascending number of the seed.
 
+    A step assigns every point to its nearest centre, ties to the first, and sums the clusters on the map side; only as many
+    rows as there are clusters reach the driver.  A cluster that loses all points keeps its centre.
+    """
+    centres = [tuple(float(v) for v in c) for c in seeds]
+    for _ in range(most):
+        sums = points.groupBy(nearest_centre(columns, centres).alias("c")).agg(*[F.round(F.avg(c), 9).alias(c) for c in columns])
+        moved = {r.c: tuple(r[c] for c in columns) for r in sums.collect()}
+        following = [moved.get(k, c) for k, c in enumerate(centres)]
+        if following == centres:
+            break
+        centres = following
+    return centres
+
+
+def nearest_centre(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """Number of the nearest centre, ties to the first."""
+    def gap(centre: Sequence[float]) -> Column:
+        return F.round(F.sqrt(sum(((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(columns, centre, strict=True)), F.lit(0.0))), 9)
+    return F.array_min(F.array(*[F.struct(gap(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres)]))["k"]
 
+
+def kmeans_regions(stations: DataFrame, station_id: str, x: str, y: str, clusters: int, name: str = "region") -> DataFrame:
+    """Regions by k-means on projected coordinates, from the stations that spread farthest, numbered from north to south.
+
+    A station without coordinates has no region.
+    """
+    stations = cut_lineage(stations)
+    points = stations.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    picks = farthest_points(points.withColumn("_even", F.lit(1)), station_id, (x, y), "_even", clusters)
+    seeds = picks.join(points, station_id).orderBy("pick").select(x, y).collect()  # as many rows as clusters
+    centres = sorted(lloyd(points, (x, y), [tuple(r) for r in seeds]), key=lambda c: (-c[1], c[0]))
+    label = F.concat(F.lit("r"), F.lpad(nearest_centre((x, y), centres).cast("string"), 2, "0"))
+    return stations.join(points.select(station_id, label.alias(name)), station_id, "left")

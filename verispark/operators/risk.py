@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_identifier, identifier_variants, truthy
+from ..functions.text import clean_identifier, compound_parts, truthy
 from .neighbours import nearest_match
 
 
@@ -15,13 +15,14 @@ def identifier_matches(candidates: DataFrame, reference: DataFrame, candidate_co
                        reference_columns: Sequence[str]) -> DataFrame:
     """Per candidate: the reference stations that share any identifier, as a sorted '|' list.
 
-    Reference station ids also match through the parts of a compound key.  One
-    identifier stands for the smallest station id that carries it.
+    One identifier stands for one station: the owner in the first of ``reference_columns`` that has it, the smallest id
+    within a column; the parts of eleven-digit station ids come after all columns, and a station id itself is no identifier.
     """
-    variants = F.flatten(F.array(identifier_variants(F.col("station_id")),
-                                 *[F.array_compact(F.array(clean_identifier(F.col(c)))) for c in reference_columns]))
-    known = (reference.select(F.col("station_id").cast("string").alias("_ref"), F.explode(F.array_distinct(variants)).alias("_key"))
-             .groupBy("_key").agg(F.min("_ref").alias("_ref")))
+    named = [F.struct(F.lit(k).alias("rank"), clean_identifier(F.col(c)).alias("key")) for k, c in enumerate(reference_columns)]
+    parts = F.transform(compound_parts(F.col("station_id").cast("string")), lambda p: F.struct(F.lit(len(named)).alias("rank"), p.alias("key")))
+    every = F.concat(F.array(*named), parts) if named else parts
+    known = (reference.select(F.col("station_id").cast("string").alias("_ref"), F.explode(every).alias("_k")).where(F.col("_k.key").isNotNull())
+             .groupBy(F.col("_k.key").alias("_key")).agg(F.min(F.struct("_k.rank", "_ref")).alias("_owner")).select("_key", F.col("_owner._ref").alias("_ref")))
     keys = F.array_distinct(F.array_compact(F.array(*[clean_identifier(F.col(c)) for c in candidate_columns])))
     wanted = candidates.select("station_id", F.explode(keys).alias("_key"))
     return (wanted.join(known, "_key").groupBy("station_id")
@@ -34,7 +35,7 @@ def _either(df: DataFrame, column: str, shape) -> Column:
 
 def classify(candidates: DataFrame, reference: DataFrame, registry: dict[str, str], identifier_columns: Sequence[str],
              radius_km: float, elevation_tolerance_m: float, operational_types: Sequence[str],
-             low_risk_types: Sequence[str], extra_identifiers: Sequence[str] = ("site_identifier",)) -> DataFrame:
+             low_risk_types: Sequence[str], extra_identifiers: Sequence[str] = ("site_identifier", "isd_station_id")) -> DataFrame:
     """Risk class of every candidate, by the first rule that applies.
 
     Overlap with the reference (same place, or a shared identifier) decides

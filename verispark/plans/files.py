@@ -8,8 +8,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal
 from ..functions import text
-from ..operators import contracts, neighbours
+from ..operators import contracts, neighbours, rolling
 from ..session import scratch_path
 from ..sources import archives, chunks, records, reports, tables
 from . import domain as d
@@ -171,3 +172,25 @@ def manifest_differences(spark: SparkSession, sf: str) -> DataFrame:
     changed = records.seal_differences(json.loads(json.dumps(prints(after), default=str)), sealed)
     return orders.groupBy(F.col("o_orderpriority").alias("part")).agg(F.count(F.lit(1)).alias("n_rows")).select(
         "part", F.col("part").isin(changed).alias("changed"), "n_rows")
+
+
+@query("qc_halo_window", """
+WITH w AS (SELECT CAST(ts AS DATE) AS day, count(value) OVER o AS n, median(value) OVER o AS m FROM events
+           WINDOW o AS (PARTITION BY user_id % 10 ORDER BY ts, value ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT strftime(day, '%Y-%m-%d') AS day, day BETWEEN DATE '2024-01-10' AND DATE '2024-01-14' AS checked, count(*) AS n_reports,
+  CAST(sum(n) FILTER (WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-14') AS BIGINT) AS n_neighbours,
+  round(sum(m) FILTER (WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-14'), 4) AS medians FROM w GROUP BY w.day""")
+def qc_halo_window(spark: SparkSession, sf: str) -> DataFrame:
+    """A few days checked anew: their partitions are read with a halo, trimmed, and overwritten alone."""
+    first, last = "2024-01-10", "2024-01-14"
+    reports_ = d.table(spark, sf, "events").select((F.col("user_id") % 10).alias("series"), "ts", "value", F.to_date("ts").alias("day"))
+    source, checked = scratch_path(spark, "reports-by-day"), scratch_path(spark, "checked-by-day")
+    tables.write_table(reports_, source, partition_by=["day"])
+    blank = reports_.select("series", "ts", "value", F.lit(None).cast("double").alias("rolling_median"), F.lit(None).cast("bigint").alias("rolling_count"), "day")
+    tables.write_table(blank, checked, partition_by=["day"])
+    around = spark.read.parquet(source).where(cal.day_window(F.col("day"), first, last, 3))
+    found = rolling.centred_median(around, "series", ["ts"], "value").where(cal.day_window(F.col("day"), first, last))
+    tables.overwrite_partitions(found.select("series", "ts", "value", F.col("rolling_median").cast("double").alias("rolling_median"), F.col("rolling_count").cast("bigint").alias("rolling_count"), "day"), checked, ["day"])
+    return spark.read.parquet(checked).groupBy("day").agg(
+        F.count(F.lit(1)).alias("n_reports"), F.sum("rolling_count").alias("n_neighbours"), r(F.sum("rolling_median"), 4).alias("medians")).select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("n_neighbours").isNotNull().alias("checked"), "n_reports", "n_neighbours", "medians")

@@ -214,7 +214,7 @@ def risk_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("identifier_variants", "WITH " + d.STATIONS_SQL + """,
 ref AS (SELECT lpad(CAST(station_id*10 AS VARCHAR), CAST(greatest(6, length(CAST(station_id*10 AS VARCHAR))) AS INTEGER), '0') || CASE WHEN region = 0 THEN '99999' ELSE lpad(CAST(station_id AS VARCHAR), CAST(greatest(5, length(CAST(station_id AS VARCHAR))) AS INTEGER), '0') END AS id FROM stations),
-keys AS (SELECT id AS key, id FROM ref UNION ALL SELECT substr(id, 1, 6), id FROM ref
+keys(key, id) AS (SELECT substr(id, 1, 6), id FROM ref
          UNION ALL SELECT substr(id, 7, 5), id FROM ref WHERE substr(id, 7, 5) <> '99999'
          UNION ALL SELECT substr(id, 1, 5), id FROM ref WHERE substr(id, 6, 1) = '0'),
 known AS (SELECT key, min(id) AS id FROM keys GROUP BY key)
@@ -277,10 +277,28 @@ def farthest_points(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.withColumn("pick", F.col("pick").cast("bigint"))
 
 
-@query("kmeans_regions")
+@query("kmeans_regions", "WITH RECURSIVE " + d.STATIONS_SQL + """,
+st AS (SELECT avg(longitude) AS ma, stddev_pop(longitude) AS sa, avg(latitude) AS mb, stddev_pop(latitude) AS sb FROM stations),
+z AS (SELECT station_id, (longitude-ma)/sa AS a, (latitude-mb)/sb AS b FROM stations, st),
+pick(step, station_id, a, b, gap, chosen) AS (
+  SELECT 0, z.station_id, z.a, z.b, sqrt(pow(z.a-q.a,2)+pow(z.b-q.b,2)), q.station_id FROM z, (SELECT * FROM z ORDER BY station_id LIMIT 1) q
+  UNION ALL
+  SELECT step+1, station_id, a, b, least(gap, sqrt(pow(a-na,2)+pow(b-nb,2))), nid FROM (
+    SELECT *, first_value(station_id) OVER w AS nid, first_value(a) OVER w AS na, first_value(b) OVER w AS nb
+    FROM pick WHERE step < 4 WINDOW w AS (ORDER BY round(gap, 9) DESC, station_id))),
+lloyd(step, c, x, y) AS (
+  SELECT 0, CAST(k.step AS BIGINT), longitude, latitude FROM (SELECT DISTINCT step, chosen FROM pick) k JOIN stations ON station_id = chosen
+  UNION ALL
+  SELECT step+1, c, round(avg(px), 9), round(avg(py), 9) FROM (
+    SELECT l.step, l.c, s.longitude AS px, s.latitude AS py,
+      row_number() OVER (PARTITION BY s.station_id ORDER BY round(sqrt(pow(s.longitude-l.x,2)+pow(s.latitude-l.y,2)), 9), l.c) AS rn
+    FROM lloyd l, stations s WHERE l.step < 100) WHERE rn = 1 GROUP BY step, c),
+fixed AS (SELECT x, y, row_number() OVER (ORDER BY y DESC, x) - 1 AS k FROM lloyd WHERE step = 100),
+own AS (SELECT s.latitude, k, row_number() OVER (PARTITION BY s.station_id ORDER BY round(sqrt(pow(s.longitude-x,2)+pow(s.latitude-y,2)), 9), k) AS rn FROM stations s, fixed)
+SELECT 'r' || lpad(CAST(k AS VARCHAR), 2, '0') AS region, count(*) AS n, round(avg(latitude), 6) AS mean_latitude FROM own WHERE rn = 1 GROUP BY k""")
 def kmeans_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions by k-means on positions, numbered from the north; cluster labels depend on the library's seeding."""
-    placed = regions.kmeans_regions(d.stations(spark, sf).drop("region"), "longitude", "latitude", 5, 20260101)
+    """Regions by k-means on positions, from the stations that spread farthest to the fixed point, numbered from the north."""
+    placed = regions.kmeans_regions(d.stations(spark, sf).drop("region"), "station_id", "longitude", "latitude", 5)
     return placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), r(F.avg("latitude")).alias("mean_latitude"))
 
 

@@ -54,6 +54,11 @@ def write_table(df: DataFrame, path: str, sort_by: Sequence[str] = (), partition
     writer.parquet(path)
 
 
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace only the partitions that ``df`` has rows of; all others stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, sort_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     (df.orderBy(*sort_by) if sort_by else df).write.mode(mode).csv(path, header=True)
 
