@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mixing import with_mix
+from ..functions.mixing import mixed_array
 from .neighbours import radius_pairs
 
 
@@ -97,14 +99,30 @@ def thinned_pairs(pairs: DataFrame, draws: int, keep: int, seed: int, station_id
                   support: str = "support_km") -> DataFrame:
     """``keep`` stations per (draw, centre, support), chosen by the mixer; support zero keeps the centre.
 
-    ``pairs`` has numeric ``centre_id`` and ``station_id`` and one row per support.
+    ``pairs`` has numeric ``centre_id`` and ``station_id`` and one row per support.  The stations of a centre are one array, in
+    which every draw takes its smallest residues, ties to the smaller id; pairs are not repeated per draw.
     """
-    repeated = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    draw_key = F.col("draw") * 1000003 + F.col("centre_id") * 613 + F.col(support).cast("bigint")
-    place = Window.partitionBy("draw", "centre_id", support).orderBy("_mix", station_id)
-    mixed = with_mix(repeated, draw_key, F.col(station_id), seed, "_mix")
-    chosen = mixed.withColumn("_n", F.row_number().over(place))
-    return chosen.where((F.col("_n") <= keep) | (F.col(support) == 0)).drop("_mix", "_n")
+    types = dict(pairs.dtypes)
+    arrays = pairs.groupBy("centre_id", support).agg(F.array_sort(F.collect_set(F.col(station_id).cast("bigint"))).alias("_stations"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for centre, radius, stations in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.array(stations, np.int64)
+                n = len(ids) if radius == 0 else min(keep, len(ids))
+                mix = mixed_array(np.arange(draws) * 1000003 + centre * 613 + int(radius), ids, seed)
+                # Ids are sorted, so their place breaks ties.
+                order = np.argsort(mix, axis=1, kind="stable")[:, :n]
+                size = draws * n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, centre, np.int64)), pa.array(np.full(size, float(radius))), pa.array(np.repeat(np.arange(draws, dtype=np.int32), n)), pa.array(ids[order].ravel())],
+                    names=["centre_id", support, "draw", station_id])
+
+    dealt = arrays.select(F.col("centre_id").cast("bigint").alias("centre_id"), F.col(support).cast("double").alias(support), "_stations").repartition(
+        pairs.sparkSession.sparkContext.defaultParallelism, "centre_id")
+    chosen = dealt.mapInArrow(run, f"centre_id bigint, `{support}` double, draw int, `{station_id}` bigint")
+    return chosen.select(F.col("centre_id").cast(types["centre_id"]).alias("centre_id"), F.col(station_id).cast(types[station_id]).alias(station_id),
+                         F.col(support).cast(types[support]).alias(support), "draw")
 
 
 def support_losses(panel: DataFrame, time: str, forecasts: Sequence[str], targets: Sequence[str]) -> DataFrame:

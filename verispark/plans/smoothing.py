@@ -252,7 +252,7 @@ def support_optima(spark: SparkSession, sf: str) -> DataFrame:
 
 THIN_SQL = "WITH " + SERIES_SQL + """,
 pr AS (SELECT target_id AS centre_id, source_id AS station_id, support_km FROM km, (SELECT unnest([1500.0, 3000.0]::DOUBLE[]) AS support_km) WHERE km <= support_km),
-dw AS (SELECT pr.*, d.range AS draw, ((d.range*1000003 + centre_id*613 + CAST(support_km AS BIGINT))*7919 + station_id*104729 + {seed}) % {p} AS x FROM pr, range(0, 6) d),
+dw AS (SELECT pr.*, d.range AS draw, ((d.range*1000003 + centre_id*613 + CAST(support_km AS BIGINT))*7919 + station_id*104729 + {seed}) % {p} AS x FROM pr, range(0, 60) d),
 y AS (SELECT *, ({px}*48271 + 11) % {p} AS y FROM dw),
 rk AS (SELECT *, row_number() OVER (PARTITION BY draw, centre_id, support_km ORDER BY {py}, station_id) AS rn FROM y),
 kp AS (SELECT * FROM rk WHERE rn <= 3)
@@ -271,9 +271,12 @@ def support_thinning(spark: SparkSession, sf: str) -> DataFrame:
     stations = d.stations(spark, sf)
     pairs = neighbours.radius_pairs(stations, stations, 3000.0, "station_id", "station_id")
     ladder = pairs.withColumn("support_km", F.explode(F.array(F.lit(1500.0), F.lit(3000.0)))).where("distance_km <= support_km")
-    kept = support.thinned_pairs(ladder.select(F.col("l_id").alias("centre_id"), F.col("r_id").alias("station_id"), "support_km"), 6, 3, SEED + 43)
-    return kept.join(station_series(spark, sf).select("station_id", "ref_point"), "station_id").groupBy(F.col("draw").cast("bigint").alias("draw"), "support_km").agg(
-        F.count_distinct("centre_id").alias("n_centres"), F.count(F.lit(1)).alias("n_pairs"), F.sum("station_id").alias("station_sum"), r(F.avg("ref_point")).alias("mean_value"))
+    kept = support.thinned_pairs(ladder.select(F.col("l_id").alias("centre_id"), F.col("r_id").alias("station_id"), "support_km"), 60, 3, SEED + 43)
+    # Sums per station, so that a draw meets stations and not their days.
+    totals = station_series(spark, sf).groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ref_point").alias("total"))
+    met = kept.join(totals, "station_id").groupBy(F.col("draw").cast("bigint").alias("draw"), "support_km")
+    return met.agg(F.count_distinct("centre_id").alias("n_centres"), F.sum("n").alias("n_pairs"), F.sum(F.col("station_id") * F.col("n")).alias("station_sum"),
+                   r(F.sum("total") / F.sum("n")).alias("mean_value"))
 
 
 @query("cell_representativeness", "WITH " + d.PANEL_SQL + """,
