@@ -58,3 +58,50 @@ def test_labels_of_one_kind(spark, labels):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def plain_score(text, model):
+    """A text's score from the weights, feature by feature."""
+    import re
+
+    import xxhash
+    weights, intercept = model
+    names = set()
+    for word in set(re.findall(r"[^\W\d_]+", (text or "").lower())):
+        names |= {"w" + word} | {"p" + word[:n] for n in (4, 5, 6) if len(word) >= n}
+    hashes = {h - (1 << 64) if h >= 1 << 63 else h for h in map(xxhash.xxh64_intdigest, names)}
+    return 1 / (1 + np.exp(-(intercept + sum(weights.get(h, 0.0) for h in hashes))))
+
+
+def test_scores_equal_a_plain_scorer_and_clashing_columns_are_ignored(spark):
+    rows = training_rows()
+    docs = spark.createDataFrame([(i, t, 1, 0.5) for i, t, _ in rows], "doc_id long, text string, toxic int, score double")
+    labels = spark.createDataFrame([(i, y, "not a text") for i, _, y in rows], "doc_id long, toxic int, text string")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    assert toxicity.fit(docs.drop("toxic"), labels.drop("text")) == model
+    odd = [(900, None), (901, ""), (902, "ÜBER Idiotenß 123 x_y"), (None, "idiot idiot"), (903, "word " * 20_000 + "idiot")]
+    asked = spark.createDataFrame([(i, t, 1, 0.5) for i, t, _ in rows] + [(i, t, 0, 0.0) for i, t in odd], "doc_id long, text string, toxic int, score double")
+    texts = [t for _, t, _ in rows] + [t for _, t in odd]
+    for got, text in zip(toxicity.score(asked, model).collect(), texts, strict=True):
+        assert got.score == pytest.approx(plain_score(text, model), abs=1e-12)
+    kept = toxicity.without_toxic(asked, "text", model)
+    assert kept.columns == asked.columns
+    assert [r.text for r in kept.collect()] == [t for t in texts if plain_score(t, model) < 0.3]
+
+
+def test_the_fit_is_a_minimum_of_its_objective():
+    rng = np.random.default_rng(8)
+    rows = [sorted({int(c) for c in rng.integers(0, 6, 3)}) for _ in range(120)]
+    labels = np.array([float(0 in r or rng.random() < 0.1) for r in rows])
+    swapped = [sorted(set(r) - {1} | {2}) if 1 in r else None for r in rows]
+
+    def objective(w, b):
+        z = np.array([w[r].sum() + b for r in rows])
+        loss = np.mean(np.logaddexp(0, z) - labels * z) + 3.0 / len(rows) * (w @ w) / 2
+        change = [w[s].sum() - w[r].sum() for r, s in zip(rows, swapped, strict=True) if s is not None]
+        return loss + np.mean(np.square(change))
+
+    w, b = toxicity.fit_logistic(rows, swapped, labels, 6)
+    best = objective(w, b)
+    for _ in range(300):
+        assert objective(w + rng.normal(0, 0.05, 6), b + rng.normal(0, 0.05)) >= best - 1e-4

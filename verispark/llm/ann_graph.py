@@ -420,7 +420,8 @@ def link_groups(df: DataFrame, stages: Stages, threshold: float = 0.93, target:
 
     Rows link when their labels are equal and the cosine is at least ``threshold``.  A row whose vector is null, empty, zero or
     has null or non-finite components, whose label or whose id is null links with nothing and is its own component;
-    vectors of different length do not link.  Equal rows are vectors of their own that link with each other.
+    vectors of different length do not link.  Equal rows are vectors of their own that link with each other; other columns are ignored,
+    whatever their names; an empty table has no rows.
     """
     vector = F.col("embedding").cast("array<float>")
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"), F.col("label").cast("string").alias("label"))

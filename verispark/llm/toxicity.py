@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features:
 def score(docs: DataFrame, model: tuple[dict[int, float], float], threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) as doc_id, score, predicted; null and empty texts have the score of a text without features.
 
-    Rows are independent and repeated ids pass through; columns other than the two are ignored.
+    Rows are independent, texts are read whole, null and repeated ids pass through; columns other than the two are ignored, whatever
+    their names; an empty table has no rows.
     """
     weights, intercept = model
 
@@ -175,7 +176,11 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], threshold: flo
 
 
 def without_toxic(df: DataFrame, text_column: str, model: tuple[dict[int, float], float], threshold: float = 0.3) -> DataFrame:
-    """The rows of ``df`` whose text scores below the threshold, as they are."""
+    """The rows of ``df`` whose text scores below the threshold, as they are, with all their columns.
+
+    Null and empty texts have the score of a text without features; texts are read whole; equal rows stay or go together; an
+    empty table stays empty.
+    """
     weights, intercept = model
     place, limit = df.columns.index(text_column), float(np.log(threshold / (1 - threshold)))
 

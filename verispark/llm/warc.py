@@ -83,7 +83,11 @@ def parse_record(raw: bytes) -> dict:
 
 
 def write_archive(planned: DataFrame, stages: Stages) -> DataFrame:
-    """Write the records; return the captures: key, line (a JSON list of key, page_id, file, offset, length)."""
+    """Write the records; return the captures: key, page_id, line (a JSON list of key, page_id, file, offset, length).
+
+    Equal rows are records of their own; without rows no archive is written.  Files are named by task attempt, so what a lost
+    attempt left is in no capture.
+    """
     folder = stages.path("warc")
     rows = planned.select("page_id", "url", "payload", "digest", "refers_to", url_key(F.col("url")).alias("key"))
     schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("line", pa.string())])
@@ -115,7 +119,7 @@ def write_index(captures: DataFrame, stages: Stages, partitions: int) -> DataFra
     """Sort the captures into shards of compressed blocks; return the list of shards: first_key, last_key, file.
 
     A shard's file holds its blocks; beside it lies its directory, one line per block with the first
-    key, the last key, offset and length.
+    key, the last key, offset and length.  Equal captures keep a line each; without captures there is no shard.
     """
     folder = stages.path("index")
     ordered = captures.repartitionByRange(partitions, "key", "page_id", "line").sortWithinPartitions("key", "page_id", "line").select("key", "line")
@@ -156,7 +160,7 @@ def look_up(shards: DataFrame, keys: DataFrame, partitions: int) -> DataFrame:
 
     Distinct keys are dealt out in order, so a task meets few shards; the list of shards, one entry per
     task that wrote the index, goes with the function.  A key with very many captures has many blocks,
-    and blocks are dealt out anew before they are read.
+    and blocks are dealt out anew before they are read.  Repeated keys are asked for once, null keys find nothing; without shards or keys nothing is found.
     """
     listed = sorted([list(r) for r in shards.collect()])
     asked = keys.select("key").distinct().repartitionByRange(partitions, "key").sortWithinPartitions("key")
@@ -237,7 +241,8 @@ def read_records(captures: DataFrame) -> DataFrame:
 def payload_facts(records: DataFrame, stages: Stages) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, with the facts of a revisit's payload taken from its response.
 
-    What was read is measured once and written; a response that many records revisit is one row of the join.
+    What was read is measured once and written; a response that many records revisit is one row of the join.  A revisit
+    whose response was not read has no payload facts; without records there are no rows.
     """
     facts = stages.put(records.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes"),
                                       F.sha1("payload").alias("sha1")), "facts")
