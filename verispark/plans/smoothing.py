@@ -277,15 +277,3 @@ def support_thinning(spark: SparkSession, sf: str) -> DataFrame:
     met = kept.join(totals, "station_id").groupBy(F.col("draw").cast("bigint").alias("draw"), "support_km")
     return met.agg(F.count_distinct("centre_id").alias("n_centres"), F.sum("n").alias("n_pairs"), F.sum(F.col("station_id") * F.col("n")).alias("station_sum"),
                    r(F.sum("total") / F.sum("n")).alias("mean_value"))
-
-
-@query("cell_representativeness", "WITH " + d.PANEL_SQL + """,
-ce AS (SELECT s_suppkey AS station_id, s_nationkey AS cell FROM supplier),
-a AS (SELECT cell, valid_day, avg(ref_point) AS obs, min(lead_h) AS lead, avg(beta) AS beta, count(DISTINCT station_id) AS n FROM common JOIN ce USING (station_id) GROUP BY ALL HAVING count(DISTINCT station_id) >= 2)
-SELECT cell, count(*) AS n_days, round(avg(abs(beta-obs)), 6) AS cell_mae, CAST(max(n) AS BIGINT) AS most_stations FROM a GROUP BY cell""")
-def cell_representativeness(spark: SparkSession, sf: str) -> DataFrame:
-    """Stations averaged to their cell before scoring; cells with one station drop out."""
-    cells = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("station_id"), F.col("s_nationkey").alias("cell"))
-    means = d.common_panel(spark, sf).join(cells, "station_id").groupBy("cell", "valid_day").agg(
-        F.avg("ref_point").alias("obs"), F.avg("beta").alias("beta"), F.count_distinct("station_id").alias("n")).where("n >= 2")
-    return means.groupBy("cell").agg(F.count(F.lit(1)).alias("n_days"), r(F.avg(F.abs(F.col("beta") - F.col("obs")))).alias("cell_mae"), F.max("n").alias("most_stations"))
