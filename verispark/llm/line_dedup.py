@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .files import Stages
 
 WORD = 64
-#: Keys the sketch follows; a key it loses holds fewer than about four in this many of all lines.
-SKETCH_ITEMS = 1 << 17
+#: Parts of the hashes with a sketch each, so that no task merges the sketches of all.
+SKETCH_PARTS = 64
 _BLANKS, _UPPER = " \t\n\x0b\f\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BITMAP = "array<struct<word: int, bits: bigint>>"
 
@@ -43,8 +43,11 @@ def _long_lines(df: DataFrame, id_column: str, text_column: str, min_chars: int)
 
 def _frequent(lines: DataFrame, partitions: int) -> DataFrame:
     """h1 and spread of the keys that hold more than half a partition's share of all lines: at most twice as many rows as partitions."""
-    most = min(2 * partitions, 10_000)
-    seen = lines.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {most}, {SKETCH_ITEMS})").alias("top"))
+    most = max(64, 8 * partitions // SKETCH_PARTS)
+    # A sketch of m keys is off by about 3.5 / m of its part's lines, here far less than half a partition's share.
+    tops = (lines.groupBy(F.pmod("h1", F.lit(SKETCH_PARTS)).alias("part"))
+            .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {most}, {4 * most})").alias("top")))
+    seen = tops.withColumn("n", F.sum("n").over(Window.partitionBy()))  # a row per part
     share = F.col("top.count") * (2 * partitions) / F.col("n")
     return (seen.select("n", F.explode("top").alias("top")).filter(share > 1)
             .groupBy(F.col("top.item").alias("h1")).agg(F.max(F.ceil(share).cast("int")).alias("spread")))
