@@ -41,12 +41,6 @@ def kernel_weights(targets: DataFrame, grid: DataFrame, sigmas_km: Sequence[floa
     return wanted.join(shares, [target_id, "sigma_km"], "left").withColumn(source_id, found)
 
 
-def kernel_columns(weights: DataFrame, sigmas_km: Sequence[float], target_id: str, source_id: str) -> DataFrame:
-    """The weights of one (target, source) pair side by side, one column per sigma."""
-    return weights.groupBy(target_id, source_id).agg(*[
-        F.max(F.when(F.col("sigma_km") == float(s), F.col("weight"))).alias(f"s{s:g}".replace(".", "p")) for s in sigmas_km])
-
-
 def kernel_diagnostics(weights: DataFrame, truncation: float = 4.0, target_id: str = "target_id") -> DataFrame:
     """Footprint sizes, worst row-sum error and the bound on the radial mass left out."""
     rows = weights.groupBy("sigma_km", target_id).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("s"))
