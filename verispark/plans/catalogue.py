@@ -60,8 +60,8 @@ def scan_csv_key_from_path(spark: SparkSession, sf: str) -> DataFrame:
     """One CSV folder per station, the key taken from the path, an explicit schema."""
     path = scratch_path(spark, "station-csv")
     source = d.table(spark, sf, "events").select("event_id", "value", F.col("user_id").alias("station"))
-    source.write.partitionBy("station").csv(path, header=True)
-    df = reports.read_station_csv(spark, f"{path}/station=*", "event_id bigint, value double", key_pattern=r"station=([^/]+)/")
+    reports.write_station_csv(source, path, "station")
+    df = reports.read_station_csv(spark, path, "event_id bigint, value double", key_pattern=r"station=([^/]+)/")
     return df.groupBy(F.col("station_id").cast("bigint").alias("station_id")).agg(
         F.count(F.lit(1)).alias("n"), r(F.avg("value")).alias("mean"))
 

@@ -25,10 +25,23 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str =
     return raw.select(F.col("_metadata.file_path").alias("path"), "line")
 
 
+def write_station_csv(df: DataFrame, path: str, station: str) -> None:
+    """One folder per station below ``path``, its rows brought together first: a file per station, not one per station and task.
+
+    Only a station that exceeds a task's share is split.  Tasks put their own files in place, so that the driver does not
+    move one folder after the other; the folder must be new and is whole once this returns.
+    """
+    gathered = df.hint("rebalance", station)
+    gathered.write.partitionBy(station).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path, header=True)
+
+
 def read_station_csv(spark: SparkSession, paths: str | Sequence[str], schema: str,
                      key: str = "station_id", key_pattern: str | None = None) -> DataFrame:
-    """One CSV per station with an explicit schema; the file name (or a pattern in the path) is the key."""
-    df = spark.read.schema(schema).csv(paths, header=True)
+    """One CSV per station with an explicit schema; the file name (or a pattern in the path) is the key.
+
+    Folders are searched to their leaves, in parallel: a pattern over many folders is resolved by the driver alone.
+    """
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).csv(paths, header=True)
     path = F.col("_metadata.file_path")
     name = F.regexp_extract(path, key_pattern, 1) if key_pattern else file_stem(path)
     return df.withColumn(key, name)
