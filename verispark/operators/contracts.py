@@ -78,11 +78,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     """The row of each key that comes first in ``order``.
 
     A struct minimum combines on the map side, so a key that owns a third of all
-    rows still sends one row per task.
+    rows still sends one row per task.  It sorts its rows, so each column is in them once.
     """
     rest = [c for c in df.columns if c not in keys]
-    lead = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
-    packed = F.struct(*lead, *[F.col(f"`{c}`") for c in rest])
+    ordered = [c for c in order if c in rest]
+    packed = F.struct(*[F.col(f"`{c}`") for c in [*ordered, *[c for c in rest if c not in ordered]]])
     picked = df.groupBy(*keys).agg(F.min(packed).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 

@@ -416,7 +416,9 @@ def join_priority_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """One series per site: the best-ranked member that reported, then common cases."""
     members = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("station_id"), F.concat(F.lit("site"), "s_nationkey").alias("site_id"),
                                                     F.when(F.col("s_acctbal") > 5000, 0).otherwise(1).alias("network_rank"))
-    collapsed = panel.collapse_sites(d.long_panel(spark, sf), members, priority=("network_rank", "station_id", "lead_h", "forecast"))
+    # The best row of a site is found by sorting: only what the score reads is sorted.
+    series = d.long_panel(spark, sf).select("station_id", "valid_time", "model", "lead_h", "forecast", "ref_grid")
+    collapsed = panel.collapse_sites(series, members, priority=("network_rank", "station_id", "lead_h", "forecast"))
     common = panel.common_cases(collapsed, ["site_id", "valid_time"], "model")
     return common.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("site_id").alias("n_sites"), F.sum("station_id").alias("station_sum"),
                                        r(F.avg(F.abs(F.col("forecast") - F.col("ref_grid")))).alias("mae"))
