@@ -441,15 +441,20 @@ def agg_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     """Site-day, cell-day, cell, globe: equal weight at every level, beside the unweighted mean."""
     cells = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("station_id"), F.col("s_nationkey").alias("cell"))
     e_g, e_p = F.col("forecast") - F.col("ref_grid"), F.col("forecast") - F.col("ref_point")
-    errors = d.long_panel(spark, sf).join(cells, "station_id").select(
+    # A case is sent once, to its cell-day, and becomes a row per model there; both means of a day stay where it is.
+    cases = d.common_panel(spark, sf).select("station_id", "valid_day", *d.MODELS, *d.REFERENCES).join(cells, "station_id").repartition("cell", "valid_day")
+    errors = panel.to_long(cases, d.MODELS, "model", "forecast").select(
         "model", "cell", "station_id", "valid_day", F.abs(e_g).alias("g"), F.abs(e_p).alias("p"), (e_g * e_g).alias("g2"), (e_p * e_p).alias("p2"))
     values = ["g", "p", "g2", "p2"]
     site_day = score.hierarchical_mean(errors, [["model", "cell", "station_id", "valid_day"]], values)
-    weighted = score.hierarchical_mean(site_day, [["model", "cell", "valid_day"], ["model", "cell"], ["model"]], values)
-    plain = site_day.groupBy("model").agg(F.avg("g").alias("ug"), F.avg("p").alias("up"), F.count(F.lit(1)).alias("site_days"))
-    out = weighted.join(plain, "model").select(
+    # The unweighted mean goes up beside the weighted one as sums over site-days, so that the cases are read once.
+    means, sums = [F.avg(v).alias(v) for v in values], [F.sum(c).alias(c) for c in ("ug", "up", "site_days")]
+    cell_day = site_day.groupBy("model", "cell", "valid_day").agg(*means, F.sum("g").alias("ug"), F.sum("p").alias("up"), F.count(F.lit(1)).alias("site_days"))
+    cell = cell_day.groupBy("model", "cell").agg(*means, *sums)
+    weighted = cell.groupBy("model").agg(*means, *sums, F.count(F.lit(1)).alias("n_units"))
+    out = weighted.select(
         "model", F.col("n_units").alias("cells"), "site_days", F.col("g").alias("grid_mae"), F.col("p").alias("point_mae"), F.sqrt("g2").alias("grid_rmse"),
-        F.sqrt("p2").alias("point_rmse"), F.col("ug").alias("grid_mae_unweighted"), F.col("up").alias("point_mae_unweighted"), (F.col("g") - F.col("p")).alias("grid_advantage"))
+        F.sqrt("p2").alias("point_rmse"), (F.col("ug") / F.col("site_days")).alias("grid_mae_unweighted"), (F.col("up") / F.col("site_days")).alias("point_mae_unweighted"), (F.col("g") - F.col("p")).alias("grid_advantage"))
     return rounded(out, "grid_mae", "point_mae", "grid_rmse", "point_rmse", "grid_mae_unweighted", "point_mae_unweighted", "grid_advantage")
 
 
